@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, sharding
+from tidemark.llm import bpe, chat, decontaminate, embedding, minhash, quality, sharding, suffix, toxicity, urlfilter
 from tidemark.llm.common import table
 
 
@@ -33,8 +33,14 @@ def bpe_report(docs: DataFrame, spec: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_url_filter": urlfilter.op3_url_filter,
     "op4_sharding": sharding.op4_sharding,
+    "op5_minhash": minhash.op5_minhash,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_embedding_neardup": embedding.op8_embedding_neardup,
     "op9_bpe": op9_bpe,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_url_filter": urlfilter.ORACLE}
