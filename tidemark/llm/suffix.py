@@ -286,7 +286,7 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(spans, kind), batch.column(3)], ["doc_id", "text", "kept", "spans", "rest"])
 
     done = long_.join(covers, ["doc_id", "tk"], "left").select("doc_id", "text", "covers", "rest")
-    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", "array<struct<start:long,stop:long>>").add("rest", docs.schema["rest"].dataType)
+    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", docs.schema["rest"].dataType)
     done = done.mapInArrow(cut, shape)
     short = docs.filter("not ok").select("doc_id", "text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "rest")
     return done.unionByName(short).select("doc_id", "text", "kept", "spans", *[F.col(f"rest.`{c}`").alias(c) for c in others])

@@ -86,13 +86,13 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.
                   1704067200 + page_id * 7919 % 31536000 AS fetched FROM pages),
 s AS (SELECT h, min(page_id) AS m, arg_min(step, page_id) AS step FROM p WHERE h <> '' GROUP BY h),
 named AS (SELECT h AS key, m FROM s WHERE m % 2 = 0 UNION ALL SELECT h || '/' || step, m + 1 FROM s WHERE m % 3 = 0 AND step <> ''),
-log AS (SELECT key, 'list' || (m % 5) AS category, action, 1704067200 + (m * 37 % 300 + d) * 86400 AS at
+log AS (SELECT key, 'list' || (m % 5) AS category, action, 1704067200 + (m * 37 % 300 + d) * 86400 AS ts
         FROM named, (VALUES (0, 'add'), (40, 'remove'), (80, 'add')) v(d, action) WHERE d < 80 OR m % 3 = 0),
-iv AS (SELECT * FROM (SELECT *, lead(at) OVER (PARTITION BY key, category ORDER BY at) AS until FROM log) WHERE action = 'add'),
+iv AS (SELECT * FROM (SELECT *, lead(ts) OVER (PARTITION BY key, category ORDER BY ts) AS until FROM log) WHERE action = 'add'),
 k AS (SELECT DISTINCT page_id, fetched, unnest(list_concat(
         list_transform(range(1, greatest(len(string_split(h, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')),
         list_transform(range(1, len(steps) + 1), lambda i: h || '/' || array_to_string(steps[1:i], '/')))) AS key FROM p WHERE h <> ''),
-hit AS (SELECT page_id, category FROM k JOIN iv ON k.key = iv.key AND fetched >= iv.at AND (until IS NULL OR fetched < until))
+hit AS (SELECT page_id, category FROM k JOIN iv ON k.key = iv.key AND fetched >= iv.ts AND (until IS NULL OR fetched < until))
 SELECT page_id, count(category) AS n_active, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories, count(category) > 0 AS blocked
 FROM pages LEFT JOIN hit USING (page_id) GROUP BY page_id
 """
