@@ -46,7 +46,8 @@ def keys(url: Column) -> Column:
 def judge(captures: DataFrame, active: DataFrame) -> DataFrame:
     """(page_id, url, fetched, n_active, categories, blocked) of each capture."""
     few = active.limit(SENT + 1).count() <= SENT
-    rows = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("row_no"), F.explode_outer(keys(F.col("url"))).alias("key"))
+    numbered = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("row_no"), keys(F.col("url")).alias("keys"))
+    rows = numbered.select("page_id", "url", "fetched", "row_no", F.explode_outer("keys").alias("key"))
     hit = rows.join(F.broadcast(active) if few else active, (rows["key"] == active["key"]) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))), "left")
     out = hit.groupBy("row_no").agg(
         *[F.first(c).alias(c) for c in ("page_id", "url", "fetched")],
