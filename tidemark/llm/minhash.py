@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialize, table
 
-BANDS, ROWS = 20, 4  #: a pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**20 = 3e-5
+#: a pair at similarity 0.8 shares no band with probability (1 - 0.8**7)**48 = 1e-5; one at 0.25 shares one with 0.003
+BANDS, ROWS = 48, 7
 MAX_WORDS = 500_000  #: word hashes that a worker remembers
 SENT_IDS = 200_000  #: most ids that are broadcast, to read the texts of candidates only
 
@@ -40,7 +41,8 @@ class _Words(dict):
 
 
 _words = _Words()
-_odd = [int(x) | 1 for x in np.random.default_rng(7).integers(1 << 62, 1 << 63, 64 + BANDS * ROWS, dtype=np.uint64)]
+_perms = np.random.default_rng(7).integers(1 << 62, 1 << 63, 64 + BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_odd = [int(x) for x in _perms[-64:]]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,11 +67,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def signature_bands(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key for each band; the first half are made of minima, the second of maxima of the same permutations."""
-    low, high = np.empty(bands * rows // 2, np.uint64), np.empty(bands * rows // 2, np.uint64)
-    for j in range(len(low)):
-        v = s * np.uint64(_odd[64 + j])
+    odd = _perms[: bands * rows // 2, None]
+    low, high = np.full(len(odd), ~np.uint64(0)), np.zeros(len(odd), np.uint64)
+    for j in range(0, len(s), 2048):
+        v = s[None, j : j + 2048] * odd
         v ^= v >> np.uint64(32)
-        low[j], high[j] = v.min(), v.max()
+        low, high = np.minimum(low, v.min(1)), np.maximum(high, v.max(1))
     all_rows = np.concatenate([low, high]).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for j in range(rows):

@@ -3,8 +3,9 @@
 What counts is which n-byte strings a document shares with one of a smaller doc_id. Equal n-byte strings are first brought to one
 task, then sorted there:
 
-1. Every n-byte string has an anchor: the GRAM bytes within it whose hash is the smallest. Equal strings have equal anchors, so
-   only anchors that two documents share can belong to a repeated string (`shared_anchors`); the rest of the text is unique.
+1. Every n-byte string has an anchor: the GRAM bytes within it whose hash is the smallest; equal strings have equal anchors. Some
+   anchors, chosen by their hash, cut the text into chunks; a chunk that a smaller doc_id has too is removed as a whole and
+   searched no further. Of the rest, only anchors that two documents share can belong to a repeated string (`meet_by_hash`).
 2. Around each shared anchor the strings it anchors form a snippet of at most 2n - GRAM bytes. Equal snippets are folded into
    one with its smallest doc_id, and snippets are dealt out by their anchor (`snippets`).
 3. Each task sorts the suffixes of its snippets by a difference cover modulo 3: the suffixes at places 1 and 2 modulo 3 are
@@ -24,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialize, table
 
 N, GRAM = 50, 20
 CHUNK = 1 << 20  #: bytes that a task works on at once
-BUCKET = 4 << 20  #: bytes of text for each bucket of anchors
+DEAL = 24 << 20  #: bytes of text for each bucket of chunk or anchor hashes
+BUCKET = 8 << 20  #: bytes of text for each bucket of snippets
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -73,7 +77,7 @@ def pieces(batch: pa.RecordBatch, text: int, n: int) -> Iterator[tuple[np.ndarra
 
     for r, x in enumerate(batch.column(text)):
         raw = x.as_py()
-        raw = raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else raw or b""
+        raw = raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else zstandard.decompress(raw)
         for at in range(0, max(len(raw) - n + 1, 0), CHUNK):
             parts.append(raw[at : at + CHUNK + n - 1])
             rows.append(r)
@@ -95,84 +99,156 @@ def piece_anchors(s: np.ndarray, edges: np.ndarray, n: int):
     return *found, np.searchsorted(edges, found[2], side="right") - 1
 
 
-def shared_anchors(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(doc_id, tk, places): in each document, places of anchors that another doc_id has too; of equal ones, the first."""
+def cut_points(h: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Which anchors begin a chunk: about every sixteenth, chosen by content, and the first of each piece."""
+    new = (h >> np.uint64(7)) % np.uint64(16) == 0
+    if len(new):
+        new[0] = True
+        new[1:] |= piece[1:] != piece[:-1]
+    return new
+
+
+def chunk_keys(s: np.ndarray, first: np.ndarray, last: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, bucket bits, chunk of each anchor): key hashes all bytes of the chunk's n-byte strings."""
+    start = np.flatnonzero(begins)
+    chunk = np.cumsum(begins) - 1
+    raw = s.tobytes()
+    ends = np.concatenate([start[1:], [len(first)]]) - 1 if len(start) else start
+    made = np.array([xxhash.xxh3_128_digest(raw[a : b + n]) for a, b in zip(first[start], last[ends], strict=True)], "S16") if len(start) else np.empty(0, "S16")
+    both = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in made.tolist()), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1], chunk
+
+
+def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: int) -> DataFrame:
+    """(doc_id, hashes): of the entries (hash, bucket bits, row) that `entries(batch)` yields for texts, each document's hashes that
+    another document has (shared), or that a smaller doc_id has (not shared).
+
+    Entries travel as packed arrays, one for each bucket and piece of input. Within a piece, a hash of several documents is
+    settled at once; its first document, or its two ends, stand for it elsewhere, so a common hash costs a bucket no more than
+    an entry or two for each piece.
+    """
+    kind = np.uint64 if wide else np.uint32
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for s, rows, offsets, edges in pieces(batch, 2, n):
-                h, place, _, _, piece = piece_anchors(s, edges, n)
-                doc, key, at = ids[rows[piece]], keys[rows[piece]], place - edges[piece] + offsets[piece]
-                # one entry for each (hash, text)
-                order = np.lexsort((at, key, doc, h))
-                h, doc, key, at = h[order], doc[order], key[order], at[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-                h, doc, key, at = h[new], doc[new], key[new], at[new]
-                # a hash that several documents of this batch have is known to be shared: its two ends stand for it elsewhere
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                last = np.concatenate([first[1:], [len(h)]]) - 1
-                inner = np.ones(len(h), bool)
-                inner[first] = inner[last] = False
-                group = np.repeat(np.arange(len(first)), last - first + 1)
-                inner &= (doc[first] != doc[last])[group]
-                bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                bucket[inner] = buckets + bucket[inner]
-                order = np.lexsort((doc, bucket))
-                h, doc, key, at, bucket = (x[order] for x in (h.astype(np.uint32), doc, key, at, bucket))
+            ids = batch.column(0).to_numpy()
+            for h, bits, rows in entries(batch):
+                doc, h, bucket = ids[rows], h.astype(kind), (bits % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((doc, h, bucket))
+                doc, h, bucket = doc[order], h[order], bucket[order]
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+                new = fresh.copy()
+                new[1:] |= doc[1:] != doc[:-1]
+                doc, h, bucket, fresh = doc[new], h[new], bucket[new], fresh[new]
+                known = np.ones(len(h), bool)
+                known[fresh] = False
+                if shared:
+                    known[:-1] &= ~fresh[1:]
+                    known[-1:] = False
+                bucket[known] += buckets
+                order = np.argsort(bucket, kind="stable")
+                doc, h, bucket = doc[order], h[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
                 stop = np.concatenate([cut[1:], [len(bucket)]]) if len(cut) else cut
-                blobs = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, stop, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), blobs(h), blobs(doc), blobs(key), blobs(at.astype(np.int32))], ["bucket", "h", "doc", "tk", "at"])
+                by_doc = [np.argsort(doc[a:b], kind="stable") + a for a, b in zip(cut, stop, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.array([x[o].tobytes() for o in by_doc], pa.binary()) for x in (h, doc)]], ["bucket", "h", "doc"])
 
     def meet(group: pa.Table) -> pa.Table:
-        read = lambda c, t: np.frombuffer(b"".join(group[c].to_pylist()), t)
-        h, doc, key, at = read("h", np.uint32), read("doc", np.int64), read("tk", np.int64), read("at", np.int32)
+        h, doc = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("h", kind), ("doc", np.int64)))
         if group["bucket"][0].as_py() < buckets:
-            order = np.argsort(h, kind="stable")
-            h, doc, key, at = h[order], doc[order], key[order], at[order]
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            keep = np.repeat(many, np.diff(np.concatenate([first, [len(h)]])))
-            doc, key, at = doc[keep], key[keep], at[keep]
-        return pa.table({"doc_id": doc, "tk": key, "at": at})
+            size = np.diff(np.concatenate([first, [len(h)]]))
+            low = np.repeat(doc[first], size)
+            keep = np.repeat(doc[first] != doc[first + size - 1], size) if shared else doc != low
+            h, doc = h[keep], doc[keep]
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, int)
+        stop = np.concatenate([first[1:], [len(doc)]]) if len(doc) else first
+        return pa.table({"doc_id": doc[first], "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())})
+
+    flat = texts.mapInArrow(deal, "bucket int, h binary, doc binary").groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
+    return flat.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+
+
+def listed(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of a column of lists of packed hashes."""
+    blobs = [b"".join(x.as_py() or []) for x in column]
+    width = np.dtype(kind).itemsize
+    return np.repeat(np.arange(len(blobs)), [len(b) // width for b in blobs]), np.frombuffer(b"".join(blobs), kind)
+
+
+def member(row: np.ndarray, h: np.ndarray, of_row: np.ndarray, of_h: np.ndarray) -> np.ndarray:
+    """Whether (row, h) is among (of_row, of_h)."""
+    tag = lambda r, x: x.astype(np.uint64) * M1 ^ (r.astype(np.uint64) * M2)
+    return np.isin(tag(row, h), tag(of_row, of_h))
+
 
-    dealt = docs.select("doc_id", "tk", "text").mapInArrow(deal, "bucket int, h binary, doc binary, tk binary, at binary")
-    flat = dealt.groupBy("bucket").applyInArrow(meet, "doc_id long, tk long, at int")
-    return flat.groupBy("doc_id", "tk").agg(F.collect_list("at").alias("places"))
+def all_chunks(n: int):
+    """Entries of every chunk."""
+
+    def entries(batch: pa.RecordBatch):
+        for s, rows, _, edges in pieces(batch, 1, n):
+            h, _, first, last, piece = piece_anchors(s, edges, n)
+            begins = cut_points(h, piece)
+            key, bits, _ = chunk_keys(s, first, last, begins, n)
+            yield key, bits, rows[piece[begins]]
+
+    return entries
+
+
+def own_anchors(n: int):
+    """Entries of the anchors outside chunks that a smaller doc_id has (column 3)."""
+
+    def entries(batch: pa.RecordBatch):
+        of_row, of_h = listed(batch.column(3), np.uint64)
+        for s, rows, _, edges in pieces(batch, 1, n):
+            h, _, _, _, piece, _, _ = own_parts(s, rows, edges, of_row, of_h, n)
+            yield h, h >> np.uint64(32), rows[piece]
+
+    return entries
+
+
+def own_parts(s, rows, edges, of_row, of_h, n):
+    """(hash, place, first, last, piece) of the anchors in own chunks, and (first, last) of each chunk that is not own."""
+    h, place, first, last, piece = piece_anchors(s, edges, n)
+    begins = cut_points(h, piece)
+    key, _, chunk = chunk_keys(s, first, last, begins, n)
+    start = np.flatnonzero(begins)
+    ends = np.concatenate([start[1:], [len(first)]]) - 1 if len(start) else start
+    seen = member(rows[piece[start]], key, of_row, of_h)
+    own = ~seen[chunk] if len(chunk) else np.empty(0, bool)
+    gone = (piece[start[seen]], first[start[seen]], last[ends[seen]])
+    return h[own], place[own], first[own], last[own], piece[own], chunk[own], gone
 
 
 def snippets(texts: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(doc_id, tk, bucket, offset, snippet, first): the bytes around each shared anchor; offset: of the anchor within them. texts
-    has doc_id, tk, text, places."""
+    """(doc_id, bucket, offset, snippet, first): the bytes around each shared anchor; offset: of the anchor within them. texts has
+    doc_id, packed, further columns, dups and shared last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for j in range(0, batch.num_rows, 500):
-                part = batch.slice(j, 500)
-                ids, keys, places = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-                ends = np.array([len(p) for p in places])
-                flat, owner = np.asarray(places.flatten()), np.repeat(np.arange(len(ends)), ends)
-                for s, rows, offsets, edges in pieces(part, 2, n):
-                    h, place, first, last, piece = piece_anchors(s, edges, n)
-                    row = rows[piece]
-                    # hashes of the row's shared places; equal hashes elsewhere in the row are shared as well
-                    tag = lambda r, x: x ^ (r.astype(np.uint64) * M2)
-                    listed = np.isin((row.astype(np.int64) << 40) + place - edges[piece] + offsets[piece], (owner.astype(np.int64) << 40) + flat)
-                    good = np.isin(tag(row, h), tag(row[listed], h[listed]))
-                    if len(offsets) > len(np.unique(rows)) or offsets.any():
-                        good |= True  # parts of one long text: its first place may lie in another part
-                    h, place, first, last, piece, row = (x[good] for x in (h, place, first, last, piece, row))
+            for j in range(0, batch.num_rows, 1000):
+                part = batch.slice(j, 1000)
+                ids = part.column(0).to_numpy()
+                (dup_row, dup_h), (of_row, of_h) = listed(part.column(3), np.uint64), listed(part.column(4), np.uint32)
+                for s, rows, offsets, edges in pieces(part, 1, n):
+                    h, place, first, last, piece, _, _ = own_parts(s, rows, edges, dup_row, dup_h, n)
+                    good = member(rows[piece], h.astype(np.uint32), of_row, of_h)
+                    h, place, first, last, piece = (x[good] for x in (h, place, first, last, piece))
                     size = last - first + n
                     stop = np.cumsum(size)
                     data = s[np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
                     column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[row]), pa.array(keys[row]), pa.array(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)), pa.array((place - first).astype(np.int32)), column, pa.array((first - edges[piece] + offsets[piece]).astype(np.int32))],
-                        ["doc_id", "tk", "bucket", "offset", "snippet", "first"],
+                        [pa.array(ids[rows[piece]]), pa.array(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)), pa.array((place - first).astype(np.int32)), column, pa.array((first - edges[piece] + offsets[piece]).astype(np.int32))],
+                        ["doc_id", "bucket", "offset", "snippet", "first"],
                     )
 
-    return texts.select("doc_id", "tk", "text", "places").mapInArrow(run, "doc_id long, tk long, bucket int, offset int, snippet binary, first int")
+    return texts.mapInArrow(run, "doc_id long, bucket int, offset int, snippet binary, first int")
 
 
 def rename(keys: np.ndarray) -> np.ndarray:
@@ -242,51 +318,67 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
         raise ValueError(f"n must be from {GRAM + 8} to {GRAM + 50}")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "kept", "spans")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("nothing"))  # further columns travel as one
-    docs = docs.select("doc_id", "text", rest.alias("rest"), F.xxhash64("text").alias("tk"), (F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) >= n)).alias("ok"))
+    docs = docs.select("doc_id", "text", rest.alias("rest"), (F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) >= n)).alias("ok"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, total // BUCKET)
-    long_ = docs.filter("ok").select("doc_id", "tk", "text", "rest")
-    places = shared_anchors(long_, n, buckets)
-    found = snippets(long_.join(places, ["doc_id", "tk"]), n, buckets)
-    key = F.unhex(F.md5(F.concat(F.col("offset").cast("string").cast("binary"), F.lit(b":"), F.col("snippet"))))
-    folded = found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).withColumn("key", key)
+    deals, buckets = max(8, total // DEAL), max(8, total // BUCKET)
+    rest_type = docs.schema["rest"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([squeeze.compress(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2)], ["doc_id", "packed", "rest"])
+
+    long_ = docs.filter("ok").select("doc_id", "text", "rest")
+    # chunks that a smaller doc_id has need no more work than to be removed; the rest is searched string by string
+    dups = materialize(meet_by_hash(long_.select("doc_id", "text"), all_chunks(n), True, False, deals)).withColumnRenamed("hashes", "dups")
+    packed = long_.mapInArrow(pack, T.StructType().add("doc_id", "long").add("packed", "binary").add("rest", rest_type))
+    texts = packed.filter("doc_id is not null").join(dups, "doc_id", "left").select("doc_id", "packed", "rest", "dups")
+    shared = materialize(meet_by_hash(texts, own_anchors(n), False, True, deals)).withColumnRenamed("hashes", "shared")
+    found = snippets(texts.join(shared, "doc_id"), n, buckets)
+    key = F.xxhash64("offset", "snippet").alias("key")  # with the bucket, whose number grows with the input
+    folded = found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).select("bucket", "snippet", "least", key)
 
     def sort(group: pa.Table) -> pa.Table:
         least = group["least"].to_numpy()
         bits = repeated_windows(group["snippet"].to_pylist(), least, n)
-        return pa.table({"key": group["key"], "least": least, "bits": bits})
+        return pa.table({"bucket": group["bucket"], "key": group["key"], "least": least, "bits": bits})
 
-    judged = folded.select("bucket", "snippet", "least", "key").groupBy("bucket").applyInArrow(sort, "key binary, least long, bits long")
-    seen = found.select("doc_id", "tk", "first", (F.octet_length("snippet") - n + 1).alias("strings"), key.alias("key"))
+    judged = folded.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
+    seen = found.select("doc_id", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
-    covers = seen.join(judged, "key").select("doc_id", "tk", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
-    covers = covers.groupBy("doc_id", "tk").agg(F.collect_list("cover").alias("covers"))
+    covers = seen.join(judged, ["bucket", "key"]).select("doc_id", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
+    covers = materialize(covers.groupBy("doc_id").agg(F.collect_list("cover").alias("covers")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raws = [zstandard.decompress(x.as_py()) for x in batch.column(1)]
+            edges_of = [np.zeros(len(r) + 1, np.int32) for r in raws]
+            of_row, of_h = listed(batch.column(3), np.uint64)
+            for s, rows, offsets, edges in pieces(batch, 1, n):
+                *_, (piece, first, last) = own_parts(s, rows, edges, of_row, of_h, n)
+                for p, a, b in zip(piece.tolist(), first.tolist(), last.tolist(), strict=True):
+                    shift = int(offsets[p] - edges[p])
+                    edges_of[rows[p]][a + shift] += 1
+                    edges_of[rows[p]][b + shift + n] -= 1
             spans, left = [], []
-            for x, c in zip(batch.column(1), batch.column(2), strict=True):
-                raw = x.as_py().encode("utf-8", "surrogatepass")
-                c = c.as_py()
-                if not c:
-                    spans.append([])
-                    left.append(raw)
-                    continue
-                first, bits = np.array([y["first"] for y in c]), np.array([y["bits"] for y in c], np.int64)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for k in range(n - GRAM + 1):
-                    at = first[(bits >> k) & 1 == 1] + k
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n, -1)
+            for raw, edge, c in zip(raws, edges_of, batch.column(4), strict=True):
+                if c := c.as_py():
+                    first, bits = np.array([y["first"] for y in c]), np.array([y["bits"] for y in c], np.int64)
+                    for k in range(n - GRAM + 1):
+                        at = first[(bits >> k) & 1 == 1] + k
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + n, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 step = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                 spans.append([{"start": a, "stop": b} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
                 left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(spans, kind), batch.column(3)], ["doc_id", "text", "kept", "spans", "rest"])
+            text = pa.array([r.decode("utf-8", "surrogatepass") for r in raws], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(left, pa.binary()), pa.array(spans, kind), batch.column(2)], ["doc_id", "text", "kept", "spans", "rest"])
 
-    done = long_.join(covers, ["doc_id", "tk"], "left").select("doc_id", "text", "covers", "rest")
-    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", docs.schema["rest"].dataType)
+    done = texts.join(covers, "doc_id", "left").select("doc_id", "packed", "rest", "dups", "covers")
+    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", rest_type)
     done = done.mapInArrow(cut, shape)
     short = docs.filter("not ok").select("doc_id", "text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "rest")
     return done.unionByName(short).select("doc_id", "text", "kept", "spans", *[F.col(f"rest.`{c}`").alias(c) for c in others])
