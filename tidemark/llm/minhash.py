@@ -4,9 +4,9 @@ Each permutation of a document's shingle set gives two signature values, its min
 evaluations fill the bands. Documents that share a band are candidates; links are confirmed on full shingle sets.
 
 Copies (equal sets) are folded into their smallest doc_id first. In every band bucket all members are compared with one pivot,
-the member whose bands are the most crowded; then members that are still in different components are compared with each other,
-until no bucket has an untried pair across components. So no link between different components is lost, and pairs within a
-component aren't enumerated.
+the member whose bands are the most crowded. Members of a bucket that are still in different components are then searched by
+prefixes of rare shingles, an exact filter. So no link between different components is lost, and neither the pairs within a
+component nor those that merely share a common passage are enumerated.
 
 Null texts, and texts without words, have empty sets and link with nothing. Rows that share a doc_id are one document for
 linking. Rows with a null doc_id link with nothing, have a null component and are kept. Repeated rows are each returned.
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialize, table
 
 #: a pair at similarity 0.8 shares no band with probability (1 - 0.8**7)**48 = 1e-5; one at 0.25 shares one with 0.003
 BANDS, ROWS = 48, 7
+BLOCK, COLUMNS = 1000, 4096  #: sets that a task compares with another such block; shingles it counts at a time
 MAX_WORDS = 500_000  #: word hashes that a worker remembers
 SENT_IDS = 200_000  #: most ids that are broadcast, to read the texts of candidates only
 
@@ -124,6 +125,58 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes in different components, confirmed on full sets. What is compared is found by prefixes: of a set of n, in the order from
+    rare to common, one of the first n - ceil(percent * n / 100) + 1 elements is also among those of any set that similar. No pair
+    is lost, and a passage that many share makes none. placed: (node, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(0, batch.num_rows, 500):
+                part = batch.slice(j, 500)
+                members = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
+                size = np.array([len(m) for m in members])
+                each = lambda c: np.repeat(c, size)
+                yield pa.RecordBatch.from_arrays([pa.array(each(part.column(0).to_numpy())), pa.array(each(part.column(1).to_numpy())), pa.array(each(size)), pa.array(np.concatenate(members))], ["node", "component", "n", "e"])
+
+    held = placed.join(sets, "node").select("node", "component", "members").mapInArrow(run, "node long, component long, n long, e long")
+    often = held.groupBy("e").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
+    rows = held.join(often, "e")
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "e"))  # elements of no other set come first
+    prefix = rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = materialize(prefix.filter("lo < hi").select("e", "node", "component", "n"))
+    # texts that share such an element, directly or through others, form a group; its blocks meet two by two
+    first = prefix.groupBy("e").agg(F.min("node").alias("b"))
+    groups = components(prefix.join(first, "e").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(groups, "node").join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
+    dealt = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "component", "members")
+
+    def meet(group: pa.Table) -> pa.Table:
+        node, component = group["node"].to_numpy(), group["component"].to_numpy()
+        members = [np.frombuffer(x.as_py(), np.uint64) for x in group["members"]]
+        size = np.array([len(m) for m in members])
+        owner, e = np.repeat(np.arange(len(node)), size), np.concatenate(members)
+        _, code, times = np.unique(e, return_inverse=True, return_counts=True)
+        owner, code = owner[times[code] > 1], code[times[code] > 1]
+        code = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        common = np.zeros((len(node), len(node)), np.float32)
+        for c in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
+            lo, hi = np.searchsorted(code, [c, c + COLUMNS])
+            held = np.zeros((len(node), COLUMNS), np.float32)
+            held[owner[lo:hi], code[lo:hi] - c] = 1
+            common += held @ held.T
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        x, y = np.nonzero(np.triu(linked & (component[:, None] != component[None, :]), 1))
+        return pa.table({"a": node[x], "b": node[y]})
+
+    return dealt.groupBy("group", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+
+
 def _read_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """Full sets of the documents in ids (node); one text for each id."""
     few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
@@ -153,9 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = materialize(scored.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
     open_ = materialize(placed.join(split, "band"))
-    x, y = open_.select("band", F.col("node").alias("a"), F.col("component").alias("ca")), open_.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "band").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = confirm(rest, sets, percent)
+    more = across(open_.select("node", "component").distinct(), sets, percent)
     labels = components(links.unionByName(more))
     whose = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     filled_key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))

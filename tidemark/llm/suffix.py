@@ -36,7 +36,7 @@ from tidemark.llm.common import materialize, table
 N, GRAM = 50, 20
 CHUNK = 1 << 20  #: bytes that a task works on at once
 DEAL = 24 << 20  #: bytes of text for each bucket of chunk or anchor hashes
-BUCKET = 8 << 20  #: bytes of text for each bucket of snippets
+BUCKET = 4 << 20  #: bytes of text for each bucket of snippets
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
