@@ -15,6 +15,11 @@ def ratio(num: Column | str, den: Column | str, default: float | None = None, sc
     return F.when(c(den) > 0, c(num) / c(den) * scale).otherwise(F.lit(default).cast("double"))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Half-up at `digits`, by way of nine decimals, so that the last bits of a double don't decide ties."""
+    return F.round(c(x).cast("decimal(28,9)"), digits).cast("double")
+
+
 def ladder(arms: list[tuple[Column, str]], otherwise: str | Column) -> Column:
     """First match wins."""
     out = None

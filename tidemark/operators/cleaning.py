@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import bands, ladder, latest, ratio
+from tidemark.functions.exprs import bands, ladder, latest, ratio, rounded
 from tidemark.sources.schemas import ITEMS
 
 SKIN_TYPES = ["Normal", "Sec", "Mixte", "Gras", "Sensible", "Mature"]
@@ -79,11 +79,11 @@ def _dated(df: DataFrame) -> DataFrame:
 def clean_google_ads(raw: DataFrame) -> DataFrame:
     one = latest(_dated(raw), ["date", "campaign_id", "ad_type"], F.desc_nulls_last("impressions"), F.desc_nulls_last("cost"))
     cpc = F.coalesce(ratio("cost", "clicks"), F.col("avg_cpc"))
-    return one.withColumns({"roas": F.round(ratio("conversion_value", "cost", 0.0), 2), "cpa": F.round(ratio("cost", "conversions"), 2), "cpc": F.round(cpc, 2)})
+    return one.withColumns({"roas": rounded(ratio("conversion_value", "cost", 0.0), 2), "cpa": rounded(ratio("cost", "conversions"), 2), "cpc": rounded(cpc, 2)})
 
 
 def clean_social_ads(raw: DataFrame) -> DataFrame:
-    return clean_google_ads(raw).withColumn("engagement_rate", F.round(ratio("engagements", "impressions"), 4))
+    return clean_google_ads(raw).withColumn("engagement_rate", rounded(ratio("engagements", "impressions"), 4))
 
 
 def clean_influencer(raw: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def clean_all_platforms(raw: DataFrame) -> DataFrame:
     """raw has ad_date. ad_type, where it exists, is part of the key, so no spend is lost."""
     keys = ["ad_date", "platform", "campaign_id"] + (["ad_type"] if "ad_type" in raw.columns else [])
     one = latest(raw, keys, F.desc_nulls_last("impressions"), F.desc_nulls_last("cost"))
-    return one.withColumns({"roas": F.round(ratio("conversion_value", "cost", 0.0), 2), "cpa": F.round(ratio("cost", "conversions"), 2), "cpc": F.round(ratio("cost", "clicks"), 2), "ctr": F.round(ratio("clicks", "impressions"), 4), "platform_category": platform_category(F.col("platform")), "ad_year": F.year("ad_date"), "ad_month": F.month("ad_date")})
+    return one.withColumns({"roas": rounded(ratio("conversion_value", "cost", 0.0), 2), "cpa": rounded(ratio("cost", "conversions"), 2), "cpc": rounded(ratio("cost", "clicks"), 2), "ctr": rounded(ratio("clicks", "impressions"), 4), "platform_category": platform_category(F.col("platform")), "ad_year": F.year("ad_date"), "ad_month": F.month("ad_date")})
 
 
 def cross_platform_metrics(ads: DataFrame) -> DataFrame:

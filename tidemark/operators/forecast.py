@@ -77,5 +77,5 @@ def ml_forecast(monthly: DataFrame, measure: str = "revenue", horizon: int = 3)
 
     made = VectorAssembler(inputCols=["month_idx"], outputCol="x")
     model = LinearRegression(featuresCol="x", labelCol=measure, predictionCol=f"forecast_{measure}").fit(made.transform(monthly))
-    ahead = monthly.agg(F.max("month_idx").alias("m")).select((F.col("m") + F.explode(F.sequence(F.lit(1), F.lit(horizon)))).alias("month_idx"))
+    ahead = monthly.agg(F.max("month_idx").alias("m")).select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + horizon)).alias("month_idx"))
     return model.transform(made.transform(ahead)).drop("x")

@@ -1,4 +1,515 @@
 """Registered queries of the analytics operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import exprs
+from tidemark.operators import acquisition, attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions, warehouse
+from tidemark.plans import gold
+from tidemark.plans.gold import Silver
+from tidemark.plans.oracles import spans, with_tables
+from tidemark.sources import adapters
+
+ORDERS_AS_OF, EVENTS_AS_OF = date(2001, 7, 15), date(2024, 1, 28)
+O, E = f"{ORDERS_AS_OF}", f"{EVENTS_AS_OF}"
+PERIODS = ["weekly", "monthly", "quarterly", "yearly"]
+P = " ".join(PERIODS)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select([exprs.rounded(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def query(name: str, tables: str = "", sql: str = "", doubles: str = "", digits: int = 4):
+    def register(f: Callable[[Silver], DataFrame]):
+        QUERIES[name] = lambda spark, d: rounded(f(Silver.of_tables(spark, d)), digits)
+        if sql:
+            ORACLES[name] = with_tables(tables, sql, doubles, digits)
+        return f
+
+    return register
+
+
+def attributed(s: Silver) -> DataFrame:
+    return attribution.attribution_models(attribution.journeys(s.web, s.web_orders))
+
+
+STAGE = "CASE WHEN total_orders = 0 THEN 'Prospect' WHEN total_orders = 1 THEN 'Nouveau client' WHEN total_orders <= 5 THEN 'Client régulier' ELSE 'Client fidèle' END"
+VALUE = "CASE WHEN lifetime_value > 150000 THEN 'Premium' WHEN lifetime_value >= 50000 THEN 'High' WHEN lifetime_value >= 10000 THEN 'Medium' WHEN lifetime_value > 0 THEN 'Low' ELSE 'No purchase' END"
+
+
+@query("sv1_clean_customers", "cust", f"SELECT customer_id, email, coalesce(date_diff('day', registration_date, DATE '{O}'), 0) AS customer_tenure_days, {STAGE} AS lifecycle_stage, {VALUE} AS value_segment, lifetime_value FROM cust", "lifetime_value", 2)
+def _(s):
+    return cleaning.clean_customers(s.customers, ORDERS_AS_OF).select("customer_id", "email", "customer_tenure_days", "lifecycle_stage", "value_segment", "lifetime_value")
+
+
+@query("sv4_event_categories", "logs", """SELECT CASE WHEN event_type IN ('page_view', 'scroll', 'exit') THEN 'navigation' WHEN event_type IN ('product_view', 'add_to_cart', 'remove_from_cart') THEN 'product' WHEN event_type IN ('begin_checkout', 'purchase') THEN 'conversion' WHEN event_type IN ('search', 'filter_products') THEN 'search' ELSE 'other' END AS event_category, date, count(*) AS events FROM logs GROUP BY 1, 2""")
+def _(s):
+    return s.logs.groupBy(cleaning.event_category(F.col("event_type")).alias("event_category"), "date").agg(F.count("*").alias("events"))
+
+
+@query("sv7_clean_all_platforms", "ads", """SELECT ad_date, platform, campaign_id, CASE WHEN cost > 0 THEN conversion_value / cost ELSE 0 END AS roas, CASE WHEN conversions > 0 THEN cost / conversions END AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, round((clicks / impressions)::DECIMAL(28, 9), 4)::DECIMAL(10, 4) AS ctr,
+  CASE WHEN platform IN ('Facebook', 'Instagram', 'TikTok', 'WhatsApp') THEN 'Social Media' WHEN platform = 'Google' THEN 'Search' WHEN platform LIKE 'Influencer%' THEN 'Influencer' ELSE 'Other' END AS platform_category FROM ads""", "roas cpa cpc", 2)
+def _(s):
+    return cleaning.clean_all_platforms(s.ads).select("ad_date", "platform", "campaign_id", "roas", "cpa", "cpc", F.col("ctr").cast("string").alias("ctr"), "platform_category").withColumn("ctr", F.col("ctr").cast("decimal(10,4)"))
+
+
+@query("sv8_cross_platform", "ads", """SELECT platform, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks, sum(cost) AS total_cost, sum(conversions)::BIGINT AS total_conversions, sum(conversion_value) AS total_conversion_value,
+  CASE WHEN sum(cost) > 0 THEN (sum(conversion_value) - sum(cost)) / sum(cost) ELSE 0 END AS roi, CASE WHEN sum(clicks) > 0 THEN sum(conversions) / sum(clicks) ELSE 0 END AS conversion_rate FROM ads GROUP BY platform""", "total_cost total_conversion_value roi conversion_rate")
+def _(s):
+    return cleaning.cross_platform_metrics(cleaning.clean_all_platforms(s.ads)).drop("avg_ctr", "avg_cpc", "avg_cpa")
+
+
+@query("sv9_web_sessions", "sess", """SELECT session_id, session_start, session_end, user_id, utm_source, utm_medium, utm_campaign, campaign_id, event_count, page_view_count, product_view_count, add_to_cart_count, checkout_count, purchase_count, event_types,
+  epoch(date_trunc('second', session_end))::BIGINT - epoch(date_trunc('second', session_start))::BIGINT AS session_duration_seconds, event_count = 1 AS is_bounce, purchase_count > 0 AS conversion_session, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS session_source FROM sess""")
+def _(s):
+    return s.web.select("session_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "user_id", "utm_source", "utm_medium", "utm_campaign", "campaign_id", "event_count", "page_view_count", "product_view_count", "add_to_cart_count", "checkout_count", "purchase_count", F.array_join("event_types", ",").alias("event_types"), "session_duration_seconds", "is_bounce", "conversion_session", "session_source")
+
+
+@query("sv10_customer_sessions", "sess cust", "SELECT session_id, s.user_id, lower(trim(user_email)) AS normalized_email, customer_id, lifetime_value, customer_id IS NOT NULL AS customer_match FROM sess s LEFT JOIN cust ON lower(trim(email)) = lower(trim(user_email)) WHERE is_authenticated AND s.user_id IS NOT NULL", "lifetime_value", 2)
+def _(s):
+    return sessions.customer_sessions(s.web, s.customers).select("session_id", "user_id", "normalized_email", "customer_id", "lifetime_value", "customer_match")
+
+
+@query("sv12_order_metrics", "ord", f"""SELECT customer_id, count(*) AS order_count, sum(final_total) AS total_spent, avg(final_total) AS avg_order_value, min(order_date) AS first_order_date, max(order_date) AS last_order_date, count(*) FILTER (has_promotion) AS promo_orders,
+  count(utm_source) AS attributed_orders, string_agg(DISTINCT payment_method, ',' ORDER BY payment_method) AS payment_methods, date_diff('day', min(order_date), DATE '{O}') AS days_since_first_order, date_diff('day', max(order_date), DATE '{O}') AS days_since_last_order,
+  count(*) FILTER (has_promotion) / count(*) AS promo_sensitivity, CASE WHEN count(*) > 1 THEN date_diff('day', min(order_date), DATE '{O}') / (count(*) - 1) END AS avg_order_frequency_days FROM ord GROUP BY customer_id""", "total_spent avg_order_value promo_sensitivity avg_order_frequency_days", 2)
+def _(s):
+    return sessions.order_metrics(s.orders, ORDERS_AS_OF).withColumn("payment_methods", F.array_join("payment_methods", ","))
+
+
+PREF = """pref AS (SELECT customer_id, max(category) FILTER (r = 1) AS primary_category, max(pc) FILTER (r = 1) AS primary_percent, max(category) FILTER (r = 2) AS secondary_category, max(pc) FILTER (r = 2) AS secondary_percent FROM
+  (SELECT customer_id, category, sp / sum(sp) OVER (PARTITION BY customer_id) * 100 AS pc, row_number() OVER (PARTITION BY customer_id ORDER BY sp DESC, category) AS r FROM (SELECT customer_id, category, sum(item_total) AS sp FROM items JOIN ord USING (order_id) GROUP BY 1, 2)) GROUP BY customer_id)"""
+
+
+@query("sv13_category_preference", "items ord", f"WITH {PREF}\nMAIN SELECT * FROM pref", "primary_percent secondary_percent")
+def _(s):
+    return sessions.category_preference(s.items, s.orders)
+
+
+@query("sv16_enriched_profiles", "cust ord items", f"""WITH {PREF}, m AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent, date_diff('day', max(order_date), DATE '{O}') AS days FROM ord GROUP BY 1),
+x AS (SELECT c.customer_id, primary_category, secondary_category, coalesce(n, 0) AS order_count, days,
+  CASE WHEN days <= 30 THEN 'Active (< 30 days)' WHEN days <= 90 THEN 'Recent (30-90 days)' WHEN days <= 180 THEN 'Engaged (90-180 days)' WHEN days <= 365 THEN 'At Risk (180-365 days)' ELSE 'Inactive (> 365 days)' END AS recency_segment,
+  CASE WHEN coalesce(n, 0) >= 10 THEN 'Very Frequent (10+ orders)' WHEN n >= 5 THEN 'Frequent (5-9 orders)' WHEN n >= 2 THEN 'Repeat (2-4 orders)' WHEN n = 1 THEN 'One-time' ELSE 'No Purchase' END AS frequency_segment,
+  CASE WHEN spent >= 150000 THEN 'High Value (150K+ CFA)' WHEN spent >= 50000 THEN 'Mid Value (50K-150K CFA)' WHEN spent > 0 THEN 'Low Value (< 50K CFA)' ELSE 'No Spend' END AS monetary_segment FROM cust c LEFT JOIN m USING (customer_id) LEFT JOIN pref USING (customer_id))
+MAIN SELECT * EXCLUDE (days), CASE WHEN recency_segment LIKE 'Active%' AND order_count >= 5 AND (monetary_segment LIKE 'High%' OR monetary_segment LIKE 'Mid%') THEN 'Champions' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count >= 5 THEN 'Loyal Customers'
+  WHEN recency_segment LIKE 'Active%' AND frequency_segment = 'One-time' THEN 'New Customers' WHEN recency_segment LIKE 'At Risk%' AND order_count >= 5 THEN 'At Risk' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customers' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND frequency_segment LIKE 'Repeat%' THEN 'Potential Loyalists' ELSE 'Customers Needing Attention' END AS customer_segment,
+  CASE WHEN order_count = 0 THEN 'Lead' WHEN order_count = 1 AND days <= 30 THEN 'New Customer' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count > 1 THEN 'Active Customer' WHEN recency_segment LIKE 'Engaged%' THEN 'At-Risk Customer' WHEN recency_segment LIKE 'At Risk%' THEN 'Lapsed Customer' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customer' ELSE 'Unknown' END AS profile_lifecycle_stage FROM x""")
+def _(s):
+    p = sessions.enriched_profiles(s.customers, s.orders, s.items, ORDERS_AS_OF)
+    return p.select("customer_id", "primary_category", "secondary_category", "order_count", "recency_segment", "frequency_segment", "monetary_segment", "customer_segment", "profile_lifecycle_stage")
+
+
+@query("sv17_journeys", "pairs", "SELECT order_id, user_id, order_value, count(*) AS touchpoint_count, min(d)::INT AS min_days, max(d)::INT AS max_days, string_agg(session_id, ',' ORDER BY session_start, session_id) AS touchpoints FROM pairs GROUP BY 1, 2, 3", "order_value", 2)
+def _(s):
+    j = attribution.journeys(s.web, s.web_orders)
+    return j.select("order_id", "user_id", "order_value", "touchpoint_count", "min_days", "max_days", F.array_join(F.transform("touchpoints", lambda t: t["session_id"]), ",").alias("touchpoints"))
+
+
+@query("sv22_attribution_models", "att", "SELECT * EXCLUDE (order_date) FROM att", "order_value touchpoint_weight attributed_revenue", 3)
+def _(s):
+    return attributed(s).drop("order_date")
+
+
+@query("sv23_channel_performance", "att ads", """WITH per AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS attributed_revenue, avg(touchpoint_weight) AS avg_touchpoint_weight, count(DISTINCT order_id) AS unique_orders, count(DISTINCT user_id) AS unique_users FROM att GROUP BY ALL),
+sp AS (SELECT campaign_id, min(platform) AS platform, min(campaign_name) AS campaign_name, sum(cost) AS total_cost, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks, sum(conversions)::BIGINT AS tracked_conversions FROM ads GROUP BY 1)
+MAIN SELECT *, CASE WHEN total_cost > 0 THEN (attributed_revenue - total_cost) / total_cost END AS roi, total_cost / conversions AS cpa, CASE WHEN total_clicks > 0 THEN total_cost / total_clicks END AS cost_per_click, CASE WHEN total_clicks > 0 THEN conversions / total_clicks END AS conversion_rate FROM per LEFT JOIN sp USING (campaign_id)""", "attributed_revenue avg_touchpoint_weight total_cost roi cpa cost_per_click conversion_rate", 3)
+def _(s):
+    return attribution.channel_performance(attributed(s), s.ads)
+
+
+PM = f"""pm AS (SELECT time_period, product_name, category, count(DISTINCT order_id) AS order_count, sum(quantity) AS total_quantity, sum(item_total) AS total_revenue, count(DISTINCT customer_id) AS customer_count
+  FROM items JOIN ord USING (order_id), {spans(O, P)} WHERE order_date BETWEEN a AND b GROUP BY 1, 2, 3)"""
+
+
+def metrics(s: Silver) -> DataFrame:
+    return products.product_metrics(s.items, s.orders, ORDERS_AS_OF, PERIODS)
+
+
+@query("gp1_product_metrics", "items ord", f"WITH {PM}\nMAIN SELECT * FROM pm", "total_quantity total_revenue", 2)
+def _(s):
+    return metrics(s)
+
+
+@query("gp2_category_analysis", "items ord", f"WITH {PM}, c AS (SELECT time_period, category, sum(total_revenue) AS category_revenue, sum(total_quantity) AS category_quantity, sum(order_count)::BIGINT AS category_orders, count(DISTINCT product_name) AS product_count FROM pm GROUP BY 1, 2)\nMAIN SELECT *, category_revenue / sum(category_revenue) OVER w * 100 AS revenue_percent, category_quantity / sum(category_quantity) OVER w * 100 AS quantity_percent, dense_rank() OVER (PARTITION BY time_period ORDER BY category_revenue DESC) AS category_rank FROM c WINDOW w AS (PARTITION BY time_period)", "category_revenue category_quantity revenue_percent quantity_percent", 2)
+def _(s):
+    return products.category_analysis(metrics(s))
+
+
+@query("gp3_product_rankings", "items ord", f"WITH {PM}, r AS (SELECT time_period, product_name, category, dense_rank() OVER (PARTITION BY time_period, category ORDER BY round(total_revenue, 2) DESC) AS category_revenue_rank, dense_rank() OVER (PARTITION BY time_period, category ORDER BY total_quantity DESC) AS category_quantity_rank, dense_rank() OVER (PARTITION BY time_period ORDER BY round(total_revenue, 2) DESC) AS overall_revenue_rank, dense_rank() OVER (PARTITION BY time_period ORDER BY total_quantity DESC) AS overall_quantity_rank FROM pm)\nMAIN SELECT *, category_revenue_rank <= 3 AS is_top_revenue, category_quantity_rank <= 3 AS is_top_quantity, overall_revenue_rank <= 10 AS is_overall_top FROM r")
+def _(s):
+    m = metrics(s).withColumn("total_revenue", F.round("total_revenue", 2))
+    return products.product_rankings(m).drop("order_count", "total_quantity", "total_revenue", "customer_count")
+
+
+@query("gp4_product_trend", "items ord", f"""WITH j AS (SELECT *, time_period = 'monthly' AS now FROM items JOIN ord USING (order_id), {spans(O, "monthly prev_month")} WHERE order_date BETWEEN a AND b),
+g AS (SELECT product_name, category, coalesce(sum(item_total) FILTER (now), 0) AS current_revenue, coalesce(sum(item_total) FILTER (NOT now), 0) AS previous_revenue, coalesce(sum(quantity) FILTER (now), 0) AS current_quantity, coalesce(sum(quantity) FILTER (NOT now), 0) AS previous_quantity, count(DISTINCT order_id) FILTER (now) AS current_orders, count(DISTINCT order_id) FILTER (NOT now) AS previous_orders FROM j GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN previous_revenue > 0 THEN (current_revenue - previous_revenue) / previous_revenue * 100 WHEN current_revenue > 0 THEN 100 ELSE 0 END AS revenue_growth FROM g)
+MAIN SELECT product_name, category, current_revenue, previous_revenue, current_orders, previous_orders, revenue_growth, CASE WHEN revenue_growth >= 20 THEN 'Strong Growth' WHEN revenue_growth >= 5 THEN 'Growth' WHEN revenue_growth >= -5 THEN 'Stable' WHEN revenue_growth >= -20 THEN 'Decline' ELSE 'Strong Decline' END AS trend FROM h""", "current_revenue previous_revenue revenue_growth", 2)
+def _(s):
+    return products.product_trend(s.items, s.orders, ORDERS_AS_OF).select("product_name", "category", "current_revenue", "previous_revenue", "current_orders", "previous_orders", "revenue_growth", "trend")
+
+
+for _id, _by, _part in (("gp5_seasonality_season", "season", "season"), ("gp6_seasonality_month", "month", "month(order_date)"), ("gp7_seasonality_weekday", "weekday", "dayofweek(order_date) + 1")):
+
+    @query(_id, "items ord", f"""WITH g AS (SELECT product_name, category, {_part} AS part, sum(item_total) AS revenue, sum(quantity) AS quantity, count(DISTINCT order_id) AS orders FROM items JOIN ord USING (order_id) GROUP BY 1, 2, 3)
+MAIN SELECT product_name, category, part::VARCHAR AS part, revenue / sum(revenue) OVER w * 100 AS revenue_percent, orders / sum(orders) OVER w * 100 AS orders_percent, row_number() OVER (PARTITION BY product_name, category ORDER BY round(revenue, 2) DESC, part) = 1 AS is_peak FROM g WINDOW w AS (PARTITION BY product_name, category)""", "revenue_percent orders_percent", 3)
+    def _(s, by=_by):
+        return products.seasonality(s.items, s.orders, by).select("product_name", "category", F.col(by).cast("string").alias("part"), "revenue_percent", "orders_percent", "is_peak")
+
+
+@query("gp8_product_pairs", "items", """WITH b AS (SELECT DISTINCT order_id, product_name FROM items), n AS (SELECT product_name, count(*) AS n FROM b GROUP BY 1),
+q AS (SELECT x.product_name AS product_a, y.product_name AS product_b, count(*) AS pair_orders FROM b x JOIN b y ON x.order_id = y.order_id AND x.product_name <> y.product_name GROUP BY 1, 2),
+l AS (SELECT q.*, pair_orders / na.n AS confidence_ab, pair_orders / nb.n AS confidence_ba, pair_orders * (SELECT count(DISTINCT order_id) FROM b) / (na.n * nb.n) AS lift FROM q JOIN n na ON na.product_name = product_a JOIN n nb ON nb.product_name = product_b)
+MAIN SELECT *, row_number() OVER (PARTITION BY product_a ORDER BY round(lift, 9) DESC, product_b) AS lift_rank, lift > 2 AS is_strong, row_number() OVER (PARTITION BY product_a ORDER BY round(lift, 9) DESC, product_b) <= 3 AS is_top FROM l""", "confidence_ab confidence_ba lift", 6)
+def _(s):
+    return products.product_pairs(s.items)
+
+
+@query("gp9_view_conversion", "items logs", """WITH v AS (SELECT regexp_extract(page_url, '/(?:products|produits)/([^/?#]+)', 1) AS product, count(*) AS view_count, count(DISTINCT session_id) AS unique_views FROM logs WHERE event_type = 'product_view' GROUP BY 1),
+p AS (SELECT 'p' || (product_id % 20) AS product, min(category) AS category, count(DISTINCT order_id) AS purchase_count, sum(item_total) AS revenue FROM items GROUP BY 1),
+b AS (SELECT coalesce(v.product, p.product) AS product, coalesce(category, 'unknown') AS category, coalesce(view_count, 0) AS view_count, coalesce(unique_views, 0) AS unique_views, coalesce(purchase_count, 0) AS purchase_count, coalesce(revenue, 0) AS revenue FROM v FULL JOIN p USING (product)),
+r AS (SELECT *, CASE WHEN view_count > 0 THEN purchase_count / view_count ELSE 0 END AS conversion_rate FROM b), a AS (SELECT *, avg(conversion_rate) OVER (PARTITION BY category) AS category_rate FROM r)
+MAIN SELECT *, CASE WHEN conversion_rate / category_rate - 1 > 0.2 THEN 'Above Average' WHEN conversion_rate / category_rate - 1 >= -0.2 THEN 'Average' ELSE 'Below Average' END AS performance FROM a""", "revenue conversion_rate category_rate", 3)
+def _(s):
+    named = s.items.withColumn("product", F.concat(F.lit("p"), (F.col("product_id") % 20).cast("string")))
+    return products.view_conversion(named, s.orders, s.logs).select("product", "category", "view_count", "unique_views", "purchase_count", "revenue", "conversion_rate", "category_rate", "performance")
+
+
+TOT = f"t AS (SELECT customer_id, date_diff('day', max(order_date), DATE '{O}') AS recency_days, count(*) AS frequency, round(sum(final_total), 2) AS monetary, date_diff('day', min(order_date), DATE '{O}') AS first_days FROM ord GROUP BY 1)"
+RFM = f"""{TOT}, q AS (SELECT *, ntile(5) OVER (ORDER BY recency_days, customer_id) AS r, ntile(5) OVER (ORDER BY frequency DESC, customer_id) AS f, ntile(5) OVER (ORDER BY monetary DESC, customer_id) AS m FROM t),
+rfm AS (SELECT customer_id, recency_days, frequency, monetary, r AS recency_score, f AS frequency_score, m AS monetary_score, r + f + m AS rfm_score, CASE WHEN r <= 2 AND f <= 2 AND m <= 2 THEN 'Champions' WHEN r <= 2 AND f <= 3 AND m <= 3 THEN 'Loyal Customers' WHEN r <= 3 AND f <= 1 AND m <= 2 THEN 'Potential Loyalists'
+ WHEN r <= 2 AND f >= 4 AND m <= 2 THEN 'Recent Customers' WHEN r <= 3 AND f >= 4 AND m >= 4 THEN 'Promising' WHEN r >= 4 AND f <= 2 AND m <= 2 THEN 'Customers Needing Attention' WHEN r >= 4 AND f <= 2 AND m >= 3 THEN 'At Risk' WHEN r >= 4 AND f >= 3 AND m <= 3 THEN 'Can''t Lose Them'
+ WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'Lost' WHEN r >= 3 AND f >= 3 AND m >= 3 THEN 'Hibernating' ELSE 'Unknown' END AS rfm_segment FROM q)"""
+LIFE = f"""{TOT}, life AS (SELECT customer_id, CASE WHEN frequency = 1 AND first_days <= 30 THEN 'New Customer' WHEN recency_days <= 90 AND frequency > 1 THEN 'Active Customer' WHEN recency_days BETWEEN 91 AND 180 THEN 'At-Risk Customer' WHEN recency_days BETWEEN 181 AND 365 THEN 'Lapsed Customer' WHEN recency_days > 365 THEN 'Lost Customer' ELSE 'Unknown' END AS lifecycle_stage,
+ CASE WHEN frequency = 1 THEN 'One-Time Buyer' WHEN frequency <= 3 THEN 'Occasional Buyer' WHEN frequency <= 6 THEN 'Regular Buyer' ELSE 'Frequent Buyer' END AS purchase_frequency_segment, ntile(4) OVER (ORDER BY monetary DESC, customer_id)::INT AS value_quartile, monetary FROM t)"""
+
+
+@query("gc1_rfm", "ord", f"WITH {RFM}\nMAIN SELECT customer_id, recency_score::INT AS recency_score, frequency_score::INT AS frequency_score, monetary_score::INT AS monetary_score, rfm_score::INT AS rfm_score, rfm_segment FROM rfm")
+def _(s):
+    return segments.rfm(s.orders, ORDERS_AS_OF).select("customer_id", "recency_score", "frequency_score", "monetary_score", "rfm_score", "rfm_segment")
+
+
+@query("gc2_product_affinity", "items ord", f"WITH {PREF}\nMAIN SELECT customer_id, primary_category, CASE primary_category WHEN 'soin_visage' THEN 'Facial Care Enthusiast' WHEN 'soin_corps' THEN 'Body Care Focused' WHEN 'soin_cheveux' THEN 'Hair Care Passionate' WHEN 'maquillage' THEN 'Makeup Aficionado' WHEN 'parfum' THEN 'Fragrance Collector' ELSE 'Mixed Category Shopper' END AS product_affinity_segment FROM pref")
+def _(s):
+    return segments.product_affinity(sessions.category_preference(s.items, s.orders)).select("customer_id", "primary_category", "product_affinity_segment")
+
+
+@query("gc3_lifecycle", "ord", f"WITH {LIFE}\nMAIN SELECT customer_id, lifecycle_stage, purchase_frequency_segment, value_quartile, (['Premium Value', 'High Value', 'Medium Value', 'Low Value'])[value_quartile] AS customer_value_segment FROM life")
+def _(s):
+    return segments.lifecycle(s.orders, ORDERS_AS_OF).select("customer_id", "lifecycle_stage", "purchase_frequency_segment", "value_quartile", "customer_value_segment")
+
+
+@query("gc4_lifecycle_threshold", "ord", f"WITH {LIFE}\nMAIN SELECT customer_id, lifecycle_stage, CASE WHEN monetary <= 10000 THEN 'Low Value' WHEN monetary <= 50000 THEN 'Medium Value' WHEN monetary <= 150000 THEN 'High Value' ELSE 'Premium Value' END AS customer_value_segment FROM life")
+def _(s):
+    return segments.lifecycle_by_threshold(s.orders, ORDERS_AS_OF).select("customer_id", "lifecycle_stage", "customer_value_segment")
+
+
+@query("gc5_kmeans")
+def _(s):
+    return segments.kmeans_clusters(segments.customer_totals(s.orders, ORDERS_AS_OF)).select("customer_id", "cluster", "cluster_size", "cluster_label")
+
+
+@query("gc6_combined_segments", "cust ord items", f"""WITH {RFM}, {LIFE[len(TOT) + 2:]}, {PREF}
+MAIN SELECT c.customer_id, rfm_segment, lifecycle_stage, CASE WHEN lifecycle_stage = 'New Customer' THEN 'Welcome Series + Cross-Sell Related Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Champions' THEN 'VIP Program + Early Access to New Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Loyal Customers' THEN 'Loyalty Rewards + Personalized Recommendations'
+ WHEN lifecycle_stage = 'At-Risk Customer' THEN 'Re-engagement Campaign + Special Offer' WHEN lifecycle_stage = 'Lapsed Customer' THEN 'Win-Back Campaign + Discount' WHEN lifecycle_stage = 'Lost Customer' THEN 'Reactivation Campaign + Survey' WHEN rfm_segment = 'Potential Loyalists' THEN 'Nurture Campaign + Second Purchase Incentive' WHEN rfm_segment = 'Customers Needing Attention' THEN 'Targeted Content + Product Education'
+ WHEN rfm_segment = 'At Risk' THEN 'Special Offer + Personalized Communication' WHEN rfm_segment = 'Can''t Lose Them' THEN 'Deep Discount + Personal Outreach' ELSE 'Standard Marketing Communications' END AS marketing_recommendation,
+ CASE WHEN rfm_segment IN ('Champions', 'Loyal Customers', 'Potential Loyalists') THEN 'Direct Email + SMS' WHEN lifecycle_stage IN ('At-Risk Customer', 'Lapsed Customer') THEN 'Retargeting Ads + Email' WHEN value_quartile = 1 THEN 'Personal Outreach + Direct Mail' WHEN value_quartile = 2 THEN 'Email + Social Media Ads' ELSE 'Email + General Advertising' END AS preferred_channel_recommendation
+ FROM cust c LEFT JOIN rfm USING (customer_id) LEFT JOIN life USING (customer_id) LEFT JOIN pref USING (customer_id)""")
+def _(s):
+    return gold.customer_segments(s, ORDERS_AS_OF)["combined_segments"].select("customer_id", "rfm_segment", "lifecycle_stage", "marketing_recommendation", "preferred_channel_recommendation")
+
+
+GA = """per AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent FROM ord GROUP BY 1), sp AS (SELECT lower(regexp_replace(platform, '_.*$', '')) AS p, sum(cost) AS ad_cost FROM ads GROUP BY 1),
+sm AS (SELECT acquisition_source, count(*) AS total_customers, count(n) AS converting_customers, avg(n) AS avg_orders, avg(spent) AS avg_customer_value, coalesce(sum(spent), 0) AS total_revenue, any_value(ad_cost) AS ad_cost FROM cust LEFT JOIN per USING (customer_id) LEFT JOIN sp ON lower(acquisition_source) = p GROUP BY 1)"""
+
+
+@query("ga1_source_metrics", "cust ord ads", f"WITH {GA}\nMAIN SELECT *, converting_customers / total_customers * 100 AS conversion_rate, ad_cost / total_customers AS cac, avg_customer_value / (ad_cost / total_customers) AS clv_cac_ratio FROM sm", "avg_orders avg_customer_value total_revenue ad_cost conversion_rate cac clv_cac_ratio", 2)
+def _(s):
+    return acquisition.source_metrics(s.customers, s.orders, s.ads)
+
+
+@query("ga3_new_customers", "cust ord ads", f"WITH {GA}, g AS (SELECT time_period, acquisition_source, count(*) AS new_customers FROM cust, {spans(O, P)} WHERE registration_date BETWEEN a AND b GROUP BY 1, 2)\nMAIN SELECT time_period, acquisition_source, new_customers, new_customers / sum(new_customers) OVER (PARTITION BY time_period) * 100 AS acquisition_share, ad_cost / total_customers AS cac FROM g LEFT JOIN sm USING (acquisition_source)", "acquisition_share cac", 3)
+def _(s):
+    return acquisition.new_customers(s.customers, acquisition.source_metrics(s.customers, s.orders, s.ads), ORDERS_AS_OF, PERIODS).drop("conversion_rate")
+
+
+@query("ga4_cohorts", "cust ord", """WITH b AS (SELECT customer_id, date_trunc('month', registration_date)::DATE AS cohort FROM cust WHERE registration_date IS NOT NULL), z AS (SELECT cohort, count(*) AS cohort_size FROM b GROUP BY 1),
+a AS (SELECT cohort, date_diff('month', cohort, date_trunc('month', order_date)::DATE)::INT AS months_since, count(DISTINCT customer_id) AS active_customers, sum(final_total) AS revenue FROM ord JOIN b USING (customer_id) WHERE date_trunc('month', order_date) >= cohort GROUP BY 1, 2)
+MAIN SELECT *, active_customers / cohort_size * 100 AS retention_rate, revenue / active_customers AS revenue_per_active, monthname(cohort) || ' ' || year(cohort) AS cohort_label FROM a JOIN z USING (cohort)""", "revenue retention_rate revenue_per_active", 2)
+def _(s):
+    return acquisition.cohorts(s.customers, s.orders)
+
+
+@query("ga5_first_purchase", "cust ord", """WITH f AS (SELECT customer_id, min(order_date) AS first_date, first(final_total ORDER BY order_date, order_id) AS first_value FROM ord GROUP BY 1)
+MAIN SELECT date_trunc('month', registration_date)::DATE AS cohort, count(*) AS customers, count(first_date) AS buyers, avg(date_diff('day', registration_date, first_date)) AS avg_days_to_first, avg(first_value) AS avg_first_value, count(first_date) / count(*) * 100 AS conversion_rate FROM cust LEFT JOIN f USING (customer_id) WHERE registration_date IS NOT NULL GROUP BY 1""", "avg_days_to_first avg_first_value conversion_rate", 3)
+def _(s):
+    return acquisition.first_purchase_cohorts(s.customers, s.orders)
+
+
+@query("ga6_ltv", "cust ord", f"""WITH per AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent FROM ord GROUP BY 1), x AS (SELECT *, date_diff('day', registration_date, DATE '{O}') AS d FROM cust LEFT JOIN per USING (customer_id) WHERE registration_date IS NOT NULL)
+MAIN SELECT acquisition_source, CASE WHEN d < 30 THEN '<30 days' WHEN d < 90 THEN '30-89 days' WHEN d < 180 THEN '90-179 days' WHEN d < 365 THEN '180-364 days' ELSE '365+ days' END AS tenure, count(*) AS customers, coalesce(sum(n), 0)::BIGINT AS orders, coalesce(sum(spent), 0) AS revenue, coalesce(sum(n), 0) / count(*) AS orders_per_customer, coalesce(sum(spent), 0) / count(*) AS revenue_per_customer FROM x GROUP BY 1, 2""", "revenue orders_per_customer revenue_per_customer", 2)
+def _(s):
+    return acquisition.ltv_by_tenure(s.customers, s.orders, ORDERS_AS_OF)
+
+
+@query("ga7_channel_effectiveness", "att ads", """WITH u AS (SELECT 'web' AS source_type, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS channel, count(*) FILTER (purchase_count > 0) / count(*) * 100 / 10 AS score FROM sess GROUP BY 2
+ UNION ALL SELECT 'attribution', coalesce(utm_source, 'direct'), sum(attributed_revenue) / count(*) / 1000 FROM att WHERE attribution_model = 'first_touch' GROUP BY 2 UNION ALL SELECT 'paid', lower(platform), CASE WHEN sum(cost) > 0 AND sum(conversions) > 0 THEN 1000 / (sum(cost) / sum(conversions)) END FROM ads GROUP BY 2)
+MAIN SELECT source_type, channel, coalesce(score, 0) AS score, row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, source_type, channel)::INT AS effectiveness_rank FROM u""", "score")
+def _(s):
+    return acquisition.channel_effectiveness(attributed(s), s.web, s.ads).select("source_type", "channel", "score", "effectiveness_rank")
+
+
+EP = "daily weekly monthly"
+CM = f"""by_c AS (SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL),
+sp AS (SELECT time_period, campaign_id, sum(cost) AS cost, sum(clicks) AS clicks FROM ads, {spans(E, EP)} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
+cm AS (SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, sum(conversions)::BIGINT AS conversions, sum(revenue) AS revenue, sum(cost) AS cost, sum(clicks)::BIGINT AS clicks FROM by_c LEFT JOIN sp USING (time_period, campaign_id) GROUP BY ALL)"""
+
+
+def channels(s: Silver) -> DataFrame:
+    return marketing.channel_metrics(attributed(s), s.ads, EVENTS_AS_OF, EP.split())
+
+
+@query("gm1_channel_metrics", "att ads", f"WITH {CM}\nMAIN SELECT *, CASE WHEN cost > 0 THEN revenue / cost END AS roas, CASE WHEN cost > 0 THEN (revenue - cost) / cost END AS roi, cost / conversions AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, CASE WHEN clicks > 0 THEN conversions / clicks END AS conversion_rate FROM cm", "revenue cost roas roi cpa cpc conversion_rate", 3)
+def _(s):
+    return channels(s).drop("unique_orders")
+
+
+@query("gm2_channel_rankings", "att ads", f"""WITH {CM}, k AS (SELECT *, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(revenue, 6) DESC NULLS LAST) AS revenue_rank, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY conversions DESC) AS conversions_rank FROM cm)
+MAIN SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, revenue_rank::INT AS revenue_rank, conversions_rank::INT AS conversions_rank FROM k""")
+def _(s):
+    return marketing.channel_rankings(channels(s)).select("time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "revenue_rank", "conversions_rank")
+
+
+@query("gm3_channel_trend", "att", f"""WITH g AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, coalesce(sum(attributed_revenue) FILTER (order_date::DATE BETWEEN DATE '{E}' - 6 AND DATE '{E}'), 0) AS current_revenue, coalesce(sum(attributed_revenue) FILTER (order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' - 7), 0) AS previous_revenue,
+ count(*) FILTER (order_date::DATE BETWEEN DATE '{E}' - 6 AND DATE '{E}') AS current_conversions, count(*) FILTER (order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' - 7) AS previous_conversions FROM att WHERE order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' GROUP BY ALL)
+MAIN SELECT *, CASE WHEN previous_revenue > 0 THEN (current_revenue - previous_revenue) / previous_revenue * 100 WHEN current_revenue > 0 THEN 100 ELSE 0 END AS revenue_growth FROM g""", "current_revenue previous_revenue revenue_growth", 2)
+def _(s):
+    return marketing.channel_trend(attributed(s), EVENTS_AS_OF, "weekly").select("attribution_model", "utm_source", "utm_medium", "utm_campaign", "current_revenue", "previous_revenue", "current_conversions", "previous_conversions", "revenue_growth")
+
+
+@query("gm4_channel_comparison", "att ads", """WITH b AS (SELECT attribution_model, utm_source, utm_medium, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att GROUP BY ALL), sp AS (SELECT campaign_id, sum(cost) AS cost FROM ads GROUP BY 1),
+g AS (SELECT attribution_model, utm_source, utm_medium, sum(conversions)::BIGINT AS conversions, sum(revenue) AS revenue, coalesce(sum(cost), 0) AS cost FROM b LEFT JOIN sp USING (campaign_id) GROUP BY ALL),
+h AS (SELECT *, revenue / sum(revenue) OVER w * 100 AS revenue_share, conversions / sum(conversions) OVER w * 100 AS conversions_share, cost / sum(cost) OVER w * 100 AS cost_share FROM g WINDOW w AS (PARTITION BY attribution_model))
+MAIN SELECT *, CASE WHEN cost_share > 0 THEN revenue_share / cost_share WHEN revenue_share > 0 THEN 999 ELSE 0 END AS efficiency_index FROM h""", "revenue cost revenue_share conversions_share cost_share efficiency_index", 2)
+def _(s):
+    return marketing.channel_comparison(attributed(s), s.ads)
+
+
+CP = """pc AS (SELECT utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS orders, count(DISTINCT user_id) AS customers, sum(attributed_revenue) AS revenue FROM att WHERE utm_campaign IS NOT NULL GROUP BY 1, 2),
+cs AS (SELECT campaign_name, min(platform) AS platform, sum(cost) AS cost, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks, sum(conversions)::BIGINT AS tracked_conversions FROM ads GROUP BY 1),
+cp AS (SELECT *, revenue / orders AS avg_order_value, revenue / cost AS roas, (revenue - cost) / cost AS roi, clicks / impressions * 100 AS ctr_percent, cost / clicks AS cpc FROM pc FULL JOIN cs USING (campaign_name))"""
+
+
+def overall(s: Silver) -> DataFrame:
+    return marketing.campaign_performance(attributed(s), s.ads)
+
+
+@query("gr1_campaign_performance", "att ads", f"WITH {CP}\nMAIN SELECT *, cost / orders AS cpa, orders / clicks * 100 AS conversion_percent FROM cp", "revenue cost avg_order_value roas roi ctr_percent cpc cpa conversion_percent", 2)
+def _(s):
+    return overall(s)
+
+
+CT = f"""pt AS (SELECT time_period, utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS period_orders, count(DISTINCT user_id) AS period_customers, sum(attributed_revenue) AS period_revenue FROM att, {spans(E, EP + " ytd")} WHERE order_date::DATE BETWEEN a AND b AND utm_campaign IS NOT NULL GROUP BY 1, 2, 3),
+ps AS (SELECT time_period, campaign_name, sum(cost) AS period_cost FROM ads, {spans(E, EP + " ytd")} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
+ct AS (SELECT *, period_revenue / period_cost AS period_roas, (period_revenue - period_cost) / period_cost AS period_roi FROM pt LEFT JOIN ps USING (time_period, campaign_name))"""
+
+
+def by_time(s: Silver) -> DataFrame:
+    return marketing.campaign_periods(attributed(s), s.ads, EVENTS_AS_OF, [*EP.split(), "ytd"])
+
+
+@query("gr2_campaign_periods", "att ads", f"WITH {CT}\nMAIN SELECT * FROM ct", "period_revenue period_cost period_roas period_roi", 3)
+def _(s):
+    return by_time(s)
+
+
+CLASS = "CASE WHEN roi IS NULL THEN 'Unknown' WHEN roi >= 2 THEN 'Excellent (200%+ ROI)' WHEN roi >= 1 THEN 'Very Good (100-200% ROI)' WHEN roi >= 0.5 THEN 'Good (50-100% ROI)' WHEN roi >= 0 THEN 'Break-even (0-50% ROI)' WHEN roi >= -0.5 THEN 'Poor (-50-0% ROI)' ELSE 'Very Poor (< -50% ROI)' END"
+
+
+@query("gr3_campaign_roi", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT campaign_name, attribution_model, time_period, {CLASS} AS roi_class, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(roi, 6) DESC NULLS LAST)::INT AS roi_rank, period_revenue FROM cp LEFT JOIN ct USING (campaign_name, attribution_model)", "period_revenue", 2)
+def _(s):
+    return marketing.campaign_roi(overall(s), by_time(s)).select("campaign_name", "attribution_model", "time_period", "roi_class", "roi_rank", "period_revenue")
+
+
+@query("gr4_platform_comparison", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT platform, time_period, sum(revenue) AS revenue, sum(cost) AS cost, sum(orders)::BIGINT AS orders, (sum(revenue) - sum(cost)) / sum(cost) AS roi, sum(clicks) / sum(impressions) AS ctr FROM cp LEFT JOIN ct USING (campaign_name, attribution_model) GROUP BY 1, 2", "revenue cost roi ctr", 2)
+def _(s):
+    return marketing.platform_comparison(marketing.campaign_roi(overall(s), by_time(s))).select("platform", "time_period", "revenue", "cost", "orders", "roi", "ctr")
+
+
+@query("gr5_roi_trends", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT campaign_name, attribution_model, platform, period_roi, CASE WHEN period_roi >= 1 THEN 'High' WHEN period_roi >= 0 THEN 'Positive' WHEN period_roi >= -0.5 THEN 'Negative' ELSE 'Very Negative' END AS roi_quality FROM cp JOIN ct USING (campaign_name, attribution_model) WHERE time_period = 'monthly'", "period_roi")
+def _(s):
+    return marketing.roi_trends(marketing.campaign_roi(overall(s), by_time(s))).select("campaign_name", "attribution_model", "platform", "period_roi", "roi_quality")
+
+
+@query("gr6_roi_distribution", "att ads", f"WITH {CP}, {CT}, q AS (SELECT platform, period_roi FROM cp JOIN ct USING (campaign_name, attribution_model) WHERE time_period = 'monthly')\nMAIN SELECT platform, count(*) AS campaigns, count(*) FILTER (period_roi >= 1) AS high_count, count(*) FILTER (period_roi >= 1) / count(*) * 100 AS high_percent FROM q GROUP BY 1", "high_percent", 2)
+def _(s):
+    return marketing.roi_distribution(marketing.roi_trends(marketing.campaign_roi(overall(s), by_time(s)))).select("platform", "campaigns", "high_count", "high_percent")
+
+
+@query("gr7_campaign_efficiency", "att ads", f"""WITH {CP}, e AS (SELECT *, cost / impressions * 1000 AS cpm, cost / orders AS cpo, orders / clicks AS cvr, revenue / clicks AS rpc FROM cp), w AS (SELECT *, coalesce(avg(cpc) OVER p / cpc, 1) AS a, coalesce(cvr / avg(cvr) OVER p, 1) AS b, coalesce(avg(cpm) OVER p / cpm, 1) AS c, coalesce(avg(cpo) OVER p / cpo, 1) AS d, coalesce(rpc / avg(rpc) OVER p, 1) AS f FROM e WINDOW p AS (PARTITION BY platform))
+MAIN SELECT campaign_name, attribution_model, cpm, cpo, (a + b + c + d + f) / 5 AS efficiency_score FROM w""", "cpm cpo efficiency_score", 3)
+def _(s):
+    return marketing.campaign_efficiency(overall(s)).select("campaign_name", "attribution_model", "cpm", "cpo", "efficiency_score")
+
+
+@query("gr8_budget_allocation", "att ads", f"""WITH {CP}, s AS (SELECT campaign_name, attribution_model, cost / sum(cost) OVER w * 100 AS current_budget_share, revenue / sum(revenue) OVER w * 100 AS revenue_contribution, CASE WHEN roi > 2 THEN 1.5 WHEN roi > 1 THEN 1.25 WHEN roi > 0.5 THEN 1.1 WHEN roi > 0 THEN 1.0 WHEN roi > -0.5 THEN 0.75 ELSE 0.5 END::DOUBLE AS reallocation_factor FROM cp WHERE cost > 0 AND attribution_model IS NOT NULL WINDOW w AS (PARTITION BY attribution_model))
+MAIN SELECT *, current_budget_share * reallocation_factor / sum(current_budget_share * reallocation_factor) OVER (PARTITION BY attribution_model) * 100 AS suggested_budget_share FROM s""", "current_budget_share revenue_contribution reallocation_factor suggested_budget_share", 3)
+def _(s):
+    return marketing.budget_allocation(overall(s)).select("campaign_name", "attribution_model", "current_budget_share", "revenue_contribution", "reallocation_factor", "suggested_budget_share")
+
+
+DEL = f"del AS (SELECT *, year(order_date) * 12 + month(order_date) AS month_idx FROM items JOIN ord USING (order_id) WHERE order_status = 'Livré' AND order_date BETWEEN DATE '{O}' - 1460 AND DATE '{O}')"
+MON = "mon AS (SELECT month_idx, category, sum(item_total) AS revenue, count(DISTINCT order_id) AS orders, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM del GROUP BY 1, 2)"
+
+
+def base(s: Silver) -> DataFrame:
+    return forecast.delivered(s.items, s.orders, ORDERS_AS_OF, 1460)
+
+
+@query("gs2_daily_sales", "items ord", f"WITH {DEL}\nMAIN SELECT order_date, sum(item_total) AS revenue, count(DISTINCT order_id) AS orders, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM del GROUP BY 1", "revenue quantity", 2)
+def _(s):
+    return forecast.sales(base(s), "day", False)
+
+
+@query("gs4_monthly_growth", "items ord", f"WITH {DEL}, {MON}\nMAIN SELECT m.month_idx::INT AS month_idx, m.category, m.revenue, avg(m.revenue) OVER (PARTITION BY m.category ORDER BY m.month_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_average, (m.revenue - p.revenue) / p.revenue * 100 AS mom_growth, (m.revenue - y.revenue) / y.revenue * 100 AS yoy_growth FROM mon m LEFT JOIN mon p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN mon y ON y.category = m.category AND y.month_idx = m.month_idx - 12", "revenue moving_average mom_growth yoy_growth", 2)
+def _(s):
+    return forecast.growth(forecast.sales(base(s), "month", True)).select("month_idx", "category", "revenue", "moving_average", "mom_growth", "yoy_growth")
+
+
+@query("gs5_growth_trends", "items ord", f"""WITH {DEL}, {MON}, u AS (SELECT month_idx, category, revenue FROM mon UNION ALL SELECT month_idx, 'ALL', sum(revenue) FROM mon GROUP BY 1),
+g AS (SELECT m.category, m.month_idx, (m.revenue - p.revenue) / p.revenue * 100 AS mom, (m.revenue - y.revenue) / y.revenue * 100 AS yoy, row_number() OVER (PARTITION BY m.category ORDER BY m.month_idx DESC) AS r FROM u m LEFT JOIN u p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN u y ON y.category = m.category AND y.month_idx = m.month_idx - 12)
+MAIN SELECT category, count(*) AS months, avg(mom) AS avg_mom_growth, min(mom) AS min_mom_growth, max(mom) AS max_mom_growth, avg(yoy) AS avg_yoy_growth FROM g WHERE r <= 6 GROUP BY 1""", "avg_mom_growth min_mom_growth max_mom_growth avg_yoy_growth", 3)
+def _(s):
+    return forecast.growth_trends(forecast.sales(base(s), "month", True)).select("category", "months", "avg_mom_growth", "min_mom_growth", "max_mom_growth", "avg_yoy_growth")
+
+
+@query("gs6_seasonal_index", "items ord", f"""WITH {DEL}, {MON}, u AS (SELECT month_idx, category, revenue FROM mon UNION ALL SELECT month_idx, 'ALL', sum(revenue) FROM mon GROUP BY 1), a AS (SELECT category, avg(revenue) AS overall_mean FROM u GROUP BY 1)
+MAIN SELECT u.category, ((month_idx - 1) % 12 + 1)::INT AS month, avg(revenue) AS month_mean, any_value(overall_mean) AS overall_mean, avg(revenue) / any_value(overall_mean) AS seasonal_index FROM u JOIN a USING (category) GROUP BY 1, 2""", "month_mean overall_mean seasonal_index", 5)
+def _(s):
+    return forecast.seasonal_index(forecast.sales(base(s), "month", True))
+
+
+@query("gs8_category_forecast", "items ord", f"""WITH {DEL}, {MON}, f AS (SELECT category, regr_slope(revenue, month_idx) AS s, regr_intercept(revenue, month_idx) AS i, max(month_idx) AS l, count(*) AS months FROM mon GROUP BY 1)
+MAIN SELECT category, (l + k)::INT AS month_idx, months, greatest(s * (l + k) + i, 0) AS forecast_revenue FROM f, (VALUES (1), (2), (3)) v(k)""", "forecast_revenue", 1)
+def _(s):
+    return forecast.ols_forecast(forecast.sales(base(s), "month", True)).select("category", "month_idx", "months", "forecast_revenue")
+
+
+@query("st6_inactivity_sessions", "logs", """WITH g AS (SELECT *, CASE WHEN lag(event_timestamp) OVER w IS NULL OR event_timestamp - lag(event_timestamp) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY event_timestamp, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id) AS session_no FROM g)
+MAIN SELECT user_id, session_no::BIGINT AS session_no, min(event_timestamp) AS session_start, max(event_timestamp) AS session_end, count(*) AS event_count FROM n GROUP BY 1, 2""")
+def _(s):
+    return sessions.inactivity_sessions(s.logs).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("st7_event_counts", "logs", "SELECT date_trunc('day', event_timestamp)::TIMESTAMP AS window_start, event_type, count(*) AS events FROM logs GROUP BY 1, 2")
+def _(s):
+    return sessions.event_counts(s.logs).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
+
+
+@query("wh1_fact_channel_performance", "att ads", f"WITH {CM}\nMAIN SELECT concat_ws('_', time_period, attribution_model, coalesce(utm_source, 'unknown'), coalesce(utm_medium, 'unknown'), coalesce(utm_campaign, 'unknown')) AS channel_performance_key, time_period, attribution_model, utm_source, utm_medium, utm_campaign, conversions, revenue FROM cm", "revenue", 2)
+def _(s):
+    return warehouse.fact(channels(s), "FACT_CHANNEL_PERFORMANCE", stamped=False).select("channel_performance_key", "time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "conversions", "revenue")
+
+
+@query("wh4_dim_date", "ads", "SELECT DISTINCT strftime(ad_date, '%Y%m%d')::INT AS date_key, ad_date AS date, year(ad_date)::INT AS year, quarter(ad_date)::INT AS quarter, month(ad_date)::INT AS month, day(ad_date)::INT AS day, (dayofweek(ad_date) + 1)::INT AS day_of_week, weekofyear(ad_date)::INT AS week_of_year FROM ads")
+def _(s):
+    return warehouse.date_dimension(s.ads, "ad_date")
+
+
+@query("wh5_dim_channel", "logs", "SELECT DISTINCT coalesce(utm_source, 'unknown') || '_' || coalesce(utm_medium, 'unknown') AS channel_key, utm_source, utm_medium, CASE WHEN utm_source IS NULL THEN coalesce(utm_medium, 'Unknown') ELSE utm_source || coalesce(' - ' || utm_medium, '') END AS channel_name, CASE utm_medium WHEN 'cpc' THEN 'Paid Search' WHEN 'social' THEN 'Social Media' WHEN 'email' THEN 'Email' WHEN 'organic' THEN 'Organic' WHEN 'referral' THEN 'Referral' WHEN 'affiliate' THEN 'Affiliate' ELSE 'Other' END AS channel_group FROM logs")
+def _(s):
+    return warehouse.channel_dimension(s.logs)
+
+
+@query("wh6_dim_marketing_campaign", "logs", "SELECT DISTINCT utm_campaign AS campaign_key, utm_campaign, CASE WHEN utm_campaign LIKE '%promo%' THEN 'Promotional' WHEN utm_campaign LIKE '%launch%' THEN 'Product Launch' WHEN utm_campaign LIKE '%brand%' THEN 'Branding' WHEN utm_campaign LIKE '%retarg%' THEN 'Retargeting' ELSE 'General' END AS campaign_type FROM logs WHERE utm_campaign IS NOT NULL")
+def _(s):
+    return warehouse.marketing_campaign_dimension(s.logs)
+
+
+@query("wh11_dim_product", "items", "SELECT DISTINCT product_name || '_' || category AS product_key, product_name, category, CASE WHEN product_name LIKE '%cleanser%' THEN 'Cleanser' WHEN product_name LIKE '%cream%' THEN 'Cream' WHEN product_name LIKE '%serum%' THEN 'Serum' WHEN product_name LIKE '%lotion%' THEN 'Lotion' WHEN product_name LIKE '%shampoo%' THEN 'Shampoo' WHEN product_name LIKE '%conditioner%' THEN 'Conditioner' ELSE 'Other' END AS product_type, product_name LIKE '%bio%' OR product_name LIKE '%natural%' OR product_name LIKE '%organic%' AS is_organic, CASE category WHEN 'soin_visage' THEN 'Facial Care' WHEN 'soin_corps' THEN 'Body Care' WHEN 'soin_cheveux' THEN 'Hair Care' WHEN 'maquillage' THEN 'Make-up' WHEN 'parfum' THEN 'Fragrance' ELSE category END AS category_display FROM items")
+def _(s):
+    return warehouse.product_dimension(s.items)
+
+
+@query("wh12_dim_category", "items", "SELECT DISTINCT category AS category_key, category, CASE category WHEN 'soin_visage' THEN 'Facial Care' WHEN 'soin_corps' THEN 'Body Care' WHEN 'soin_cheveux' THEN 'Hair Care' WHEN 'maquillage' THEN 'Make-up' WHEN 'parfum' THEN 'Fragrance' ELSE category END AS category_display, CASE WHEN category IN ('soin_visage', 'soin_corps') THEN 'Skin' WHEN category = 'soin_cheveux' THEN 'Hair' WHEN category = 'maquillage' THEN 'Color' WHEN category = 'parfum' THEN 'Scent' ELSE 'Other' END AS category_group FROM items")
+def _(s):
+    return warehouse.category_dimension(s.items)
+
+
+@query("wh16_dim_customer", "cust", "SELECT customer_id AS customer_key, customer_id, city, region, coalesce(region, 'Unknown') AS location_group FROM cust")
+def _(s):
+    return warehouse.customer_dimension(s.customers)
+
+
+@query("wh23_dim_platform", "ads", "SELECT DISTINCT platform AS platform_key, platform, CASE WHEN platform = 'Google' THEN 'Search' ELSE 'Social' END AS platform_type, CASE WHEN platform = 'Google' THEN 'Paid Search' WHEN platform LIKE 'Influencer%' THEN 'Influencer Marketing' ELSE 'Paid Social' END AS channel_group FROM ads")
+def _(s):
+    return warehouse.platform_dimension(s.ads)
+
+
+@query("dq1_completeness", "logs", "SELECT 'web_logs' AS dataset, column_name, total, missing, 1 - missing / total AS completeness FROM (SELECT count(*) AS total, count(*) - count(user_email) AS user_email, count(*) - count(utm_source) AS utm_source, count(*) - count(event_id) AS event_id FROM logs) UNPIVOT (missing FOR column_name IN (user_email, utm_source, event_id))", "completeness")
+def _(s):
+    return data_quality.completeness(s.logs.select("user_email", "utm_source", "event_id"), "web_logs")
+
+
+@query("dq2_validity", "ord", "SELECT 'orders' AS dataset, rule, total, valid, valid / total AS validity FROM (SELECT count(*) AS total, count(*) FILTER (final_total > 0) AS positive_total, count(*) FILTER (order_status IN ('Livré', 'En cours')) AS known_status FROM ord) UNPIVOT (valid FOR rule IN (positive_total, known_status))", "validity")
+def _(s):
+    return data_quality.validity(s.orders, "orders", {"positive_total": F.col("final_total") > 0, "known_status": F.col("order_status").isin("Livré", "En cours")})
+
+
+@query("dq3_referential_integrity", "logs cust", "SELECT 'logs-customers' AS relation, count(*) AS keys, count(*) FILTER (customer_id IS NULL) AS orphans, 1 - count(*) FILTER (customer_id IS NULL) / count(*) AS score, CASE WHEN count(*) FILTER (customer_id IS NULL) / count(*) <= 0.02 THEN 'PASSED' WHEN count(*) FILTER (customer_id IS NULL) / count(*) <= 0.1 THEN 'WARNING' ELSE 'FAILED' END AS status FROM (SELECT DISTINCT user_id FROM logs) LEFT JOIN cust ON customer_id = user_id", "score")
+def _(s):
+    return data_quality.referential_integrity(s.logs, s.customers, "user_id", "customer_id", "logs-customers")
+
+
+@query("dq4_duplicates", "logs", "SELECT 'web_logs' AS dataset, count(*) AS total, count(*) - count(DISTINCT session_id) AS duplicates, (count(*) - count(DISTINCT session_id)) / count(*) * 100 AS percent, CASE WHEN (count(*) - count(DISTINCT session_id)) / count(*) < 0.01 THEN 'PASSED' WHEN (count(*) - count(DISTINCT session_id)) / count(*) < 0.05 THEN 'WARNING' ELSE 'FAILED' END AS status FROM logs", "percent")
+def _(s):
+    return data_quality.duplicates(s.logs, ["session_id"], "web_logs")
+
+
+@query("dq5_outliers_zscore", "ord", "SELECT 'orders' AS dataset, 'final_total' AS column_name, 'zscore' AS method, count(*) AS total, count(*) FILTER ((final_total - m) / s > 1.5) AS outliers FROM ord, (SELECT avg(final_total) AS m, stddev_samp(final_total) AS s FROM ord)")
+def _(s):
+    return data_quality.outliers(s.orders, "final_total", "orders", threshold=1.5).drop("percent", "status")
+
+
+@query("dq6_outliers_iqr", "ads", "SELECT 'ads' AS dataset, 'cost' AS column_name, 'iqr' AS method, count(*) AS total, count(*) FILTER (cost < q1 - 1.5 * (q3 - q1) OR cost > q3 + 1.5 * (q3 - q1)) AS outliers FROM ads, (SELECT quantile_cont(cost, 0.25) AS q1, quantile_cont(cost, 0.75) AS q3 FROM ads)")
+def _(s):
+    return data_quality.outliers(s.ads, "cost", "ads", method="iqr").drop("percent", "status")
+
+
+@query("dq7_freshness", "logs", f"SELECT 'web_logs' AS dataset, max(event_timestamp)::DATE AS latest, date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02')::INT AS age_days, CASE WHEN date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02') <= 1 THEN 'PASSED' WHEN date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02') <= 3 THEN 'WARNING' ELSE 'FAILED' END AS status FROM logs")
+def _(s):
+    return data_quality.freshness(s.logs, "event_timestamp", "web_logs", date(2024, 2, 2))
+
+
+@query("dq8_distribution", "ord", "SELECT 'orders' AS dataset, 'season' AS column_name, season AS value, count(*) AS n, count(*) / sum(count(*)) OVER () * 100 AS percent FROM ord GROUP BY season", "percent")
+def _(s):
+    return data_quality.distribution(s.orders, "season", "orders")
+
+
+@query("dq10_silver_suite", "logs", "SELECT 'web_logs' AS dataset, 'duplicate_percent' AS kind, (count(*) - count(DISTINCT session_id)) / count(*) * 100 AS value, 'HIGH' AS severity FROM logs", "value")
+def _(s):
+    return data_quality.silver_suite({"web_logs": s.logs.drop("user_email", "utm_source", "utm_campaign"), "orders": s.orders.drop("utm_source")}, {"web_logs": ["session_id"], "orders": ["order_id"]}, {}, EVENTS_AS_OF)
+
+
+@query("dq11_volume_anomalies", "logs", "WITH d AS (SELECT date AS day, count(*) AS n FROM logs GROUP BY 1)\nMAIN SELECT day, n, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd, coalesce(abs(n - avg(n) OVER w) > 3 * stddev_samp(n) OVER w, false) AS is_anomaly FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)", "mean sd")
+def _(s):
+    return data_quality.volume_anomalies(s.logs, "event_timestamp")
+
+
+@query("j6_orphan_items", "items ord", "SELECT order_id, product_id FROM items WHERE order_id NOT IN (SELECT order_id FROM ord WHERE order_status = 'Livré')")
+def _(s):
+    return s.items.join(s.orders.filter("order_status = 'Livré'"), "order_id", "left_anti").select("order_id", "product_id")
+
+
+@query("so3_repeat_buyers", "ord", "SELECT customer_id FROM ord WHERE has_promotion INTERSECT SELECT customer_id FROM ord WHERE NOT has_promotion")
+def _(s):
+    return s.orders.filter("has_promotion").select("customer_id").intersect(s.orders.filter("not has_promotion").select("customer_id"))
