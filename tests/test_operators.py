@@ -3,6 +3,7 @@
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,8 +96,8 @@ def test_growth_over_a_gap_and_single_month(spark):
     assert g["a", 24302] == 100 and g["a", 24304] is None
     f = [r.forecast_revenue for r in forecast.ols_forecast(m).filter("category = 'b'").collect()]
     assert f == [5.0, 5.0, 5.0]
-    ml = [round(r.forecast_revenue, 6) for r in forecast.ml_forecast(m.filter("category = 'a'")).orderBy("month_idx").collect()]
-    assert ml == [round(r.forecast_revenue, 6) for r in forecast.ols_forecast(m.filter("category = 'a'")).orderBy("month_idx").collect()]
+    ml = [r.forecast_revenue for r in forecast.ml_forecast(m.filter("category = 'a'")).orderBy("month_idx").collect()]
+    assert ml == pytest.approx([r.forecast_revenue for r in forecast.ols_forecast(m.filter("category = 'a'")).orderBy("month_idx").collect()], rel=1e-5)
 
 
 def test_quality(spark):
@@ -105,7 +106,7 @@ def test_quality(spark):
     assert data_quality.duplicates(df, ["k"], "d").first().duplicates == 1
     suite = data_quality.silver_suite({"d": df, "gone": None}, {}, {}, date(2025, 1, 1)).collect()
     assert ("gone", "HIGH") in {(r.dataset, r.severity) for r in suite}
-    a, e = T.StructType().add("a", "long").add("b", "string"), T.StructType().add("a", "int").add("c", "string")
+    a, e = T.StructType().add("a", T.LongType()).add("b", T.StringType()), T.StructType().add("a", T.IntegerType()).add("c", T.StringType())
     assert data_quality.schema_drift(a, e) == [("a", "type int -> bigint"), ("b", "added"), ("c", "missing")]
 
 
