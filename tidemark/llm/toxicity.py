@@ -1,7 +1,7 @@
 """Toxicity scoring: a learned lexicon, matched exactly and with misspellings, weighed by its context.
 
 The lexicon is learned from labelled rows: words whose document frequency among toxic rows stands out. It is held as a trie; a
-Levenshtein automaton of each unknown word walks it, so a term within one edit (two for long words) is found without comparing
+Levenshtein automaton of each unknown word walks it, so a term within one edit is found without comparing
 the word with every term. A hit counts as quoted if quotation or reporting marks stand in the words around it. A logistic model
 of hit counts and densities, fitted on the same rows, gives the score.
 
@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W_]+")
 # fixed values: marks of quotation and report in the four languages
 QUOTES = set("\"'«»„“”‚‘’")
 REPORT = {"said", "says", "wrote", "quote", "quoted", "called", "word", "term", "dijo", "dice", "escribió", "palabra", "dit", "écrit", "mot", "cité", "sagte", "schrieb", "wort", "zitat"}
-MEMORY = 400_000  #: words a worker remembers
+MEMORY = 1_000_000  #: words a worker remembers
 
 
 class Trie:
@@ -43,42 +43,59 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = i
 
-    def near(self, word: str, edits: int) -> int:
-        """Number of a term within `edits` of word, the closest and then the first; -1 if none. The automaton's state is the row
-        of edit distances between word's prefixes and the path walked; a path whose row exceeds `edits` throughout is left."""
-        best = (edits + 1, -1)
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+    def near(self, word: str, edits: int) -> bool:
+        """Whether a term lies within `edits` of word. The automaton's states (characters read, edits left) are simulated on the
+        trie's paths; once no edit is left only one path remains, so an unrelated word is done after a few steps."""
+        n, stack = len(word), [(self.root, 0, edits)]
         while stack:
-            node, row = stack.pop()
-            if "" in node and (row[-1], node[""]) < best or "" in node and row[-1] <= edits and best[1] < 0:
-                best = (row[-1], node[""]) if row[-1] <= edits else best
+            node, i, left = stack.pop()
+            if not left:
+                while node is not None and i < n:
+                    node = node.get(word[i])
+                    i += 1
+                if node is not None and "" in node:
+                    return True
+                continue
+            if i == n:
+                if "" in node:
+                    return True
+            else:
+                if (same := node.get(word[i])) is not None:
+                    stack.append((same, i + 1, left))
+                stack.append((node, i + 1, left - 1))
             for c, child in node.items():
                 if c:
-                    new = [row[0] + 1]
-                    for j, w in enumerate(word):
-                        new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (w != c)))
-                    if min(new) <= min(edits, best[0]):
-                        stack.append((child, tuple(new)))
-        return best[1]
+                    stack.append((child, i, left - 1))
+                    if i < n and c != word[i]:
+                        stack.append((child, i + 1, left - 1))
+        return False
 
 
 def edits_for(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    """One edit, for words long enough that one doesn't make another word."""
+    return 0 if len(word) < 5 else 1
 
 
 class Matcher:
     def __init__(self, terms: list[str]):
-        self.exact, self.trie, self.seen = set(terms), Trie(terms), {}
+        long_ = [t for t in terms if len(t) >= 5]
+        self.exact, self.trie, self.seen = set(terms), Trie(long_), {}
+        # one edit leaves a term's first half at a word's start or its second half at the end
+        self.starts, self.ends = {t[: len(t) // 2] for t in long_}, {t[len(t) // 2 :] for t in long_}
+        self.start_sizes, self.end_sizes = sorted(set(map(len, self.starts))), sorted(set(map(len, self.ends)))
 
     def kind(self, word: str) -> int:
         """2: a term; 1: a misspelled term; 0: neither."""
         if (k := self.seen.get(word)) is None:
-            k = 2 if word in self.exact else 1 if 5 <= len(word) < 40 and self.trie.near(word, edits_for(word)) >= 0 else 0
+            k = 2 if word in self.exact else 1 if 5 <= len(word) < 40 and self.worth(word) and self.trie.near(word, edits_for(word)) else 0
             if len(self.seen) >= MEMORY:
                 self.seen.clear()
             self.seen[word] = k
         return k
 
+    def worth(self, word: str) -> bool:
+        return any(word[:n] in self.starts for n in self.start_sizes) or any(word[-n:] in self.ends for n in self.end_sizes)
+
     def features(self, text: str | None) -> list[float]:
         """Counts and densities of exact, misspelled and quoted hits."""
         text = (text or "").lower()
@@ -119,12 +136,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, limit
 
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> list[str]:
-    """Words in at least 3 toxic rows whose rate among toxic rows is 8 times that among others, the clearest first."""
+    """Words in at least 3 toxic rows and 0.4 % of them, whose rate there is 8 times that among others, the clearest first."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     each = rows.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).filter("t >= 3")
     total = rows.agg(F.sum("y").alias("nt"), F.sum(1 - F.col("y")).alias("nc")).first()
     if not total[0]:
         return []
+    each = each.filter(F.col("t") >= 0.004 * total[0])
     kept = each.filter((F.col("t") / total[0]) >= 8 * (F.col("c") + 0.5) / max(total[1], 1)).orderBy(F.desc("t"), "w").limit(terms)
     return [r["w"] for r in kept.collect()]  # at most `terms` words
 
