@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, embedding, minhash, quality, sharding, suffix, toxicity, urlfilter
+from tidemark.llm import bpe, chat, decontaminate, embedding, minhash, oracles, quality, sharding, suffix, toxicity, urlfilter
 from tidemark.llm.common import table
 
 
@@ -43,4 +43,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_url_filter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_url_filter": urlfilter.ORACLE, "op5_minhash": oracles.MINHASH, "op6_suffix_dedup": oracles.SUFFIX}
