@@ -38,13 +38,18 @@ def lower_ascii(word):
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), both long and not null: rows (node, component), component the smallest node reachable.
 
-    Alternates large-star and small-star steps; every step is an aggregate and an equi-join on the edges, so nothing is gathered
-    on the driver but one checksum a round. Nodes without an edge to another node are absent.
+    Alternates large-star and small-star steps until each edge leads from a node to its component; every step is an aggregate and
+    an equi-join on the edges, so nothing is gathered on the driver. Nodes without an edge to another node are absent. Raises
+    RuntimeError if max_rounds weren't enough.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     now = materialize(now)
-    seen = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds + 1):
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
+            break  # stars: each node has one edge upwards, or is a component's smallest
+        if k == max_rounds:
+            raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
         # large star: neighbours above a node are linked to its smallest neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -55,9 +60,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u > v").distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    # every remaining edge now leads from a node to its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
