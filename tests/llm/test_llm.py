@@ -90,6 +90,14 @@ def test_suffix(spark, docs, chunk, monkeypatch):
     assert suffix.repeated(empty(spark)).count() == 0
 
 
+def test_suffix_texts_of_one_id(spark):
+    passage = "".join(map(str, range(100, 140)))
+    rows = [(1, passage), (2, "a head " + passage + " a tail"), (2, "other words " * 3 + passage[:70]), (2, "clean" * 11)]
+    want = brute_repeats(rows)
+    got = suffix.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and all(bytes(r.kept) == want[r.doc_id, r.text] for r in got)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -226,8 +226,8 @@ def own_parts(s, rows, edges, of_row, of_h, n):
 
 
 def snippets(texts: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(doc_id, bucket, offset, snippet, first): the bytes around each shared anchor; offset: of the anchor within them. texts has
-    doc_id, packed, further columns, dups and shared last."""
+    """(doc_id, text_key, bucket, offset, snippet, first): the bytes around each shared anchor; offset: of the anchor within them. texts:
+    doc_id, packed, text_key, dups and shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,11 +244,11 @@ def snippets(texts: DataFrame, n: int, buckets: int) -> DataFrame:
                     data = s[np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
                     column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[rows[piece]]), pa.array(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)), pa.array((place - first).astype(np.int32)), column, pa.array((first - edges[piece] + offsets[piece]).astype(np.int32))],
-                        ["doc_id", "bucket", "offset", "snippet", "first"],
+                        [pa.array(ids[rows[piece]]), part.column(2).take(pa.array(rows[piece], pa.int64())), pa.array(((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)), pa.array((place - first).astype(np.int32)), column, pa.array((first - edges[piece] + offsets[piece]).astype(np.int32))],
+                        ["doc_id", "text_key", "bucket", "offset", "snippet", "first"],
                     )
 
-    return texts.mapInArrow(run, "doc_id long, bucket int, offset int, snippet binary, first int")
+    return texts.mapInArrow(run, "doc_id long, text_key int, bucket int, offset int, snippet binary, first int")
 
 
 def rename(keys: np.ndarray) -> np.ndarray:
@@ -335,7 +335,8 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     packed = long_.mapInArrow(pack, T.StructType().add("doc_id", "long").add("packed", "binary").add("rest", rest_type))
     texts = packed.filter("doc_id is not null").join(dups, "doc_id", "left").select("doc_id", "packed", "rest", "dups")
     shared = materialize(meet_by_hash(texts, own_anchors(n), False, True, deals)).withColumnRenamed("hashes", "shared")
-    found = snippets(texts.join(shared, "doc_id"), n, buckets)
+    texts = texts.withColumn("text_key", F.hash("packed"))  # places are of one text, should texts share a doc_id
+    found = snippets(texts.join(shared, "doc_id").select("doc_id", "packed", "text_key", "dups", "shared"), n, buckets)
     key = F.xxhash64("offset", "snippet").alias("key")  # with the bucket, whose number grows with the input
     folded = found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).select("bucket", "snippet", "least", key)
 
@@ -345,10 +346,10 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
         return pa.table({"bucket": group["bucket"], "key": group["key"], "least": least, "bits": bits})
 
     judged = folded.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
-    seen = found.select("doc_id", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
+    seen = found.select("doc_id", "text_key", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
-    covers = seen.join(judged, ["bucket", "key"]).select("doc_id", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
-    covers = materialize(covers.groupBy("doc_id").agg(F.collect_list("cover").alias("covers")))
+    covers = seen.join(judged, ["bucket", "key"]).select("doc_id", "text_key", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
+    covers = materialize(covers.groupBy("doc_id", "text_key").agg(F.collect_list("cover").alias("covers")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +378,7 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
             text = pa.array([r.decode("utf-8", "surrogatepass") for r in raws], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(left, pa.binary()), pa.array(spans, kind), batch.column(2)], ["doc_id", "text", "kept", "spans", "rest"])
 
-    done = texts.join(covers, "doc_id", "left").select("doc_id", "packed", "rest", "dups", "covers")
+    done = texts.join(covers, ["doc_id", "text_key"], "left").select("doc_id", "packed", "rest", "dups", "covers")
     shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", rest_type)
     done = done.mapInArrow(cut, shape)
     short = docs.filter("not ok").select("doc_id", "text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "rest")
