@@ -165,6 +165,22 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(401, 406)) and got[400].component_id == 0
 
 
+def test_embeddings_of_a_large_group(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + 0.3 * x[:1000]
+    x[2500:] = x[2000:2500] + 0.45 * x[2500:]
+    x = x.astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    part = np.arange(3000)
+    while (new := np.where(links, part[None, :], 3000).min(1)).tolist() != part.tolist():
+        part = new
+    got = {r.vec_id: r for r in embedding.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    assert [got[i].n_links for i in range(3000)] == (links.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(3000)] == part.tolist()
+
+
 def test_toxicity(spark, sf):
     t = toxicity.Trie(["idiot", "moron"])
     assert t.near("idi0t", 1) and t.near("idiott", 1) and t.near("diot", 1) and not t.near("ixxot", 1)

@@ -1,14 +1,14 @@
-"""Near-duplicate embeddings with a pivot-permutation index.
+"""Near-duplicate embeddings: every pair of distinct vectors is compared.
 
-A vector is described by its nearest pivots. Inverted lists hold the vectors of each pivot; two vectors of a list whose
-descriptions share enough pivots are candidates, and the list of their smallest shared pivot verifies them by cosine in double
-precision. Lists longer than BLOCK are met block by block, so no task holds a whole list, and no candidate is dropped. A task
-returns, for each vector, how many links it found and a root that stands for the vectors it connects, not the pairs.
+Distinct vectors are dealt by hash into blocks of at most BLOCK_BYTES, and each two blocks meet in one task, so no task holds more
+than two blocks and how vectors lie together doesn't matter. Products in single precision settle the pairs that are farther from
+the threshold than their rounding; the others are verified in double precision. A task returns, for each vector, how many links
+it found and a root that stands for the vectors it connects, not the pairs.
 
 Equal vectors are folded into the smallest vec_id and weigh as many as they are. Vectors that are null, of norm zero, hold a
 null or a non-finite component, or have another dimension than most, link with nothing. A null vec_id links with nothing and
 has a null component. Repeated vec_ids are one vector if their embeddings are equal; else each row is listed with the links of
-its embedding. Pivots are at most MAX_PIVOTS vectors, the smallest by hash; every row is indexed.
+its embedding.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import components, materialize, table
 
-MAX_PIVOTS = 4096
-NEAREST, SHARED = 8, 2  #: pivots in a description; pivots that candidates share at least
-BLOCK = 1500  #: vectors of a list that one task compares with another such block
+BLOCKS, SMALL = 8, 2000  #: blocks at least, if there are more than SMALL vectors; they grow in size first, then in number
+BLOCK_BYTES = 16 << 20  #: a block's vectors in single precision
+PAIRS = 1 << 21  #: pairs compared at once
 
 
 def usable(embedding, dim: int):
@@ -32,31 +33,18 @@ def usable(embedding, dim: int):
     return F.coalesce((F.size(embedding) == dim) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def pivots_of(vectors: DataFrame, n: int) -> np.ndarray:
-    """About one pivot for 48 distinct vectors, from 32 to MAX_PIVOTS; unit vectors."""
-    count = min(MAX_PIVOTS, max(32, n // 48))
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("embedding").collect()  # at most MAX_PIVOTS vectors
-    x = np.array([r[0] for r in rows], np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
-
-
-def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """(vec_id, copies, embedding, perm): perm: the nearest pivots' numbers, nearest first."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+def packed(vectors: DataFrame, double: bool) -> DataFrame:
+    """(vec_id, copies, packed): the embedding's bytes."""
+    kind = np.float64 if double else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        m = min(nearest, len(p))
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                x = np.array(part.column(2).to_pylist(), np.float64)
-                sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ p.T
-                top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "copies", "embedding", "perm"])
+            lists = batch.column(2)
+            values, ends = lists.flatten().to_numpy().astype(kind), np.cumsum(lists.value_lengths().to_numpy())
+            data = [x.tobytes() for x in np.split(values, ends[:-1])] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["vec_id", "copies", "packed"])
 
-    return vectors.select("vec_id", "copies", "embedding").mapInArrow(run, "vec_id long, copies long, embedding array<double>, perm array<int>")
+    return vectors.select("vec_id", "copies", "embedding").mapInArrow(run, "vec_id long, copies long, packed binary")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,52 +61,67 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_lists(described: DataFrame, threshold: float, shared_pivots: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """(vec_id, links, root): links found in one task; root: a vec_id that the vector is connected with there."""
-    lists = described.select("vec_id", "copies", "embedding", "perm", F.explode("perm").alias("pivot"))
-    blocks = lists.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # MAX_PIVOTS rows at most
-    lists = lists.join(F.broadcast(blocks), "pivot").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    dealt = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "copies", "embedding", "perm")
+def block_count(n: int, dim: int) -> int:
+    return 1 if n <= SMALL else max(BLOCKS, -(-n * dim * 4 // BLOCK_BYTES))
+
+
+def compare_blocks(vectors: DataFrame, threshold: float, blocks: int, double: bool) -> DataFrame:
+    """(vec_id, links, root): links found in one task; root: a vec_id that the vector is connected with there. vectors: vec_id,
+    copies, packed."""
+    kind = np.float64 if double else np.float32
+    own = vectors.withColumn("own", F.pmod(F.xxhash64("packed"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "copies", "packed")
 
     def meet(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        pivot, same = group["pivot"][0].as_py(), group["lo"][0].as_py() == group["hi"][0].as_py()
         ids, copies, own = (group[c].to_numpy() for c in ("vec_id", "copies", "own"))
-        perm = np.array(group["perm"].to_pylist(), np.int32)
-        x = np.array(group["embedding"].to_pylist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        first, second = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(own == group["lo"][0].as_py()), np.flatnonzero(own == group["hi"][0].as_py()))
-        links, a_all, b_all = np.zeros(len(ids), np.int64), [], []
-        for k in range(0, len(first), 256):
-            rows = first[k : k + 256]
-            counts = np.zeros((len(rows), len(second)), np.int8)
-            for i in range(perm.shape[1]):
-                for j in range(perm.shape[1]):
-                    counts += perm[rows, i][:, None] == perm[second, j][None, :]
-            a, b = np.nonzero(counts >= min(shared_pivots, perm.shape[1]))
-            a, b = rows[a], second[b]
-            if same:
-                a, b = a[a < b], b[a < b]
-            for s in range(0, len(a), 200_000):
-                i, j = a[s : s + 200_000], b[s : s + 200_000]
-                true = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-                i, j = i[true], j[true]
-                common = np.where((perm[i][:, :, None] == perm[j][:, None, :]).any(2), perm[i], 1 << 30).min(1) if len(i) else i
-                i, j = i[common == pivot], j[common == pivot]  # each pair counts in one list
-                a_all.append(i)
-                b_all.append(j)
-                links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        x = np.frombuffer(b"".join(group["packed"].to_pylist()), kind).reshape(len(ids), -1)
+        norm = np.concatenate([np.linalg.norm(x[k : k + 4096].astype(np.float64), axis=1) for k in range(0, len(x), 4096)])
+        unit = lambda i: x[i].astype(np.float64) / norm[i, None]
+        low = np.concatenate([unit(np.arange(k, min(k + 4096, len(x)))).astype(np.float32) for k in range(0, len(x), 4096)])
+        margin = (x.shape[1] + 8) * 2.0**-23  # above the rounding of a product of unit vectors
+        first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        links, label, waiting, size = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], 0
+        right, step = low[second], max(1, PAIRS // max(1, len(second)))
+
+        def connect():
+            nonlocal label
+            a, b = (np.concatenate(e) for e in zip(*waiting, strict=True))
+            label = roots(len(ids), label[a], label[b])[label]
+            waiting.clear()
+
+        for k in range(0, len(first), step):
+            after = k if lo == hi else 0
+            sims = low[first[k : k + step]] @ right[after:].T
+            a, b = np.nonzero(sims >= threshold - margin)
+            sure = sims[a, b] >= threshold + margin
+            a, b = first[a + k], second[b + after]
+            if lo == hi:
+                sure, a, b = (v[a < b] for v in (sure, a, b))
+            close = np.flatnonzero(~sure)
+            for c in range(0, len(close), 100_000):
+                at = close[c : c + 100_000]
+                sure[at] = np.einsum("ij,ij->i", unit(a[at]), unit(b[at])) >= threshold
+            a, b = a[sure], b[sure]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            new = label[a] != label[b]
+            if new.any():
+                waiting.append((a[new], b[new]))
+                size += int(new.sum())
+                if size >= PAIRS // 8:
+                    connect()
+                    size = 0
+        if waiting:
+            connect()
         some = np.flatnonzero(links)
-        if len(some):
-            root = roots(len(ids), np.concatenate(a_all), np.concatenate(b_all))
-            return pa.table({"vec_id": ids[some], "links": links[some], "root": ids[root[some]]})
-        return pa.table({"vec_id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        return pa.table({"vec_id": ids[some], "links": links[some], "root": ids[label[some]]})
 
-    return dealt.groupBy("pivot", "lo", "hi").applyInArrow(meet, "vec_id long, links long, root long")
+    return dealt.groupBy("lo", "hi").applyInArrow(meet, "vec_id long, links long, root long")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, shared_pivots: int = SHARED) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of embeddings (vec_id long, embedding array)."""
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     common = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -126,8 +129,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, nearest: int
     marked = rows.withColumn("ok", usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull())
     distinct = marked.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies"))
     distinct = materialize(distinct)
-    described = describe(distinct, pivots_of(distinct, distinct.count()), nearest)
-    found = materialize(compare_lists(described, threshold, shared_pivots))
+    double = embeddings.schema["embedding"].dataType.elementType != T.FloatType()
+    found = materialize(compare_blocks(packed(distinct, double), threshold, block_count(distinct.count(), dim), double))
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     # equal vectors link with each other only if their own cosine is at the threshold, which 1 always is
