@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tests.compare import same
@@ -98,6 +99,26 @@ def test_suffix_texts_of_one_id(spark):
     assert len(got) == 4 and all(bytes(r.kept) == want[r.doc_id, r.text] for r in got)
 
 
+def test_suffix_anchor_of_many_snippets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = lambda k: "".join(map(chr, rng.integers(97, 123, k)))
+    phrase, tails = words(49), [words(12) for _ in range(50)]
+    rows = [(i, words(40) + phrase + (tails[i % 50] if i % 3 == 0 else words(40))) for i in range(12_000)]
+    largest, apply = [], GroupedData.applyInArrow
+
+    def counted(self, func, schema):
+        if "snippet" in self._df.columns:
+            largest.append(self._df.groupBy("bucket").count().agg(F.max("count")).first()[0])
+        return apply(self, func, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    want = brute_repeats(rows)
+    got = suffix.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(bytes(r.kept) == want[r.doc_id, r.text] for r in got)
+    assert sum(len(r.kept) < len(r.text) for r in got) > 3_000
+    assert largest and (largest[0] or 0) <= 10_000
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -13,7 +13,9 @@ task, then sorted there:
    3 are merged in by their first byte and the name behind it. Adjacent prefixes of n bytes are compared; those equal form a
    class, whose smallest doc_id decides (`repeated_windows`).
 
-A task holds the snippets of some anchors, folded; their number follows the text, and buckets grow in number, not in size.
+A task holds the snippets of some anchors, folded, and sorts about PART bytes of them at once; buckets grow in number with the
+text, not in size. An anchor of more than HOT distinct snippets isn't sorted in its bucket: the n-byte strings of its snippets are
+grouped by themselves, so that they spread over all tasks (`repeated_of_hot`).
 
 Null and short texts have nothing to remove. A null doc_id is neither smaller nor larger than another: such rows keep all their
 bytes. Rows that share a doc_id don't shorten each other; repeated rows are each returned. Empty tables give no rows.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,8 @@ N, GRAM = 50, 20
 CHUNK = 1 << 20  #: bytes that a task works on at once
 DEAL = 24 << 20  #: bytes of text for each bucket of chunk or anchor hashes
 BUCKET = 4 << 20  #: bytes of text for each bucket of snippets
+PART = 1 << 20  #: bytes of a bucket's snippets that are sorted at once, if no anchor alone has more
+HOT = 10_000  #: distinct snippets of an anchor that a bucket sorts at most
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -311,6 +316,24 @@ def repeated_windows(parts: list[bytes], least: np.ndarray, n: int) -> np.ndarra
     return bits.astype(np.int64)
 
 
+def by_anchor(anchor: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the snippets in parts of about PART bytes; an anchor's snippets are in one part."""
+    order = np.argsort(anchor, kind="stable")
+    a, stop = anchor[order], np.cumsum(sizes[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    part = (stop[new] - sizes[order[new]]) // PART
+    return np.split(order, new[1:][part[1:] != part[:-1]])
+
+
+def repeated_of_hot(snippets: DataFrame, n: int) -> DataFrame:
+    """(bucket, key, least, bits), as repeated_windows has bits, by grouping equal strings. snippets: bucket, key, least, snippet."""
+    strings = snippets.select("bucket", "key", "least", F.posexplode(F.expr(f"transform(sequence(0, octet_length(snippet) - {n}), i -> substring(snippet, i + 1, {n}))")).alias("k", "string"))
+    low = strings.groupBy("string").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("string", "low")
+    hits = strings.join(low, "string").filter("low < least").select("bucket", "key", "least", F.expr("shiftleft(1L, k)").alias("bits"))
+    none = snippets.select("bucket", "key", "least", F.lit(0).cast("long").alias("bits"))
+    return hits.unionByName(none).groupBy("bucket", "key", "least").agg(F.bit_or("bits").alias("bits"))
+
+
 def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     """docs (doc_id long, text string, further columns) with kept (binary: the bytes left) and spans array<struct<start, stop>> of
     what is removed."""
@@ -338,14 +361,22 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     texts = texts.withColumn("text_key", F.hash("packed"))  # places are of one text, should texts share a doc_id
     found = snippets(texts.join(shared, "doc_id").select("doc_id", "packed", "text_key", "dups", "shared"), n, buckets)
     key = F.xxhash64("offset", "snippet").alias("key")  # with the bucket, whose number grows with the input
-    folded = found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).select("bucket", "snippet", "least", key)
+    anchor = F.xxhash64(F.expr(f"substring(snippet, offset + 1, {GRAM})")).alias("anchor")
+    folded = materialize(found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).select("bucket", "snippet", "least", key, anchor))
+    hot = materialize(folded.groupBy("bucket", "anchor").count().filter(F.col("count") > HOT).select("bucket", "anchor"))  # fewer than snippets / HOT
 
     def sort(group: pa.Table) -> pa.Table:
         least = group["least"].to_numpy()
-        bits = repeated_windows(group["snippet"].to_pylist(), least, n)
+        group_snippets, bits = group["snippet"].combine_chunks(), np.zeros(len(least), np.int64)
+        for part in by_anchor(group["anchor"].to_numpy(), pc.binary_length(group_snippets).to_numpy().astype(np.int64)):
+            bits[part] = repeated_windows(group_snippets.take(pa.array(part)).to_pylist(), least[part], n)
         return pa.table({"bucket": group["bucket"], "key": group["key"], "least": least, "bits": bits})
 
-    judged = folded.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
+    some = not hot.isEmpty()
+    cold = folded.join(F.broadcast(hot), ["bucket", "anchor"], "left_anti") if some else folded
+    judged = cold.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
+    if some:
+        judged = judged.unionByName(repeated_of_hot(materialize(folded.join(F.broadcast(hot), ["bucket", "anchor"]).select("bucket", "key", "least", "snippet")), n))
     seen = found.select("doc_id", "text_key", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
     covers = seen.join(judged, ["bucket", "key"]).select("doc_id", "text_key", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
