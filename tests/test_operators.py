@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import periods
-from tidemark.operators import attribution, cleaning, data_quality, forecast, products, segments, sessions
+from tidemark.operators import attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions
 from tidemark.plans import gold
 from tidemark.sources import lake, schemas
 from tidemark.streaming import weblogs
@@ -152,3 +152,14 @@ def test_gold_and_warehouse(spark, sf, tmp_path):
     assert star["DIM_SEGMENT"].count() == 29
     lake.to_warehouse(star["DIM_PLATFORM"], "dim_platform")
     assert spark.table("dim_platform").count() == 5
+
+
+def test_channel_orders_are_counted_not_collected(spark, capsys):
+    rows = [("linear", "google", None, "x", "C1", 1, 2.0), ("linear", "google", None, "x", "C2", 1, 2.0), ("linear", "google", None, "x", "C2", 2, 1.0), ("linear", None, None, None, "C1", None, 1.0)]
+    att = spark.createDataFrame(rows, "attribution_model string, utm_source string, utm_medium string, utm_campaign string, campaign_id string, order_id long, attributed_revenue double").withColumn("order_date", F.lit(date(2024, 1, 28)))
+    ads = spark.createDataFrame([(date(2024, 1, 28), "C1", 5.0, 4), (date(2024, 1, 28), "C2", 1.0, 2)], "ad_date date, campaign_id string, cost double, clicks long")
+    out = marketing.channel_metrics(att, ads, date(2024, 1, 28), ["daily"])
+    got = {r.utm_source: (r.conversions, r.revenue, r.unique_orders, r.cost, r.clicks) for r in out.collect()}
+    assert got == {"google": (3, 5.0, 2, 6.0, 6), None: (1, 1.0, 0, 5.0, 4)}
+    out.explain()
+    assert "collect_" not in capsys.readouterr().out

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,13 @@ def roi(revenue: str, cost: str):
 def channel_metrics(attributed: DataFrame, ads: DataFrame, as_of: date, names: list[str]) -> DataFrame:
     """Per period, model and channel. Spend is that of the same period and of the channel's campaigns, summed before the join."""
     keyed = ["time_period", *CHANNEL]
-    by_campaign = by_period(attributed, "order_date", as_of, names).groupBy(*keyed, "campaign_id").agg(F.count("*").alias("conversions"), F.sum("attributed_revenue").alias("revenue"), F.collect_set("order_id").alias("orders"))
+    held = by_period(attributed, "order_date", as_of, names)
+    by_campaign = held.groupBy(*keyed, "campaign_id").agg(F.count("*").alias("conversions"), F.sum("attributed_revenue").alias("revenue"))
+    orders = held.groupBy(*[F.col(c).alias(f"of_{c}") for c in keyed]).agg(F.count_distinct("order_id").alias("unique_orders"))
     spend = by_period(ads, "ad_date", as_of, names).groupBy("time_period", "campaign_id").agg(F.sum("cost").alias("cost"), F.sum("clicks").alias("clicks"))
-    out = by_campaign.join(spend, ["time_period", "campaign_id"], "left").groupBy(*keyed).agg(F.sum("conversions").alias("conversions"), F.sum("revenue").alias("revenue"), F.size(F.array_distinct(F.flatten(F.collect_list("orders")))).cast("long").alias("unique_orders"), F.sum("cost").alias("cost"), F.sum("clicks").alias("clicks"))
+    out = by_campaign.join(spend, ["time_period", "campaign_id"], "left").groupBy(*keyed).agg(F.sum("conversions").alias("conversions"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"), F.sum("clicks").alias("clicks"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keyed])
+    out = out.join(orders, same).select(*keyed, "conversions", "revenue", "unique_orders", "cost", "clicks")
     return out.withColumns({"roas": ratio("revenue", "cost"), "roi": roi("revenue", "cost"), "cpa": ratio("cost", "conversions"), "cpc": ratio("cost", "clicks"), "conversion_rate": ratio("conversions", "clicks")})
 
 

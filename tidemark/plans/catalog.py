@@ -283,6 +283,11 @@ def _(s):
     return channels(s).drop("unique_orders")
 
 
+@query("gm1_channel_orders", "att", f"SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, count(*) AS conversions, count(DISTINCT order_id) AS unique_orders FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL")
+def _(s):
+    return channels(s).select("time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "conversions", "unique_orders")
+
+
 @query("gm2_channel_rankings", "att ads", f"""WITH {CM}, k AS (SELECT *, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(revenue, 6) DESC NULLS LAST) AS revenue_rank, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY conversions DESC) AS conversions_rank FROM cm)
 MAIN SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, revenue_rank::INT AS revenue_rank, conversions_rank::INT AS conversions_rank FROM k""")
 def _(s):
