@@ -37,11 +37,11 @@ from pyspark.sql import types as T
 from tidemark.llm.common import materialize, table
 
 N, GRAM = 50, 20
-CHUNK = 1 << 20  #: bytes that a task works on at once
-DEAL = 24 << 20  #: bytes of text for each bucket of chunk or anchor hashes
+CHUNK, BLOCK = 1 << 20, 1 << 15  #: bytes that a task works on at once; places that are hashed at once
+DEAL = 12 << 20  #: bytes of text for each bucket of chunk or anchor hashes
 BUCKET = 4 << 20  #: bytes of text for each bucket of snippets
-PART = 1 << 20  #: bytes of a bucket's snippets that are sorted at once, if no anchor alone has more
-HOT = 10_000  #: distinct snippets of an anchor that a bucket sorts at most
+PART = 1 << 17  #: bytes of a bucket's snippets that are sorted at once, if no anchor alone has more
+HOT, SENT = 10_000, 200_000  #: distinct snippets of an anchor that a bucket sorts at most; hot anchors that are broadcast at most
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -51,24 +51,46 @@ def words_at(s: np.ndarray) -> np.ndarray:
 
 
 def anchors(s: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last) of each anchor: the n-byte strings from `first` to `last`, consecutive ones of `starts`, have it."""
-    w = words_at(np.concatenate([s, np.zeros(GRAM + 8, np.uint8)]))
-    h = w[: len(s)] * M1 + w[8 : len(s) + 8] * M2
-    h ^= h >> np.uint64(29)
-    h = h * M3 + (w[GRAM - 8 : len(s) + GRAM - 8] ^ (h >> np.uint64(33))) * M1
-    h ^= h >> np.uint64(32)
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(s), dtype=np.uint64)
-    size, have = n - GRAM + 1, 1
-    while 2 * have <= size:
-        low = np.minimum(low[: len(low) - have], low[have:])
-        have *= 2
-    if have < size:
-        low = np.minimum(low[: len(low) - (size - have)], low[size - have :])
+    """(hash, place, first, last) of each anchor: the n-byte strings from `first` to `last`, consecutive ones of `starts`, have it.
+
+    Works on BLOCK places at a time, so what it holds for each byte is a place and a hash."""
     if not len(starts):
-        return h[:0], starts, starts, starts
-    place = (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.empty(0, np.uint64), starts, starts, starts
+    size, total = n - GRAM + 1, len(s)
+    raw = s.tobytes() + bytes(GRAM + 8)
+    hashes, places = np.empty(total, np.uint64), np.empty(total - size + 1, np.int32)
+    numbers = np.arange(BLOCK + size, dtype=np.uint64)
+    for at in range(0, len(places), BLOCK):
+        windows = min(BLOCK, len(places) - at)
+        k = windows + size - 1
+        w = np.ndarray((k + GRAM - 7,), "<u8", raw, offset=at, strides=(1,)).astype(np.uint64)
+        h = w[:k] * M1
+        h += w[8 : k + 8] * M2
+        t = h >> np.uint64(29)
+        h ^= t
+        h *= M3
+        np.right_shift(h, np.uint64(33), out=t)
+        t ^= w[GRAM - 8 : k + GRAM - 8]
+        t *= M1
+        h += t
+        np.right_shift(h, np.uint64(32), out=t)
+        h ^= t
+        hashes[at : at + k] = h
+        h &= np.uint64(0xFFFFFFFF00000000)
+        h |= numbers[:k]  # of equal hashes the first place counts
+        have = 1
+        while 2 * have <= size:
+            h = np.minimum(h[: len(h) - have], h[have:])
+            have *= 2
+        if have < size:
+            h = np.minimum(h[: len(h) - (size - have)], h[size - have :])
+        h &= np.uint64(0xFFFFFFFF)
+        places[at : at + windows] = h
+        places[at : at + windows] += at
+    place = places[starts]
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return h[place[new]], place[new], starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
+    place = place[new].astype(np.int64)
+    return hashes[place], place, starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
 
 
 def pieces(batch: pa.RecordBatch, text: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,8 +147,9 @@ def chunk_keys(s: np.ndarray, first: np.ndarray, last: np.ndarray, begins: np.nd
 
 
 def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: int) -> DataFrame:
-    """(doc_id, hashes): of the entries (hash, bucket bits, row) that `entries(batch)` yields for texts, each document's hashes that
-    another document has (shared), or that a smaller doc_id has (not shared).
+    """(doc_id, hashes): of the entries (hash, further bits, row) that `entries(batch)` yields for texts, each document's hashes that
+    another document has (shared), or that a smaller doc_id has (not shared). wide: all 128 bits must be equal, else the first 32,
+    which is good enough to choose what is looked at. The further bits choose the bucket.
 
     Entries travel as packed arrays, one for each bucket and piece of input. Within a piece, a hash of several documents is
     settled at once; its first document, or its two ends, stand for it elsewhere, so a common hash costs a bucket no more than
@@ -139,13 +162,14 @@ def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: i
             ids = batch.column(0).to_numpy()
             for h, bits, rows in entries(batch):
                 doc, h, bucket = ids[rows], h.astype(kind), (bits % np.uint64(buckets)).astype(np.int32)
-                order = np.lexsort((doc, h, bucket))
-                doc, h, bucket = doc[order], h[order], bucket[order]
+                more = bits if wide else np.zeros(len(h), np.uint8)
+                order = np.lexsort((doc, more, h, bucket))
+                doc, h, more, bucket = doc[order], h[order], more[order], bucket[order]
                 fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+                fresh[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1]) | (bucket[1:] != bucket[:-1])
                 new = fresh.copy()
                 new[1:] |= doc[1:] != doc[:-1]
-                doc, h, bucket, fresh = doc[new], h[new], bucket[new], fresh[new]
+                doc, h, more, bucket, fresh = doc[new], h[new], more[new], bucket[new], fresh[new]
                 known = np.ones(len(h), bool)
                 known[fresh] = False
                 if shared:
@@ -153,18 +177,18 @@ def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: i
                     known[-1:] = False
                 bucket[known] += buckets
                 order = np.argsort(bucket, kind="stable")
-                doc, h, bucket = doc[order], h[order], bucket[order]
+                doc, h, more, bucket = doc[order], h[order], more[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
                 stop = np.concatenate([cut[1:], [len(bucket)]]) if len(cut) else cut
                 by_doc = [np.argsort(doc[a:b], kind="stable") + a for a, b in zip(cut, stop, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.array([x[o].tobytes() for o in by_doc], pa.binary()) for x in (h, doc)]], ["bucket", "h", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *[pa.array([x[o].tobytes() for o in by_doc], pa.binary()) for x in (h, more, doc)]], ["bucket", "h", "more", "doc"])
 
     def meet(group: pa.Table) -> pa.Table:
-        h, doc = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("h", kind), ("doc", np.int64)))
+        h, more, doc = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("h", kind), ("more", np.uint64 if wide else np.uint8), ("doc", np.int64)))
         if group["bucket"][0].as_py() < buckets:
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            order = np.lexsort((doc, more, h))
+            h, more, doc = h[order], more[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
             size = np.diff(np.concatenate([first, [len(h)]]))
             low = np.repeat(doc[first], size)
             keep = np.repeat(doc[first] != doc[first + size - 1], size) if shared else doc != low
@@ -175,7 +199,7 @@ def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: i
         stop = np.concatenate([first[1:], [len(doc)]]) if len(doc) else first
         return pa.table({"doc_id": doc[first], "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())})
 
-    flat = texts.mapInArrow(deal, "bucket int, h binary, doc binary").groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
+    flat = texts.mapInArrow(deal, "bucket int, h binary, more binary, doc binary").groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
     return flat.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
 
 
@@ -359,7 +383,7 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     texts = packed.filter("doc_id is not null").join(dups, "doc_id", "left").select("doc_id", "packed", "rest", "dups")
     shared = materialize(meet_by_hash(texts, own_anchors(n), False, True, deals)).withColumnRenamed("hashes", "shared")
     texts = texts.withColumn("text_key", F.hash("packed"))  # places are of one text, should texts share a doc_id
-    found = snippets(texts.join(shared, "doc_id").select("doc_id", "packed", "text_key", "dups", "shared"), n, buckets)
+    found = materialize(snippets(texts.join(shared, "doc_id").select("doc_id", "packed", "text_key", "dups", "shared"), n, buckets))
     key = F.xxhash64("offset", "snippet").alias("key")  # with the bucket, whose number grows with the input
     anchor = F.xxhash64(F.expr(f"substring(snippet, offset + 1, {GRAM})")).alias("anchor")
     folded = materialize(found.groupBy("bucket", "offset", "snippet").agg(F.min("doc_id").alias("least")).select("bucket", "snippet", "least", key, anchor))
@@ -373,21 +397,35 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
         return pa.table({"bucket": group["bucket"], "key": group["key"], "least": least, "bits": bits})
 
     some = not hot.isEmpty()
-    cold = folded.join(F.broadcast(hot), ["bucket", "anchor"], "left_anti") if some else folded
+    sent = F.broadcast(hot) if hot.limit(SENT + 1).count() <= SENT else hot
+    cold = folded.join(sent, ["bucket", "anchor"], "left_anti") if some else folded
     judged = cold.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
     if some:
-        judged = judged.unionByName(repeated_of_hot(materialize(folded.join(F.broadcast(hot), ["bucket", "anchor"]).select("bucket", "key", "least", "snippet")), n))
+        judged = judged.unionByName(repeated_of_hot(materialize(folded.join(sent, ["bucket", "anchor"]).select("bucket", "key", "least", "snippet")), n))
     seen = found.select("doc_id", "text_key", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
     covers = seen.join(judged, ["bucket", "key"]).select("doc_id", "text_key", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
     covers = materialize(covers.groupBy("doc_id", "text_key").agg(F.collect_list("cover").alias("covers")))
 
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        """Rows of about CHUNK bytes of text together, and their texts."""
+        raws, at, size = [], 0, 0
+        for k, x in enumerate(batch.column(1)):
+            raws.append(zstandard.decompress(x.as_py()))
+            size += len(raws[-1])
+            if size >= CHUNK:
+                yield batch.slice(at, k + 1 - at), raws
+                raws, at, size = [], k + 1, 0
+        if raws:
+            yield batch.slice(at), raws
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = [zstandard.decompress(x.as_py()) for x in batch.column(1)]
+        for batch, raws in (x for b in batches for x in slices(b)):
             edges_of = [np.zeros(len(r) + 1, np.int32) for r in raws]
             of_row, of_h = listed(batch.column(3), np.uint64)
-            for s, rows, offsets, edges in pieces(batch, 1, n):
+            with_dups = np.unique(of_row)  # other rows have no chunk to remove
+            for s, rows, offsets, edges in pieces(batch.take(pa.array(with_dups)), 1, n):
+                rows = with_dups[rows]
                 *_, (piece, first, last) = own_parts(s, rows, edges, of_row, of_h, n)
                 for p, a, b in zip(piece.tolist(), first.tolist(), last.tolist(), strict=True):
                     shift = int(offsets[p] - edges[p])
