@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import periods
+from tidemark.functions import periods, ranks
 from tidemark.operators import attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions
 from tidemark.plans import gold
 from tidemark.sources import lake, schemas
@@ -81,10 +81,20 @@ def test_ntile_matches_window(spark):
     from pyspark.sql import Window
 
     df = spark.createDataFrame([(i, (i * 7) % 10) for i in range(23)], "customer_id long, x long")
-    got = segments.ntile_scaled(df, 5, [("x", "desc"), "customer_id"], "t").withColumn("w", F.ntile(5).over(Window.orderBy(F.desc("x"), "customer_id")))
+    got = ranks.ntile_of_all(df, 5, [("x", "desc"), "customer_id"], "t").withColumn("w", F.ntile(5).over(Window.orderBy(F.desc("x"), "customer_id")))
     assert got.filter("t <> w").count() == 0 and got.count() == 23
 
 
+def test_dense_rank_of_all_matches_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(i, "ab"[i % 2] if i % 7 else None, float(i * 7 % 10) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, g string, x double")
+    got = ranks.dense_rank_of_all(df, ["g"], "x", "r").withColumn("w", F.dense_rank().over(Window.partitionBy("g").orderBy(F.desc_nulls_last("x"))))
+    assert got.filter("r <> w").count() == 0 and got.count() == 60
+    assert ranks.dense_rank_of_all(df.limit(0), [], "x", "r").count() == 0
+
+
 def test_pairs_same_product_twice(spark):
     i = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x")], "order_id long, product_name string")
     assert [(r.product_a, r.product_b, r.pair_orders) for r in products.product_pairs(i).orderBy("product_a").collect()] == [("x", "y", 1), ("y", "x", 1)]
@@ -100,12 +110,17 @@ def test_growth_over_a_gap_and_single_month(spark):
     assert ml == pytest.approx([r.forecast_revenue for r in forecast.ols_forecast(m.filter("category = 'a'")).orderBy("month_idx").collect()], rel=1e-5)
 
 
-def test_quality(spark):
+def test_quality(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (1, 2.0), (None, 3.0)], "k long, x double")
     assert {r.column_name: r.missing for r in data_quality.completeness(df, "d").collect()} == {"k": 1, "x": 1}
     assert data_quality.duplicates(df, ["k"], "d").first().duplicates == 1
-    suite = data_quality.silver_suite({"d": df, "gone": None}, {}, {}, date(2025, 1, 1)).collect()
-    assert ("gone", "HIGH") in {(r.dataset, r.severity) for r in suite}
+    checks = {"d": data_quality.Checks({"valid_k": "k is not null", "valid_other": "other > 0"}, ("k",), {"k": ("p", "k")}, ("gone", "at"), 1, ("x",)), "gone": data_quality.Checks({})}
+    held = {"d": df.withColumn("at", F.lit(date(2024, 12, 30))), "gone": None, "p": spark.createDataFrame([(2,)], "k long")}
+    suite = {(r.dataset, r.issue_type, r.severity) for r in data_quality.silver_suite(held, date(2025, 1, 1), checks).collect()}
+    assert suite == {("gone", "DATASET_NOT_FOUND", "HIGH"), ("d", "LOW_COMPLETENESS", "HIGH"), ("d", "LOW_VALIDITY", "HIGH"), ("d", "DUPLICATES", "HIGH"), ("d", "REFERENTIAL_INTEGRITY", "HIGH"), ("d", "DATA_STALENESS", "MEDIUM")}
+    data_quality.write_report(data_quality.suite_metrics(held, date(2025, 1, 1), checks), str(tmp_path), date(2025, 1, 1))
+    summary = spark.read.json(f"{tmp_path}/summary").first()
+    assert (summary.high_issues, summary.medium_issues, summary.passed) == (5, 1, False)
     a, e = T.StructType().add("a", T.LongType()).add("b", T.StringType()), T.StructType().add("a", T.IntegerType()).add("c", T.StringType())
     assert data_quality.schema_drift(a, e) == [("a", "type int -> bigint"), ("b", "added"), ("c", "missing")]
 
@@ -147,7 +162,7 @@ def test_gold_and_warehouse(spark, sf, tmp_path):
     tables = gold.campaign_roi(s, date(2024, 1, 28)) | gold.customer_segments(s, date(2001, 7, 15))
     gold.write_tables({"campaign_roi": tables["campaign_roi"]}, lake.LakePaths(str(tmp_path)))
     assert lake.read_partition(spark.read.parquet(str(tmp_path) + "/gold/campaign_roi"), time_period="monthly").count() > 0
-    star = gold.warehouse_tables(spark, s, tables)
+    star = gold.warehouse_tables(spark, s, tables, date(2024, 1, 28))
     assert star["FACT_RFM_SEGMENTS"].count() == star["FACT_RFM_SEGMENTS"].select("rfm_segments_key").distinct().count() > 0
     assert star["DIM_SEGMENT"].count() == 29
     lake.to_warehouse(star["DIM_PLATFORM"], "dim_platform")
@@ -155,11 +170,52 @@ def test_gold_and_warehouse(spark, sf, tmp_path):
 
 
 def test_channel_orders_are_counted_not_collected(spark, capsys):
-    rows = [("linear", "google", None, "x", "C1", 1, 2.0), ("linear", "google", None, "x", "C2", 1, 2.0), ("linear", "google", None, "x", "C2", 2, 1.0), ("linear", None, None, None, "C1", None, 1.0)]
-    att = spark.createDataFrame(rows, "attribution_model string, utm_source string, utm_medium string, utm_campaign string, campaign_id string, order_id long, attributed_revenue double").withColumn("order_date", F.lit(date(2024, 1, 28)))
-    ads = spark.createDataFrame([(date(2024, 1, 28), "C1", 5.0, 4), (date(2024, 1, 28), "C2", 1.0, 2)], "ad_date date, campaign_id string, cost double, clicks long")
+    rows = [("linear", "google", None, "x", "C1", 1, 7, 2.0), ("linear", "google", None, "x", "C2", 1, 7, 2.0), ("linear", "google", None, "x", "C2", 2, 7, 1.0), ("linear", None, None, None, "C1", None, None, 1.0)]
+    att = spark.createDataFrame(rows, "attribution_model string, utm_source string, utm_medium string, utm_campaign string, campaign_id string, order_id long, user_id long, attributed_revenue double").withColumn("order_date", F.lit(date(2024, 1, 28)))
+    ads = spark.createDataFrame([(date(2024, 1, 28), "C1", 5.0, 9, 4), (date(2024, 1, 28), "C2", 1.0, 9, 2)], "ad_date date, campaign_id string, cost double, impressions long, clicks long")
     out = marketing.channel_metrics(att, ads, date(2024, 1, 28), ["daily"])
     got = {r.utm_source: (r.conversions, r.revenue, r.unique_orders, r.cost, r.clicks) for r in out.collect()}
     assert got == {"google": (3, 5.0, 2, 6.0, 6), None: (1, 1.0, 0, 5.0, 4)}
     out.explain()
     assert "collect_" not in capsys.readouterr().out
+
+
+def test_loads_by_date(spark, sf, tmp_path):
+    s, paths = gold.Silver.of_tables(spark, sf), lake.LakePaths(str(tmp_path))
+    gold.load_attribution(s, paths, date(2024, 1, 20), days_back=5)
+    gold.load_attribution(s, paths, date(2024, 1, 21), days_back=5)
+    held = spark.read.parquet(paths.at("silver", "marketing_attribution"))
+    spans = {str(r[0]): (r[1].date(), r[2].date()) for r in held.groupBy("processing_date").agg(F.min("order_date"), F.max("order_date")).collect()}
+    assert set(spans) == {"2024-01-20", "2024-01-21"} and spans["2024-01-20"][0] >= date(2024, 1, 15) and spans["2024-01-20"][1] <= date(2024, 1, 20)
+    whole = gold.marketing_attribution(s)["marketing_attribution"].filter("to_date(order_date) between '2024-01-15' and '2024-01-20'")
+    assert held.filter("processing_date = '2024-01-20'").count() == whole.count() > 0  # no session is lost at the window's edge
+    gold.load_sessions(s, paths, date(2024, 1, 20))
+    web = spark.read.parquet(paths.at("silver", "web_sessions"))
+    assert web.count() == s.web.count() and {"processing_date", "silver_updated_at"} <= set(web.columns)
+    day = lake.read_day(s.logs, "event_timestamp", date(2024, 1, 3))
+    assert day.count() == s.logs.filter("date = '2024-01-03'").count() > 0 and periods.parse_date("2024-01-03") == date(2024, 1, 3)
+
+
+@pytest.mark.parametrize("subject", sorted(gold.SUBJECTS))
+def test_warehouse_loads(spark, sf, subject):
+    day = date(2024, 1, 28) if subject in ("marketing_performance", "campaign_roi") else date(2001, 7, 15)
+    names = gold.load_warehouse(spark, gold.Silver.of_tables(spark, sf), subject, day)
+    assert names and any(n.startswith("DIM_") for n in names) and all(spark.table(n.lower()).count() > 0 for n in names)
+    assert spark.table(next(n for n in names if n.startswith("FACT_")).lower()).first().dw_load_ts == day
+
+
+def test_json_append_and_csv_datasets(spark, tmp_path):
+    for day in (1, 2):
+        lake.write(spark.createDataFrame([(day, "x")], "k int, v string"), str(tmp_path / "j"), mode="append", fmt="json")
+    assert sorted(r.k for r in lake.read_json(spark, str(tmp_path / "j"), "k int, v string").collect()) == [1, 2]
+    (tmp_path / "customers_20250101.csv").write_text("customer_id,first_name\nc1,A\n")
+    (tmp_path / "customers_20250102.csv").write_text("customer_id,first_name\nc1,B\n")
+    raw = lake.read_csv(spark, "customers", str(tmp_path)).withColumn("source_file", F.col("_metadata.file_name"))
+    assert cleaning.clean_customers(raw, date(2025, 1, 3)).first().first_name == "B"  # the latest snapshot wins
+
+
+def test_social_ads_and_touch_sequence(spark):
+    g = spark.createDataFrame([("2025-01-01", "g1", "Story", 100, 4, 8.0, 2, 16.0, 0.7, 25)], "date string, campaign_id string, ad_type string, impressions int, clicks int, cost double, conversions int, conversion_value double, avg_cpc double, engagements int")
+    assert cleaning.clean_social_ads(g).first().engagement_rate == 0.25
+    s = spark.createDataFrame([("b", 1, 2), ("a", 1, 1), ("c", 2, 1)], "session_id string, user_id long, session_start int")
+    assert {r.session_id: r.session_seq for r in attribution.touch_sequence(s).collect()} == {"a": 1, "b": 2, "c": 1}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import MONTHS, mapped, ratio
 from tidemark.functions.periods import by_period
-from tidemark.operators.segments import tenure_bucket
+from tidemark.operators.segments import TENURES, tenure_bucket
 
 
 def source_metrics(customers: DataFrame, orders: DataFrame, ads: DataFrame) -> DataFrame:
@@ -49,11 +49,13 @@ def first_purchase_cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame
     return per.withColumn("conversion_rate", F.col("buyers") / F.col("customers") * 100)
 
 
-def ltv_by_tenure(customers: DataFrame, orders: DataFrame, as_of: date) -> DataFrame:
-    per = orders.groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("final_total").alias("spent"))
-    rows = customers.filter("registration_date is not null").withColumn("tenure", tenure_bucket(F.date_diff(F.lit(as_of), "registration_date"))).select("customer_id", "acquisition_source", "tenure").join(per, "customer_id", "left")
-    out = rows.groupBy("acquisition_source", "tenure").agg(F.count("*").alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.coalesce(F.sum("spent"), F.lit(0.0)).alias("revenue"))
-    return out.withColumns({"orders_per_customer": F.col("orders") / F.col("customers"), "revenue_per_customer": F.col("revenue") / F.col("customers")})
+def ltv_by_tenure(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """Orders by source and by how long their customer had been one."""
+    rows = orders.filter("customer_id is not null").join(customers.select("customer_id", "acquisition_source", "registration_date"), "customer_id")
+    rows = rows.withColumn("tenure_bucket", tenure_bucket(F.date_diff("order_date", "registration_date")))
+    out = rows.groupBy("acquisition_source", "tenure_bucket").agg(F.count_distinct("customer_id").alias("customer_count"), F.sum("final_total").alias("total_revenue"), F.avg("final_total").alias("avg_order_value"), F.count("order_id").alias("order_count"))
+    place = mapped(F.col("tenure_bucket"), {label: k for k, (_, label) in enumerate(TENURES, 1)}, F.lit(len(TENURES) + 1))
+    return out.withColumns({"orders_per_customer": ratio("order_count", "customer_count", 0.0), "revenue_per_customer": ratio("total_revenue", "customer_count", 0.0), "tenure_order": place})
 
 
 def channel_effectiveness(attributed: DataFrame, sessions: DataFrame, ads: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +17,12 @@ def journeys(sessions: DataFrame, orders: DataFrame, lookback_days: int = 30) ->
     marketed = F.coalesce(*TOUCH[:3]).isNotNull()
     s = latest(sessions.filter(marketed & F.col("user_id").isNotNull()), ["session_id"], F.asc("session_start")).select("session_id", "user_id", "session_start", *TOUCH)
     o = orders.select("order_id", F.col("customer_id").alias("user_id"), "order_date", F.col("final_total").alias("order_value"))
+    # visitors meet their orders by stretches of lookback_days + 1 days: an order looks into its own and the one before it
+    stretch = lambda day: F.floor(F.unix_date(F.to_date(day)) / (lookback_days + 1))
+    s = s.withColumn("stretch", stretch("session_start"))
+    o = o.withColumn("stretch", F.explode(F.array(stretch("order_date"), stretch("order_date") - 1)))
     within = F.date_diff("order_date", "session_start").between(0, lookback_days) & (F.col("session_start") <= F.col("order_date"))
-    pairs = o.join(s, "user_id").filter(within).withColumn("days_before_purchase", F.date_diff("order_date", "session_start"))
+    pairs = o.join(s, ["user_id", "stretch"]).filter(within).withColumn("days_before_purchase", F.date_diff("order_date", "session_start"))
     point = F.struct("session_start", "session_id", "days_before_purchase", *TOUCH)
     return pairs.groupBy("order_id", "user_id", "order_date", "order_value").agg(
         F.count("*").alias("touchpoint_count"), F.min("session_start").alias("first_touch"), F.max("session_start").alias("last_touch"),
@@ -55,7 +57,17 @@ def time_decay(j: DataFrame) -> DataFrame:
 
 
 def attribution_models(j: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [f(j) for f in (first_touch, last_touch, linear, time_decay)])
+    """All four models in one pass over the journeys: each touchpoint gets the credits that are not null."""
+    total = F.aggregate("touchpoints", F.lit(0.0), lambda acc, t: acc + F.pow(F.lit(DECAY), t["days_before_purchase"]))
+    rows = j.withColumn("total", total).select("*", F.posexplode("touchpoints").alias("at", "t"))
+    weights = {
+        "first_touch": F.when(F.col("at") == 0, 1.0), "last_touch": F.when(F.col("at") == F.col("touchpoint_count") - 1, 1.0),
+        "linear": 1 / F.col("touchpoint_count"), "time_decay": F.pow(F.lit(DECAY), F.col("t.days_before_purchase")) / F.col("total"),
+    }
+    credits = F.filter(F.array(*[F.struct(F.lit(m).alias("attribution_model"), w.alias("touchpoint_weight")) for m, w in weights.items()]), lambda x: x["touchpoint_weight"].isNotNull())
+    points = [F.col(f"t.{c}").alias(c) for c in ("session_id", *TOUCH, "days_before_purchase")]
+    out = rows.select("order_id", "user_id", "order_date", "order_value", "touchpoint_count", *points, F.inline(credits))
+    return out.withColumn("attributed_revenue", F.col("order_value") * F.col("touchpoint_weight"))
 
 
 def channel_performance(attributed: DataFrame, ads: DataFrame) -> DataFrame:

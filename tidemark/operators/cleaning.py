@@ -47,8 +47,10 @@ def value_segment(value):
 
 
 def clean_customers(raw: DataFrame, as_of: date, order: list | None = None) -> DataFrame:
-    """One row for each customer_id, the latest; order: what makes a row later, by default more orders."""
-    one = latest(raw, ["customer_id"], *(order or [F.desc_nulls_last("total_orders"), F.desc_nulls_last("lifetime_value")]))
+    """One row for each customer_id, the latest; order: what makes a row later, by default the name of the source file, which holds
+    its date, where it is known, then more orders."""
+    by_file = [F.desc_nulls_last("source_file")] if "source_file" in raw.columns else []
+    one = latest(raw, ["customer_id"], *(order or [*by_file, F.desc_nulls_last("total_orders"), F.desc_nulls_last("lifetime_value")]))
     out = one.withColumns({"email": F.lower(F.trim("email")), "customer_tenure_days": F.coalesce(F.date_diff(F.lit(as_of), "registration_date"), F.lit(0)), "lifecycle_stage": customer_stage(F.col("total_orders")), "value_segment": value_segment(F.col("lifetime_value")), "year": F.year("registration_date"), "month": F.month("registration_date"), "day": F.dayofmonth("registration_date")})
     for c in ("skin_concerns", "preferred_ingredients", "allergies"):
         if c in raw.columns:

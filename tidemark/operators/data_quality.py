@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.exprs import ladder
+from tidemark.functions.exprs import ladder, mapped
+from tidemark.sources import lake
 
 
 def completeness(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +55,7 @@ def outliers(df: DataFrame, column: str, name: str, method: str = "zscore", thre
         stats = x.agg(F.avg("x").alias("m"), F.stddev("x").alias("s"))
         odd = (F.col("s") > 0) & ((F.col("x") - F.col("m")) / F.col("s") > threshold)
     else:
-        stats = x.agg(F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3"))
+        stats = x.agg(F.percentile_approx("x", 0.25, 10_000).alias("q1"), F.percentile_approx("x", 0.75, 10_000).alias("q3"))  # sketches
         odd = (F.col("x") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("x") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     one = x.join(F.broadcast(stats)).agg(F.count("*").alias("total"), F.count_if(odd).alias("outliers"))  # stats: one row
     share = F.when(F.col("total") > 0, F.col("outliers") / F.col("total") * 100).otherwise(0.0)
@@ -72,14 +76,23 @@ def distribution(df: DataFrame, column: str, name: str, most: int = 100) -> Data
 
 
 def issues(metrics: DataFrame) -> DataFrame:
-    """metrics: (dataset, kind, value): completeness, validity, duplicate_percent, integrity, age_days; null value: missing."""
+    """What of the metrics is an issue, and how severe. metrics: (dataset, kind, value), where it exists also allowed: the days that
+    age_days may reach (1). Kinds: completeness, validity, duplicate_percent, integrity, age_days; null value: the dataset is missing."""
     k, v = F.col("kind"), F.col("value")
+    days = F.coalesce(F.col("allowed"), F.lit(1.0)) if "allowed" in metrics.columns else F.lit(1.0)
     low = k.isin("completeness", "validity")
     severity = ladder([
-        (v.isNull(), "HIGH"), (low & (v < 0.9), "HIGH"), (low & (v < 0.95), "MEDIUM"), ((k == "duplicate_percent") & (v > 5), "HIGH"), ((k == "duplicate_percent") & (v > 1), "MEDIUM"),
-        ((k == "integrity") & (v < 0.9), "HIGH"), ((k == "age_days") & (v > 3), "HIGH"), ((k == "age_days") & (v > 1), "MEDIUM"),
+        ((k == "missing") | v.isNull(), "HIGH"), (low & (v < 0.9), "HIGH"), (low & (v < 0.95), "MEDIUM"), ((k == "duplicate_percent") & (v > 5), "HIGH"), ((k == "duplicate_percent") & (v > 1), "MEDIUM"),
+        ((k == "integrity") & (v < 0.9), "HIGH"), ((k == "age_days") & (v > days) & (v > 3), "HIGH"), ((k == "age_days") & (v > days), "MEDIUM"),
     ], "NONE")
-    return metrics.withColumn("severity", severity).filter("severity <> 'NONE'")
+    return metrics.withColumn("severity", severity).filter("severity <> 'NONE'").withColumn("issue_type", mapped(k, ISSUE_TYPES))
+
+
+# fixed values: names of issues in the reports
+ISSUE_TYPES = {
+    "completeness": "LOW_COMPLETENESS", "validity": "LOW_VALIDITY", "duplicate_percent": "DUPLICATES", "integrity": "REFERENTIAL_INTEGRITY",
+    "age_days": "DATA_STALENESS", "missing": "DATASET_NOT_FOUND",
+}
 
 
 def volume_anomalies(df: DataFrame, column: str, days: int = 7, k: float = 3.0) -> DataFrame:
@@ -96,24 +109,83 @@ def schema_drift(actual: T.StructType, expected: T.StructType) -> list[tuple[str
     return [(c, "added" if c not in e else "missing" if c not in a else f"type {e[c]} -> {a[c]}") for c in sorted(a | e) if a.get(c) != e.get(c)]
 
 
-def rows_of(kind: str, df: DataFrame, dataset: Column, value: Column) -> DataFrame:
-    return df.select(dataset.alias("dataset"), F.lit(kind).alias("kind"), value.cast("double").alias("value"))
+@dataclass(frozen=True)
+class Checks:
+    """What is checked of a dataset. A rule that names a column the dataset lacks is left out, as is a date column."""
+
+    rules: dict[str, str]
+    keys: tuple[str, ...] = ()
+    parents: dict[str, tuple[str, str]] = field(default_factory=dict)  #: own column -> (dataset, its column)
+    dates: tuple[str, ...] = ()  #: the first of them that exists is when the dataset was last updated
+    days: int = 1  #: age in days that it may reach
+    outliers: tuple[str, ...] = ()
+    values: tuple[str, ...] = ()  #: columns whose distribution is reported
+
+
+def _known(*columns: str) -> dict[str, str]:
+    return {f"valid_{c}": f"{c} is not null" for c in columns}
+
+
+def _amount(*columns: str) -> dict[str, str]:
+    return {f"valid_{c}": f"{c} >= 0" for c in columns}
+
+
+EMAIL = {"valid_email": "length(email) > 5 and contains(email, '@')"}
+SUITE = {
+    "web_logs": Checks(_known("event_id", "session_id", "event_timestamp", "event_type"), ("event_id",), {}, ("event_timestamp",), 2, (), ("event_type",)),
+    "customers": Checks(_known("customer_id", "registration_date") | EMAIL, ("customer_id",), {}, ("silver_updated_at", "registration_date"), 1, (), ("gender", "skin_type")),
+    "orders": Checks(_known("order_id", "customer_id", "order_date") | _amount("final_total"), ("order_id",), {"customer_id": ("customers", "customer_id")}, ("silver_updated_at", "order_date"), 1, ("final_total",)),
+    "order_items": Checks(_known("order_id", "product_name") | {"valid_price": "price > 0", "valid_quantity": "quantity > 0"}, (), {"order_id": ("orders", "order_id")}, (), 1, (), ("category",)),
+    "google_ads": Checks(_known("campaign_id", "ad_date") | _amount("cost", "impressions"), (), {}, ("silver_updated_at", "ad_date"), 1, ("cost",)),
+    "social_ads": Checks(_known("campaign_id", "ad_date", "platform") | _amount("cost"), (), {}, ("silver_updated_at", "ad_date"), 1, (), ("platform",)),
+    "web_sessions": Checks(_known("session_id", "session_start") | _amount("session_duration_seconds"), ("session_id",), {}, ("silver_updated_at", "session_start"), 1, ("session_duration_seconds",)),
+    "customer_sessions": Checks(_known("session_id", "user_id", "session_start"), (), {"user_id": ("customers", "customer_id")}, ("silver_updated_at", "session_start")),
+    "customer_profiles": Checks(_known("customer_id", "profile_lifecycle_stage") | EMAIL, (), {"customer_id": ("customers", "customer_id")}, ("profile_updated_at",), 1, (), ("profile_lifecycle_stage",)),
+    "marketing_attribution": Checks(_known("order_id", "user_id", "attribution_model") | _amount("attributed_revenue"), (), {"order_id": ("web_orders", "order_id")}, ("order_date",), 1, (), ("attribution_model",)),
+    "channel_performance": Checks(_known("attribution_model", "utm_source") | _amount("attributed_revenue"), (), {}, ("attribution_date",)),
+}
+
+
+def suite_metrics(datasets: dict[str, DataFrame | None], as_of: date, suite: dict[str, Checks] | None = None) -> DataFrame:
+    """(dataset, kind, item, value, allowed) of all checks. item: the column, parent or value that a row is about. Kinds:
+    completeness and validity of the dataset, duplicate_percent, integrity, age_days, outlier_percent, value_percent, missing."""
+    spark = next(d for d in datasets.values() if d is not None).sparkSession
+    schema, out = "dataset string, kind string, item string, value double, allowed double", []
+
+    def add(name: str, kind: str, df: DataFrame, value: Column, item: Column | None = None, allowed: float | None = None):
+        out.append(df.select(F.lit(name).alias("dataset"), F.lit(kind).alias("kind"), (F.lit(None) if item is None else item).cast("string").alias("item"), value.cast("double").alias("value"), F.lit(allowed).cast("double").alias("allowed")))
+
+    for name, checks in (SUITE if suite is None else suite).items():
+        if (df := datasets.get(name)) is None:
+            out.append(spark.createDataFrame([(name, "missing", None, None, None)], schema))
+            continue
+        add(name, "completeness", completeness(df, name).agg(F.sum("missing").alias("m"), F.sum("total").alias("t")), F.when(F.col("t") > 0, 1 - F.col("m") / F.col("t")).otherwise(1.0))
+        rules = {k: F.expr(r) for k, r in checks.rules.items() if set(df.columns) & set(re.findall(r"\w+", r))}
+        if rules:
+            add(name, "validity", validity(df, name, rules).agg(F.sum("valid").alias("v"), F.sum("total").alias("t")), F.when(F.col("t") > 0, F.col("v") / F.col("t")).otherwise(1.0))
+        if checks.keys:
+            add(name, "duplicate_percent", duplicates(df, list(checks.keys), name), F.col("percent"), F.lit(",".join(checks.keys)))
+        for column, (parent, key) in checks.parents.items():
+            if datasets.get(parent) is not None:
+                add(name, "integrity", referential_integrity(df, datasets[parent], column, key, f"{name}-{parent}"), F.col("score"), F.lit(parent))
+        if updated := next((c for c in checks.dates if c in df.columns), None):
+            add(name, "age_days", freshness(df, updated, name, as_of, checks.days), F.col("age_days"), F.lit(updated), checks.days)
+        for column in checks.outliers:
+            add(name, "outlier_percent", outliers(df, column, name), F.col("percent"), F.lit(column))
+        for column in checks.values:
+            if column in df.columns:
+                add(name, "value_percent", distribution(df, column, name), F.col("percent"), F.concat_ws("=", F.lit(column), F.coalesce("value", F.lit("null"))))
+    return reduce(DataFrame.unionByName, out)
+
+
+def silver_suite(datasets: dict[str, DataFrame | None], as_of: date, suite: dict[str, Checks] | None = None) -> DataFrame:
+    """Issues of all datasets; a missing dataset is a HIGH issue. Passes if no issue is HIGH."""
+    return issues(suite_metrics(datasets, as_of, suite))
 
 
-def silver_suite(datasets: dict[str, DataFrame | None], keys: dict[str, list[str]], dates: dict[str, str], as_of: date) -> DataFrame:
-    """Issues of all datasets; a missing dataset is a HIGH issue. Passes if no issue is HIGH."""
-    out = None
-    for name, df in datasets.items():
-        if df is None:
-            spark = next(d for d in datasets.values() if d is not None).sparkSession
-            parts = [spark.createDataFrame([(name, "missing", None)], "dataset string, kind string, value double")]
-        else:
-            c = completeness(df, name).groupBy("dataset").agg((1 - F.sum("missing") / F.sum("total")).alias("v"))
-            parts = [rows_of("completeness", c, F.col("dataset"), F.coalesce("v", F.lit(1.0)))]
-            if name in keys:
-                parts.append(rows_of("duplicate_percent", duplicates(df, keys[name], name), F.col("dataset"), F.col("percent")))
-            if name in dates:
-                parts.append(rows_of("age_days", freshness(df, dates[name], name, as_of), F.col("dataset"), F.col("age_days")))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    return issues(out)
+def write_report(metrics: DataFrame, path: str, as_of: date, fmt: str = "json") -> None:
+    """The metrics, the issues and their number by severity under path, by report date."""
+    found = issues(metrics)
+    counts = found.agg(*[F.count_if(F.col("severity") == x).alias(f"{x.lower()}_issues") for x in ("HIGH", "MEDIUM")]).withColumn("passed", F.col("high_issues") == 0)
+    for name, df in (("metrics", metrics), ("issues", found), ("summary", counts)):
+        lake.write(df.withColumn("report_date", F.lit(as_of)), f"{path.rstrip('/')}/{name}", ["report_date"], fmt=fmt)

@@ -38,15 +38,19 @@ def growth(monthly: DataFrame) -> DataFrame:
 
 
 def growth_trends(monthly: DataFrame, months: int = 6) -> DataFrame:
-    """Of the last months, over all and by category: mean, least and most growth, with labels. monthly: by category."""
-    total = monthly.groupBy("month_idx").agg(F.sum("revenue").alias("revenue")).withColumn("category", F.lit("ALL"))
-    both = growth(total.unionByName(monthly.select("month_idx", "revenue", "category")))
-    last = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("month_idx")))
+    """Mean, least and most growth of the last months with a label for the year's growth, over all ('Overall', its last rows, nulls
+    as 0) and by category (the last months of the table). monthly: by category."""
     stats = [f(c).alias(f"{n}_{c}") for c in ("mom_growth", "yoy_growth") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
-    out = both.withColumn("_r", last).filter(F.col("_r") <= months).groupBy("category").agg(F.count("*").alias("months"), *stats)
+    total = growth(monthly.groupBy("month_idx").agg(F.sum("revenue").alias("revenue")))
+    overall = total.orderBy(F.desc("month_idx")).limit(months).agg(F.count("*").alias("months"), *stats).filter("months > 0").withColumn("segment", F.lit("Overall")).na.fill(0.0)
+    last = monthly.agg(F.max("month_idx").alias("last"))  # one row
+    recent = growth(monthly.select("month_idx", "category", "revenue")).join(F.broadcast(last), F.col("month_idx") > F.col("last") - months)
+    out = overall.unionByName(recent.groupBy(F.col("category").alias("segment")).agg(F.count("*").alias("months"), *stats))
     mom, yoy = F.col("avg_mom_growth"), F.col("avg_yoy_growth")
-    label = ladder([(mom.isNull(), "Unknown")], bands(mom, [(20, "Strong Growth"), (10, "Moderate Growth"), (0, "Slight Growth"), (-10, "Slight Decline")], "Strong Decline"))
-    return out.withColumns({"growth_label": label, "momentum": ladder([(mom > yoy, "Accelerating"), (mom > 0, "Continuing"), ((mom < 0) & (yoy > 0), "Slowing")], "Declining")})
+    # fixed values: labels of the reports
+    label = bands(yoy, [(20, "Strong Growth"), (10, "Healthy Growth"), (0, "Stable Growth"), (-10, "Slight Decline")], "Significant Decline")
+    momentum = ladder([(mom > yoy, "Accelerating"), (mom > 0, "Continuing"), ((mom < 0) & (yoy > 0), "Slowing")], "Declining")
+    return out.withColumns({"growth_trend": label, "momentum": momentum})
 
 
 def seasonal_index(monthly: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bands, change_percent, ladder, ratio, trend_label
-from tidemark.functions.periods import adjacent, by_period
+from tidemark.functions.periods import adjacent, by_period, periods
+from tidemark.functions.ranks import dense_rank_of_all
 
 CHANNEL = ["attribution_model", "utm_source", "utm_medium", "utm_campaign"]
 
@@ -24,20 +25,25 @@ def channel_metrics(attributed: DataFrame, ads: DataFrame, as_of: date, names: l
     keyed = ["time_period", *CHANNEL]
     held = by_period(attributed, "order_date", as_of, names)
     by_campaign = held.groupBy(*keyed, "campaign_id").agg(F.count("*").alias("conversions"), F.sum("attributed_revenue").alias("revenue"))
-    orders = held.groupBy(*[F.col(c).alias(f"of_{c}") for c in keyed]).agg(F.count_distinct("order_id").alias("unique_orders"))
-    spend = by_period(ads, "ad_date", as_of, names).groupBy("time_period", "campaign_id").agg(F.sum("cost").alias("cost"), F.sum("clicks").alias("clicks"))
-    out = by_campaign.join(spend, ["time_period", "campaign_id"], "left").groupBy(*keyed).agg(F.sum("conversions").alias("conversions"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"), F.sum("clicks").alias("clicks"))
+    orders = held.groupBy(*[F.col(c).alias(f"of_{c}") for c in keyed]).agg(F.count_distinct("order_id").alias("unique_orders"), F.count_distinct("user_id").alias("unique_users"))
+    sums = [F.sum(c).alias(c) for c in ("cost", "impressions", "clicks")]
+    spend = by_period(ads, "ad_date", as_of, names).groupBy("time_period", "campaign_id").agg(*sums)
+    out = by_campaign.join(spend, ["time_period", "campaign_id"], "left").groupBy(*keyed).agg(F.sum("conversions").alias("conversions"), F.sum("revenue").alias("revenue"), *sums)
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keyed])
-    out = out.join(orders, same).select(*keyed, "conversions", "revenue", "unique_orders", "cost", "clicks")
+    out = out.join(orders, same).select(*keyed, "conversions", "revenue", "unique_orders", "unique_users", "cost", "impressions", "clicks")
     return out.withColumns({"roas": ratio("revenue", "cost"), "roi": roi("revenue", "cost"), "cpa": ratio("cost", "conversions"), "cpc": ratio("cost", "clicks"), "conversion_rate": ratio("conversions", "clicks")})
 
 
 def channel_rankings(metrics: DataFrame) -> DataFrame:
+    """Four dense ranks within period and model, their mean and its tier."""
     w = Window.partitionBy("time_period", "attribution_model")
     rank = lambda c: F.dense_rank().over(w.orderBy(F.desc_nulls_last(F.round(c, 6))))
-    out = metrics.withColumns({f"{c}_rank": rank(c) for c in ("revenue", "conversions", "roi", "conversion_rate")})
-    out = out.withColumn("performance_score", sum(F.col(f"{c}_rank") for c in ("revenue", "conversions", "roi", "conversion_rate")) / 4)
-    return out.withColumn("performance_tier", ladder([(F.col("performance_score") <= 3, "Top"), (F.col("performance_score") <= 7, "High"), (F.col("performance_score") <= 12, "Medium")], "Low"))
+    ranks = {"roi_rank": "roi", "roas_rank": "roas", "revenue_rank": "revenue", "conversion_rank": "conversions"}
+    out = metrics.withColumns({k: rank(c) for k, c in ranks.items()})
+    out = out.withColumn("performance_score", sum(F.col(k) for k in ranks) / 4)
+    score = F.col("performance_score")
+    # fixed values: tiers of the reports
+    return out.withColumn("performance_tier", ladder([(score <= 3, "Top Performer"), (score <= 7, "Strong Performer"), (score <= 12, "Average Performer")], "Under Performer"))
 
 
 def channel_trend(attributed: DataFrame, as_of: date, name: str) -> DataFrame:
@@ -49,7 +55,8 @@ def channel_trend(attributed: DataFrame, as_of: date, name: str) -> DataFrame:
     out = attributed.filter(now | before).groupBy(*CHANNEL).agg(*both("revenue", F.col("attributed_revenue")), *both("conversions", F.lit(1)))
     for c in ("revenue", "conversions"):
         out = out.withColumns({f"{c}_change": F.col(f"current_{c}") - F.col(f"previous_{c}"), f"{c}_growth": change_percent(f"current_{c}", f"previous_{c}")})
-    return out.withColumns({"trend_period": F.lit(name), "trend": trend_label(F.col("revenue_growth"))})
+    dates = {"current_start": a, "current_end": b, "previous_start": p, "previous_end": q}
+    return out.withColumns({"trend_period": F.lit(name), **{k: F.lit(v) for k, v in dates.items()}, "trend": trend_label(F.round("revenue_growth", 9))})
 
 
 def channel_comparison(attributed: DataFrame, ads: DataFrame) -> DataFrame:
@@ -66,70 +73,116 @@ def channel_comparison(attributed: DataFrame, ads: DataFrame) -> DataFrame:
 
 def campaign_performance(attributed: DataFrame, ads: DataFrame) -> DataFrame:
     """Campaign x model, full outer with spend by campaign name."""
-    per = attributed.filter("utm_campaign is not null").groupBy(F.col("utm_campaign").alias("campaign_name"), "attribution_model").agg(F.count_distinct("order_id").alias("orders"), F.count_distinct("user_id").alias("customers"), F.sum("attributed_revenue").alias("revenue"))
-    spend = ads.groupBy("campaign_name").agg(F.min("platform").alias("platform"), F.sum("cost").alias("cost"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("conversions").alias("tracked_conversions"))
-    out = per.join(spend, "campaign_name", "full_outer").withColumns({"avg_order_value": ratio("revenue", "orders"), "roas": ratio("revenue", "cost"), "roi": roi("revenue", "cost"), "ctr_percent": ratio("clicks", "impressions", None, 100), "cpc": ratio("cost", "clicks")})
+    per = attributed.filter("utm_campaign is not null").groupBy(F.col("utm_campaign").alias("campaign_name"), "attribution_model").agg(
+        F.count_distinct("order_id").alias("orders"), F.count_distinct("user_id").alias("customers"), F.sum("attributed_revenue").alias("revenue"), F.avg("attributed_revenue").alias("avg_order_value"))
+    spend = ads.filter("campaign_name is not null").groupBy("campaign_name").agg(
+        F.min("platform").alias("platform"), F.sum("cost").alias("cost"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.sum("conversions").alias("tracked_conversions"))
+    out = per.join(spend, "campaign_name", "full_outer").withColumns({"roas": ratio("revenue", "cost"), "roi": roi("revenue", "cost"), "ctr_percent": ratio("clicks", "impressions", None, 100), "cpc": ratio("cost", "clicks")})
     done = F.when(F.col("orders") > 0, F.col("orders")).otherwise(F.col("tracked_conversions"))
     return out.withColumns({"cpa": ratio("cost", done), "conversion_percent": ratio(done, "clicks", None, 100)})
 
 
 def campaign_periods(attributed: DataFrame, ads: DataFrame, as_of: date, names: list[str], approximate: bool = False) -> DataFrame:
-    """All periods in one scan; distinct counts are exact unless asked otherwise."""
+    """Period x campaign x model, full outer with the period's spend: all periods in one scan. Distinct counts are exact unless
+    asked otherwise. Spend of a campaign without orders in the period has a null model."""
     count = F.approx_count_distinct if approximate else F.count_distinct
-    per = by_period(attributed.filter("utm_campaign is not null"), "order_date", as_of, names).groupBy("time_period", F.col("utm_campaign").alias("campaign_name"), "attribution_model").agg(count("order_id").alias("period_orders"), count("user_id").alias("period_customers"), F.sum("attributed_revenue").alias("period_revenue"))
-    spend = by_period(ads, "ad_date", as_of, names).groupBy("time_period", "campaign_name").agg(F.sum("cost").alias("period_cost"))
-    return per.join(spend, ["time_period", "campaign_name"], "left").withColumns({"period_roas": ratio("period_revenue", "period_cost"), "period_roi": roi("period_revenue", "period_cost")})
+    held = by_period(attributed.filter("utm_campaign is not null"), "order_date", as_of, names)
+    per = held.groupBy("time_period", F.col("utm_campaign").alias("campaign_name"), "attribution_model").agg(
+        count("order_id").alias("period_orders"), count("user_id").alias("period_customers"), F.sum("attributed_revenue").alias("period_revenue"), F.avg("attributed_revenue").alias("period_aov"))
+    spend = by_period(ads.filter("campaign_name is not null"), "ad_date", as_of, names).groupBy("time_period", "campaign_name").agg(
+        F.sum("cost").alias("period_cost"), F.sum("impressions").alias("period_impressions"), F.sum("clicks").alias("period_clicks"), F.sum("conversions").alias("period_tracked_conversions"))
+    both = per.join(spend, ["time_period", "campaign_name"], "full_outer").withColumns({"period_roas": ratio("period_revenue", "period_cost"), "period_roi": roi("period_revenue", "period_cost")})
+    return both.join(F.broadcast(periods(ads.sparkSession, as_of, names)), "time_period")  # a handful of rows
 
 
 def roi_class(x):
+    # fixed values: classes of the reports
     return ladder([(x.isNull(), "Unknown"), (x >= 2, "Excellent (200%+ ROI)"), (x >= 1, "Very Good (100-200% ROI)"), (x >= 0.5, "Good (50-100% ROI)"), (x >= 0, "Break-even (0-50% ROI)"), (x >= -0.5, "Poor (-50-0% ROI)")], "Very Poor (< -50% ROI)")
 
 
 def campaign_roi(overall: DataFrame, by_time: DataFrame) -> DataFrame:
-    out = overall.join(by_time, ["campaign_name", "attribution_model"], "left")
+    """Each campaign and model with its periods; ranks and class are those of the period."""
+    t = by_time.withColumnsRenamed({"campaign_name": "of_campaign", "attribution_model": "of_model"})
+    same = (F.col("campaign_name") == F.col("of_campaign")) & F.col("attribution_model").eqNullSafe(F.col("of_model"))
+    out = overall.join(t, same, "left").drop("of_campaign", "of_model")
     w = Window.partitionBy("time_period", "attribution_model")
-    return out.withColumns({"roi_rank": F.dense_rank().over(w.orderBy(F.desc_nulls_last(F.round("roi", 6)))), "revenue_rank": F.dense_rank().over(w.orderBy(F.desc_nulls_last(F.round("revenue", 2)))), "roi_class": roi_class(F.col("roi"))})
+    rank = lambda c, d: F.dense_rank().over(w.orderBy(F.desc_nulls_last(F.round(c, d))))
+    return out.withColumns({"roi_rank": rank("period_roi", 6), "revenue_rank": rank("period_revenue", 2), "roi_class": roi_class(F.col("period_roi"))})
 
 
 def platform_comparison(table: DataFrame) -> DataFrame:
-    out = table.groupBy("platform", "time_period").agg(*[F.sum(c).alias(c) for c in ("revenue", "cost", "impressions", "clicks", "orders")])
-    out = out.withColumns({"roi": roi("revenue", "cost"), "ctr": ratio("clicks", "impressions"), "cpa": ratio("cost", "orders"), "conversion_rate": ratio("orders", "clicks")})
-    return out.withColumn("platform_rank", F.dense_rank().over(Window.partitionBy("time_period").orderBy(F.desc_nulls_last(F.round("roi", 6)))))
+    """Platform x period x model: sums of the period's columns, so that a campaign's spend and revenue count once in each row."""
+    keys = ["platform", "time_period", "period_start", "period_end", "attribution_model"]
+    sums = {"period_cost": "channel_cost", "period_revenue": "channel_revenue", "period_impressions": "channel_impressions", "period_clicks": "channel_clicks", "period_orders": "channel_orders"}
+    out = table.filter("platform is not null and time_period is not null").groupBy(*keys).agg(*[F.sum(c).alias(k) for c, k in sums.items()], F.count("campaign_name").alias("campaign_count"), F.avg("period_roi").alias("avg_campaign_roi"))
+    out = out.withColumns({
+        "channel_roi": roi("channel_revenue", "channel_cost"), "channel_ctr": ratio("channel_clicks", "channel_impressions", None, 100),
+        "channel_cpa": ratio("channel_cost", "channel_orders"), "channel_conversion_rate": ratio("channel_orders", "channel_clicks", None, 100),
+    })
+    return out.withColumn("roi_rank", F.dense_rank().over(Window.partitionBy("time_period", "attribution_model").orderBy(F.desc_nulls_last(F.round("channel_roi", 6)))))
+
+
+MONTH = ["platform", "attribution_model", "campaign_name", "period_cost", "period_revenue", "period_roi", "time_period", "period_start", "period_end"]
 
 
 def roi_trends(table: DataFrame) -> DataFrame:
+    """Monthly rows that have a ROI, ranked within their platform."""
     rank = F.dense_rank().over(Window.partitionBy("platform").orderBy(F.desc_nulls_last(F.round("period_roi", 6))))
-    return table.filter("time_period = 'monthly'").withColumns({"roi_rank_in_platform": rank, "roi_quality": bands(F.col("period_roi"), [(1, "High"), (0, "Positive"), (-0.5, "Negative")], "Very Negative")})
+    rows = table.filter("time_period = 'monthly' and campaign_name is not null and period_roi is not null").select(*MONTH)
+    # fixed values: bands of the reports
+    return rows.withColumns({"roi_rank_in_channel": rank, "roi_quality": bands(F.col("period_roi"), [(1, "High ROI"), (0, "Positive ROI"), (-0.5, "Negative ROI")], "Poor ROI")})
 
 
 def roi_distribution(trends: DataFrame) -> DataFrame:
-    names = {"High": "high", "Positive": "positive", "Negative": "negative", "Very Negative": "very_negative"}
-    out = trends.groupBy("platform").agg(F.count("*").alias("campaigns"), *[F.count_if(F.col("roi_quality") == k).alias(f"{v}_count") for k, v in names.items()])
-    out = out.withColumns({f"{v}_percent": F.col(f"{v}_count") / F.col("campaigns") * 100 for v in names.values()})
-    return out.withColumn("platform_health", ladder([(F.col("high_percent") >= 50, "Excellent"), (F.col("high_percent") >= 30, "Good"), (F.col("high_percent") + F.col("positive_percent") >= 50, "Average")], "Poor"))
-
-
-def campaign_efficiency(overall: DataFrame) -> DataFrame:
-    """Costs and rates against the platform's means; a missing score counts as 1."""
-    out = overall.withColumns({"cpm": ratio("cost", "impressions", None, 1000), "cpc": ratio("cost", "clicks"), "cpo": ratio("cost", "orders"), "cost_per_customer": ratio("cost", "customers"), "cvr": ratio("orders", "clicks"), "revenue_per_click": ratio("revenue", "clicks"), "revenue_per_customer": ratio("revenue", "customers")})
-    w = Window.partitionBy("platform")
-    cheap = lambda c: F.when(F.col(c) > 0, F.avg(c).over(w) / F.col(c))
-    rich = lambda c: F.when(F.avg(c).over(w) > 0, F.col(c) / F.avg(c).over(w))
-    out = out.withColumns({"cpc_score": cheap("cpc"), "cvr_score": rich("cvr"), "cpm_score": cheap("cpm"), "cpo_score": cheap("cpo"), "rpc_score": rich("revenue_per_click")})
-    scores = ["cpc_score", "cvr_score", "cpm_score", "cpo_score", "rpc_score"]
-    out = out.withColumn("efficiency_score", sum(F.coalesce(s, F.lit(1.0)) for s in scores) / 5)
-    focus = {"cpc_score": "Reduce cost per click", "cvr_score": "Improve conversion rate", "cpm_score": "Reduce cost per impression", "cpo_score": "Reduce cost per order", "rpc_score": "Increase revenue per click"}
-    return out.withColumns({"efficiency_rating": bands(F.col("efficiency_score"), [(1.5, "Excellent"), (1.2, "Good"), (0.8, "Average"), (0.5, "Below Average")], "Poor"), "focus_area": ladder([(F.col(k) < 0.8, v) for k, v in focus.items()], "Maintain current performance")})
-
-
-def budget_allocation(overall: DataFrame) -> DataFrame:
-    """Shares and suggested shares of budget over all rows with spend (a row for each campaign and model, so a global window)."""
-    w = Window.partitionBy("attribution_model")
-    out = overall.filter("cost > 0 and attribution_model is not null").withColumns({"current_budget_share": F.col("cost") / F.sum("cost").over(w) * 100, "revenue_contribution": ratio("revenue", F.sum("revenue").over(w), 0.0, 100)})
-    r = F.col("roi")
+    names = {"High ROI": "high", "Positive ROI": "positive", "Negative ROI": "negative", "Poor ROI": "poor"}
+    out = trends.groupBy("platform", "time_period", "period_start", "period_end").agg(F.count("campaign_name").alias("campaign_count"), *[F.count_if(F.col("roi_quality") == k).alias(f"{v}_roi_campaigns") for k, v in names.items()])
+    out = out.withColumns({f"{v}_roi_percentage": ratio(f"{v}_roi_campaigns", "campaign_count", 0.0, 100) for v in ("high", "positive")})
+    high, positive = F.col("high_roi_percentage"), F.col("positive_roi_percentage")
+    # fixed values: health of the reports
+    return out.withColumn("platform_health", ladder([(high >= 50, "Excellent"), (high >= 30, "Good"), (high + positive >= 50, "Average")], "Poor"))
+
+
+# fixed values: what a campaign should mend, by the first score that is low
+FOCUS = {
+    "cpc_score": "Optimize for lower CPC", "cvr_score": "Improve conversion rate", "cpm_score": "Refine targeting for better CPM",
+    "cpo_score": "Reduce cost per order", "rpc_score": "Increase revenue per customer",
+}
+
+
+def campaign_efficiency(table: DataFrame) -> DataFrame:
+    """Monthly costs and rates against the platform's means; a missing score counts as 1. Means are over rows that have all of
+    cpm, cost per click and order, and conversion rate. table: campaign_roi()."""
+    rows = table.filter("time_period = 'monthly'").select(*MONTH, "period_impressions", "period_clicks", "period_orders", "period_customers")
+    cost = lambda c, scale=1.0: ratio("period_cost", c, None, scale)
+    rows = rows.withColumns({
+        "cost_per_impression": cost("period_impressions", 1000), "cost_per_click": cost("period_clicks"), "cost_per_order": cost("period_orders"), "cost_per_customer": cost("period_customers"),
+        "conversion_rate": ratio("period_orders", "period_clicks", None, 100), "revenue_per_click": ratio("period_revenue", "period_clicks"), "revenue_per_customer": ratio("period_revenue", "period_customers"),
+    })
+    of = {"cpm": "cost_per_impression", "cpc": "cost_per_click", "cpo": "cost_per_order", "cvr": "conversion_rate", "rpc": "revenue_per_customer"}
+    means = rows.dropna(subset=[of[k] for k in ("cpm", "cpc", "cpo", "cvr")]).groupBy("platform").agg(*[F.avg(c).alias(f"avg_{k}") for k, c in of.items()])
+    out = rows.join(means, "platform", "left")
+    for k, c in of.items():
+        over = F.col(f"avg_{k}") / F.nullif(F.col(c), F.lit(0.0)) if k in ("cpm", "cpc", "cpo") else F.col(c) / F.col(f"avg_{k}")
+        out = out.withColumn(f"{k}_score", F.when(F.col(f"avg_{k}") > 0, over))
+    out = out.withColumn("efficiency_score", sum(F.coalesce(f"{k}_score", F.lit(1.0)) for k in of) / 5)
+    # fixed values: ratings of the reports
+    rating = bands(F.col("efficiency_score"), [(1.5, "Excellent"), (1.2, "Good"), (0.8, "Average"), (0.5, "Below Average")], "Poor")
+    return out.withColumns({"efficiency_rating": rating, "efficiency_focus_area": ladder([(F.col(k) < 0.8, v) for k, v in FOCUS.items()], "Maintain current performance")})
+
+
+def budget_allocation(table: DataFrame) -> DataFrame:
+    """Shares of the month's budget over all rows with a cost and a ROI, and shares shifted towards high ROI. table: campaign_roi()."""
+    rows = table.filter("time_period = 'monthly' and period_roi is not null and period_cost is not null").select(*MONTH)
+    r = F.col("period_roi")
+    # fixed values: factors of the reports
     factor = F.when(r > 2, 1.5).when(r > 1, 1.25).when(r > 0.5, 1.1).when(r > 0, 1.0).when(r > -0.5, 0.75).otherwise(0.5)
-    out = out.withColumn("reallocation_factor", factor)
-    weighted = F.col("current_budget_share") * F.col("reallocation_factor")
-    out = out.withColumn("suggested_budget_share", weighted / F.sum(weighted).over(w) * 100).withColumn("suggested_budget_change", F.col("suggested_budget_share") - F.col("current_budget_share"))
+    rows = rows.withColumn("budget_reallocation_factor", factor).withColumn("adjusted_budget", F.col("period_cost") * F.col("budget_reallocation_factor"))
+    whole = rows.agg(F.sum("period_cost").alias("all_cost"), F.sum("period_revenue").alias("all_revenue"), F.sum("adjusted_budget").alias("all_adjusted"))
+    out = rows.join(F.broadcast(whole))  # one row
+    out = out.withColumns({"current_budget_share": ratio("period_cost", "all_cost", 0.0, 100), "revenue_contribution": ratio("period_revenue", "all_revenue", 0.0, 100)})
+    out = out.withColumn("suggested_budget_share", F.coalesce(ratio("adjusted_budget", "all_adjusted", None, 100), "current_budget_share"))
+    out = out.withColumn("suggested_budget_change", F.col("suggested_budget_share") - F.col("current_budget_share")).drop("all_cost", "all_revenue", "all_adjusted")
+    out = dense_rank_of_all(out.withColumn("_roi", F.round("period_roi", 6)), [], "_roi", "roi_rank").drop("_roi")
     x = F.round("suggested_budget_change", 6)
+    # fixed values: recommendations of the reports
     return out.withColumn("allocation_recommendation", ladder([(x > 5, "Significantly Increase Budget"), (x > 2, "Increase Budget"), (x < -5, "Significantly Decrease Budget"), (x < -2, "Decrease Budget")], "Maintain Current Budget"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAYS, MONTHS, change_percent, ladder, mapped, ratio, trend_label
 from tidemark.functions.periods import by_period
+from tidemark.functions.ranks import dense_rank_of_all
 
 
 def product_metrics(items: DataFrame, orders: DataFrame, as_of: date, names: list[str]) -> DataFrame:
@@ -20,13 +21,15 @@ def category_analysis(metrics: DataFrame) -> DataFrame:
     per = metrics.groupBy("time_period", "category").agg(F.sum("total_revenue").alias("category_revenue"), F.sum("total_quantity").alias("category_quantity"), F.sum("order_count").alias("category_orders"), F.count_distinct("product_name").alias("product_count"))
     w = Window.partitionBy("time_period")
     share = lambda c: F.col(c) / F.sum(c).over(w) * 100
-    return per.withColumns({"revenue_percent": share("category_revenue"), "quantity_percent": share("category_quantity"), "category_rank": F.dense_rank().over(w.orderBy(F.desc("category_revenue")))})
+    return per.withColumns({"revenue_percent": share("category_revenue"), "quantity_percent": share("category_quantity"), "category_rank": F.dense_rank().over(w.orderBy(F.desc(F.round("category_revenue", 2))))})
 
 
 def product_rankings(metrics: DataFrame) -> DataFrame:
-    inside, overall = Window.partitionBy("time_period", "category"), Window.partitionBy("time_period")
-    rank = lambda w, c: F.dense_rank().over(w.orderBy(F.desc(c)))
-    out = metrics.withColumns({"category_revenue_rank": rank(inside, "total_revenue"), "category_quantity_rank": rank(inside, "total_quantity"), "overall_revenue_rank": rank(overall, "total_revenue"), "overall_quantity_rank": rank(overall, "total_quantity")})
+    """Dense ranks of products within their category and over all; a period or category may hold any number of them."""
+    out = metrics.withColumn("total_revenue", F.round("total_revenue", 2))
+    for scope, by in (("category", ["time_period", "category"]), ("overall", ["time_period"])):
+        for c in ("revenue", "quantity"):
+            out = dense_rank_of_all(out, by, f"total_{c}", f"{scope}_{c}_rank")
     return out.withColumns({"is_top_revenue": F.col("category_revenue_rank") <= 3, "is_top_quantity": F.col("category_quantity_rank") <= 3, "is_overall_top": F.col("overall_revenue_rank") <= 10})
 
 
@@ -50,7 +53,7 @@ def seasonality(items: DataFrame, orders: DataFrame, by: str = "season") -> Data
     per = rows.groupBy("product_name", "category", "part").agg(F.sum("item_total").alias("revenue"), F.sum("quantity").alias("quantity"), F.count_distinct("order_id").alias("orders"))
     w = Window.partitionBy("product_name", "category")
     out = per.withColumns({f"{c}_percent": F.col(c) / F.sum(c).over(w) * 100 for c in ("revenue", "quantity", "orders")})
-    out = out.withColumn("part_rank", F.row_number().over(w.orderBy(F.desc("revenue"), "part"))).withColumn("is_peak", F.col("part_rank") == 1)
+    out = out.withColumn("part_rank", F.row_number().over(w.orderBy(F.desc(F.round("revenue", 2)), "part"))).withColumn("is_peak", F.col("part_rank") == 1)
     names = {"month": MONTHS, "weekday": DAYS}.get(by)
     return (out.withColumn("part_name", mapped(F.col("part"), names)) if names else out).withColumnRenamed("part", by)
 
@@ -74,13 +77,16 @@ def product_pairs(items: DataFrame) -> DataFrame:
 PRODUCT_URL = r"/(?:products|produits)/([^/?#]+)"
 
 
-def view_conversion(items: DataFrame, orders: DataFrame, logs: DataFrame) -> DataFrame:
-    """Views (from URLs) full-outer purchases by product; rates against the category's mean."""
+def view_conversion(items: DataFrame, logs: DataFrame) -> DataFrame:
+    """Views (from URLs) full-outer purchases by product; units and orders for each view against the category's means. A product
+    that is only viewed has no category and none of its means."""
     viewed = logs.filter("event_type = 'product_view'").withColumn("product", F.expr(f"nullif(regexp_extract(page_url, r'{PRODUCT_URL}', 1), '')")).filter("product is not null")
-    views = viewed.groupBy("product").agg(F.count("*").alias("view_count"), F.count_distinct("session_id").alias("unique_views"))
-    sold = items.join(orders.select("order_id", "customer_id"), "order_id").groupBy("product").agg(F.min("category").alias("category"), F.count_distinct("order_id").alias("purchase_count"), F.sum("quantity").alias("quantity_sold"), F.sum("item_total").alias("revenue"))
-    both = views.join(sold, "product", "full_outer").na.fill(0, ["view_count", "unique_views", "purchase_count", "quantity_sold", "revenue"]).na.fill("unknown", ["category"])
-    both = both.withColumns({"conversion_rate": ratio("purchase_count", "view_count", 0.0), "revenue_per_view": ratio("revenue", "view_count", 0.0)})
-    mean = F.avg("conversion_rate").over(Window.partitionBy("category"))
-    out = both.withColumn("category_rate", mean).withColumn("vs_category", F.when(F.col("category_rate") > 0, (F.col("conversion_rate") - F.col("category_rate")) / F.col("category_rate")).otherwise(0.0))
-    return out.withColumn("performance", ladder([(F.col("vs_category") > 0.2, "Above Average"), (F.col("vs_category") >= -0.2, "Average")], "Below Average"))
+    views = viewed.groupBy("product").agg(F.count("*").alias("total_views"))
+    sold = items.groupBy("product").agg(F.min("category").alias("category"), F.sum("quantity").alias("total_purchases"), F.count_distinct("order_id").alias("order_count"))
+    both = views.join(sold, "product", "full_outer").na.fill(0, ["total_views", "total_purchases", "order_count"])
+    both = both.withColumns({"view_to_purchase_rate": ratio("total_purchases", "total_views", 0.0), "view_to_order_rate": ratio("order_count", "total_views", 0.0)})
+    means = both.filter("category is not null").groupBy("category").agg(F.avg("view_to_purchase_rate").alias("category_avg_purchase_rate"), F.avg("view_to_order_rate").alias("category_avg_order_rate"))
+    mean = F.col("category_avg_purchase_rate")
+    out = both.join(means, "category", "left").withColumn("purchase_rate_vs_category", F.when(mean > 0, (F.col("view_to_purchase_rate") - mean) / mean).otherwise(0.0))
+    vs = F.round("purchase_rate_vs_category", 9)
+    return out.withColumn("relative_performance", ladder([(vs > 0.2, "Above Average"), (vs >= -0.2, "Average")], "Below Average"))

@@ -4,29 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import bands, ladder, mapped
+from tidemark.functions.exprs import ladder, mapped
+from tidemark.functions.ranks import ntile_of_all
 
+# fixed values: segments of the reports
 AFFINITY = {"soin_visage": "Facial Care Enthusiast", "soin_corps": "Body Care Focused", "soin_cheveux": "Hair Care Passionate", "maquillage": "Makeup Aficionado", "parfum": "Fragrance Collector"}
 
 
-def ntile_scaled(df: DataFrame, n: int, order: list, alias: str) -> DataFrame:
-    """ntile(n) over a global order without sorting in one task: the rows are range-partitioned, counted by partition, and numbered
-    within their partition from the count before it. order: names, or ('name', 'desc'), that make a total order."""
-    keys = [F.col(c) if isinstance(c, str) else F.col(c[0]).desc() for c in order]
-    cells = df.repartitionByRange(*keys).withColumn("_cell", F.spark_partition_id())
-    row = F.row_number().over(Window.partitionBy("_cell").orderBy(*keys))
-    numbered = cells.withColumn("_row", row)
-    counts = numbered.groupBy("_cell").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    at = numbered.join(F.broadcast(before.drop("_n")), "_cell").withColumn("_row", F.col("_row") + F.col("_before") - 1)
-    size, extra = F.floor(F.col("_total") / n), F.col("_total") % n
-    tile = F.when(F.col("_row") < extra * (size + 1), F.floor(F.col("_row") / (size + 1))).otherwise(extra + F.floor((F.col("_row") - extra * (size + 1)) / F.greatest(size, F.lit(1))))
-    return at.withColumn(alias, (tile + 1).cast("int")).drop("_cell", "_row", "_before", "_total")
-
-
 def customer_totals(orders: DataFrame, as_of: date) -> DataFrame:
     return orders.groupBy("customer_id").agg(F.date_diff(F.lit(as_of), F.max("order_date")).alias("recency_days"), F.count("*").alias("frequency"), F.sum("final_total").alias("monetary"), F.date_diff(F.lit(as_of), F.min("order_date")).alias("days_since_first"))
 
@@ -42,9 +29,9 @@ def rfm_label(r, f, m):
 def rfm(orders: DataFrame, as_of: date) -> DataFrame:
     """Quintiles with 1 best; ties by customer_id. Sums are compared at cents, so equal sums tie."""
     totals = customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))
-    out = ntile_scaled(totals, 5, ["recency_days", "customer_id"], "recency_score")
-    out = ntile_scaled(out, 5, [("frequency", "desc"), "customer_id"], "frequency_score")
-    out = ntile_scaled(out, 5, [("monetary", "desc"), "customer_id"], "monetary_score")
+    out = ntile_of_all(totals, 5, ["recency_days", "customer_id"], "recency_score")
+    out = ntile_of_all(out, 5, [("frequency", "desc"), "customer_id"], "frequency_score")
+    out = ntile_of_all(out, 5, [("monetary", "desc"), "customer_id"], "monetary_score")
     r, f, m = (F.col(f"{x}_score") for x in ("recency", "frequency", "monetary"))
     return out.withColumns({"rfm_score": r + f + m, "rfm_segment": rfm_label(r, f, m)})
 
@@ -63,7 +50,7 @@ def _stages(totals: DataFrame) -> DataFrame:
 
 def lifecycle(orders: DataFrame, as_of: date) -> DataFrame:
     """Value by quartile of spend."""
-    out = ntile_scaled(_stages(customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))), 4, [("monetary", "desc"), "customer_id"], "value_quartile")
+    out = ntile_of_all(_stages(customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))), 4, [("monetary", "desc"), "customer_id"], "value_quartile")
     return out.withColumn("customer_value_segment", mapped(F.col("value_quartile"), {1: "Premium Value", 2: "High Value", 3: "Medium Value", 4: "Low Value"}))
 
 
@@ -109,5 +96,9 @@ def combine(rfm_segments: DataFrame | None, affinity: DataFrame | None, stages:
     return out.withColumns({"marketing_recommendation": message, "preferred_channel_recommendation": channel})
 
 
+# fixed values: bands of customers' age in days, each below its bound
+TENURES = [(30, "0-30 days"), (90, "31-90 days"), (180, "91-180 days"), (365, "181-365 days")]
+
+
 def tenure_bucket(days):
-    return bands(-days, [(-29.5, "<30 days"), (-89.5, "30-89 days"), (-179.5, "90-179 days"), (-364.5, "180-364 days")], "365+ days")
+    return ladder([(days < n, label) for n, label in TENURES], "365+ days")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ladder, mapped
 
+# fixed values: names and groups of the reports
 CATEGORY_NAMES = {"soin_visage": "Facial Care", "soin_corps": "Body Care", "soin_cheveux": "Hair Care", "maquillage": "Make-up", "parfum": "Fragrance"}
 CATEGORY_GROUPS = {"soin_visage": "Skin", "soin_corps": "Skin", "soin_cheveux": "Hair", "maquillage": "Color", "parfum": "Scent"}
 MEDIUM_GROUPS = {"cpc": "Paid Search", "social": "Social Media", "email": "Email", "organic": "Organic", "referral": "Referral", "affiliate": "Affiliate"}
@@ -14,42 +17,39 @@ DEFAULTS = {"time_period": "monthly", "attribution_model": "last_touch"}
 
 #: fact -> (surrogate key's parts, columns)
 FACTS = {
-    "FACT_CHANNEL_PERFORMANCE": (["time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign"], ["conversions", "revenue", "unique_orders", "cost", "clicks", "roas", "roi", "cpa", "cpc", "conversion_rate", "performance_score", "performance_tier"]),
-    "FACT_MARKETING_TRENDS": (["trend_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign"], ["current_revenue", "previous_revenue", "revenue_change", "revenue_growth", "current_conversions", "previous_conversions", "conversions_growth", "trend", "period_start", "period_end"]),
-    "FACT_CHANNEL_COMPARISON": (["attribution_model", "utm_source", "utm_medium"], ["conversions", "revenue", "cost", "revenue_share", "conversions_share", "cost_share", "efficiency_index"]),
-    "FACT_PRODUCT_PERFORMANCE": (["time_period", "category", "product_name"], ["order_count", "total_quantity", "total_revenue", "customer_count", "category_revenue_rank", "overall_revenue_rank", "is_top_revenue", "is_overall_top"]),
-    "FACT_PRODUCT_TRENDS": (["category", "product_name"], ["current_revenue", "previous_revenue", "revenue_growth", "quantity_growth", "orders_growth", "trend"]),
-    "FACT_CATEGORY_PERFORMANCE": (["time_period", "category"], ["category_revenue", "category_quantity", "category_orders", "product_count", "revenue_percent", "category_rank"]),
-    "FACT_PRODUCT_CONVERSION": (["product"], ["category", "view_count", "purchase_count", "conversion_rate", "category_rate", "performance"]),
-    "FACT_CUSTOMER_SEGMENTS": (["customer_id"], ["rfm_segment", "product_affinity_segment", "lifecycle_stage", "customer_value_segment", "marketing_recommendation", "preferred_channel_recommendation"]),
-    "FACT_RFM_SEGMENTS": (["customer_id"], ["recency_days", "frequency", "monetary", "recency_score", "frequency_score", "monetary_score", "rfm_score", "rfm_segment"]),
-    "FACT_LIFECYCLE_SEGMENTS": (["customer_id"], ["lifecycle_stage", "purchase_frequency_segment", "value_quartile", "customer_value_segment"]),
-    "FACT_CAMPAIGN_PERFORMANCE": (["campaign_name", "attribution_model", "time_period"], ["platform", "orders", "customers", "revenue", "cost", "roas", "roi", "roi_class", "roi_rank"]),
-    "FACT_CAMPAIGN_CHANNEL_COMPARISON": (["platform", "time_period"], ["revenue", "cost", "orders", "roi", "ctr", "cpa", "conversion_rate", "platform_rank"]),
-    "FACT_CAMPAIGN_ROI_TRENDS": (["campaign_name", "attribution_model", "platform"], ["period_revenue", "period_cost", "period_roi", "roi_quality", "roi_rank_in_platform"]),
-    "FACT_CAMPAIGN_BUDGET_ALLOCATION": (["campaign_name", "attribution_model"], ["current_budget_share", "revenue_contribution", "reallocation_factor", "suggested_budget_share", "suggested_budget_change", "allocation_recommendation"]),
+    "FACT_CHANNEL_PERFORMANCE": (["time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign"], "conversions revenue unique_orders unique_users cost impressions clicks roas roi cpa cpc conversion_rate roi_rank roas_rank revenue_rank conversion_rank performance_score performance_tier"),
+    "FACT_MARKETING_TRENDS": (["trend_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign"], "current_start current_end previous_start previous_end current_conversions current_revenue previous_conversions previous_revenue conversions_change conversions_growth revenue_change revenue_growth trend"),
+    "FACT_CHANNEL_COMPARISON": (["attribution_model", "utm_source", "utm_medium"], "conversions revenue cost revenue_share conversions_share cost_share efficiency_index"),
+    "FACT_PRODUCT_PERFORMANCE": (["time_period", "category", "product_name"], "total_revenue total_quantity order_count customer_count category_revenue_rank category_quantity_rank overall_revenue_rank overall_quantity_rank is_top_revenue is_top_quantity is_overall_top"),
+    "FACT_PRODUCT_TRENDS": (["category", "product_name"], "current_revenue current_quantity current_orders previous_revenue previous_quantity previous_orders revenue_change revenue_growth quantity_change quantity_growth orders_change orders_growth trend"),
+    "FACT_CATEGORY_PERFORMANCE": (["time_period", "category"], "category_orders category_quantity category_revenue product_count revenue_percent quantity_percent category_rank"),
+    "FACT_PRODUCT_CONVERSION": (["product"], "category total_views total_purchases order_count view_to_purchase_rate view_to_order_rate category_avg_purchase_rate category_avg_order_rate purchase_rate_vs_category relative_performance"),
+    "FACT_CUSTOMER_SEGMENTS": (["customer_id"], "rfm_score rfm_segment primary_category product_affinity_segment lifecycle_stage purchase_frequency_segment customer_value_segment marketing_recommendation preferred_channel_recommendation"),
+    "FACT_RFM_SEGMENTS": (["customer_id"], "recency_days frequency monetary recency_score frequency_score monetary_score rfm_score rfm_segment"),
+    "FACT_LIFECYCLE_SEGMENTS": (["customer_id"], "recency_days days_since_first frequency monetary lifecycle_stage purchase_frequency_segment value_quartile customer_value_segment"),
+    "FACT_CAMPAIGN_PERFORMANCE": (["campaign_name", "platform", "attribution_model", "time_period"], "period_start period_end period_revenue period_cost period_orders period_customers period_impressions period_clicks period_tracked_conversions period_roas period_roi roi_rank revenue_rank roi_class"),
+    "FACT_CAMPAIGN_CHANNEL_COMPARISON": (["platform", "time_period", "attribution_model"], "period_start period_end channel_cost channel_revenue channel_impressions channel_clicks channel_orders campaign_count avg_campaign_roi channel_roi channel_ctr channel_cpa channel_conversion_rate roi_rank"),
+    "FACT_CAMPAIGN_ROI_TRENDS": (["campaign_name", "platform", "attribution_model"], "period_roi period_revenue period_cost time_period period_start period_end roi_rank_in_channel roi_quality"),
+    "FACT_CAMPAIGN_BUDGET_ALLOCATION": (["campaign_name", "platform", "attribution_model"], "period_cost period_revenue period_roi current_budget_share revenue_contribution roi_rank budget_reallocation_factor adjusted_budget suggested_budget_share suggested_budget_change allocation_recommendation"),
 }
 
 
-def _stamped(df: DataFrame) -> DataFrame:
-    return df.withColumns({"dw_load_ts": F.current_date(), "dw_update_ts": F.current_date()})
-
-
-def fact(df: DataFrame, name: str, stamped: bool = True) -> DataFrame:
-    """The columns of the fact that df has, defaults for a missing period or model, and a key of its parts joined by '_'."""
+def fact(df: DataFrame, name: str, as_of: date | None = None) -> DataFrame:
+    """The columns of the fact that df has, defaults for a missing period or model, and a key of its parts joined by '_'. as_of: the
+    day of the load, written as load and update date."""
     parts, columns = FACTS[name]
     for c in parts:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(DEFAULTS.get(c)).cast("string"))
     if "processing_date" in df.columns:
         df = df.withColumnRenamed("processing_date", "etl_date")
-    for c in ("period_start", "period_end"):
+    for c in ("period_start", "period_end", "current_start", "current_end", "previous_start", "previous_end"):
         if c in df.columns:
             df = df.withColumn(c, F.to_date(c))
     key = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in parts])
-    have = [c for c in [*parts, *columns, "etl_date"] if c in df.columns]
+    have = [c for c in [*parts, *columns.split(), "etl_date"] if c in df.columns]
     out = df.select(key.alias(f"{name.removeprefix('FACT_').lower()}_key"), *have)
-    return _stamped(out) if stamped else out
+    return out if as_of is None else out.withColumns({"dw_load_ts": F.lit(as_of), "dw_update_ts": F.lit(as_of)})
 
 
 def date_dimension(df: DataFrame, column: str) -> DataFrame:

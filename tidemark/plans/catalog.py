@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs
+from tidemark.functions.ranks import written
 from tidemark.operators import acquisition, attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions, warehouse
 from tidemark.plans import gold
 from tidemark.plans.gold import Silver
@@ -51,6 +52,58 @@ def _(s):
     return cleaning.clean_customers(s.customers, ORDERS_AS_OF).select("customer_id", "email", "customer_tenure_days", "lifecycle_stage", "value_segment", "lifetime_value")
 
 
+def raw_query(name: str, tables: str, sql: str, doubles: str = "", digits: int = 3):
+    """A query over a raw dataset: the function gets the session and the folder of the tables."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, d: rounded(f(spark, d), digits)
+        ORACLES[name] = with_tables(tables, sql, doubles, digits)
+        return f
+
+    return register
+
+
+RAW_CAMPAIGN = "(['ramadan_2025', 'tabaski_promo', 'beaute_naturelle', 'lancement_produit'])[order_id % 20 % 4 + 1] || '_' || (['google', 'facebook', 'instagram', 'tiktok', 'influencer'])[order_id % 20 % 5 + 1]"
+
+
+@raw_query("sv2_clean_orders", "ord items", f"""SELECT * EXCLUDE (has_promotion, n), CASE WHEN order_id % 5 < 2 THEN 'PROMO' END AS discount_code, (order_id % 3)::DOUBLE AS discount_amount, NULL::VARCHAR AS utm_medium, CASE WHEN order_id % 11 = 0 THEN {RAW_CAMPAIGN} END AS utm_campaign,
+  coalesce(n, 0)::INT AS item_count, final_total * 0.5 AS estimated_margin, utm_source IS NOT NULL OR order_id % 11 = 0 AS has_marketing_attribution, order_id % 5 < 2 AND order_id % 3 > 0 AS has_promotion, year(order_date)::INT AS order_year, month(order_date)::INT AS order_month, day(order_date)::INT AS order_day
+  FROM ord LEFT JOIN (SELECT order_id, count(*) AS n FROM items GROUP BY 1) USING (order_id)""", "final_total estimated_margin", 2)
+def _(spark, d):
+    return cleaning.clean_orders(adapters.raw_orders(spark, d)).drop("items", "items_array")  # lists without an order
+
+
+@raw_query("sv3_order_items", "ord items", f"""SELECT order_id, customer_id, order_date, order_status, utm_source, NULL::VARCHAR AS utm_medium, CASE WHEN order_id % 11 = 0 THEN {RAW_CAMPAIGN} END AS utm_campaign, season, year(order_date)::INT AS order_year, month(order_date)::INT AS order_month, day(order_date)::INT AS order_day,
+  product_name, category, item_total / quantity AS price, quantity::INT AS quantity, item_total FROM items JOIN ord USING (order_id)""", "price item_total", 2)
+def _(spark, d):
+    return cleaning.explode_items(cleaning.clean_orders(adapters.raw_orders(spark, d)))
+
+
+def ads_sql(places: str) -> str:
+    return f"""SELECT ts::DATE::VARCHAR AS date, (['Google', 'Facebook', 'Instagram', 'TikTok', 'Influencer_YouTube'])[k % 5 + 1] AS platform, 'C' || (k % 20) AS campaign_id, 'I' || (k % 20 % 3) AS influencer_id, CASE WHEN hour(ts) < 12 THEN 'Search' ELSE 'Display' END AS ad_type, 100 * count(*) AS impressions,
+  10 * count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS conversions, 3 * count(*) FILTER (event_type = 'view') AS engagements, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS cost, coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS conversion_value,
+  0.7::DOUBLE AS avg_cpc, ts::DATE AS ad_date, year(ts::DATE)::INT AS ad_year, month(ts::DATE)::INT AS ad_month FROM ev WHERE k % 5 IN ({places}) GROUP BY ALL"""
+
+
+RATES = "round((CASE WHEN cost > 0 THEN conversion_value / cost ELSE 0 END)::DECIMAL(28, 9), 2)::DOUBLE AS roas, round((CASE WHEN conversions > 0 THEN cost / conversions END)::DECIMAL(28, 9), 2)::DOUBLE AS cpa, round((CASE WHEN clicks > 0 THEN cost / clicks ELSE avg_cpc END)::DECIMAL(28, 9), 2)::DOUBLE AS cpc"
+
+
+@raw_query("sv4_clean_google_ads", "ev", f"SELECT *, {RATES} FROM ({ads_sql('0')})", "cost conversion_value roas cpa cpc avg_cpc", 2)
+def _(spark, d):
+    return cleaning.clean_google_ads(adapters.raw_ads(spark, d, [0]))
+
+
+@raw_query("sv5_clean_social_ads", "ev", f"SELECT *, {RATES}, round((engagements / impressions)::DECIMAL(28, 9), 4)::DOUBLE AS engagement_rate FROM ({ads_sql('1, 2, 3')})", "cost conversion_value roas cpa cpc avg_cpc engagement_rate", 4)
+def _(spark, d):
+    return cleaning.clean_social_ads(adapters.raw_ads(spark, d, [1, 2, 3]))
+
+
+@raw_query("sv6_clean_influencer", "ev", f"""SELECT * EXCLUDE (ad_type, avg_cpc, cost), cost AS fee, 5 AS duration, cost / 5 AS daily_cost, CASE WHEN cost > 0 THEN (conversion_value - cost) / cost ELSE 0 END AS roi, CASE WHEN conversions > 0 THEN cost / 5 / conversions END AS cpa, CASE WHEN clicks > 0 THEN cost / 5 / clicks END AS cpc
+  FROM ({ads_sql('4')}) WHERE ad_type = 'Search'""", "conversion_value fee daily_cost roi cpa cpc", 3)
+def _(spark, d):
+    return cleaning.clean_influencer(adapters.raw_influencer(spark, d))
+
+
 @query("sv4_event_categories", "logs", """SELECT CASE WHEN event_type IN ('page_view', 'scroll', 'exit') THEN 'navigation' WHEN event_type IN ('product_view', 'add_to_cart', 'remove_from_cart') THEN 'product' WHEN event_type IN ('begin_checkout', 'purchase') THEN 'conversion' WHEN event_type IN ('search', 'filter_products') THEN 'search' ELSE 'other' END AS event_category, date, count(*) AS events FROM logs GROUP BY 1, 2""")
 def _(s):
     return s.logs.groupBy(cleaning.event_category(F.col("event_type")).alias("event_category"), "date").agg(F.count("*").alias("events"))
@@ -63,9 +116,10 @@ def _(s):
 
 
 @query("sv8_cross_platform", "ads", """SELECT platform, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks, sum(cost) AS total_cost, sum(conversions)::BIGINT AS total_conversions, sum(conversion_value) AS total_conversion_value,
-  CASE WHEN sum(cost) > 0 THEN (sum(conversion_value) - sum(cost)) / sum(cost) ELSE 0 END AS roi, CASE WHEN sum(clicks) > 0 THEN sum(conversions) / sum(clicks) ELSE 0 END AS conversion_rate FROM ads GROUP BY platform""", "total_cost total_conversion_value roi conversion_rate")
+  avg(round((clicks / impressions)::DECIMAL(28, 9), 4)::DOUBLE) AS avg_ctr, avg(CASE WHEN clicks > 0 THEN round((cost / clicks)::DECIMAL(28, 9), 2)::DOUBLE END) AS avg_cpc, avg(CASE WHEN conversions > 0 THEN round((cost / conversions)::DECIMAL(28, 9), 2)::DOUBLE END) AS avg_cpa,
+  CASE WHEN sum(cost) > 0 THEN (sum(conversion_value) - sum(cost)) / sum(cost) ELSE 0 END AS roi, CASE WHEN sum(clicks) > 0 THEN sum(conversions) / sum(clicks) ELSE 0 END AS conversion_rate FROM ads GROUP BY platform""", "total_cost total_conversion_value avg_ctr avg_cpc avg_cpa roi conversion_rate")
 def _(s):
-    return cleaning.cross_platform_metrics(cleaning.clean_all_platforms(s.ads)).drop("avg_ctr", "avg_cpc", "avg_cpa")
+    return cleaning.cross_platform_metrics(cleaning.clean_all_platforms(s.ads))
 
 
 @query("sv9_web_sessions", "sess", """SELECT session_id, session_start, session_end, user_id, utm_source, utm_medium, utm_campaign, campaign_id, event_count, page_view_count, product_view_count, add_to_cart_count, checkout_count, purchase_count, event_types,
@@ -95,6 +149,14 @@ def _(s):
     return sessions.category_preference(s.items, s.orders)
 
 
+PROFILES = f"""m AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent, date_diff('day', max(order_date), DATE '{O}') AS days FROM ord GROUP BY 1),
+x AS (SELECT c.customer_id, primary_category, secondary_category, coalesce(n, 0) AS order_count, days,
+  CASE WHEN days <= 30 THEN 'Active (< 30 days)' WHEN days <= 90 THEN 'Recent (30-90 days)' WHEN days <= 180 THEN 'Engaged (90-180 days)' WHEN days <= 365 THEN 'At Risk (180-365 days)' ELSE 'Inactive (> 365 days)' END AS recency_segment,
+  CASE WHEN coalesce(n, 0) >= 10 THEN 'Very Frequent (10+ orders)' WHEN n >= 5 THEN 'Frequent (5-9 orders)' WHEN n >= 2 THEN 'Repeat (2-4 orders)' WHEN n = 1 THEN 'One-time' ELSE 'No Purchase' END AS frequency_segment,
+  CASE WHEN spent >= 150000 THEN 'High Value (150K+ CFA)' WHEN spent >= 50000 THEN 'Mid Value (50K-150K CFA)' WHEN spent > 0 THEN 'Low Value (< 50K CFA)' ELSE 'No Spend' END AS monetary_segment FROM cust c LEFT JOIN m USING (customer_id) LEFT JOIN pref USING (customer_id))"""
+STAGES_SQL = f"""WITH {PROFILES} SELECT CASE WHEN order_count = 0 THEN 'Lead' WHEN order_count = 1 AND days <= 30 THEN 'New Customer' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count > 1 THEN 'Active Customer' WHEN recency_segment LIKE 'Engaged%' THEN 'At-Risk Customer' WHEN recency_segment LIKE 'At Risk%' THEN 'Lapsed Customer' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customer' ELSE 'Unknown' END AS profile_lifecycle_stage FROM x"""
+
+
 @query("sv16_enriched_profiles", "cust ord items", f"""WITH {PREF}, m AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent, date_diff('day', max(order_date), DATE '{O}') AS days FROM ord GROUP BY 1),
 x AS (SELECT c.customer_id, primary_category, secondary_category, coalesce(n, 0) AS order_count, days,
   CASE WHEN days <= 30 THEN 'Active (< 30 days)' WHEN days <= 90 THEN 'Recent (30-90 days)' WHEN days <= 180 THEN 'Engaged (90-180 days)' WHEN days <= 365 THEN 'At Risk (180-365 days)' ELSE 'Inactive (> 365 days)' END AS recency_segment,
@@ -119,9 +181,12 @@ def _(s):
     return attributed(s).drop("order_date")
 
 
-@query("sv23_channel_performance", "att ads", """WITH per AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS attributed_revenue, avg(touchpoint_weight) AS avg_touchpoint_weight, count(DISTINCT order_id) AS unique_orders, count(DISTINCT user_id) AS unique_users FROM att GROUP BY ALL),
+CHANNEL_PERFORMANCE = """WITH per AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS attributed_revenue, avg(touchpoint_weight) AS avg_touchpoint_weight, count(DISTINCT order_id) AS unique_orders, count(DISTINCT user_id) AS unique_users FROM att GROUP BY ALL),
 sp AS (SELECT campaign_id, min(platform) AS platform, min(campaign_name) AS campaign_name, sum(cost) AS total_cost, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks, sum(conversions)::BIGINT AS tracked_conversions FROM ads GROUP BY 1)
-MAIN SELECT *, CASE WHEN total_cost > 0 THEN (attributed_revenue - total_cost) / total_cost END AS roi, total_cost / conversions AS cpa, CASE WHEN total_clicks > 0 THEN total_cost / total_clicks END AS cost_per_click, CASE WHEN total_clicks > 0 THEN conversions / total_clicks END AS conversion_rate FROM per LEFT JOIN sp USING (campaign_id)""", "attributed_revenue avg_touchpoint_weight total_cost roi cpa cost_per_click conversion_rate", 3)
+SELECT *, CASE WHEN total_cost > 0 THEN (attributed_revenue - total_cost) / total_cost END AS roi, total_cost / conversions AS cpa, CASE WHEN total_clicks > 0 THEN total_cost / total_clicks END AS cost_per_click, CASE WHEN total_clicks > 0 THEN conversions / total_clicks END AS conversion_rate FROM per LEFT JOIN sp USING (campaign_id)"""
+
+
+@query("sv23_channel_performance", "att ads", f"SELECT * FROM ({CHANNEL_PERFORMANCE})", "attributed_revenue avg_touchpoint_weight total_cost roi cpa cost_per_click conversion_rate", 3)
 def _(s):
     return attribution.channel_performance(attributed(s), s.ads)
 
@@ -139,31 +204,54 @@ def _(s):
     return metrics(s)
 
 
-@query("gp2_category_analysis", "items ord", f"WITH {PM}, c AS (SELECT time_period, category, sum(total_revenue) AS category_revenue, sum(total_quantity) AS category_quantity, sum(order_count)::BIGINT AS category_orders, count(DISTINCT product_name) AS product_count FROM pm GROUP BY 1, 2)\nMAIN SELECT *, category_revenue / sum(category_revenue) OVER w * 100 AS revenue_percent, category_quantity / sum(category_quantity) OVER w * 100 AS quantity_percent, dense_rank() OVER (PARTITION BY time_period ORDER BY category_revenue DESC) AS category_rank FROM c WINDOW w AS (PARTITION BY time_period)", "category_revenue category_quantity revenue_percent quantity_percent", 2)
+CA = """ca AS (SELECT *, category_revenue / sum(category_revenue) OVER w * 100 AS revenue_percent, category_quantity / sum(category_quantity) OVER w * 100 AS quantity_percent, dense_rank() OVER (PARTITION BY time_period ORDER BY round(category_revenue, 2) DESC)::INT AS category_rank
+  FROM (SELECT time_period, category, sum(total_revenue) AS category_revenue, sum(total_quantity) AS category_quantity, sum(order_count)::BIGINT AS category_orders, count(DISTINCT product_name) AS product_count FROM pm GROUP BY 1, 2) WINDOW w AS (PARTITION BY time_period))"""
+CA_DOUBLES = "category_revenue category_quantity revenue_percent quantity_percent"
+
+
+@query("gp2_category_analysis", "items ord", f"WITH {PM}, {CA}\nMAIN SELECT * FROM ca", CA_DOUBLES, 2)
 def _(s):
     return products.category_analysis(metrics(s))
 
 
-@query("gp3_product_rankings", "items ord", f"WITH {PM}, r AS (SELECT time_period, product_name, category, dense_rank() OVER (PARTITION BY time_period, category ORDER BY round(total_revenue, 2) DESC) AS category_revenue_rank, dense_rank() OVER (PARTITION BY time_period, category ORDER BY total_quantity DESC) AS category_quantity_rank, dense_rank() OVER (PARTITION BY time_period ORDER BY round(total_revenue, 2) DESC) AS overall_revenue_rank, dense_rank() OVER (PARTITION BY time_period ORDER BY total_quantity DESC) AS overall_quantity_rank FROM pm)\nMAIN SELECT *, category_revenue_rank <= 3 AS is_top_revenue, category_quantity_rank <= 3 AS is_top_quantity, overall_revenue_rank <= 10 AS is_overall_top FROM r")
+PR = """pr AS (SELECT *, category_revenue_rank <= 3 AS is_top_revenue, category_quantity_rank <= 3 AS is_top_quantity, overall_revenue_rank <= 10 AS is_overall_top FROM (SELECT * REPLACE (round(total_revenue, 2) AS total_revenue),
+  dense_rank() OVER (PARTITION BY time_period, category ORDER BY round(total_revenue, 2) DESC)::INT AS category_revenue_rank, dense_rank() OVER (PARTITION BY time_period, category ORDER BY total_quantity DESC)::INT AS category_quantity_rank,
+  dense_rank() OVER (PARTITION BY time_period ORDER BY round(total_revenue, 2) DESC)::INT AS overall_revenue_rank, dense_rank() OVER (PARTITION BY time_period ORDER BY total_quantity DESC)::INT AS overall_quantity_rank FROM pm))"""
+
+
+@query("gp3_product_rankings", "items ord", f"WITH {PM}, {PR}\nMAIN SELECT * FROM pr", "total_quantity total_revenue", 2)
 def _(s):
-    m = metrics(s).withColumn("total_revenue", F.round("total_revenue", 2))
-    return products.product_rankings(m).drop("order_count", "total_quantity", "total_revenue", "customer_count")
+    return products.product_rankings(metrics(s))
+
+
+def grown(label: str) -> str:
+    return f"current_{label} - previous_{label} AS {label}_change, CASE WHEN previous_{label} > 0 THEN (current_{label} - previous_{label}) / previous_{label} * 100 WHEN current_{label} > 0 THEN 100 ELSE 0 END AS {label}_growth"
+
 
+TREND = "CASE WHEN round(revenue_growth, 9) >= 20 THEN 'Strong Growth' WHEN round(revenue_growth, 9) >= 5 THEN 'Growth' WHEN round(revenue_growth, 9) >= -5 THEN 'Stable' WHEN round(revenue_growth, 9) >= -20 THEN 'Decline' ELSE 'Strong Decline' END AS trend"
+PT = f"""pt AS (SELECT *, {TREND} FROM (SELECT *, {grown("revenue")}, {grown("quantity")}, {grown("orders")} FROM (SELECT product_name, category,
+  coalesce(sum(item_total) FILTER (now), 0) AS current_revenue, coalesce(sum(item_total) FILTER (NOT now), 0) AS previous_revenue, coalesce(sum(quantity) FILTER (now), 0) AS current_quantity, coalesce(sum(quantity) FILTER (NOT now), 0) AS previous_quantity,
+  count(DISTINCT order_id) FILTER (now) AS current_orders, count(DISTINCT order_id) FILTER (NOT now) AS previous_orders
+  FROM (SELECT *, time_period = 'monthly' AS now FROM items JOIN ord USING (order_id), {spans(O, "monthly prev_month")} WHERE order_date BETWEEN a AND b) GROUP BY 1, 2)))"""
+PT_DOUBLES = "current_revenue previous_revenue current_quantity previous_quantity revenue_change revenue_growth quantity_change quantity_growth orders_growth"
 
-@query("gp4_product_trend", "items ord", f"""WITH j AS (SELECT *, time_period = 'monthly' AS now FROM items JOIN ord USING (order_id), {spans(O, "monthly prev_month")} WHERE order_date BETWEEN a AND b),
-g AS (SELECT product_name, category, coalesce(sum(item_total) FILTER (now), 0) AS current_revenue, coalesce(sum(item_total) FILTER (NOT now), 0) AS previous_revenue, coalesce(sum(quantity) FILTER (now), 0) AS current_quantity, coalesce(sum(quantity) FILTER (NOT now), 0) AS previous_quantity, count(DISTINCT order_id) FILTER (now) AS current_orders, count(DISTINCT order_id) FILTER (NOT now) AS previous_orders FROM j GROUP BY 1, 2),
-h AS (SELECT *, CASE WHEN previous_revenue > 0 THEN (current_revenue - previous_revenue) / previous_revenue * 100 WHEN current_revenue > 0 THEN 100 ELSE 0 END AS revenue_growth FROM g)
-MAIN SELECT product_name, category, current_revenue, previous_revenue, current_orders, previous_orders, revenue_growth, CASE WHEN revenue_growth >= 20 THEN 'Strong Growth' WHEN revenue_growth >= 5 THEN 'Growth' WHEN revenue_growth >= -5 THEN 'Stable' WHEN revenue_growth >= -20 THEN 'Decline' ELSE 'Strong Decline' END AS trend FROM h""", "current_revenue previous_revenue revenue_growth", 2)
+
+@query("gp4_product_trend", "items ord", f"WITH {PT}\nMAIN SELECT * FROM pt", PT_DOUBLES, 2)
 def _(s):
-    return products.product_trend(s.items, s.orders, ORDERS_AS_OF).select("product_name", "category", "current_revenue", "previous_revenue", "current_orders", "previous_orders", "revenue_growth", "trend")
+    return products.product_trend(s.items, s.orders, ORDERS_AS_OF)
 
 
-for _id, _by, _part in (("gp5_seasonality_season", "season", "season"), ("gp6_seasonality_month", "month", "month(order_date)"), ("gp7_seasonality_weekday", "weekday", "dayofweek(order_date) + 1")):
+MONTH_NAMES = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
+DAY_NAMES = "['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday']"
+for _id, _by, _part, _name in (
+    ("gp5_seasonality_season", "season", "season", ""), ("gp6_seasonality_month", "month", "month(order_date)::INT", f", ({MONTH_NAMES})[month] AS part_name"), ("gp7_seasonality_weekday", "weekday", "(dayofweek(order_date) + 1)::INT", f", ({DAY_NAMES})[weekday] AS part_name"),
+):
 
-    @query(_id, "items ord", f"""WITH g AS (SELECT product_name, category, {_part} AS part, sum(item_total) AS revenue, sum(quantity) AS quantity, count(DISTINCT order_id) AS orders FROM items JOIN ord USING (order_id) GROUP BY 1, 2, 3)
-MAIN SELECT product_name, category, part::VARCHAR AS part, revenue / sum(revenue) OVER w * 100 AS revenue_percent, orders / sum(orders) OVER w * 100 AS orders_percent, row_number() OVER (PARTITION BY product_name, category ORDER BY round(revenue, 2) DESC, part) = 1 AS is_peak FROM g WINDOW w AS (PARTITION BY product_name, category)""", "revenue_percent orders_percent", 3)
+    @query(_id, "items ord", f"""WITH g AS (SELECT product_name, category, {_part} AS {_by}, sum(item_total) AS revenue, sum(quantity) AS quantity, count(DISTINCT order_id) AS orders FROM items JOIN ord USING (order_id) GROUP BY 1, 2, 3),
+h AS (SELECT *, revenue / sum(revenue) OVER w * 100 AS revenue_percent, quantity / sum(quantity) OVER w * 100 AS quantity_percent, orders / sum(orders) OVER w * 100 AS orders_percent, row_number() OVER (PARTITION BY product_name, category ORDER BY round(revenue, 2) DESC, {_by})::INT AS part_rank FROM g WINDOW w AS (PARTITION BY product_name, category))
+MAIN SELECT *, part_rank = 1 AS is_peak{_name} FROM h""", "revenue quantity revenue_percent quantity_percent orders_percent", 2)
     def _(s, by=_by):
-        return products.seasonality(s.items, s.orders, by).select("product_name", "category", F.col(by).cast("string").alias("part"), "revenue_percent", "orders_percent", "is_peak")
+        return products.seasonality(s.items, s.orders, by)
 
 
 @query("gp8_product_pairs", "items", """WITH b AS (SELECT DISTINCT order_id, product_name FROM items), n AS (SELECT product_name, count(*) AS n FROM b GROUP BY 1),
@@ -174,14 +262,25 @@ def _(s):
     return products.product_pairs(s.items)
 
 
-@query("gp9_view_conversion", "items logs", """WITH v AS (SELECT regexp_extract(page_url, '/(?:products|produits)/([^/?#]+)', 1) AS product, count(*) AS view_count, count(DISTINCT session_id) AS unique_views FROM logs WHERE event_type = 'product_view' GROUP BY 1),
-p AS (SELECT 'p' || (product_id % 20) AS product, min(category) AS category, count(DISTINCT order_id) AS purchase_count, sum(item_total) AS revenue FROM items GROUP BY 1),
-b AS (SELECT coalesce(v.product, p.product) AS product, coalesce(category, 'unknown') AS category, coalesce(view_count, 0) AS view_count, coalesce(unique_views, 0) AS unique_views, coalesce(purchase_count, 0) AS purchase_count, coalesce(revenue, 0) AS revenue FROM v FULL JOIN p USING (product)),
-r AS (SELECT *, CASE WHEN view_count > 0 THEN purchase_count / view_count ELSE 0 END AS conversion_rate FROM b), a AS (SELECT *, avg(conversion_rate) OVER (PARTITION BY category) AS category_rate FROM r)
-MAIN SELECT *, CASE WHEN conversion_rate / category_rate - 1 > 0.2 THEN 'Above Average' WHEN conversion_rate / category_rate - 1 >= -0.2 THEN 'Average' ELSE 'Below Average' END AS performance FROM a""", "revenue conversion_rate category_rate", 3)
+VC = """vc AS (SELECT *, CASE WHEN round(purchase_rate_vs_category, 9) > 0.2 THEN 'Above Average' WHEN round(purchase_rate_vs_category, 9) >= -0.2 THEN 'Average' ELSE 'Below Average' END AS relative_performance FROM
+ (SELECT *, CASE WHEN category_avg_purchase_rate > 0 THEN (view_to_purchase_rate - category_avg_purchase_rate) / category_avg_purchase_rate ELSE 0 END AS purchase_rate_vs_category FROM
+  (SELECT *, CASE WHEN total_views > 0 THEN total_purchases / total_views ELSE 0 END AS view_to_purchase_rate, CASE WHEN total_views > 0 THEN order_count / total_views ELSE 0 END AS view_to_order_rate FROM
+   (SELECT product, category, coalesce(total_views, 0) AS total_views, coalesce(total_purchases, 0) AS total_purchases, coalesce(order_count, 0) AS order_count
+    FROM (SELECT regexp_extract(page_url, '/(?:products|produits)/([^/?#]+)', 1) AS product, count(*) AS total_views FROM logs WHERE event_type = 'product_view' GROUP BY 1)
+    FULL JOIN (SELECT 'p' || (product_id % 30) AS product, min(category) AS category, sum(quantity) AS total_purchases, count(DISTINCT order_id) AS order_count FROM items GROUP BY 1) USING (product)))
+  LEFT JOIN (SELECT category, avg(view_to_purchase_rate) AS category_avg_purchase_rate, avg(view_to_order_rate) AS category_avg_order_rate FROM (SELECT category, CASE WHEN total_views > 0 THEN total_purchases / total_views ELSE 0 END AS view_to_purchase_rate, CASE WHEN total_views > 0 THEN order_count / total_views ELSE 0 END AS view_to_order_rate FROM
+   (SELECT product, min(category) AS category, sum(quantity) AS total_purchases, count(DISTINCT order_id) AS order_count FROM (SELECT 'p' || (product_id % 30) AS product, * FROM items) GROUP BY 1) LEFT JOIN (SELECT regexp_extract(page_url, '/products/([^/]+)', 1) AS product, count(*) AS total_views FROM logs WHERE event_type = 'product_view' GROUP BY 1) USING (product)) GROUP BY 1) USING (category)))"""
+VC_DOUBLES = "total_purchases view_to_purchase_rate view_to_order_rate category_avg_purchase_rate category_avg_order_rate purchase_rate_vs_category"
+
+
+def conversion(s: Silver) -> DataFrame:
+    """The views' URLs name 20 products p0 to p19; sold products are told by their number modulo 30, so some are never viewed."""
+    return products.view_conversion(s.items.withColumn("product", F.concat(F.lit("p"), (F.col("product_id") % 30).cast("string"))), s.logs)
+
+
+@query("gp9_view_conversion", "items logs", f"WITH {VC}\nMAIN SELECT * FROM vc", VC_DOUBLES, 3)
 def _(s):
-    named = s.items.withColumn("product", F.concat(F.lit("p"), (F.col("product_id") % 20).cast("string")))
-    return products.view_conversion(named, s.orders, s.logs).select("product", "category", "view_count", "unique_views", "purchase_count", "revenue", "conversion_rate", "category_rate", "performance")
+    return conversion(s)
 
 
 TOT = f"t AS (SELECT customer_id, date_diff('day', max(order_date), DATE '{O}') AS recency_days, count(*) AS frequency, round(sum(final_total), 2) AS monetary, date_diff('day', min(order_date), DATE '{O}') AS first_days FROM ord GROUP BY 1)"
@@ -218,14 +317,17 @@ def _(s):
     return segments.kmeans_clusters(segments.customer_totals(s.orders, ORDERS_AS_OF)).select("customer_id", "cluster", "cluster_size", "cluster_label")
 
 
-@query("gc6_combined_segments", "cust ord items", f"""WITH {RFM}, {LIFE[len(TOT) + 2:]}, {PREF}
-MAIN SELECT c.customer_id, rfm_segment, lifecycle_stage, CASE WHEN lifecycle_stage = 'New Customer' THEN 'Welcome Series + Cross-Sell Related Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Champions' THEN 'VIP Program + Early Access to New Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Loyal Customers' THEN 'Loyalty Rewards + Personalized Recommendations'
+AFFINITY = "CASE WHEN primary_category IS NULL THEN NULL ELSE coalesce(map {'soin_visage': 'Facial Care Enthusiast', 'soin_corps': 'Body Care Focused', 'soin_cheveux': 'Hair Care Passionate', 'maquillage': 'Makeup Aficionado', 'parfum': 'Fragrance Collector'}[primary_category], 'Mixed Category Shopper') END"
+COMBINED = f"""combined AS (SELECT c.customer_id, rfm_score::INT AS rfm_score, rfm_segment, primary_category, {AFFINITY} AS product_affinity_segment, lifecycle_stage, purchase_frequency_segment, (['Premium Value', 'High Value', 'Medium Value', 'Low Value'])[value_quartile] AS customer_value_segment, CASE WHEN lifecycle_stage = 'New Customer' THEN 'Welcome Series + Cross-Sell Related Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Champions' THEN 'VIP Program + Early Access to New Products' WHEN lifecycle_stage = 'Active Customer' AND rfm_segment = 'Loyal Customers' THEN 'Loyalty Rewards + Personalized Recommendations'
  WHEN lifecycle_stage = 'At-Risk Customer' THEN 'Re-engagement Campaign + Special Offer' WHEN lifecycle_stage = 'Lapsed Customer' THEN 'Win-Back Campaign + Discount' WHEN lifecycle_stage = 'Lost Customer' THEN 'Reactivation Campaign + Survey' WHEN rfm_segment = 'Potential Loyalists' THEN 'Nurture Campaign + Second Purchase Incentive' WHEN rfm_segment = 'Customers Needing Attention' THEN 'Targeted Content + Product Education'
  WHEN rfm_segment = 'At Risk' THEN 'Special Offer + Personalized Communication' WHEN rfm_segment = 'Can''t Lose Them' THEN 'Deep Discount + Personal Outreach' ELSE 'Standard Marketing Communications' END AS marketing_recommendation,
  CASE WHEN rfm_segment IN ('Champions', 'Loyal Customers', 'Potential Loyalists') THEN 'Direct Email + SMS' WHEN lifecycle_stage IN ('At-Risk Customer', 'Lapsed Customer') THEN 'Retargeting Ads + Email' WHEN value_quartile = 1 THEN 'Personal Outreach + Direct Mail' WHEN value_quartile = 2 THEN 'Email + Social Media Ads' ELSE 'Email + General Advertising' END AS preferred_channel_recommendation
- FROM cust c LEFT JOIN rfm USING (customer_id) LEFT JOIN life USING (customer_id) LEFT JOIN pref USING (customer_id)""")
+ FROM cust c LEFT JOIN rfm USING (customer_id) LEFT JOIN life USING (customer_id) LEFT JOIN pref USING (customer_id))"""
+
+
+@query("gc6_combined_segments", "cust ord items", f"WITH {RFM}, {LIFE[len(TOT) + 2:]}, {PREF}, {COMBINED}\nMAIN SELECT * FROM combined")
 def _(s):
-    return gold.customer_segments(s, ORDERS_AS_OF)["combined_segments"].select("customer_id", "rfm_segment", "lifecycle_stage", "marketing_recommendation", "preferred_channel_recommendation")
+    return gold.customer_segments(s, ORDERS_AS_OF)["combined_segments"]
 
 
 GA = """per AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent FROM ord GROUP BY 1), sp AS (SELECT lower(regexp_replace(platform, '_.*$', '')) AS p, sum(cost) AS ad_cost FROM ads GROUP BY 1),
@@ -237,9 +339,9 @@ def _(s):
     return acquisition.source_metrics(s.customers, s.orders, s.ads)
 
 
-@query("ga3_new_customers", "cust ord ads", f"WITH {GA}, g AS (SELECT time_period, acquisition_source, count(*) AS new_customers FROM cust, {spans(O, P)} WHERE registration_date BETWEEN a AND b GROUP BY 1, 2)\nMAIN SELECT time_period, acquisition_source, new_customers, new_customers / sum(new_customers) OVER (PARTITION BY time_period) * 100 AS acquisition_share, ad_cost / total_customers AS cac FROM g LEFT JOIN sm USING (acquisition_source)", "acquisition_share cac", 3)
+@query("ga3_new_customers", "cust ord ads", f"WITH {GA}, g AS (SELECT time_period, acquisition_source, count(*) AS new_customers FROM cust, {spans(O, P)} WHERE registration_date BETWEEN a AND b GROUP BY 1, 2)\nMAIN SELECT time_period, acquisition_source, new_customers, new_customers / sum(new_customers) OVER (PARTITION BY time_period) * 100 AS acquisition_share, converting_customers / total_customers * 100 AS conversion_rate, ad_cost / total_customers AS cac FROM g LEFT JOIN sm USING (acquisition_source)", "acquisition_share conversion_rate cac", 3)
 def _(s):
-    return acquisition.new_customers(s.customers, acquisition.source_metrics(s.customers, s.orders, s.ads), ORDERS_AS_OF, PERIODS).drop("conversion_rate")
+    return acquisition.new_customers(s.customers, acquisition.source_metrics(s.customers, s.orders, s.ads), ORDERS_AS_OF, PERIODS)
 
 
 @query("ga4_cohorts", "cust ord", """WITH b AS (SELECT customer_id, date_trunc('month', registration_date)::DATE AS cohort FROM cust WHERE registration_date IS NOT NULL), z AS (SELECT cohort, count(*) AS cohort_size FROM b GROUP BY 1),
@@ -255,10 +357,12 @@ def _(s):
     return acquisition.first_purchase_cohorts(s.customers, s.orders)
 
 
-@query("ga6_ltv", "cust ord", f"""WITH per AS (SELECT customer_id, count(*) AS n, sum(final_total) AS spent FROM ord GROUP BY 1), x AS (SELECT *, date_diff('day', registration_date, DATE '{O}') AS d FROM cust LEFT JOIN per USING (customer_id) WHERE registration_date IS NOT NULL)
-MAIN SELECT acquisition_source, CASE WHEN d < 30 THEN '<30 days' WHEN d < 90 THEN '30-89 days' WHEN d < 180 THEN '90-179 days' WHEN d < 365 THEN '180-364 days' ELSE '365+ days' END AS tenure, count(*) AS customers, coalesce(sum(n), 0)::BIGINT AS orders, coalesce(sum(spent), 0) AS revenue, coalesce(sum(n), 0) / count(*) AS orders_per_customer, coalesce(sum(spent), 0) / count(*) AS revenue_per_customer FROM x GROUP BY 1, 2""", "revenue orders_per_customer revenue_per_customer", 2)
+@query("ga6_ltv", "cust ord", """WITH x AS (SELECT *, date_diff('day', registration_date, order_date) AS d FROM ord JOIN cust USING (customer_id)),
+g AS (SELECT acquisition_source, CASE WHEN d < 30 THEN '0-30 days' WHEN d < 90 THEN '31-90 days' WHEN d < 180 THEN '91-180 days' WHEN d < 365 THEN '181-365 days' ELSE '365+ days' END AS tenure_bucket,
+  count(DISTINCT customer_id) AS customer_count, sum(final_total) AS total_revenue, avg(final_total) AS avg_order_value, count(order_id) AS order_count FROM x GROUP BY 1, 2)
+MAIN SELECT *, order_count / customer_count AS orders_per_customer, total_revenue / customer_count AS revenue_per_customer, list_position(['0-30 days', '31-90 days', '91-180 days', '181-365 days', '365+ days'], tenure_bucket)::INT AS tenure_order FROM g""", "total_revenue avg_order_value orders_per_customer revenue_per_customer", 2)
 def _(s):
-    return acquisition.ltv_by_tenure(s.customers, s.orders, ORDERS_AS_OF)
+    return acquisition.ltv_by_tenure(s.customers, s.orders)
 
 
 @query("ga7_channel_effectiveness", "att ads", """WITH u AS (SELECT 'web' AS source_type, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS channel, count(*) FILTER (purchase_count > 0) / count(*) * 100 / 10 AS score FROM sess GROUP BY 2
@@ -269,18 +373,27 @@ def _(s):
 
 
 EP = "daily weekly monthly"
-CM = f"""by_c AS (SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL),
-sp AS (SELECT time_period, campaign_id, sum(cost) AS cost, sum(clicks) AS clicks FROM ads, {spans(E, EP)} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
-cm AS (SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, sum(conversions)::BIGINT AS conversions, sum(revenue) AS revenue, sum(cost) AS cost, sum(clicks)::BIGINT AS clicks FROM by_c LEFT JOIN sp USING (time_period, campaign_id) GROUP BY ALL)"""
+CHANNEL = "time_period, attribution_model, utm_source, utm_medium, utm_campaign"
+CM = f"""by_c AS (SELECT {CHANNEL}, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL),
+uo AS (SELECT {CHANNEL}, count(DISTINCT order_id) AS unique_orders, count(DISTINCT user_id) AS unique_users FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL),
+sp AS (SELECT time_period, campaign_id, sum(cost) AS cost, sum(impressions) AS impressions, sum(clicks) AS clicks FROM ads, {spans(E, EP)} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
+cs AS (SELECT {CHANNEL}, sum(conversions)::BIGINT AS conversions, sum(revenue) AS revenue, sum(cost) AS cost, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks FROM by_c LEFT JOIN sp USING (time_period, campaign_id) GROUP BY ALL),
+cm AS (SELECT cs.*, unique_orders, unique_users, CASE WHEN cost > 0 THEN revenue / cost END AS roas, CASE WHEN cost > 0 THEN (revenue - cost) / cost END AS roi, cost / conversions AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, CASE WHEN clicks > 0 THEN conversions / clicks END AS conversion_rate
+  FROM cs JOIN uo ON ({", ".join("cs." + x for x in CHANNEL.split(", "))}) IS NOT DISTINCT FROM ({", ".join("uo." + x for x in CHANNEL.split(", "))}))"""
+CM_DOUBLES = "revenue cost roas roi cpa cpc conversion_rate"
+_w = "OVER (PARTITION BY time_period, attribution_model ORDER BY"
+CR = f"""cr AS (SELECT *, CASE WHEN performance_score <= 3 THEN 'Top Performer' WHEN performance_score <= 7 THEN 'Strong Performer' WHEN performance_score <= 12 THEN 'Average Performer' ELSE 'Under Performer' END AS performance_tier FROM
+  (SELECT *, (roi_rank + roas_rank + revenue_rank + conversion_rank) / 4 AS performance_score FROM (SELECT *, dense_rank() {_w} round(roi, 6) DESC NULLS LAST)::INT AS roi_rank, dense_rank() {_w} round(roas, 6) DESC NULLS LAST)::INT AS roas_rank,
+  dense_rank() {_w} round(revenue, 6) DESC NULLS LAST)::INT AS revenue_rank, dense_rank() {_w} conversions DESC)::INT AS conversion_rank FROM cm)))"""
 
 
 def channels(s: Silver) -> DataFrame:
     return marketing.channel_metrics(attributed(s), s.ads, EVENTS_AS_OF, EP.split())
 
 
-@query("gm1_channel_metrics", "att ads", f"WITH {CM}\nMAIN SELECT *, CASE WHEN cost > 0 THEN revenue / cost END AS roas, CASE WHEN cost > 0 THEN (revenue - cost) / cost END AS roi, cost / conversions AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, CASE WHEN clicks > 0 THEN conversions / clicks END AS conversion_rate FROM cm", "revenue cost roas roi cpa cpc conversion_rate", 3)
+@query("gm1_channel_metrics", "att ads", f"WITH {CM}\nMAIN SELECT * FROM cm", CM_DOUBLES, 4)
 def _(s):
-    return channels(s).drop("unique_orders")
+    return channels(s)
 
 
 @query("gm1_channel_orders", "att", f"SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, count(*) AS conversions, count(DISTINCT order_id) AS unique_orders FROM att, {spans(E, EP)} WHERE order_date::DATE BETWEEN a AND b GROUP BY ALL")
@@ -288,88 +401,137 @@ def _(s):
     return channels(s).select("time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "conversions", "unique_orders")
 
 
-@query("gm2_channel_rankings", "att ads", f"""WITH {CM}, k AS (SELECT *, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(revenue, 6) DESC NULLS LAST) AS revenue_rank, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY conversions DESC) AS conversions_rank FROM cm)
-MAIN SELECT time_period, attribution_model, utm_source, utm_medium, utm_campaign, revenue_rank::INT AS revenue_rank, conversions_rank::INT AS conversions_rank FROM k""")
+@query("gm2_channel_rankings", "att ads", f"WITH {CM}, {CR}\nMAIN SELECT * FROM cr", CM_DOUBLES + " performance_score", 4)
 def _(s):
-    return marketing.channel_rankings(channels(s)).select("time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "revenue_rank", "conversions_rank")
+    return marketing.channel_rankings(channels(s))
+
+
+def trend_sql(name: str, days: int) -> str:
+    now, before = f"order_date::DATE BETWEEN DATE '{E}' - {days - 1} AND DATE '{E}'", f"order_date::DATE BETWEEN DATE '{E}' - {2 * days - 1} AND DATE '{E}' - {days}"
+    return f"""SELECT *, {TREND} FROM (SELECT *, {grown("revenue")}, {grown("conversions")} FROM (SELECT '{name}' AS trend_period, (DATE '{E}' - {days - 1})::DATE AS current_start, DATE '{E}' AS current_end, (DATE '{E}' - {2 * days - 1})::DATE AS previous_start, (DATE '{E}' - {days})::DATE AS previous_end,
+  attribution_model, utm_source, utm_medium, utm_campaign, coalesce(sum(attributed_revenue) FILTER ({now}), 0) AS current_revenue, coalesce(sum(attributed_revenue) FILTER ({before}), 0) AS previous_revenue, count(*) FILTER ({now}) AS current_conversions, count(*) FILTER ({before}) AS previous_conversions
+  FROM att WHERE {now} OR {before} GROUP BY ALL))"""
 
 
-@query("gm3_channel_trend", "att", f"""WITH g AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, coalesce(sum(attributed_revenue) FILTER (order_date::DATE BETWEEN DATE '{E}' - 6 AND DATE '{E}'), 0) AS current_revenue, coalesce(sum(attributed_revenue) FILTER (order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' - 7), 0) AS previous_revenue,
- count(*) FILTER (order_date::DATE BETWEEN DATE '{E}' - 6 AND DATE '{E}') AS current_conversions, count(*) FILTER (order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' - 7) AS previous_conversions FROM att WHERE order_date::DATE BETWEEN DATE '{E}' - 13 AND DATE '{E}' GROUP BY ALL)
-MAIN SELECT *, CASE WHEN previous_revenue > 0 THEN (current_revenue - previous_revenue) / previous_revenue * 100 WHEN current_revenue > 0 THEN 100 ELSE 0 END AS revenue_growth FROM g""", "current_revenue previous_revenue revenue_growth", 2)
+TREND_DOUBLES = "current_revenue previous_revenue revenue_change revenue_growth conversions_growth"
+
+
+@query("gm3_channel_trend", "att", trend_sql("weekly", 7), TREND_DOUBLES, 2)
 def _(s):
-    return marketing.channel_trend(attributed(s), EVENTS_AS_OF, "weekly").select("attribution_model", "utm_source", "utm_medium", "utm_campaign", "current_revenue", "previous_revenue", "current_conversions", "previous_conversions", "revenue_growth")
+    return marketing.channel_trend(attributed(s), EVENTS_AS_OF, "weekly")
 
 
-@query("gm4_channel_comparison", "att ads", """WITH b AS (SELECT attribution_model, utm_source, utm_medium, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att GROUP BY ALL), sp AS (SELECT campaign_id, sum(cost) AS cost FROM ads GROUP BY 1),
+CC = """b AS (SELECT attribution_model, utm_source, utm_medium, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS revenue FROM att GROUP BY ALL), sp AS (SELECT campaign_id, sum(cost) AS cost FROM ads GROUP BY 1),
 g AS (SELECT attribution_model, utm_source, utm_medium, sum(conversions)::BIGINT AS conversions, sum(revenue) AS revenue, coalesce(sum(cost), 0) AS cost FROM b LEFT JOIN sp USING (campaign_id) GROUP BY ALL),
-h AS (SELECT *, revenue / sum(revenue) OVER w * 100 AS revenue_share, conversions / sum(conversions) OVER w * 100 AS conversions_share, cost / sum(cost) OVER w * 100 AS cost_share FROM g WINDOW w AS (PARTITION BY attribution_model))
-MAIN SELECT *, CASE WHEN cost_share > 0 THEN revenue_share / cost_share WHEN revenue_share > 0 THEN 999 ELSE 0 END AS efficiency_index FROM h""", "revenue cost revenue_share conversions_share cost_share efficiency_index", 2)
+h AS (SELECT *, revenue / sum(revenue) OVER w * 100 AS revenue_share, conversions / sum(conversions) OVER w * 100 AS conversions_share, cost / sum(cost) OVER w * 100 AS cost_share FROM g WINDOW w AS (PARTITION BY attribution_model)),
+cc AS (SELECT *, CASE WHEN cost_share > 0 THEN revenue_share / cost_share WHEN revenue_share > 0 THEN 999 ELSE 0 END AS efficiency_index FROM h)"""
+CC_DOUBLES = "revenue cost revenue_share conversions_share cost_share efficiency_index"
+
+
+@query("gm4_channel_comparison", "att ads", f"WITH {CC}\nMAIN SELECT * FROM cc", CC_DOUBLES, 2)
 def _(s):
     return marketing.channel_comparison(attributed(s), s.ads)
 
 
-CP = """pc AS (SELECT utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS orders, count(DISTINCT user_id) AS customers, sum(attributed_revenue) AS revenue FROM att WHERE utm_campaign IS NOT NULL GROUP BY 1, 2),
+CP = """pc AS (SELECT utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS orders, count(DISTINCT user_id) AS customers, sum(attributed_revenue) AS revenue, avg(attributed_revenue) AS avg_order_value FROM att WHERE utm_campaign IS NOT NULL GROUP BY 1, 2),
 cs AS (SELECT campaign_name, min(platform) AS platform, sum(cost) AS cost, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks, sum(conversions)::BIGINT AS tracked_conversions FROM ads GROUP BY 1),
-cp AS (SELECT *, revenue / orders AS avg_order_value, revenue / cost AS roas, (revenue - cost) / cost AS roi, clicks / impressions * 100 AS ctr_percent, cost / clicks AS cpc FROM pc FULL JOIN cs USING (campaign_name))"""
+cp AS (SELECT *, CASE WHEN cost > 0 THEN revenue / cost END AS roas, CASE WHEN cost > 0 THEN (revenue - cost) / cost END AS roi, CASE WHEN impressions > 0 THEN clicks / impressions * 100 END AS ctr_percent, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc,
+  CASE WHEN orders > 0 THEN cost / orders WHEN tracked_conversions > 0 THEN cost / tracked_conversions END AS cpa, CASE WHEN clicks > 0 AND orders > 0 THEN orders / clicks * 100 WHEN clicks > 0 THEN tracked_conversions / clicks * 100 END AS conversion_percent FROM pc FULL JOIN cs USING (campaign_name))"""
+CP_DOUBLES = "revenue cost avg_order_value roas roi ctr_percent cpc cpa conversion_percent"
 
 
 def overall(s: Silver) -> DataFrame:
     return marketing.campaign_performance(attributed(s), s.ads)
 
 
-@query("gr1_campaign_performance", "att ads", f"WITH {CP}\nMAIN SELECT *, cost / orders AS cpa, orders / clicks * 100 AS conversion_percent FROM cp", "revenue cost avg_order_value roas roi ctr_percent cpc cpa conversion_percent", 2)
+@query("gr1_campaign_performance", "att ads", f"WITH {CP}\nMAIN SELECT * FROM cp", CP_DOUBLES, 2)
 def _(s):
     return overall(s)
 
 
-CT = f"""pt AS (SELECT time_period, utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS period_orders, count(DISTINCT user_id) AS period_customers, sum(attributed_revenue) AS period_revenue FROM att, {spans(E, EP + " ytd")} WHERE order_date::DATE BETWEEN a AND b AND utm_campaign IS NOT NULL GROUP BY 1, 2, 3),
-ps AS (SELECT time_period, campaign_name, sum(cost) AS period_cost FROM ads, {spans(E, EP + " ytd")} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
-ct AS (SELECT *, period_revenue / period_cost AS period_roas, (period_revenue - period_cost) / period_cost AS period_roi FROM pt LEFT JOIN ps USING (time_period, campaign_name))"""
+CT = f"""pt AS (SELECT time_period, utm_campaign AS campaign_name, attribution_model, count(DISTINCT order_id) AS period_orders, count(DISTINCT user_id) AS period_customers, sum(attributed_revenue) AS period_revenue, avg(attributed_revenue) AS period_aov FROM att, {spans(E, EP + " ytd")} WHERE order_date::DATE BETWEEN a AND b AND utm_campaign IS NOT NULL GROUP BY 1, 2, 3),
+ps AS (SELECT time_period, campaign_name, sum(cost) AS period_cost, sum(impressions)::BIGINT AS period_impressions, sum(clicks)::BIGINT AS period_clicks, sum(conversions)::BIGINT AS period_tracked_conversions FROM ads, {spans(E, EP + " ytd")} WHERE ad_date BETWEEN a AND b GROUP BY 1, 2),
+ct AS (SELECT x.*, p.a AS period_start, p.b AS period_end, CASE WHEN period_cost > 0 THEN period_revenue / period_cost END AS period_roas, CASE WHEN period_cost > 0 THEN (period_revenue - period_cost) / period_cost END AS period_roi FROM (FROM pt FULL JOIN ps USING (time_period, campaign_name)) x JOIN {spans(E, EP + " ytd")} USING (time_period))"""
+CT_DOUBLES = "period_revenue period_aov period_cost period_roas period_roi"
 
 
 def by_time(s: Silver) -> DataFrame:
     return marketing.campaign_periods(attributed(s), s.ads, EVENTS_AS_OF, [*EP.split(), "ytd"])
 
 
-@query("gr2_campaign_periods", "att ads", f"WITH {CT}\nMAIN SELECT * FROM ct", "period_revenue period_cost period_roas period_roi", 3)
+@query("gr2_campaign_periods", "att ads", f"WITH {CT}\nMAIN SELECT * FROM ct", CT_DOUBLES, 3)
 def _(s):
     return by_time(s)
 
 
-CLASS = "CASE WHEN roi IS NULL THEN 'Unknown' WHEN roi >= 2 THEN 'Excellent (200%+ ROI)' WHEN roi >= 1 THEN 'Very Good (100-200% ROI)' WHEN roi >= 0.5 THEN 'Good (50-100% ROI)' WHEN roi >= 0 THEN 'Break-even (0-50% ROI)' WHEN roi >= -0.5 THEN 'Poor (-50-0% ROI)' ELSE 'Very Poor (< -50% ROI)' END"
+RC = """rc AS (SELECT *, CASE WHEN period_roi IS NULL THEN 'Unknown' WHEN period_roi >= 2 THEN 'Excellent (200%+ ROI)' WHEN period_roi >= 1 THEN 'Very Good (100-200% ROI)' WHEN period_roi >= 0.5 THEN 'Good (50-100% ROI)' WHEN period_roi >= 0 THEN 'Break-even (0-50% ROI)' WHEN period_roi >= -0.5 THEN 'Poor (-50-0% ROI)' ELSE 'Very Poor (< -50% ROI)' END AS roi_class,
+  dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(period_roi, 6) DESC NULLS LAST)::INT AS roi_rank, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(period_revenue, 2) DESC NULLS LAST)::INT AS revenue_rank
+  FROM (SELECT cp.*, ct.* EXCLUDE (campaign_name, attribution_model) FROM cp LEFT JOIN ct ON cp.campaign_name = ct.campaign_name AND cp.attribution_model IS NOT DISTINCT FROM ct.attribution_model))"""
+RC_DOUBLES = f"{CP_DOUBLES} {CT_DOUBLES}"
+
 
+def roi_table(s: Silver) -> DataFrame:
+    """Computed once, since the tables below read it more than once."""
+    held = written(attributed(s))
+    return marketing.campaign_roi(marketing.campaign_performance(held, s.ads), marketing.campaign_periods(held, s.ads, EVENTS_AS_OF, [*EP.split(), "ytd"]))
 
-@query("gr3_campaign_roi", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT campaign_name, attribution_model, time_period, {CLASS} AS roi_class, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(roi, 6) DESC NULLS LAST)::INT AS roi_rank, period_revenue FROM cp LEFT JOIN ct USING (campaign_name, attribution_model)", "period_revenue", 2)
+
+@query("gr3_campaign_roi", "att ads", f"WITH {CP}, {CT}, {RC}\nMAIN SELECT * FROM rc", RC_DOUBLES, 2)
 def _(s):
-    return marketing.campaign_roi(overall(s), by_time(s)).select("campaign_name", "attribution_model", "time_period", "roi_class", "roi_rank", "period_revenue")
+    return roi_table(s)
+
 
+PC = """pl AS (SELECT *, dense_rank() OVER (PARTITION BY time_period, attribution_model ORDER BY round(channel_roi, 6) DESC NULLS LAST)::INT AS roi_rank FROM (SELECT *, CASE WHEN channel_cost > 0 THEN (channel_revenue - channel_cost) / channel_cost END AS channel_roi,
+  CASE WHEN channel_impressions > 0 THEN channel_clicks / channel_impressions * 100 END AS channel_ctr, CASE WHEN channel_orders > 0 THEN channel_cost / channel_orders END AS channel_cpa, CASE WHEN channel_clicks > 0 THEN channel_orders / channel_clicks * 100 END AS channel_conversion_rate
+  FROM (SELECT platform, time_period, period_start, period_end, attribution_model, sum(period_cost) AS channel_cost, sum(period_revenue) AS channel_revenue, sum(period_impressions)::BIGINT AS channel_impressions, sum(period_clicks)::BIGINT AS channel_clicks, sum(period_orders)::BIGINT AS channel_orders, count(campaign_name) AS campaign_count, avg(period_roi) AS avg_campaign_roi
+    FROM rc WHERE platform IS NOT NULL AND time_period IS NOT NULL GROUP BY ALL)))"""
+PC_DOUBLES = "channel_cost channel_revenue avg_campaign_roi channel_roi channel_ctr channel_cpa channel_conversion_rate"
 
-@query("gr4_platform_comparison", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT platform, time_period, sum(revenue) AS revenue, sum(cost) AS cost, sum(orders)::BIGINT AS orders, (sum(revenue) - sum(cost)) / sum(cost) AS roi, sum(clicks) / sum(impressions) AS ctr FROM cp LEFT JOIN ct USING (campaign_name, attribution_model) GROUP BY 1, 2", "revenue cost roi ctr", 2)
+
+@query("gr4_platform_comparison", "att ads", f"WITH {CP}, {CT}, {RC}, {PC}\nMAIN SELECT * FROM pl", PC_DOUBLES, 2)
 def _(s):
-    return marketing.platform_comparison(marketing.campaign_roi(overall(s), by_time(s))).select("platform", "time_period", "revenue", "cost", "orders", "roi", "ctr")
+    return marketing.platform_comparison(roi_table(s))
+
 
+MONTH_COLUMNS = "platform, attribution_model, campaign_name, period_cost, period_revenue, period_roi, time_period, period_start, period_end"
+RT = f"""rt AS (SELECT {MONTH_COLUMNS}, dense_rank() OVER (PARTITION BY platform ORDER BY round(period_roi, 6) DESC)::INT AS roi_rank_in_channel, CASE WHEN period_roi >= 1 THEN 'High ROI' WHEN period_roi >= 0 THEN 'Positive ROI' WHEN period_roi >= -0.5 THEN 'Negative ROI' ELSE 'Poor ROI' END AS roi_quality
+  FROM rc WHERE time_period = 'monthly' AND period_roi IS NOT NULL)"""
 
-@query("gr5_roi_trends", "att ads", f"WITH {CP}, {CT}\nMAIN SELECT campaign_name, attribution_model, platform, period_roi, CASE WHEN period_roi >= 1 THEN 'High' WHEN period_roi >= 0 THEN 'Positive' WHEN period_roi >= -0.5 THEN 'Negative' ELSE 'Very Negative' END AS roi_quality FROM cp JOIN ct USING (campaign_name, attribution_model) WHERE time_period = 'monthly'", "period_roi")
+
+@query("gr5_roi_trends", "att ads", f"WITH {CP}, {CT}, {RC}, {RT}\nMAIN SELECT * FROM rt", "period_cost period_revenue period_roi", 3)
 def _(s):
-    return marketing.roi_trends(marketing.campaign_roi(overall(s), by_time(s))).select("campaign_name", "attribution_model", "platform", "period_roi", "roi_quality")
+    return marketing.roi_trends(roi_table(s))
 
 
-@query("gr6_roi_distribution", "att ads", f"WITH {CP}, {CT}, q AS (SELECT platform, period_roi FROM cp JOIN ct USING (campaign_name, attribution_model) WHERE time_period = 'monthly')\nMAIN SELECT platform, count(*) AS campaigns, count(*) FILTER (period_roi >= 1) AS high_count, count(*) FILTER (period_roi >= 1) / count(*) * 100 AS high_percent FROM q GROUP BY 1", "high_percent", 2)
+@query("gr6_roi_distribution", "att ads", f"""WITH {CP}, {CT}, {RC}, {RT}, d AS (SELECT platform, time_period, period_start, period_end, count(*) AS campaign_count, count(*) FILTER (period_roi >= 1) AS high_roi_campaigns, count(*) FILTER (period_roi < 1 AND period_roi >= 0) AS positive_roi_campaigns,
+  count(*) FILTER (period_roi < 0 AND period_roi >= -0.5) AS negative_roi_campaigns, count(*) FILTER (period_roi < -0.5) AS poor_roi_campaigns FROM rt GROUP BY ALL), h AS (SELECT *, high_roi_campaigns / campaign_count * 100 AS high_roi_percentage, positive_roi_campaigns / campaign_count * 100 AS positive_roi_percentage FROM d)
+MAIN SELECT *, CASE WHEN high_roi_percentage >= 50 THEN 'Excellent' WHEN high_roi_percentage >= 30 THEN 'Good' WHEN high_roi_percentage + positive_roi_percentage >= 50 THEN 'Average' ELSE 'Poor' END AS platform_health FROM h""", "high_roi_percentage positive_roi_percentage", 2)
 def _(s):
-    return marketing.roi_distribution(marketing.roi_trends(marketing.campaign_roi(overall(s), by_time(s)))).select("platform", "campaigns", "high_count", "high_percent")
+    return marketing.roi_distribution(marketing.roi_trends(roi_table(s)))
 
 
-@query("gr7_campaign_efficiency", "att ads", f"""WITH {CP}, e AS (SELECT *, cost / impressions * 1000 AS cpm, cost / orders AS cpo, orders / clicks AS cvr, revenue / clicks AS rpc FROM cp), w AS (SELECT *, coalesce(avg(cpc) OVER p / cpc, 1) AS a, coalesce(cvr / avg(cvr) OVER p, 1) AS b, coalesce(avg(cpm) OVER p / cpm, 1) AS c, coalesce(avg(cpo) OVER p / cpo, 1) AS d, coalesce(rpc / avg(rpc) OVER p, 1) AS f FROM e WINDOW p AS (PARTITION BY platform))
-MAIN SELECT campaign_name, attribution_model, cpm, cpo, (a + b + c + d + f) / 5 AS efficiency_score FROM w""", "cpm cpo efficiency_score", 3)
+@query("gr7_campaign_efficiency", "att ads", f"""WITH {CP}, {CT}, {RC}, e AS (SELECT {MONTH_COLUMNS}, period_impressions, period_clicks, period_orders, period_customers, CASE WHEN period_impressions > 0 THEN period_cost / period_impressions * 1000 END AS cost_per_impression, CASE WHEN period_clicks > 0 THEN period_cost / period_clicks END AS cost_per_click,
+  CASE WHEN period_orders > 0 THEN period_cost / period_orders END AS cost_per_order, CASE WHEN period_customers > 0 THEN period_cost / period_customers END AS cost_per_customer, CASE WHEN period_clicks > 0 THEN period_orders / period_clicks * 100 END AS conversion_rate,
+  CASE WHEN period_clicks > 0 THEN period_revenue / period_clicks END AS revenue_per_click, CASE WHEN period_customers > 0 THEN period_revenue / period_customers END AS revenue_per_customer FROM rc WHERE time_period = 'monthly'),
+v AS (SELECT platform, avg(cost_per_impression) AS avg_cpm, avg(cost_per_click) AS avg_cpc, avg(cost_per_order) AS avg_cpo, avg(conversion_rate) AS avg_cvr, avg(revenue_per_customer) AS avg_rpc FROM e WHERE cost_per_impression IS NOT NULL AND cost_per_click IS NOT NULL AND cost_per_order IS NOT NULL AND conversion_rate IS NOT NULL GROUP BY 1),
+w AS (SELECT *, CASE WHEN avg_cpm > 0 THEN avg_cpm / nullif(cost_per_impression, 0) END AS cpm_score, CASE WHEN avg_cpc > 0 THEN avg_cpc / nullif(cost_per_click, 0) END AS cpc_score, CASE WHEN avg_cpo > 0 THEN avg_cpo / nullif(cost_per_order, 0) END AS cpo_score, CASE WHEN avg_cvr > 0 THEN conversion_rate / avg_cvr END AS cvr_score, CASE WHEN avg_rpc > 0 THEN revenue_per_customer / avg_rpc END AS rpc_score FROM e LEFT JOIN v USING (platform)),
+x AS (SELECT *, (coalesce(cpm_score, 1) + coalesce(cpc_score, 1) + coalesce(cpo_score, 1) + coalesce(cvr_score, 1) + coalesce(rpc_score, 1)) / 5 AS efficiency_score FROM w)
+MAIN SELECT *, CASE WHEN efficiency_score >= 1.5 THEN 'Excellent' WHEN efficiency_score >= 1.2 THEN 'Good' WHEN efficiency_score >= 0.8 THEN 'Average' WHEN efficiency_score >= 0.5 THEN 'Below Average' ELSE 'Poor' END AS efficiency_rating,
+ CASE WHEN cpc_score < 0.8 THEN 'Optimize for lower CPC' WHEN cvr_score < 0.8 THEN 'Improve conversion rate' WHEN cpm_score < 0.8 THEN 'Refine targeting for better CPM' WHEN cpo_score < 0.8 THEN 'Reduce cost per order' WHEN rpc_score < 0.8 THEN 'Increase revenue per customer' ELSE 'Maintain current performance' END AS efficiency_focus_area FROM x""",
+ "period_cost period_revenue period_roi cost_per_impression cost_per_click cost_per_order cost_per_customer conversion_rate revenue_per_click revenue_per_customer avg_cpm avg_cpc avg_cpo avg_cvr avg_rpc cpm_score cpc_score cpo_score cvr_score rpc_score efficiency_score", 3)
 def _(s):
-    return marketing.campaign_efficiency(overall(s)).select("campaign_name", "attribution_model", "cpm", "cpo", "efficiency_score")
+    return marketing.campaign_efficiency(roi_table(s))
+
+
+BA = f"""ba AS (SELECT *, CASE WHEN round(suggested_budget_change, 6) > 5 THEN 'Significantly Increase Budget' WHEN round(suggested_budget_change, 6) > 2 THEN 'Increase Budget' WHEN round(suggested_budget_change, 6) < -5 THEN 'Significantly Decrease Budget' WHEN round(suggested_budget_change, 6) < -2 THEN 'Decrease Budget' ELSE 'Maintain Current Budget' END AS allocation_recommendation
+  FROM (SELECT *, suggested_budget_share - current_budget_share AS suggested_budget_change FROM (SELECT *, adjusted_budget / sum(adjusted_budget) OVER () * 100 AS suggested_budget_share FROM (SELECT *, period_cost * budget_reallocation_factor AS adjusted_budget FROM (SELECT {MONTH_COLUMNS}, period_cost / sum(period_cost) OVER () * 100 AS current_budget_share, period_revenue / sum(period_revenue) OVER () * 100 AS revenue_contribution,
+    dense_rank() OVER (ORDER BY round(period_roi, 6) DESC)::INT AS roi_rank, CASE WHEN period_roi > 2 THEN 1.5 WHEN period_roi > 1 THEN 1.25 WHEN period_roi > 0.5 THEN 1.1 WHEN period_roi > 0 THEN 1 WHEN period_roi > -0.5 THEN 0.75 ELSE 0.5 END::DOUBLE AS budget_reallocation_factor FROM rc WHERE time_period = 'monthly' AND period_roi IS NOT NULL AND period_cost IS NOT NULL)))))"""
+BA_DOUBLES = "period_cost period_revenue period_roi current_budget_share revenue_contribution budget_reallocation_factor adjusted_budget suggested_budget_share suggested_budget_change"
 
 
-@query("gr8_budget_allocation", "att ads", f"""WITH {CP}, s AS (SELECT campaign_name, attribution_model, cost / sum(cost) OVER w * 100 AS current_budget_share, revenue / sum(revenue) OVER w * 100 AS revenue_contribution, CASE WHEN roi > 2 THEN 1.5 WHEN roi > 1 THEN 1.25 WHEN roi > 0.5 THEN 1.1 WHEN roi > 0 THEN 1.0 WHEN roi > -0.5 THEN 0.75 ELSE 0.5 END::DOUBLE AS reallocation_factor FROM cp WHERE cost > 0 AND attribution_model IS NOT NULL WINDOW w AS (PARTITION BY attribution_model))
-MAIN SELECT *, current_budget_share * reallocation_factor / sum(current_budget_share * reallocation_factor) OVER (PARTITION BY attribution_model) * 100 AS suggested_budget_share FROM s""", "current_budget_share revenue_contribution reallocation_factor suggested_budget_share", 3)
+@query("gr8_budget_allocation", "att ads", f"WITH {CP}, {CT}, {RC}, {BA}\nMAIN SELECT * FROM ba", BA_DOUBLES, 3)
 def _(s):
-    return marketing.budget_allocation(overall(s)).select("campaign_name", "attribution_model", "current_budget_share", "revenue_contribution", "reallocation_factor", "suggested_budget_share")
+    return marketing.budget_allocation(roi_table(s))
 
 
 DEL = f"del AS (SELECT *, year(order_date) * 12 + month(order_date) AS month_idx FROM items JOIN ord USING (order_id) WHERE order_status = 'Livré' AND order_date BETWEEN DATE '{O}' - 1460 AND DATE '{O}')"
@@ -385,16 +547,34 @@ def _(s):
     return forecast.sales(base(s), "day", False)
 
 
-@query("gs4_monthly_growth", "items ord", f"WITH {DEL}, {MON}\nMAIN SELECT m.month_idx::INT AS month_idx, m.category, m.revenue, avg(m.revenue) OVER (PARTITION BY m.category ORDER BY m.month_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_average, (m.revenue - p.revenue) / p.revenue * 100 AS mom_growth, (m.revenue - y.revenue) / y.revenue * 100 AS yoy_growth FROM mon m LEFT JOIN mon p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN mon y ON y.category = m.category AND y.month_idx = m.month_idx - 12", "revenue moving_average mom_growth yoy_growth", 2)
+@query("gs2_daily_category_sales", "items ord", f"WITH {DEL}\nMAIN SELECT order_date, category, sum(item_total) AS revenue, count(DISTINCT order_id) AS orders, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM del GROUP BY 1, 2", "revenue quantity", 2)
 def _(s):
-    return forecast.growth(forecast.sales(base(s), "month", True)).select("month_idx", "category", "revenue", "moving_average", "mom_growth", "yoy_growth")
+    return forecast.sales(base(s), "day", True)
+
+
+MON_ALL = "mall AS (SELECT month_idx, sum(item_total) AS revenue, count(DISTINCT order_id) AS orders, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM del GROUP BY 1)"
+YEAR_MONTH = "((month_idx - 1) // 12)::VARCHAR || '-' || lpad(((month_idx - 1) % 12 + 1)::VARCHAR, 2, '0') AS month_year"
 
 
-@query("gs5_growth_trends", "items ord", f"""WITH {DEL}, {MON}, u AS (SELECT month_idx, category, revenue FROM mon UNION ALL SELECT month_idx, 'ALL', sum(revenue) FROM mon GROUP BY 1),
-g AS (SELECT m.category, m.month_idx, (m.revenue - p.revenue) / p.revenue * 100 AS mom, (m.revenue - y.revenue) / y.revenue * 100 AS yoy, row_number() OVER (PARTITION BY m.category ORDER BY m.month_idx DESC) AS r FROM u m LEFT JOIN u p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN u y ON y.category = m.category AND y.month_idx = m.month_idx - 12)
-MAIN SELECT category, count(*) AS months, avg(mom) AS avg_mom_growth, min(mom) AS min_mom_growth, max(mom) AS max_mom_growth, avg(yoy) AS avg_yoy_growth FROM g WHERE r <= 6 GROUP BY 1""", "avg_mom_growth min_mom_growth max_mom_growth avg_yoy_growth", 3)
+@query("gs3_monthly_sales", "items ord", f"WITH {DEL}, {MON_ALL}\nMAIN SELECT month_idx::INT AS month_idx, {YEAR_MONTH}, revenue, orders, quantity, customers FROM mall", "revenue quantity", 2)
 def _(s):
-    return forecast.growth_trends(forecast.sales(base(s), "month", True)).select("category", "months", "avg_mom_growth", "min_mom_growth", "max_mom_growth", "avg_yoy_growth")
+    return forecast.sales(base(s), "month", False)
+
+
+@query("gs4_monthly_growth", "items ord", f"WITH {DEL}, {MON}\nMAIN SELECT m.month_idx::INT AS month_idx, {YEAR_MONTH.replace('month_idx', 'm.month_idx')}, m.category, m.revenue, m.orders, m.quantity, m.customers, avg(m.revenue) OVER (PARTITION BY m.category ORDER BY m.month_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_average, (m.revenue - p.revenue) / p.revenue * 100 AS mom_growth, (m.revenue - y.revenue) / y.revenue * 100 AS yoy_growth FROM mon m LEFT JOIN mon p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN mon y ON y.category = m.category AND y.month_idx = m.month_idx - 12", "revenue quantity moving_average mom_growth yoy_growth", 2)
+def _(s):
+    return forecast.growth(forecast.sales(base(s), "month", True))
+
+
+@query("gs5_growth_trends", "items ord", f"""WITH {DEL}, {MON}, u AS (SELECT month_idx, category, revenue FROM mon UNION ALL SELECT month_idx, 'Overall', sum(revenue) FROM mon GROUP BY 1),
+g AS (SELECT m.category, m.month_idx, (m.revenue - p.revenue) / p.revenue * 100 AS mom, (m.revenue - y.revenue) / y.revenue * 100 AS yoy, row_number() OVER (PARTITION BY m.category ORDER BY m.month_idx DESC) AS r FROM u m LEFT JOIN u p ON p.category = m.category AND p.month_idx = m.month_idx - 1 LEFT JOIN u y ON y.category = m.category AND y.month_idx = m.month_idx - 12),
+c AS (SELECT category AS segment, count(*) AS months, avg(mom) AS avg_mom_growth, min(mom) AS min_mom_growth, max(mom) AS max_mom_growth, avg(yoy) AS avg_yoy_growth, min(yoy) AS min_yoy_growth, max(yoy) AS max_yoy_growth FROM g
+  WHERE category <> 'Overall' AND month_idx > (SELECT max(month_idx) FROM mon) - 6 OR category = 'Overall' AND r <= 6 GROUP BY 1),
+z AS (SELECT segment, months, {", ".join(f"CASE WHEN segment = 'Overall' THEN coalesce({x}, 0) ELSE {x} END AS {x}" for x in ("avg_mom_growth", "min_mom_growth", "max_mom_growth", "avg_yoy_growth", "min_yoy_growth", "max_yoy_growth"))} FROM c)
+MAIN SELECT *, CASE WHEN avg_yoy_growth >= 20 THEN 'Strong Growth' WHEN avg_yoy_growth >= 10 THEN 'Healthy Growth' WHEN avg_yoy_growth >= 0 THEN 'Stable Growth' WHEN avg_yoy_growth >= -10 THEN 'Slight Decline' ELSE 'Significant Decline' END AS growth_trend,
+ CASE WHEN avg_mom_growth > avg_yoy_growth THEN 'Accelerating' WHEN avg_mom_growth > 0 THEN 'Continuing' WHEN avg_mom_growth < 0 AND avg_yoy_growth > 0 THEN 'Slowing' ELSE 'Declining' END AS momentum FROM z""", "avg_mom_growth min_mom_growth max_mom_growth avg_yoy_growth min_yoy_growth max_yoy_growth", 3)
+def _(s):
+    return forecast.growth_trends(forecast.sales(base(s), "month", True))
 
 
 @query("gs6_seasonal_index", "items ord", f"""WITH {DEL}, {MON}, u AS (SELECT month_idx, category, revenue FROM mon UNION ALL SELECT month_idx, 'ALL', sum(revenue) FROM mon GROUP BY 1), a AS (SELECT category, avg(revenue) AS overall_mean FROM u GROUP BY 1)
@@ -403,10 +583,23 @@ def _(s):
     return forecast.seasonal_index(forecast.sales(base(s), "month", True))
 
 
-@query("gs8_category_forecast", "items ord", f"""WITH {DEL}, {MON}, f AS (SELECT category, regr_slope(revenue, month_idx) AS s, regr_intercept(revenue, month_idx) AS i, max(month_idx) AS l, count(*) AS months FROM mon GROUP BY 1)
-MAIN SELECT category, (l + k)::INT AS month_idx, months, greatest(s * (l + k) + i, 0) AS forecast_revenue FROM f, (VALUES (1), (2), (3)) v(k)""", "forecast_revenue", 1)
+def fit_sql(rows: str, keys: str) -> str:
+    lines = ", ".join(f"coalesce(regr_slope({m}, month_idx), 0) AS s_{m}, coalesce(regr_intercept({m}, month_idx), avg({m})) AS i_{m}" for m in ("revenue", "orders", "quantity"))
+    ahead = ", ".join(f"greatest(s_{m} * (l + k) + i_{m}, 0) AS forecast_{m}" for m in ("revenue", "orders", "quantity"))
+    return f"f AS (SELECT {keys} {lines}, max(month_idx) AS l, count(*) AS months FROM {rows} GROUP BY ALL), h AS (SELECT {keys} (l + k)::INT AS month_idx, months, {ahead} FROM f, (VALUES (1), (2), (3)) v(k)), o AS (SELECT *, forecast_revenue * 0.9 AS lower_bound, forecast_revenue * 1.1 AS upper_bound, 'Medium' AS confidence FROM h)"
+
+
+FIT_DOUBLES = "forecast_revenue forecast_orders forecast_quantity lower_bound upper_bound"
+
+
+@query("gs7_forecast", "items ord", f"WITH {DEL}, {MON_ALL}, {fit_sql('mall', '')}\nMAIN SELECT * FROM o", FIT_DOUBLES, 1)
 def _(s):
-    return forecast.ols_forecast(forecast.sales(base(s), "month", True)).select("category", "month_idx", "months", "forecast_revenue")
+    return forecast.ols_forecast(forecast.sales(base(s), "month", False))
+
+
+@query("gs8_category_forecast", "items ord", f"WITH {DEL}, {MON}, {fit_sql('mon', 'category,')}\nMAIN SELECT * FROM o", FIT_DOUBLES, 1)
+def _(s):
+    return forecast.ols_forecast(forecast.sales(base(s), "month", True))
 
 
 @query("st6_inactivity_sessions", "logs", """WITH g AS (SELECT *, CASE WHEN lag(event_timestamp) OVER w IS NULL OR event_timestamp - lag(event_timestamp) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY event_timestamp, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_timestamp, event_id) AS session_no FROM g)
@@ -420,9 +613,88 @@ def _(s):
     return sessions.event_counts(s.logs).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events")
 
 
-@query("wh1_fact_channel_performance", "att ads", f"WITH {CM}\nMAIN SELECT concat_ws('_', time_period, attribution_model, coalesce(utm_source, 'unknown'), coalesce(utm_medium, 'unknown'), coalesce(utm_campaign, 'unknown')) AS channel_performance_key, time_period, attribution_model, utm_source, utm_medium, utm_campaign, conversions, revenue FROM cm", "revenue", 2)
+def fact_query(name: str, fact: str, tables: str, sql: str, base: str, doubles: str, digits: int = 3):
+    """A fact of a gold table: its SQL is that of the gold table with the key put together here."""
+    parts, columns = warehouse.FACTS[fact]
+    key = "concat_ws('_', " + ", ".join(f"coalesce({c}::VARCHAR, 'unknown')" for c in parts) + ")"
+    names = [*parts, *columns.split()]
+    return query(name, tables, f"{sql}\nMAIN SELECT {key} AS {fact.removeprefix('FACT_').lower()}_key, {', '.join(names)} FROM {base}", " ".join(c for c in doubles.split() if c in names), digits)
+
+
+@fact_query("wh1_fact_channel_performance", "FACT_CHANNEL_PERFORMANCE", "att ads", f"WITH {CM}, {CR}", "cr", CM_DOUBLES + " performance_score")
+def _(s):
+    return warehouse.fact(marketing.channel_rankings(channels(s)), "FACT_CHANNEL_PERFORMANCE")
+
+
+@fact_query("wh2_fact_marketing_trends", "FACT_MARKETING_TRENDS", "att", f"WITH tr AS ({trend_sql('weekly', 7)} UNION ALL BY NAME {trend_sql('monthly', 30)})", "tr", TREND_DOUBLES, 2)
+def _(s):
+    held = attributed(s)
+    return warehouse.fact(marketing.channel_trend(held, EVENTS_AS_OF, "weekly").unionByName(marketing.channel_trend(held, EVENTS_AS_OF, "monthly")), "FACT_MARKETING_TRENDS")
+
+
+@fact_query("wh3_fact_channel_comparison", "FACT_CHANNEL_COMPARISON", "att ads", f"WITH {CC}", "cc", CC_DOUBLES, 2)
+def _(s):
+    return warehouse.fact(marketing.channel_comparison(attributed(s), s.ads), "FACT_CHANNEL_COMPARISON")
+
+
+@fact_query("wh7_fact_product_performance", "FACT_PRODUCT_PERFORMANCE", "items ord", f"WITH {PM}, {PR}", "pr", "total_quantity total_revenue", 2)
+def _(s):
+    return warehouse.fact(products.product_rankings(metrics(s)), "FACT_PRODUCT_PERFORMANCE")
+
+
+@fact_query("wh8_fact_product_trends", "FACT_PRODUCT_TRENDS", "items ord", f"WITH {PT}", "pt", PT_DOUBLES, 2)
+def _(s):
+    return warehouse.fact(products.product_trend(s.items, s.orders, ORDERS_AS_OF), "FACT_PRODUCT_TRENDS")
+
+
+@fact_query("wh9_fact_category_performance", "FACT_CATEGORY_PERFORMANCE", "items ord", f"WITH {PM}, {CA}", "ca", CA_DOUBLES, 2)
+def _(s):
+    return warehouse.fact(products.category_analysis(metrics(s)), "FACT_CATEGORY_PERFORMANCE")
+
+
+@fact_query("wh10_fact_product_conversion", "FACT_PRODUCT_CONVERSION", "items logs", f"WITH {VC}", "vc", VC_DOUBLES)
+def _(s):
+    return warehouse.fact(conversion(s), "FACT_PRODUCT_CONVERSION")
+
+
+@fact_query("wh13_fact_customer_segments", "FACT_CUSTOMER_SEGMENTS", "cust ord items", f"WITH {RFM}, {LIFE[len(TOT) + 2:]}, {PREF}, {COMBINED}", "combined", "")
+def _(s):
+    return warehouse.fact(gold.customer_segments(s, ORDERS_AS_OF)["combined_segments"], "FACT_CUSTOMER_SEGMENTS")
+
+
+@fact_query("wh14_fact_rfm_segments", "FACT_RFM_SEGMENTS", "ord", f"WITH {RFM}, rf AS (SELECT * REPLACE (recency_days::INT AS recency_days, recency_score::INT AS recency_score, frequency_score::INT AS frequency_score, monetary_score::INT AS monetary_score, rfm_score::INT AS rfm_score) FROM rfm)", "rf", "monetary", 2)
+def _(s):
+    return warehouse.fact(segments.rfm(s.orders, ORDERS_AS_OF), "FACT_RFM_SEGMENTS")
+
+
+@fact_query("wh15_fact_lifecycle_segments", "FACT_LIFECYCLE_SEGMENTS", "ord", f"WITH {LIFE}, lf AS (SELECT customer_id, recency_days::INT AS recency_days, first_days::INT AS days_since_first, frequency, life.monetary, lifecycle_stage, purchase_frequency_segment, value_quartile, (['Premium Value', 'High Value', 'Medium Value', 'Low Value'])[value_quartile] AS customer_value_segment FROM life JOIN t USING (customer_id))", "lf", "monetary", 2)
+def _(s):
+    return warehouse.fact(segments.lifecycle(s.orders, ORDERS_AS_OF), "FACT_LIFECYCLE_SEGMENTS")
+
+
+@fact_query("wh18_fact_campaign_performance", "FACT_CAMPAIGN_PERFORMANCE", "att ads", f"WITH {CP}, {CT}, {RC}", "rc", RC_DOUBLES, 2)
+def _(s):
+    return warehouse.fact(roi_table(s), "FACT_CAMPAIGN_PERFORMANCE")
+
+
+@fact_query("wh19_fact_campaign_channel_comparison", "FACT_CAMPAIGN_CHANNEL_COMPARISON", "att ads", f"WITH {CP}, {CT}, {RC}, {PC}", "pl", PC_DOUBLES, 2)
+def _(s):
+    return warehouse.fact(marketing.platform_comparison(roi_table(s)), "FACT_CAMPAIGN_CHANNEL_COMPARISON")
+
+
+@fact_query("wh20_fact_campaign_roi_trends", "FACT_CAMPAIGN_ROI_TRENDS", "att ads", f"WITH {CP}, {CT}, {RC}, {RT}", "rt", "period_cost period_revenue period_roi")
+def _(s):
+    return warehouse.fact(marketing.roi_trends(roi_table(s)), "FACT_CAMPAIGN_ROI_TRENDS")
+
+
+@fact_query("wh21_fact_campaign_budget_allocation", "FACT_CAMPAIGN_BUDGET_ALLOCATION", "att ads", f"WITH {CP}, {CT}, {RC}, {BA}", "ba", BA_DOUBLES)
+def _(s):
+    return warehouse.fact(marketing.budget_allocation(roi_table(s)), "FACT_CAMPAIGN_BUDGET_ALLOCATION")
+
+
+@query("wh22_dim_campaign", "ads", "SELECT DISTINCT campaign_name AS campaign_key, campaign_name, CASE WHEN campaign_name LIKE '%promo%' THEN 'Promotional' WHEN campaign_name LIKE '%launch%' THEN 'Product Launch' WHEN campaign_name LIKE '%season%' THEN 'Seasonal' WHEN campaign_name LIKE '%retarg%' THEN 'Retargeting' WHEN campaign_name LIKE '%brand%' THEN 'Branding' ELSE 'General' END AS campaign_type FROM ads")
 def _(s):
-    return warehouse.fact(channels(s), "FACT_CHANNEL_PERFORMANCE", stamped=False).select("channel_performance_key", "time_period", "attribution_model", "utm_source", "utm_medium", "utm_campaign", "conversions", "revenue")
+    return warehouse.campaign_dimension(s.ads)
 
 
 @query("wh4_dim_date", "ads", "SELECT DISTINCT strftime(ad_date, '%Y%m%d')::INT AS date_key, ad_date AS date, year(ad_date)::INT AS year, quarter(ad_date)::INT AS quarter, month(ad_date)::INT AS month, day(ad_date)::INT AS day, (dayofweek(ad_date) + 1)::INT AS day_of_week, weekofyear(ad_date)::INT AS week_of_year FROM ads")
@@ -480,14 +752,17 @@ def _(s):
     return data_quality.duplicates(s.logs, ["session_id"], "web_logs")
 
 
-@query("dq5_outliers_zscore", "ord", "SELECT 'orders' AS dataset, 'final_total' AS column_name, 'zscore' AS method, count(*) AS total, count(*) FILTER ((final_total - m) / s > 1.5) AS outliers FROM ord, (SELECT avg(final_total) AS m, stddev_samp(final_total) AS s FROM ord)")
+STATUS = "outliers / total * 100 AS percent, CASE WHEN outliers / total < 0.01 THEN 'PASSED' WHEN outliers / total < 0.05 THEN 'WARNING' ELSE 'FAILED' END AS status"
+
+
+@query("dq5_outliers_zscore", "ord", f"SELECT *, {STATUS} FROM (SELECT 'orders' AS dataset, 'final_total' AS column_name, 'zscore' AS method, count(*) AS total, count(*) FILTER ((final_total - m) / s > 1.5) AS outliers FROM ord, (SELECT avg(final_total) AS m, stddev_samp(final_total) AS s FROM ord))", "percent")
 def _(s):
-    return data_quality.outliers(s.orders, "final_total", "orders", threshold=1.5).drop("percent", "status")
+    return data_quality.outliers(s.orders, "final_total", "orders", threshold=1.5)
 
 
-@query("dq6_outliers_iqr", "ads", "SELECT 'ads' AS dataset, 'cost' AS column_name, 'iqr' AS method, count(*) AS total, count(*) FILTER (cost < q1 - 1.5 * (q3 - q1) OR cost > q3 + 1.5 * (q3 - q1)) AS outliers FROM ads, (SELECT quantile_cont(cost, 0.25) AS q1, quantile_cont(cost, 0.75) AS q3 FROM ads)")
+@query("dq6_outliers_iqr", "ads", f"SELECT *, {STATUS} FROM (SELECT 'ads' AS dataset, 'cost' AS column_name, 'iqr' AS method, count(*) AS total, count(*) FILTER (cost < q1 - 1.5 * (q3 - q1) OR cost > q3 + 1.5 * (q3 - q1)) AS outliers FROM ads, (SELECT quantile_disc(cost, 0.25) AS q1, quantile_disc(cost, 0.75) AS q3 FROM ads))", "percent")
 def _(s):
-    return data_quality.outliers(s.ads, "cost", "ads", method="iqr").drop("percent", "status")
+    return data_quality.outliers(s.ads, "cost", "ads", method="iqr")
 
 
 @query("dq7_freshness", "logs", f"SELECT 'web_logs' AS dataset, max(event_timestamp)::DATE AS latest, date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02')::INT AS age_days, CASE WHEN date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02') <= 1 THEN 'PASSED' WHEN date_diff('day', max(event_timestamp)::DATE, DATE '2024-02-02') <= 3 THEN 'WARNING' ELSE 'FAILED' END AS status FROM logs")
@@ -500,9 +775,81 @@ def _(s):
     return data_quality.distribution(s.orders, "season", "orders")
 
 
-@query("dq10_silver_suite", "logs", "SELECT 'web_logs' AS dataset, 'duplicate_percent' AS kind, (count(*) - count(DISTINCT session_id)) / count(*) * 100 AS value, 'HIGH' AS severity FROM logs", "value")
+def cells(table: str, of: str = "") -> str:
+    """Sum of the values that aren't null over all columns, and number of columns, of a table."""
+    return f"(SELECT sum(n) AS held, count(*) AS columns FROM (SELECT count(COLUMNS(*)) FROM {table}) UNPIVOT INCLUDE NULLS (n FOR c IN (*)))"
+
+
+def dataset_sql(name: str, table: str, rules: list[str], more: str = "", complete: str = "") -> str:
+    """Metric rows of a dataset: (dataset, kind, item, value, allowed)."""
+    full = complete or f"(SELECT held / (columns * (SELECT count(*) FROM {table})) FROM {cells(table)})"
+    valid = " + ".join(f"count(*) FILTER ({r})" for r in rules)
+    head = f"SELECT '{name}' AS dataset, 'completeness' AS kind, NULL::VARCHAR AS item, {full}::DOUBLE AS value, NULL::DOUBLE AS allowed UNION ALL SELECT '{name}', 'validity', NULL, ({valid}) / ({len(rules)} * count(*)), NULL FROM {table}"
+    return head + (" UNION ALL " + more if more else "")
+
+
+def aged(name: str, table: str, column: str, days: int = 1) -> str:
+    return f"SELECT '{name}', 'age_days', '{column}', date_diff('day', max({column})::DATE, DATE '{E}'), {days} FROM {table}"
+
+
+def repeated(name: str, table: str, key: str) -> str:
+    return f"SELECT '{name}', 'duplicate_percent', '{key}', (count(*) - count(DISTINCT {key})) / count(*) * 100, NULL FROM {table}"
+
+
+def shares(name: str, table: str, column: str) -> str:
+    return f"SELECT '{name}', 'value_percent', '{column}=' || coalesce({column}::VARCHAR, 'null'), count(*) / sum(count(*)) OVER () * 100, NULL FROM {table} GROUP BY {column}"
+
+
+def orphans(name: str, table: str, column: str, parent: str, parent_table: str, key: str) -> str:
+    return f"SELECT '{name}', 'integrity', '{parent}', count({key}) / count(*), NULL FROM (SELECT DISTINCT {column} AS own FROM {table} WHERE {column} IS NOT NULL) LEFT JOIN (SELECT DISTINCT {key} FROM {parent_table}) ON own = {key}"
+
+
+def odd(name: str, table: str, column: str) -> str:
+    return f"SELECT '{name}', 'outlier_percent', '{column}', count(*) FILTER (({column} - m) / s > 3) / count(*) * 100, NULL FROM {table}, (SELECT avg({column}) AS m, stddev_samp({column}) AS s FROM {table})"
+
+
+def known(*columns: str) -> list[str]:
+    return [f"{c} IS NOT NULL" for c in columns]
+
+
+SUITE_SQL = " UNION ALL ".join([
+    dataset_sql("web_logs", "wl", known("event_id", "session_id", "event_timestamp", "event_type"), " UNION ALL ".join([repeated("web_logs", "wl", "event_id"), aged("web_logs", "wl", "event_timestamp", 2), shares("web_logs", "wl", "event_type")])),
+    dataset_sql("customers", "cust", [*known("customer_id", "registration_date"), "length(email) > 5 AND contains(email, '@')"], " UNION ALL ".join([repeated("customers", "cust", "customer_id"), aged("customers", "cust", "registration_date")])),
+    dataset_sql("orders", "ord", [*known("order_id", "customer_id", "order_date"), "final_total >= 0"], " UNION ALL ".join([repeated("orders", "ord", "order_id"), orphans("orders", "ord", "customer_id", "customers", "cust", "customer_id"), aged("orders", "ord", "order_date"), odd("orders", "ord", "final_total")])),
+    dataset_sql("order_items", "oi", [*known("order_id", "product_name"), "price > 0", "quantity > 0"], " UNION ALL ".join([orphans("order_items", "oi", "order_id", "orders", "ord", "order_id"), shares("order_items", "oi", "category")])),
+    dataset_sql("google_ads", "ga", [*known("campaign_id", "ad_date"), "cost >= 0", "impressions >= 0"], " UNION ALL ".join([aged("google_ads", "ga", "ad_date"), odd("google_ads", "ga", "cost")])),
+    dataset_sql("social_ads", "sa", [*known("campaign_id", "ad_date", "platform"), "cost >= 0"], " UNION ALL ".join([aged("social_ads", "sa", "ad_date"), shares("social_ads", "sa", "platform")])),
+    dataset_sql("web_sessions", "ws", [*known("session_id", "session_start"), "session_duration_seconds >= 0"], " UNION ALL ".join([repeated("web_sessions", "ws", "session_id"), aged("web_sessions", "ws", "session_start"), odd("web_sessions", "ws", "session_duration_seconds")]),
+        f"(SELECT (held + 8 * (SELECT count(*) FROM ws)) / (26 * (SELECT count(*) FROM ws)) FROM {cells('ws')})"),
+    dataset_sql("customer_sessions", "cu", known("session_id", "user_id", "session_start"), " UNION ALL ".join([orphans("customer_sessions", "cu", "user_id", "customers", "cust", "customer_id"), aged("customer_sessions", "cu", "session_start")]),
+        f"(SELECT (held + (SELECT 10 * count(*) + count(user_email) + 5 * count(*) FILTER (matched) FROM cu) - (SELECT count(*) FROM cu)) / (33 * (SELECT count(*) FROM cu)) FROM {cells('cu')})"),
+    dataset_sql("customer_profiles", "cp0", [*known("customer_id"), "true", "length(email) > 5 AND contains(email, '@')"], " UNION ALL ".join([orphans("customer_profiles", "cp0", "customer_id", "customers", "cust", "customer_id"), shares("customer_profiles", "stages", "profile_lifecycle_stage")]),
+        f"(SELECT (held + (SELECT 6 * count(*) + 10 * count(n) + count(*) FILTER (n > 1) FROM cp0) - (SELECT count(n) FROM cp0)) / (30 * (SELECT count(*) FROM cp0)) FROM {cells('cp0')})"),
+    dataset_sql("marketing_attribution", "att", [*known("order_id", "user_id", "attribution_model"), "attributed_revenue >= 0"], " UNION ALL ".join([orphans("marketing_attribution", "att", "order_id", "web_orders", "pur", "order_id"), aged("marketing_attribution", "att", "order_date"), shares("marketing_attribution", "att", "attribution_model")])),
+    dataset_sql("channel_performance", "ch", [*known("attribution_model", "utm_source"), "attributed_revenue >= 0"]),
+])
+SUITE_TABLES = f"""wl AS MATERIALIZED (SELECT logs.*, value FROM logs JOIN events USING (event_id)), oi AS (SELECT *, item_total / quantity AS price FROM items), ga AS (SELECT * FROM ads WHERE platform = 'Google'), sa AS (SELECT * FROM ads WHERE platform IN ('Facebook', 'Instagram', 'TikTok')),
+ws AS MATERIALIZED (SELECT *, epoch(date_trunc('second', session_end))::BIGINT - epoch(date_trunc('second', session_start))::BIGINT AS session_duration_seconds FROM sess),
+cu AS MATERIALIZED (SELECT sess.*, c.email IS NOT NULL AS matched FROM sess LEFT JOIN cust c ON lower(trim(c.email)) = lower(trim(user_email)) WHERE is_authenticated AND user_id IS NOT NULL),
+{PREF}, cp0 AS MATERIALIZED (SELECT c.*, n, pref.* EXCLUDE (customer_id) FROM cust c LEFT JOIN (SELECT customer_id, count(*) AS n FROM ord GROUP BY 1) USING (customer_id) LEFT JOIN pref USING (customer_id)),
+stages AS ({STAGES_SQL}), ch AS MATERIALIZED ({CHANNEL_PERFORMANCE})"""
+
+
+def suite(s: Silver) -> DataFrame:
+    return data_quality.suite_metrics(gold.silver_datasets(s, ORDERS_AS_OF), EVENTS_AS_OF)
+
+
+@query("dq10_silver_metrics", "logs cust ord items ads sess att", f"WITH {SUITE_TABLES}, m AS MATERIALIZED ({SUITE_SQL})\nMAIN SELECT * FROM m", "value", 3)
+def _(s):
+    return suite(s)
+
+
+@query("dq10_silver_suite", "logs cust ord items ads sess att", f"""WITH {SUITE_TABLES}, m AS MATERIALIZED ({SUITE_SQL}),
+i AS (SELECT *, CASE WHEN kind IN ('completeness', 'validity') AND value < 0.9 THEN 'HIGH' WHEN kind IN ('completeness', 'validity') AND value < 0.95 THEN 'MEDIUM' WHEN kind = 'duplicate_percent' AND value > 5 THEN 'HIGH' WHEN kind = 'duplicate_percent' AND value > 1 THEN 'MEDIUM'
+  WHEN kind = 'integrity' AND value < 0.9 THEN 'HIGH' WHEN kind = 'age_days' AND value > allowed AND value > 3 THEN 'HIGH' WHEN kind = 'age_days' AND value > allowed THEN 'MEDIUM' END AS severity FROM m)
+MAIN SELECT *, map {{'completeness': 'LOW_COMPLETENESS', 'validity': 'LOW_VALIDITY', 'duplicate_percent': 'DUPLICATES', 'integrity': 'REFERENTIAL_INTEGRITY', 'age_days': 'DATA_STALENESS'}}[kind] AS issue_type FROM i WHERE severity IS NOT NULL""", "value", 3)
 def _(s):
-    return data_quality.silver_suite({"web_logs": s.logs.drop("user_email", "utm_source", "utm_campaign"), "orders": s.orders.drop("utm_source")}, {"web_logs": ["session_id"], "orders": ["order_id"]}, {}, EVENTS_AS_OF)
+    return data_quality.issues(suite(s))
 
 
 @query("dq11_volume_anomalies", "logs", "WITH d AS (SELECT date AS day, count(*) AS n FROM logs GROUP BY 1)\nMAIN SELECT day, n, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd, coalesce(abs(n - avg(n) OVER w) > 3 * stddev_samp(n) OVER w, false) AS is_anomaly FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)", "mean sd")

@@ -15,9 +15,9 @@ CTES = {
     "logs": (["ev"], """SELECT event_id, CASE event_type WHEN 'view' THEN 'product_view' WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'begin_checkout' WHEN 'purchase' THEN 'purchase' WHEN 'error' THEN 'page_view' END AS event_type,
         ts AS event_timestamp, ts::DATE AS date, user_id || '-' || ts::DATE AS session_id, user_id, k % 3 = 0 AS is_authenticated, CASE WHEN k % 3 = 0 THEN 'c' || user_id || '@shop.example' END AS user_email,
         CASE WHEN k % 10 <> 9 THEN (['google', 'facebook', 'instagram', 'tiktok', 'influencer'])[k % 5 + 1] END AS utm_source, (['cpc', 'social', 'email'])[k % 3 + 1] AS utm_medium,
-        CASE WHEN k % 10 <> 9 THEN (['ramadan_2025', 'tabaski_promo', 'beaute_naturelle', 'lancement_produit'])[k % 4 + 1] END AS utm_campaign, 'C' || (k % 20) AS campaign_id, '/products/p' || (k % 20) AS page_url FROM ev"""),
+        CASE WHEN k % 10 <> 9 THEN (['ramadan_2025', 'tabaski_promo', 'beaute_naturelle', 'lancement_produit'])[k % 4 + 1] || '_' || (['google', 'facebook', 'instagram', 'tiktok', 'influencer'])[k % 5 + 1] END AS utm_campaign, 'C' || (k % 20) AS campaign_id, '/products/p' || (k % 20) AS page_url FROM ev"""),
     "ads": (["ev"], """SELECT ts::DATE AS ad_date, (['Google', 'Facebook', 'Instagram', 'TikTok', 'Influencer_YouTube'])[k % 20 % 5 + 1] AS platform, 'C' || (k % 20) AS campaign_id,
-        (['ramadan_2025', 'tabaski_promo', 'beaute_naturelle', 'lancement_produit'])[k % 20 % 4 + 1] AS campaign_name, 100 * count(*) AS impressions, 10 * count(*) FILTER (event_type = 'click') AS clicks,
+        (['ramadan_2025', 'tabaski_promo', 'beaute_naturelle', 'lancement_produit'])[k % 20 % 4 + 1] || '_' || (['google', 'facebook', 'instagram', 'tiktok', 'influencer'])[k % 20 % 5 + 1] AS campaign_name, 100 * count(*) AS impressions, 10 * count(*) FILTER (event_type = 'click') AS clicks,
         count(*) FILTER (event_type = 'purchase') AS conversions, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS cost, coalesce(sum(value) FILTER (event_type = 'purchase'), 0) AS conversion_value FROM ev GROUP BY 1, 2, 3, 4"""),
     "pur": ([], "SELECT event_id AS order_id, user_id AS customer_id, ts AS order_date, value AS final_total FROM events WHERE event_type = 'purchase'"),
     "sess": (["logs"], """SELECT session_id, min(event_timestamp) AS session_start, max(event_timestamp) AS session_end, count(*) AS event_count, any_value(user_id) AS user_id,

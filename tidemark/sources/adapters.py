@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import mapped
@@ -19,6 +19,11 @@ CAMPAIGNS = dict(enumerate(["ramadan_2025", "tabaski_promo", "beaute_naturelle",
 PLATFORMS = dict(enumerate(["Google", "Facebook", "Instagram", "TikTok", "Influencer_YouTube"]))
 
 
+def campaign_name(k: Column) -> Column:
+    """A theme and the place where it runs, so that a campaign has one platform."""
+    return F.concat_ws("_", mapped(k % 4, CAMPAIGNS), mapped(k % 5, UTM))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,7 +63,7 @@ def web_logs(spark: SparkSession, d: str) -> DataFrame:
         "event_id", mapped(F.col("event_type"), EVENTS).alias("event_type"), F.col("ts").alias("event_timestamp"), F.to_date("ts").alias("date"),
         F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"), "user_id", (k % 3 == 0).alias("is_authenticated"),
         F.when(k % 3 == 0, F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("@shop.example"))).alias("user_email"),
-        F.when(tagged, mapped(k % 5, UTM)).alias("utm_source"), mapped(k % 3, MEDIA).alias("utm_medium"), F.when(tagged, mapped(k % 4, CAMPAIGNS)).alias("utm_campaign"),
+        F.when(tagged, mapped(k % 5, UTM)).alias("utm_source"), mapped(k % 3, MEDIA).alias("utm_medium"), F.when(tagged, campaign_name(k)).alias("utm_campaign"),
         F.concat(F.lit("C"), (k % 20).cast("string")).alias("campaign_id"), F.concat(F.lit("/products/p"), (k % 20).cast("string")).alias("page_url"), "value",
     )
 
@@ -71,9 +76,42 @@ def all_platforms(spark: SparkSession, d: str) -> DataFrame:
         F.sum(kind("click")).alias("cost"), F.sum(kind("purchase")).alias("conversion_value"),
     )
     c = F.col("c")
-    return per.select("ad_date", mapped(c % 5, PLATFORMS).alias("platform"), F.concat(F.lit("C"), c.cast("string")).alias("campaign_id"), mapped(c % 4, CAMPAIGNS).alias("campaign_name"), "impressions", "clicks", "conversions", "cost", "conversion_value")
+    return per.select("ad_date", mapped(c % 5, PLATFORMS).alias("platform"), F.concat(F.lit("C"), c.cast("string")).alias("campaign_id"), campaign_name(c).alias("campaign_name"), "impressions", "clicks", "conversions", "cost", "conversion_value")
 
 
 def purchases(spark: SparkSession, d: str) -> DataFrame:
     """Orders of web visitors: the purchase events."""
     return read(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"), F.col("ts").cast("timestamp").alias("order_date"), F.col("value").alias("final_total"))
+
+
+# ---- raw datasets, with rows that cleaning has to drop ---------------------------------------------------------------
+
+
+def raw_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as the shop writes them, with their items as JSON text; every seventh is there once more as it was a month before."""
+    item = F.struct("product_name", "category", "price", F.col("quantity").cast("int").alias("quantity"), "item_total")
+    items = order_items(spark, d).groupBy("order_id").agg(F.to_json(F.collect_list(item)).alias("items"))  # an order's items are few
+    k = F.col("order_id")
+    now = orders(spark, d).drop("has_promotion").join(items, "order_id", "left").withColumns({
+        "discount_code": F.when(k % 5 < 2, F.lit("PROMO")), "discount_amount": (k % 3).cast("double"),
+        "utm_medium": F.lit(None).cast("string"), "utm_campaign": F.when(k % 11 == 0, campaign_name((k % 20).cast("int"))),
+    })
+    before = now.filter(k % 7 == 0).withColumns({"order_date": F.date_sub("order_date", 30), "final_total": F.lit(0.0), "items": F.lit("[]")})
+    return now.unionByName(before)
+
+
+def raw_ads(spark: SparkSession, d: str, places: list[int]) -> DataFrame:
+    """Spend by day, campaign and ad type of some platforms; each row is there once more with one impression less."""
+    e = read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("c", F.col("k") % 20).filter((F.col("c") % 5).isin(places))
+    kind = lambda t: F.when(F.col("event_type") == t, F.col("value")).otherwise(0.0)
+    per = e.groupBy(F.to_date("ts").cast("string").alias("date"), "c", F.when(F.hour("ts") < 12, "Search").otherwise("Display").alias("ad_type")).agg(
+        (F.count("*") * 100).alias("impressions"), (F.count_if(F.col("event_type") == "click") * 10).alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("conversions"),
+        (F.count_if(F.col("event_type") == "view") * 3).alias("engagements"), F.sum(kind("click")).alias("cost"), F.sum(kind("purchase")).alias("conversion_value"),
+    )
+    c = F.col("c")
+    rows = per.select("date", mapped(c % 5, PLATFORMS).alias("platform"), F.concat(F.lit("C"), c.cast("string")).alias("campaign_id"), F.concat(F.lit("I"), (c % 3).cast("string")).alias("influencer_id"), "ad_type", "impressions", "clicks", "conversions", "engagements", "cost", "conversion_value", F.lit(0.7).alias("avg_cpc"))
+    return rows.unionByName(rows.withColumns({"impressions": F.col("impressions") - 1, "cost": F.lit(0.0)}))
+
+
+def raw_influencer(spark: SparkSession, d: str) -> DataFrame:
+    return raw_ads(spark, d, [4]).filter("ad_type = 'Search'").drop("ad_type", "avg_cpc").withColumnRenamed("cost", "fee").withColumn("duration", F.lit(5))
