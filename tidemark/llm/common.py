@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder the cluster shares: spark.checkpoint.dir. Where that is unset, a new local one for a local master, as in tests; on a
+    cluster, whose executors have folders of their own, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,7 +31,48 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    if _steps is not None:
+        _steps.append(out)
+    return out
+
+
+_steps: list[DataFrame] | None = None  #: within settled(): what was materialized since it began
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """materialize(make()), without the steps that it took to make it."""
+    global _steps
+    outer, _steps = _steps, []
+    try:
+        out = materialize(make())
+    finally:
+        made, _steps = _steps, outer
+    for step in made[:-1]:
+        discard(step)
+    if _steps is not None:
+        _steps.append(out)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a materialize()d df that nothing needs any more, if it is still there."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.step_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with per_key, which has a row for each of its keys. hot: keys that may hold many rows, of a bounded number; their
+    part of per_key is broadcast, and their rows are dealt by nothing in particular, so no task gets all rows of a key."""
+    made = [c for c in per_key.columns if c != key]
+    few = per_key.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key), F.struct(*made).alias("_few"))
+    marked = rows.join(F.broadcast(few), key, "left").withColumn("_hot", F.col("_few").isNotNull())
+    marked = marked.withColumn("_key", F.when(F.col("_hot"), F.xxhash64(*rows.columns)).otherwise(F.col(key)))
+    rest = per_key.select(F.col(key).alias("_key"), F.lit(False).alias("_hot"), F.struct(*made).alias("_rest"))
+    both = marked.join(rest, ["_key", "_hot"], "left").withColumn("_all", F.coalesce("_few", "_rest")).filter("_all is not null")
+    return both.select(*rows.columns, *[F.col(f"_all.{c}").alias(c) for c in made])
 
 
 def lower_ascii(word):
@@ -59,5 +104,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours below a node, and the node, are linked to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.filter("u > v").distinct())
+        before, now = now, materialize(small.filter("u > v").distinct())
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
