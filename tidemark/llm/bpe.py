@@ -6,6 +6,9 @@ else the encoder falls back to the next shorter token or steps back. Each place
 time. Distinct words are remembered per worker, up to a bound. Decoding copies each id's bytes out of one concatenated table
 by offsets.
 
+Letters, numbers, composed forms and lower case differ between versions of Unicode. Texts beyond the Latin blocks are normalised and
+cut into words by the tokenizer library's own normalizer and splitter, so that its tables decide; merges are made here.
+
 Null texts are empty; empty texts have no ids. Whole texts are encoded, however long. Rows are independent: repeated rows,
 null or repeated keys and further columns pass through unchanged.
 """
@@ -20,9 +23,9 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 LATIN = 0x250  #: end of the Latin blocks
 END = "\0"  #: stands for the word end; no byte is written so in byte-level tokens
@@ -38,7 +41,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Merges of one vocabulary file (its JSON text); max_words bounds the words and pairs that are remembered."""
 
-    def __init__(self, spec: str, max_words: int = 800_000):
+    def __init__(self, spec: str, max_words: int = 200_000):
         spec = json.loads(spec)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         inner = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s
@@ -58,12 +61,13 @@ class Encoder:
             self.merge_rank[vocab[a], vocab[b]] = r
             self.rank[made], self.left[made], self.right[made] = r, vocab[a], vocab[b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # fixed value: the vocabulary's own pattern of words
-        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        # the same for texts of Latin characters alone, in the faster module
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        # the same for texts of Latin characters alone, whose classes all versions agree on; they are composed already
         sets = {r"\p{L}": "L", r"\p{N}": "N", r"\s": "Z"}
-        pattern = self.words.pattern
         for name, kind in sets.items():
             pattern = pattern.replace(name, "".join(re.escape(chr(c)) for c in range(LATIN) if unicodedata.category(chr(c))[0] == kind or kind == "Z" and 9 <= c <= 13 or kind == "Z" and c == 0x85))
         self.latin_words, self.beyond = re.compile(pattern), re.compile(f"[^\0-{chr(LATIN - 1)}]")
@@ -127,12 +131,13 @@ class Encoder:
             if k % 2:
                 out.append(self.special[part])
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower() has a rule for final sigma that this lacks
             get, word = self.known.get, self.word
-            part = part.lower()
-            pattern = self.latin_words if part.isascii() or not self.beyond.search(part) else self.words
-            for w in pattern.findall(part):
+            low = part.lower()
+            if low.isascii() or not self.beyond.search(low):
+                words = self.latin_words.findall(low)
+            else:
+                words = [w for w, _ in self.words.pre_tokenize_str(self.normal.normalize_str(part))]
+            for w in words:
                 out += get(w) or word(w)
         return out
 
