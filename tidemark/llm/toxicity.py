@@ -1,8 +1,8 @@
 """Toxicity scoring: a learned lexicon, matched exactly and with misspellings, weighed by its context.
 
 The lexicon is learned from labelled rows: words whose document frequency among toxic rows stands out. It is held as a trie; a
-Levenshtein automaton of each unknown word walks it, so a term within one edit is found without comparing
-the word with every term. A hit counts as quoted if quotation or reporting marks stand in the words around it. A logistic model
+Levenshtein automaton of each unknown word walks it, so a term of five letters or more within one edit (a swap of neighbours is
+one) is found without comparing the word with every term, unless the word is itself a plain one in clean training rows. A hit counts as quoted if quotation or reporting marks stand in the words around it. A logistic model
 of hit counts and densities, fitted on the same rows, gives the score.
 
 Labels are read from training rows only; labels, lang, source and doc_id are never inputs of a score. Null and empty texts have
@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 SAMPLE = 30_000  #: most labelled rows used for fitting, the smallest by hash of doc_id
-TERMS = 20_000  #: most terms of the lexicon
 WINDOW = 6  #: words on each side that tell quotation from abuse
 WORD = re.compile(r"[^\W_]+")
 # fixed values: marks of quotation and report in the four languages
 QUOTES = set("\"'«»„“”‚‘’")
 REPORT = {"said", "says", "wrote", "quote", "quoted", "called", "word", "term", "dijo", "dice", "escribió", "palabra", "dit", "écrit", "mot", "cité", "sagte", "schrieb", "wort", "zitat"}
-MEMORY = 1_000_000  #: words a worker remembers
+MEMORY = 200_000  #: words a worker remembers
 
 
 class Trie:
@@ -62,6 +61,8 @@ class Trie:
             else:
                 if (same := node.get(word[i])) is not None:
                     stack.append((same, i + 1, left))
+                if i + 1 < n and (next_ := node.get(word[i + 1])) is not None and (swapped := next_.get(word[i])) is not None:
+                    stack.append((swapped, i + 2, left - 1))
                 stack.append((node, i + 1, left - 1))
             for c, child in node.items():
                 if c:
@@ -71,26 +72,28 @@ class Trie:
         return False
 
 
-def edits_for(word: str) -> int:
-    """One edit, for words long enough that one doesn't make another word."""
-    return 0 if len(word) < 5 else 1
-
-
 class Matcher:
-    def __init__(self, terms: list[str]):
+    """Terms of five letters or more are also found within one edit: a letter more, less or other, or two neighbours swapped."""
+
+    def __init__(self, terms: list[str], plain: list[str] | tuple[str, ...] = ()):
+        """plain: words that are no misspellings, though they are within one edit."""
         long_ = [t for t in terms if len(t) >= 5]
+        self.plain = set(plain)
         self.exact, self.trie, self.seen = set(terms), Trie(long_), {}
-        # one edit leaves a term's first half at a word's start or its second half at the end
-        self.starts, self.ends = {t[: len(t) // 2] for t in long_}, {t[len(t) // 2 :] for t in long_}
+        # one edit leaves a term's first half at a word's start or its second half at the end; a swap across the halves leaves
+        # all but a letter of each
+        self.starts, self.ends = {t[: len(t) // 2] for t in long_} | {t[: len(t) // 2 - 1] for t in long_}, {t[len(t) // 2 :] for t in long_}
         self.start_sizes, self.end_sizes = sorted(set(map(len, self.starts))), sorted(set(map(len, self.ends)))
+        self.longest = max(map(len, long_), default=0)
 
     def kind(self, word: str) -> int:
         """2: a term; 1: a misspelled term; 0: neither."""
         if (k := self.seen.get(word)) is None:
-            k = 2 if word in self.exact else 1 if 5 <= len(word) < 40 and self.worth(word) and self.trie.near(word, edits_for(word)) else 0
+            k = 2 if word in self.exact else 1 if 4 <= len(word) <= self.longest + 1 and word not in self.plain and self.worth(word) and self.trie.near(word, 1) else 0
             if len(self.seen) >= MEMORY:
                 self.seen.clear()
-            self.seen[word] = k
+            if len(word) < 100:
+                self.seen[word] = k
         return k
 
     def worth(self, word: str) -> bool:
@@ -132,34 +135,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, limit
     """(doc_id, text, y) of at most `limit` labelled rows: those with the smallest hash of doc_id among the allowed ones."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `limit` pairs of numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `limit` pairs of numbers
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # one text for each doc_id
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> list[str]:
-    """Words in at least 3 toxic rows and 0.4 % of them, whose rate there is 8 times that among others, the clearest first."""
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """(terms, plain words). Terms: words in at least 3 toxic rows and 0.4 % of them, whose rate there is 8 times that among others,
+    the clearest first: no more than 250 times the mean number of distinct words of a toxic row. Plain words: words within one
+    edit of a term that at least 2 other rows hold, at a rate not below that among toxic rows."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    each = rows.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).filter("t >= 3")
+    each = rows.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).cache()
     total = rows.agg(F.sum("y").alias("nt"), F.sum(1 - F.col("y")).alias("nc")).first()
     if not total[0]:
-        return []
-    each = each.filter(F.col("t") >= 0.004 * total[0])
-    kept = each.filter((F.col("t") / total[0]) >= 8 * (F.col("c") + 0.5) / max(total[1], 1)).orderBy(F.desc("t"), "w").limit(terms)
-    return [r["w"] for r in kept.collect()]  # at most `terms` words
+        each.unpersist()
+        return [], []
+    toxic, clean = F.col("t") / total[0], F.col("c") / max(total[1], 1)
+    kept = each.filter("t >= 3").filter((toxic >= 0.004) & (toxic >= 8 * (F.col("c") + 0.5) / max(total[1], 1))).orderBy(F.desc("t"), "w")
+    terms = [r["w"] for r in kept.collect()]
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in batches:
+            yield batch.filter(pa.array([matcher.kind(w.as_py()) == 1 for w in batch.column(0)], pa.bool_()))
+
+    plain = [r["w"] for r in each.filter(clean >= toxic).filter("c >= 2").select("w").mapInArrow(near, "w string").collect()]  # words of the training rows
+    each.unpersist()
+    return terms, plain
 
-def model(docs: DataFrame, labels: DataFrame, allowed, limit: int = SAMPLE) -> tuple[list[str], list[float]]:
+
+def model(docs: DataFrame, labels: DataFrame, allowed, limit: int = SAMPLE) -> tuple[list[str], list[str], list[float]]:
+    """(terms, plain words, weights), learnt from at most `limit` rows."""
     rows = training_rows(docs, labels, "toxic", allowed, limit).cache()
-    terms = learn_lexicon(rows)
-    made = rows.mapInArrow(_featurizer(terms), "y double, x array<double>").collect()  # at most `limit` short rows
+    terms, plain = learn_lexicon(rows)
+    made = rows.mapInArrow(_featurizer(terms, plain), "y double, x array<double>").collect()  # at most `limit` short rows
     rows.unpersist()
     if not made:
-        return terms, [0.0] * 7 + [0.0]
-    return terms, [float(w) for w in fit_logistic(np.array([r["x"] for r in made]), np.array([r["y"] for r in made]))]
+        return terms, plain, [0.0] * 7 + [0.0]
+    return terms, plain, [float(w) for w in fit_logistic(np.array([r["x"] for r in made]), np.array([r["y"] for r in made]))]
 
 
-def _featurizer(terms: list[str]):
+def _featurizer(terms: list[str], plain: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, plain)
         for batch in batches:
             x = [matcher.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
@@ -170,17 +187,17 @@ def _featurizer(terms: list[str]):
 _matchers: dict[int, Matcher] = {}
 
 
-def score(docs: DataFrame, fitted: tuple[list[str], list[float]], text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[list[str], list[str], list[float]], text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, exact, misspelled, quoted): score from 0 to 1; the counts are log1p of hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # at most TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # words of the training rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, w = shared.value
+        terms, plain, w = shared.value
         w = np.array(w)
-        k = hash(tuple(terms))
+        k = hash((*terms, "", *plain))
         if k not in _matchers:
             _matchers.clear()
-            _matchers[k] = Matcher(terms)
+            _matchers[k] = Matcher(terms, plain)
         for batch in batches:
             x = np.array([_matchers[k].features(t.as_py()) for t in batch.column(1)]).reshape(-1, len(w) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
