@@ -14,6 +14,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 SLOTS = 4096
 OVERHEAD = 16  #: bytes of a record besides its text
 
@@ -55,37 +57,41 @@ def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
     return spark.createDataFrame([(v, s, o) for v, owners in versions.items() for s, o in enumerate(owners)], "version int, virtual_slot int, shard int")
 
 
-def slot_bytes(records: DataFrame, key: str, size: str, slots: int = SLOTS) -> DataFrame:
-    """Rows and bytes of each virtual slot, pre-aggregated before the shuffle."""
-    return records.groupBy(slot_of(key, slots).alias("virtual_slot")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+def slot_stats(records: DataFrame, size: str, keys: list[str]) -> DataFrame:
+    """Rows and bytes of each virtual slot (or part of one), pre-aggregated before the shuffle."""
+    return records.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
 
 
 def rebalance(slot_stats: DataFrame, owners: list[int]) -> list[int]:
-    """The next map version when one shard is added and each slot weighs its bytes. slot_stats: slot_bytes(), SLOTS rows at most."""
+    """The next map version when one shard is added and each slot weighs its bytes (which law `key` can't use, since there doc_id and
+    number of shards alone decide). slot_stats: by virtual_slot, SLOTS rows at most."""
     weights = [0.0] * len(owners)
     for r in slot_stats.select("virtual_slot", "bytes").collect():  # bounded by the number of slots
         weights[r[0]] = float(r[1] or 0)
     return grow(owners, weights)
 
 
-def assign(docs: DataFrame, owners: list[int], grown: list[int], key: str = "doc_id", text_col: str = "text", salts: int = 8) -> DataFrame:
-    """Adds size, text_crc32, virtual_slot, shard, grown_shard and place: the record's number in its shard, gapless from 0.
+def assign(docs: DataFrame, maps: DataFrame, version: int, grown: int, key: str = "doc_id", text_col: str = "text", salts: int = 8, slots: int = SLOTS) -> DataFrame:
+    """Adds size, text_crc32, virtual_slot, slot_bytes, shard and grown_shard (by two versions of the stored map) and place: the
+    record's number in its shard, gapless from 0. maps: map_table(), read back.
 
     Places are row numbers within (slot, salt) plus the counts before that cell, so no task sorts a whole shard.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
-    maps = spark.createDataFrame([(s, a, b) for s, (a, b) in enumerate(zip(owners, grown, strict=True))], "virtual_slot int, shard int, grown_shard int")
-    made = ("size", "text_crc32", "virtual_slot", "shard", "grown_shard", "place", "salt", "before", "cell_rows")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    of = lambda v, c: maps.filter(F.col("version") == v).select("virtual_slot", F.col("shard").alias(c))
+    maps = of(version, "shard").join(F.broadcast(of(grown, "grown_shard")), "virtual_slot")
+    made = ("size", "text_crc32", "virtual_slot", "shard", "grown_shard", "place", "salt", "before", "cell_rows", "slot_bytes")
     base = docs.drop(*[c for c in made if c in docs.columns])
     base = base.withColumns({
         "size": F.octet_length(text).cast("long") + OVERHEAD,
         "text_crc32": F.crc32(text.cast("binary")),
-        "virtual_slot": slot_of(key, len(owners)),
+        "virtual_slot": slot_of(key, slots),
     }).withColumn("salt", F.pmod("text_crc32", F.lit(salts)).cast("int"))
-    base = base.join(F.broadcast(maps), "virtual_slot")  # the map has len(owners) rows
-    cells = base.groupBy("shard", "virtual_slot", "salt").agg(F.count("*").alias("cell_rows"))  # slots x salts rows at most
+    base = base.join(F.broadcast(maps), "virtual_slot")  # a row for each slot
+    cells = slot_stats(base, "size", ["shard", "virtual_slot", "salt"])  # slots x salts rows at most
     upto = Window.partitionBy("shard").orderBy("virtual_slot", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("virtual_slot", "salt", F.coalesce(F.sum("cell_rows").over(upto), F.lit(0)).alias("before"))
+    before = F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("before")
+    cells = cells.select("virtual_slot", "salt", before, F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes"))
     cell = Window.partitionBy("virtual_slot", "salt").orderBy(F.col(key).asc_nulls_first(), "text_crc32")
     numbered = base.withColumn("place", F.row_number().over(cell) - 1)
     return numbered.join(F.broadcast(cells), ["virtual_slot", "salt"]).withColumn("place", (F.col("place") + F.col("before")).cast("long")).drop("salt", "before")
@@ -95,6 +101,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
     """Contract digest of assign(): law `key`, 40 shards, and 41 for grown_shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     owners = initial_map(shards)
+    maps = materialize(map_table(spark, {shards: owners, shards + 1: grow(owners)}))
     # only sizes and checksums go through the shuffle: text is dropped as soon as they are made
-    out = assign(docs, owners, grow(owners))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard", "virtual_slot")
+    out = assign(docs, maps, shards, shards + 1)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes")
