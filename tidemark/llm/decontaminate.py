@@ -2,8 +2,9 @@
 
 A document's words are runs of digits, a-z (after lower-casing A-Z) and characters beyond ASCII. The benchmark's windows (n
 consecutive words; a shorter item is one window of its own length) form a hash set that is sent to every executor; each
-document window is hashed and looked up, and hits are verified word for word by an equi-join. Beyond max_set windows the set
-isn't sent: document windows are exploded and joined by their words instead, by whatever join Spark picks.
+document window is hashed and looked up, and hits are verified word for word by an equi-join. Up to SENT windows the set is part
+of the plan; up to SENT_HASHES, their hashes are broadcast; beyond that, hashes are joined by whatever join Spark picks. In both
+latter cases the places of hits go back to their rows, where the words are, and are verified there.
 
 Null texts have no words. Repeated rows are told apart by their place in the input; null doc_ids are rows like others. Items
 without words or with a null id are passed over. Empty tables: no windows, so nothing is hit.
@@ -14,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, table
+from tidemark.llm.common import lower_ascii, materialize, table
 
+SENT, SENT_HASHES = 200_000, 5_000_000  #: most windows in the plan, and most whose hashes are broadcast (40 MB)
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PIECES = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -32,20 +34,37 @@ def benchmark_windows(benchmark: DataFrame, n: int, item_col: str = "item_id", t
     return each.groupBy(F.array_join("window", " ").alias("window"), "size").agg(F.collect_set("item").alias("items"), F.first(F.xxhash64("window")).alias("hash"))
 
 
-def marks(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, max_set: int, keys: list[str]) -> DataFrame:
-    """A row for each row of docs: its keys, n_words, hits and items. One pass over the texts; only hits are shuffled."""
+def marks(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, max_set: int, keys: list[str], max_hashes: int = SENT_HASHES) -> DataFrame:
+    """A row for each row of docs: its keys, n_words, hits and items. One pass over the texts up to max_set windows, else two, for
+    which docs must be a table (or a checkpoint) whose rows come in the same order each time; only hits are shuffled."""
     windows = benchmark_windows(benchmark, n)
     sent = windows.select("hash", "size").limit(max_set + 1).collect()  # bounded by max_set
     small = len(sent) <= max_set
     by_size: dict[int, list[int]] = {}
+    if not small:
+        windows = materialize(windows)
     for h, size in sent if small else windows.select(F.lit(0), "size").distinct().collect():  # sizes: n at most
         by_size.setdefault(size, []).append(h)
     base = docs.select(*keys, F.monotonically_increasing_id().alias("row_no"), words(F.col(text_col)).alias("w"))
-    looks = []
-    for size, hashes in sorted(by_size.items()):
-        test = f"and xxhash64(slice(w, i, {size})) in ({', '.join(map(str, hashes))})" if small else ""
-        looks.append(f"transform(filter(sequence(1, greatest(size(w) - {size - 1}, 1)), i -> size(w) >= {size} {test}), i -> struct(i - 1 as at, {size} as size, array_join(slice(w, i, {size}), ' ') as window))")
-    found = F.expr(f"flatten(array({', '.join(looks)}))" if looks else "cast(array() as array<struct<at:int,size:int,window:string>>)")
+
+    def places(make) -> str:
+        """SQL of the array of make(size, test) over all windows of a row."""
+        looks = [make(size, f"sequence(1, greatest(size(w) - {size - 1}, 1))", hashes) for size, hashes in sorted(by_size.items())]
+        return f"flatten(array({', '.join(looks)}))"
+
+    window = "array_join(slice(w, i, {0}), ' ') as window"
+    if not by_size:
+        found = F.expr("cast(array() as array<struct<at:int,size:int,window:string>>)")
+    elif small:
+        found = F.expr(places(lambda size, at, hashes: f"transform(filter({at}, i -> size(w) >= {size} and xxhash64(slice(w, i, {size})) in ({', '.join(map(str, hashes))})), i -> struct(i - 1 as at, {size} as size, {window.format(size)}))"))
+    else:
+        each = F.expr(places(lambda size, at, _: f"transform(filter({at}, i -> size(w) >= {size}), i -> struct(i as at, {size} as size, xxhash64(slice(w, i, {size})) as hash))"))
+        known = windows.select("hash", "size").distinct()
+        known = F.broadcast(known) if known.limit(max_hashes + 1).count() <= max_hashes else known
+        hit = base.select("row_no", F.explode(each).alias("x")).select("row_no", "x.*").join(known, ["hash", "size"], "left_semi")
+        hit = hit.groupBy("row_no").agg(F.collect_list(F.struct("at", "size")).alias("ats"))  # at most n windows for each word of a row
+        base = base.join(hit, "row_no", "left")
+        found = F.expr("transform(ats, x -> struct(x.at - 1 as at, x.size as size, array_join(slice(w, x.at, x.size), ' ') as window))")
     # the words of a document stay within its row: what is exploded and shuffled is its hits
     rows = base.select(*keys, "row_no", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("hit")).select(*keys, "row_no", "n_words", "hit.*")
     true = windows.select("window", "size", "items")
@@ -58,7 +77,7 @@ def marks(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, max_set:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", max_set: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", max_set: int = SENT) -> DataFrame:
     """docs with n_words, hits (places of hit words, from 0) and items (ids of items with an occurring window). docs is read
     twice, so it must be a table (or a checkpoint) whose rows come in the same order each time."""
     kept = docs.drop(*[c for c in ("n_words", "hits", "items", "row_no") if c in docs.columns])
@@ -78,7 +97,7 @@ def without_documents(marked: DataFrame, share: float = 0.0) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    marked = marks(docs, benchmark, n, "text", 200_000, ["doc_id"])
+    marked = marks(docs, benchmark, n, "text", SENT, ["doc_id"])
     return marked.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),

@@ -48,7 +48,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[f
     """(weights, log odds of good among the rows fitted). Weights are empty without labels of both kinds."""
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", F.array(*statistics(F.col("text"))).alias("x")).collect()  # at most `limit` short rows
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    rows = found.select("y", F.array(*statistics(F.col("text"))).alias("x")).collect()  # at most `limit` short rows
     y = np.array([r["y"] for r in rows])
     if not len(y) or y.min() == y.max():
         return [], 0.0
@@ -83,9 +84,11 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, float, float]:
     return out, mean, k_path
 
 
-def classify(docs: DataFrame, fitted: tuple[list[float], float]) -> DataFrame:
-    """(doc_id, host, path, p, host_posterior, path_posterior, score, keep) of each row of docs (doc_id, text, host, path)."""
-    scored = materialize(evidence(docs.select("doc_id", "text", "host", "path"), fitted).drop("text"))
+def classify(docs: DataFrame, fitted: tuple[list[float], float], keys: list[str] | None = None) -> DataFrame:
+    """(doc_id, host, path, p, host_posterior, path_posterior, score, keep) of each row of docs (doc_id, text, host, path). keys:
+    further columns that stay."""
+    keys = ["doc_id", *(keys or [])]
+    scored = materialize(evidence(docs.select(*keys, "text", "host", "path"), fitted).drop("text"))
     sites, mean, k = site_priors(scored)
     sites = materialize(sites.withColumnsRenamed({"host": "h", "path": "q"}))
     small = sites.limit(SITES + 1).count() <= SITES
@@ -96,13 +99,14 @@ def classify(docs: DataFrame, fitted: tuple[list[float], float]) -> DataFrame:
     mean = min(max(mean, 1e-4), 1 - 1e-4)
     p = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
     z = F.log(p / (1 - p)) + STEP * (F.log(post / (1 - post)) - math.log(mean / (1 - mean)))
-    out = both.select("doc_id", "host", "path", "p", "host_posterior", post.alias("path_posterior"), (1 / (1 + F.exp(-z))).alias("score"))
+    out = both.select(*keys, "host", "path", "p", "host_posterior", post.alias("path_posterior"), (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("keep", F.col("score") >= 0.5)
 
 
-def of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    sited = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
-    return classify(sited, fit(docs, labels))
+def of_documents(docs: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The source is the host; documents have no URL, so the language section of the source is the path."""
+    sited = docs.select("doc_id", *(keys or []), "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return classify(sited, fit(docs, labels), keys)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ tested under every domain suffix and path prefix of its URL against the entries
 
 Entries of one moment: the last action by name wins ('remove' after 'add'). Entries with a null key, action or date are ignored;
 a null category is one of its own and written ''. Captures without a URL, host or fetch time match nothing; repeated captures
-are each returned. A list beyond SENT entries isn't broadcast.
+are each returned. A list beyond SENT entries isn't broadcast but joined by key; a key's captures are dealt to SALTS tasks, each of
+which gets the key's entries.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-SENT = 200_000  #: most intervals that are broadcast
+SENT, SALTS = 200_000, 32  #: most intervals that are broadcast; tasks that share a key's captures beyond that
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -43,12 +44,16 @@ def keys(url: Column) -> Column:
     return F.when(h == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
-def judge(captures: DataFrame, active: DataFrame) -> DataFrame:
+def judge(captures: DataFrame, active: DataFrame, sent: int = SENT) -> DataFrame:
     """(page_id, url, fetched, n_active, categories, blocked) of each capture."""
-    few = active.limit(SENT + 1).count() <= SENT
+    few = active.limit(sent + 1).count() <= sent
     numbered = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("row_no"), keys(F.col("url")).alias("keys"))
     rows = numbered.select("page_id", "url", "fetched", "row_no", F.explode_outer("keys").alias("key"))
-    hit = rows.join(F.broadcast(active) if few else active, (rows["key"] == active["key"]) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))), "left")
+    salts = 1 if few else SALTS
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)).cast("int"))
+    active = active.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (rows["key"] == active["key"]) & (F.col("salt") == F.col("of_salt"))
+    hit = rows.join(F.broadcast(active) if few else active, same & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))), "left")
     out = hit.groupBy("row_no").agg(
         *[F.first(c).alias(c) for c in ("page_id", "url", "fetched")],
         F.count("category").alias("n_active"),
