@@ -3,16 +3,18 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tests.compare import same
 from tidemark.llm import bpe, chat, decontaminate, embedding, minhash, quality, queries, sharding, suffix, toxicity, urlfilter
-from tidemark.llm.common import components
+from tidemark.llm.common import components, join_with_hot_keys, materialize
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 DOCS = "doc_id long, text string, source string, lang string"
@@ -42,6 +44,15 @@ def test_components(spark):
     assert {(r.node, r.component) for r in components(e).collect()} == {(5, 1), (4, 1), (3, 1), (1, 1), (9, 8), (8, 8)}
 
 
+def test_join_with_hot_keys(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(500)] + [(99, 0)], "e long, v long")
+    per = rows.filter("e < 50").groupBy("e").agg(F.count("*").alias("n"))
+    hot = spark.createDataFrame([(1,), (2,)], "e long")
+    want = sorted(map(tuple, rows.join(per, "e").select("e", "v", "n").collect()))
+    assert sorted(map(tuple, join_with_hot_keys(rows, per, "e", hot).select("e", "v", "n").collect())) == want
+    assert sorted(map(tuple, join_with_hot_keys(rows, per, "e", hot.limit(0)).select("e", "v", "n").collect())) == want
+
+
 def test_minhash(spark, docs):
     def shingles(t, k=5):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode())
@@ -62,6 +73,15 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_minhash_texts_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(3))
+    rows = [(3, a), (5, a + " end"), (5, b), (9, "start " + b), (7, c), (7, None), (8, c + " more"), (7, c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    empty_row = (7, 7, True)  # a text without words
+    assert got == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (7, 7, True), empty_row, (8, 7, False), (7, 7, True)])
+
+
 def brute_repeats(rows, n=50):
     first = {}
     for i, t in rows:
@@ -140,13 +160,30 @@ def test_bpe(spark, docs):
     assert queries.bpe_report(empty(spark), spec).count() == 0
 
 
+def test_bpe_code_points():
+    """Every code point alone, and random ones together, as the library has them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), bpe.Encoder(queries.vocabulary())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(points[k : k + 2000]) for k in range(0, len(points), 2000)] + ["".join(points[k : k + 7]) for k in range(0, 0x3000, 7)]
+    rng = np.random.default_rng(9)
+    low, marks = rng.integers(0, 0x3000, (6000, 5)), [0x300, 0x327, 0x611, 0x1DFA, 0x7FD, 0x898, 0x3A3, 0x130]
+    texts += ["".join(points[c] for c in row) + "a" + "".join(chr(c) for c in rng.choice(marks, 3)) for row in low]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x for x, w in zip(texts, want, strict=True) if mine.encode(x) != w] == []
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta"), (2, None), (None, "one two"), (3, "one, TWO"), (4, " ".join(WORDS))], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.report(spark.createDataFrame([(1, "x one two y"), (2, None), (3, "Alpha-beta alpha beta"), (4, "clean")], "doc_id long, text string"), bench).collect()}
     assert (got[1].n_hit, got[1].n_items, got[3].n_hit, got[2].n_words, got[4].contaminated) == (2, 1, 4, 0, False)
     assert got[1].items_sha256 == hashlib.sha256(b"3").hexdigest()
-    joined = decontaminate.marks(docs, bench, 10, "text", 0, ["doc_id"]).select("doc_id", "hits").collect()
-    assert Counter(map(str, joined)) == Counter(map(str, decontaminate.marks(docs, bench, 10, "text", 1000, ["doc_id"]).select("doc_id", "hits").collect()))
+    held = materialize(docs)
+    want = Counter(map(str, decontaminate.marks(held, bench, 10, "text", 1000, ["doc_id"]).select("doc_id", "hits", "items").collect()))
+    for hashes in (0, 1000):  # beyond the windows that the plan takes, and beyond the hashes that are broadcast
+        assert Counter(map(str, decontaminate.marks(held, bench, 10, "text", 0, ["doc_id"], hashes).select("doc_id", "hits", "items").collect())) == want
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
@@ -160,15 +197,39 @@ def test_chat(spark):
         chat.compile_template("{{ x.__class__() }}")
 
 
+def test_decontamination_removes_spans_or_documents(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = [(1, "say Alpha, beta gamma! now", "a", 7), (2, "alpha beta", "b", 7), (None, "alpha beta gamma", None, None), (3, None, "c", 1), (4, "", "d", 1), (1, "other", "e", 2)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, items string, hits int"))
+    marked = decontaminate.decontaminate(docs.drop("hits"), bench)
+    cut = {(r.doc_id, r.text) for r in decontaminate.without_spans(marked).collect()}
+    assert cut == {(1, "say! now"), (2, "alpha beta"), (None, ""), (3, None), (4, ""), (1, "other")}
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate.without_documents(marked).collect()) == [("1", "other"), ("2", "alpha beta"), ("3", None), ("4", "")]
+    assert decontaminate.without_documents(marked, 0.7).count() == 5
+    assert decontaminate.report(docs, bench).count() == 6  # further columns whose names clash
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+
+
 def test_sharding(spark, docs):
     a, b = sharding.initial_map(40), sharding.initial_map(41)
     assert all(x == y or y == 40 for x, y in zip(a, b, strict=True)) and max(Counter(a).values()) - min(Counter(a).values()) <= 3
-    got = sharding.assign(docs, a, b).collect()
+    maps = sharding.map_table(spark, {40: a, 41: b})
+    clash = docs.withColumns({"size": F.lit("x"), "shard": F.lit(1), "place": F.lit(2)})
+    got = sharding.assign(clash, maps, 40, 41).collect()
     for s in {r.shard for r in got}:
         assert sorted(r.place for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) and r["size"] == len((r.text or "").encode()) + 16 for r in got)
-    grown = sharding.rebalance(sharding.slot_bytes(sharding.assign(docs, a, b), "doc_id", "size"), a)
-    assert all(x == y or y == 40 for x, y in zip(a, grown, strict=True))
+    load = Counter()
+    for r in got:  # the slot is Spark's hash of the id, seed 42
+        h = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42) if r.doc_id is not None else 42
+        slot = (h - (1 << 64) if h >= 1 << 63 else h) % sharding.SLOTS
+        assert (r.virtual_slot, r.shard, r.grown_shard) == (slot, a[slot], b[slot])
+        load[slot] += r["size"]
+    assert all(r.slot_bytes == load[r.virtual_slot] for r in got)
+    assert sharding.assign(empty(spark), maps, 40, 41).count() == 0
+    stats = sharding.slot_stats(sharding.assign(docs, maps, 40, 41), "size", ["virtual_slot"])
+    grown = sharding.rebalance(stats, a)
+    assert all(x == y or y == 40 for x, y in zip(a, grown, strict=True)) and {s: n for s, _, n in stats.collect()} == load
 
 
 def test_embeddings(spark):
@@ -186,20 +247,56 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(401, 406)) and got[400].component_id == 0
 
 
-def test_embeddings_of_a_large_group(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 64))
-    x[:1000] = x[0] + 0.3 * x[:1000]
-    x[2500:] = x[2000:2500] + 0.45 * x[2500:]
-    x = x.astype(np.float32)
+def brute_links(x):
+    """Links of each row and the smallest row reachable, by all products."""
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    links = u @ u.T >= 0.9
-    part = np.arange(3000)
-    while (new := np.where(links, part[None, :], 3000).min(1)).tolist() != part.tolist():
+    links, part = [], np.arange(len(u))
+    near = [np.concatenate(e) for e in zip(*[(lambda i, j: (i + k, j))(*np.nonzero(u[k : k + 2000] @ u.T >= 0.9)) for k in range(0, len(u), 2000)], strict=True)]
+    links = np.bincount(near[0], minlength=len(u)) - 1
+    while True:
+        new = part.copy()
+        np.minimum.at(new, near[0], part[near[1]])
+        if (new == part).all():
+            return links, part
         part = new
-    got = {r.vec_id: r for r in embedding.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
-    assert [got[i].n_links for i in range(3000)] == (links.sum(1) - 1).tolist()
-    assert [got[i].component_id for i in range(3000)] == part.tolist()
+
+
+@pytest.mark.parametrize("spread", [0.3, 0.45, 0.7])
+def test_embeddings_of_a_large_group(spark, spread):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = x[0] + spread * x[:2000]
+    x[5000:5500] = x[4000:4500] + 0.45 * x[5000:5500]
+    x = x.astype(np.float32)
+    links, part = brute_links(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding.near_duplicates(df).collect()}
+    found = np.array([got[i].n_links for i in range(6000)])
+    assert (found <= links).all() and found.sum() >= 0.995 * links.sum()
+    assert sum(got[i].component_id == part[i] for i in range(6000)) >= 0.995 * 6000
+
+
+def test_embeddings_recall_of_50_000(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50_000, 64))
+    z = rng.normal(size=(5000, 64))
+    u = x[:5000] / np.linalg.norm(x[:5000], axis=1, keepdims=True)
+    z -= (z * u).sum(1, keepdims=True) * u
+    x[5000:10_000] = 0.901 * u + np.sqrt(1 - 0.901**2) * z / np.linalg.norm(z, axis=1, keepdims=True)  # pairs at 0.901
+    x[40_000:] = x[40_000] + 0.4 * x[40_000:]
+    links, _ = brute_links(x)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(list(x))}))
+    got = embedding.near_duplicates(df).toArrow().to_pandas().sort_values("vec_id")
+    found = got.n_links.to_numpy()
+    assert (found <= links).all()
+    assert found[:10_000].sum() >= 0.99 * links[:10_000].sum() and found.sum() >= 0.99 * links.sum()
+
+
+def test_embeddings_scale_and_dimension(spark):
+    rows = [(1, [1e-200, 1e-203]), (2, [1e-203, 1e-200]), (3, [1e200, 1e200]), (4, [1e200, 1.01e200]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.01, 0.0]), (7, [1.0]), (8, [3.0]), (9, [-3.0]), (10, []), (11, [5e-324, 0.0]), (None, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 7), 9: (0, 9), 10: (0, 10), 11: (1, 1), None: (0, None)}
+    assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_toxicity(spark, sf):
@@ -211,6 +308,53 @@ def test_toxicity(spark, sf):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_toxicity_terms_by_plain_edit_distance():
+    """The trie and its states find what comparing with every term finds."""
+    rng = np.random.default_rng(4)
+    word = lambda k: "".join(rng.choice(list("abcd"), k))
+    terms = sorted({word(rng.integers(4, 9)) for _ in range(60)})
+    words = [word(rng.integers(3, 10)) for _ in range(1500)] + [t[:i] + t[i + 1 :] for t in terms for i in range(len(t))] + [t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in terms for i in range(len(t) - 1)]
+    m = toxicity.Matcher(terms)
+    for w in words:
+        near = any(edits(w, t) <= 1 for t in terms if len(t) >= 5)
+        assert m.kind(w) == (2 if w in terms else 1 if near else 0), w
+
+
+def edits(a, b):
+    """Edit distance with neighbouring letters swapped as one edit."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_toxicity_held_out(spark):
+    """Held-out toxic rows are found, misspelled ones included, quoted and clean ones left alone."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    common, bad = [word() for _ in range(300)], ["vrilnok", "zurqash", "wexto", "quodviz"]
+    rows, labels = [], []
+    for i in range(1200):
+        text, toxic = list(rng.choice(common, 40)), i % 4 == 0
+        if toxic:
+            for at in rng.choice(40, 3, replace=False):
+                t = bad[rng.integers(4)]
+                text[at] = t if rng.random() < 0.8 else t[:2] + t[3:]
+        rows.append((i, " ".join(text), "s", "en"))
+        labels.append((i, int(toxic), 1))
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels + labels[:50] + [(None, 1, 1), (3, None, None)], "doc_id long, toxic int, quality int")
+    repeated = df.unionByName(df.filter("doc_id < 40")).unionByName(df.filter("doc_id < 5").withColumn("text", F.lit("x")))  # a doc_id with other texts
+    scores = {r.doc_id: r.score for r in toxicity.score(df, toxicity.model(repeated, lab, ~toxicity.held_out())).collect()}
+    out = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([scores[i] >= 0.3 for i in out if i % 4 == 0]) >= 0.95 and np.mean([scores[i] >= 0.3 for i in out if i % 4]) <= 0.02
+    none = toxicity.score(df.limit(3), toxicity.model(df, lab.limit(0), ~toxicity.held_out())).collect()
+    assert len(none) == 3 and all(0 <= r.score <= 1 for r in none)
+    assert toxicity.score(df.limit(0), ([], [], [0.0] * 8)).count() == 0
+
+
 def test_quality(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     known = spark.read.parquet(f"{sf}/documents.parquet")
@@ -218,10 +362,73 @@ def test_quality(spark, sf, docs):
     assert both.filter(F.col("keep") == (F.col("quality") == 1)).count() >= 0.9 * both.count()
     assert quality.of_documents(docs, labels).count() == docs.count()
     assert quality.of_documents(docs, labels.limit(0)).filter("not keep").count() == 0
+    assert quality.of_documents(empty(spark), labels).count() == 0
+
+
+def test_quality_posteriors(spark, sf):
+    """Every posterior again in Python, from the evidence of the rows."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.limit(3).withColumns({"source": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long")}))
+    rows = quality.of_documents(docs, labels).collect()
+    groups, hosts = defaultdict(list), defaultdict(list)
+    for r in rows:
+        groups[r.host, r.path].append(r.p)
+        hosts[r.host].append(r.p)
+
+    def strength(sites):
+        n, good = np.array([len(x) for x in sites]), np.array([sum(x) for x in sites])
+        mean = good.sum() / n.sum()
+        spread = (good / n).var(ddof=1) - mean * (1 - mean) * (1 / n).mean()
+        return mean, min(1e4, max(2.0, mean * (1 - mean) / max(spread, 1e-6) - 1))
+
+    (mean, k_host), (_, k_path) = strength(list(hosts.values())), strength(list(groups.values()))
+    for r in rows:
+        h, g = hosts[r.host], groups[r.host, r.path]
+        host = (k_host * mean + sum(h)) / (k_host + len(h))
+        path = min(max((k_path * host + sum(g) - r.p) / (k_path + len(g) - 1), 1e-4), 1 - 1e-4)
+        p = min(max(r.p, 1e-9), 1 - 1e-9)
+        z = np.log(p / (1 - p)) + quality.STEP * (np.log(path / (1 - path)) - np.log(mean / (1 - mean)))
+        assert (r.host_posterior, r.path_posterior, r.score) == pytest.approx((host, path, 1 / (1 + np.exp(-z))), rel=1e-6)
+        assert r.keep == (r.score >= 0.5)
+
+
+def test_quality_training_rows_are_distinct(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, "a good text " * 5 if i % 2 else "## $$ {} || " * 5, "s", "en") for i in range(40)] * 5, DOCS)
+    w, odds = quality.fit(docs, labels, 20)
+    assert len(w) == 13 and abs(odds) < 3
 
 
 def test_url_intervals(spark):
     e = spark.createDataFrame([("x.com", "a", "add", 1), ("x.com", "a", "remove", 5), ("x.com/b", None, "add", 3), (None, "a", "add", 1)], "key string, category string, action string, at long")
     c = spark.createDataFrame([(1, "http://w.x.com/", 2), (2, "http://x.com/b/c", 5), (3, None, 2), (4, "http://x.com", None), (1, "http://w.x.com/", 2)], "page_id long, url string, fetched long")
-    got = sorted((r.page_id, r.n_active) for r in urlfilter.judge(c, urlfilter.intervals(e)).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 0), (4, 0)]
+    for sent in (urlfilter.SENT, 0):  # broadcast, and joined with a key's captures dealt to several tasks
+        got = sorted((r.page_id, r.n_active) for r in urlfilter.judge(c, urlfilter.intervals(e), sent).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 0), (4, 0)]
+    tied = spark.createDataFrame([("y.com", "a", "remove", 1), ("y.com", "a", "add", 1), ("z.com", "a", "add", 1), ("z.com", "a", "add", 1)], "key string, category string, action string, at long")
+    assert [(r.key, r.since, r.until) for r in urlfilter.intervals(tied).collect()] == [("z.com", 1, None)]
+    assert urlfilter.judge(c.limit(0), urlfilter.intervals(e.limit(0))).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    long_ = " ".join(f"w{i % 977} x{i % 13}" for i in range(40_000))
+    names = ["ids", "decoded", "n_shingles", "set_key", "bands", "component_id", "kept", "spans", "rest", "score", "p", "hits", "n_words", "row_no", "virtual_slot", "before", "toxic", "quality", "y", "host", "path"]
+    rows = [(1, long_, "s", "en"), (2, long_ + "#tail", "s", "en"), (3, "short", "s", "en"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    near = {r.doc_id: r for r in minhash.near_duplicates(df, k=4).collect()}
+    words = (long_ + "#tail").split()
+    assert near[2].n_shingles == len({tuple(words[i : i + 4]) for i in range(len(words) - 3)}) and (near[1].component_id, near[2].component_id, near[4].component_id) == (1, 1, 4)
+    cut = {r.doc_id: r for r in suffix.repeated(df).collect()}
+    assert bytes(cut[1].kept).decode() == long_ and bytes(cut[2].kept) == b"#tail" and cut[2].bands == names.index("bands") and [(s.start, s.stop) for s in cut[2].spans] == [(0, len(long_))]
+    spec, t = queries.vocabulary(), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: r for r in bpe.decode(bpe.encode(df, spec), spec).collect()}
+    assert list(ids[1].ids) == t.encode(long_, add_special_tokens=False).ids and ids[4].decoded == "" and ids[3].score == names.index("score")
+    bench = spark.createDataFrame([(1, "w5 x5 w6 x6 w7 x7 w8 x8 w9 x9 w10 x10")], "item_id long, text string")
+    marked = {r.doc_id: r for r in decontaminate.report(df, bench).collect()}
+    assert marked[1].n_words == 80_000 and marked[1].contaminated and not marked[3].contaminated
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.of_documents(df, labels).count() == 4
+    assert toxicity.score(df, toxicity.model(df, labels, F.lit(True))).count() == 4

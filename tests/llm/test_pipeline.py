@@ -88,3 +88,17 @@ def test_tokens_stage(spark, docs, folder):
 @pytest.mark.parametrize("name", list(STAGES))
 def test_empty(spark, docs, folder, name):
     assert STAGES[name](spark, docs.limit(0), folder).count() == 0
+
+
+def test_verdicts_are_on_rows_not_ids(spark, docs, folder):
+    """A contaminated or rejected row without a doc_id goes; a clean row stays, though another row of its doc_id goes."""
+    good, bad = docs.filter("doc_id = 1").first().text, "#### $$ == {} || " * 12
+    rows = [(50, good), (50, bad), (None, bad), (None, good), (51, f"{good} {ITEM}"), (51, good), (None, f"x {ITEM}")]
+    df = spark.createDataFrame([(i, t, "en", "s", None, "x", "y") for i, t in rows], COLUMNS)
+    d = f"{folder}/rows.parquet"
+    docs.unionByName(df).write.mode("overwrite").parquet(d)
+    held = spark.read.parquet(d)
+    mine = lambda out: sorted(((str(r.doc_id), r.text) for r in out.collect() if r.doc_id in (50, 51) or r.doc_id is None and r.text), key=str)
+    assert mine(STAGES["decontamination"](spark, held, folder)) == sorted([("50", good), ("50", bad), ("None", bad), ("None", good), ("51", good)])
+    assert ("50", bad) not in mine(STAGES["quality"](spark, held, folder)) and ("None", bad) not in mine(STAGES["quality"](spark, held, folder))
+    assert {("50", good), ("None", good)} <= set(mine(STAGES["quality"](spark, held, folder)))
