@@ -219,3 +219,35 @@ def test_social_ads_and_touch_sequence(spark):
     assert cleaning.clean_social_ads(g).first().engagement_rate == 0.25
     s = spark.createDataFrame([("b", 1, 2), ("a", 1, 1), ("c", 2, 1)], "session_id string, user_id long, session_start int")
     assert {r.session_id: r.session_seq for r in attribution.touch_sequence(s).collect()} == {"a": 1, "b": 2, "c": 1}
+
+
+def test_stream_across_batches(spark, tmp_path):
+    """Of an event that comes again in a later micro-batch one stays; one beyond the watermark is late and goes."""
+    batches = [[log("1", "2025-01-01T10:00:00"), log("2", "2025-01-01T14:00:00")], [log("1", "2025-01-01T10:00:00"), log("2", "2025-01-01T14:00:00"), log("3", "2025-01-01T14:05:00")], [log("late", "2025-01-01T09:00:00"), log("4", "2025-01-01T14:06:00")]]
+    out = str(tmp_path / "out")
+    for k, values in enumerate(batches):  # each run takes up where the one before ended
+        spark.createDataFrame([(str(k), v) for v in values], "key string, value string").coalesce(1).write.mode("append").json(str(tmp_path / "topic"))
+        stream = weblogs.silver(weblogs.parse(weblogs.read_topic(spark, "json", path=str(tmp_path / "topic"))))
+        weblogs.to_parquet(stream, out, str(tmp_path / "ck"), ["date"]).awaitTermination(120)
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]
+
+
+def test_segments_without_a_part(spark):
+    c = spark.createDataFrame([(1,), (2,)], "customer_id long")
+    rows = segments.combine(None, None, None, c)
+    assert dict(rows.dtypes)["rfm_score"] == "int" and dict(rows.dtypes)["rfm_segment"] == "string"
+    assert {(r.rfm_segment, r.marketing_recommendation) for r in rows.collect()} == {(None, "Standard Marketing Communications")}
+
+
+def test_approximate_counts(spark, sf):
+    s = gold.Silver.of_tables(spark, sf)
+    held = gold.marketing_attribution(s)["marketing_attribution"]
+    exact, near = ({(r.time_period, r.campaign_name, r.attribution_model): r.period_orders for r in marketing.campaign_periods(held, s.ads, date(2024, 1, 28), ["monthly"], approximate=a).collect()} for a in (False, True))
+    assert exact.keys() == near.keys() and all(abs((near[k] or 0) - (v or 0)) <= 0.2 * (v or 0) + 1 for k, v in exact.items())
+
+
+@pytest.mark.parametrize(("driver", "day"), [("acquisition_metrics", date(1995, 6, 15)), ("sales_forecast", date(2001, 7, 15))])
+def test_gold_drivers(spark, sf, driver, day, tmp_path):
+    tables = getattr(gold, driver)(gold.Silver.of_tables(spark, sf), day)
+    gold.write_tables(tables, lake.LakePaths(str(tmp_path)))
+    assert len(tables) >= 6 and all(spark.read.parquet(f"{tmp_path}/gold/{n}").count() > 0 for n in tables)

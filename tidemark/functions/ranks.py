@@ -14,8 +14,6 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64  #: ranges; equal values share one
-
 
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the folder that the cluster shares (spark.checkpoint.dir); a new local one where that is unset, as in tests."""
@@ -32,14 +30,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def _ranges(df: DataFrame, keys: list) -> DataFrame:
-    return written(df.repartitionByRange(RANGES, *keys).withColumn("_range", F.spark_partition_id()))
+    """df with the number of each row's range, of as many as shuffles have partitions; equal values share one."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
 
 
 def ntile_of_all(df: DataFrame, n: int, order: list, alias: str) -> DataFrame:
     """ntile(n) over a global order. order: names, or (name, 'desc'), that make a total order."""
     keys = [F.col(c) if isinstance(c, str) else F.col(c[0]).desc() for c in order]
     rows = _ranges(df, keys).withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows at most
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
     at = rows.join(F.broadcast(before), "_range").withColumn("_row", F.col("_row") + F.col("_before") - 1)
     size, extra = F.floor(F.col("_total") / n), F.col("_total") % n
@@ -52,7 +52,7 @@ def dense_rank_of_all(df: DataFrame, by: list[str], value: str, alias: str) -> D
     order = F.desc_nulls_last(value)
     rows = _ranges(df, [*by, order])  # equal values are in one range
     rows = rows.withColumn("_rank", F.dense_rank().over(Window.partitionBy("_range", *by).orderBy(order)))
-    counts = rows.groupBy("_range", *by).agg(F.max("_rank").alias("_n"))  # at most RANGES + groups of by rows
+    counts = rows.groupBy("_range", *by).agg(F.max("_rank").alias("_n"))  # a row for each range and group in it
     before = counts.select(F.col("_range").alias("_of_range"), *[F.col(c).alias(f"_of_{c}") for c in by], (F.sum("_n").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_before"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by], F.col("_range") == F.col("_of_range"))
     return rows.join(before, same).withColumn(alias, (F.col("_rank") + F.col("_before")).cast("int")).select(*df.columns, alias)
