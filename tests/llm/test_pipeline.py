@@ -64,6 +64,7 @@ def test_suffix_stage(spark, docs, folder):
     want = brute_repeats([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
     got = STAGES["suffix_dedup"](spark, docs, folder)
     assert got.columns == docs.columns
+    assert {(r.item_id, r.kept) for r in got.filter("doc_id is not null").collect()} == {("x", "y")}  # further columns stay
     for r in got.filter("doc_id is not null").collect():
         assert (r.text or "").encode() in {k for (i, _), k in want.items() if i == r.doc_id}
 

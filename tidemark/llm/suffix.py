@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import discard, materialize, table
 
-N, GRAM = 50, 20
+N, GRAM = 50, 32  #: GRAM long enough that few are shared by chance, however large the table
 CHUNK, BLOCK = 1 << 20, 1 << 15  #: bytes that a task works on at once; places that are hashed at once
 DEAL = 12 << 20  #: bytes of text for each bucket of chunk or anchor hashes
 BUCKET = 4 << 20  #: bytes of text for each bucket of snippets
@@ -65,14 +65,13 @@ def anchors(s: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         k = windows + size - 1
         w = np.ndarray((k + GRAM - 7,), "<u8", raw, offset=at, strides=(1,)).astype(np.uint64)
         h = w[:k] * M1
-        h += w[8 : k + 8] * M2
-        t = h >> np.uint64(29)
-        h ^= t
-        h *= M3
-        np.right_shift(h, np.uint64(33), out=t)
-        t ^= w[GRAM - 8 : k + GRAM - 8]
-        t *= M1
-        h += t
+        t = np.empty_like(h)
+        for b in range(8, GRAM, 8):  # each step mixes in 8 bytes
+            np.right_shift(h, np.uint64(29), out=t)
+            h ^= t
+            h *= M3
+            h += w[min(b, GRAM - 8) : k + min(b, GRAM - 8)]
+        h *= M2
         np.right_shift(h, np.uint64(32), out=t)
         h ^= t
         hashes[at : at + k] = h
@@ -358,9 +357,9 @@ def repeated_of_hot(snippets: DataFrame, n: int) -> DataFrame:
     return hits.unionByName(none).groupBy("bucket", "key", "least").agg(F.bit_or("bits").alias("bits"))
 
 
-def repeated(docs: DataFrame, n: int = N) -> DataFrame:
-    """docs (doc_id long, text string, further columns) with kept (binary: the bytes left) and spans array<struct<start, stop>> of
-    what is removed."""
+def repeated(docs: DataFrame, n: int = N, readable: bool = False) -> DataFrame:
+    """docs (doc_id long, text string, further columns) with kept (binary: the bytes left; readable: a string without the characters
+    of which bytes are gone) and spans array<struct<start, stop>> of what is removed."""
     if not GRAM + 8 <= n <= GRAM + 50:
         raise ValueError(f"n must be from {GRAM + 8} to {GRAM + 50}")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "kept", "spans")]
@@ -380,9 +379,9 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     # chunks that a smaller doc_id has need no more work than to be removed; the rest is searched string by string
     dups = materialize(meet_by_hash(long_.select("doc_id", "text"), all_chunks(n), True, False, deals)).withColumnRenamed("hashes", "dups")
     packed = long_.mapInArrow(pack, T.StructType().add("doc_id", "long").add("packed", "binary").add("rest", rest_type))
-    texts = packed.filter("doc_id is not null").join(dups, "doc_id", "left").select("doc_id", "packed", "rest", "dups")
-    shared = materialize(meet_by_hash(texts, own_anchors(n), False, True, deals)).withColumnRenamed("hashes", "shared")
-    texts = texts.withColumn("text_key", F.hash("packed"))  # places are of one text, should texts share a doc_id
+    key = F.hash("packed").alias("text_key")  # places are of one text, should texts share a doc_id
+    texts = materialize(packed.filter("doc_id is not null").join(dups, "doc_id", "left").select("doc_id", "packed", "rest", "dups", key))
+    shared = materialize(meet_by_hash(texts, own_anchors(n), False, True, deals).withColumnRenamed("hashes", "shared"))
     found = materialize(snippets(texts.join(shared, "doc_id").select("doc_id", "packed", "text_key", "dups", "shared"), n, buckets))
     key = F.xxhash64("offset", "snippet").alias("key")  # with the bucket, whose number grows with the input
     anchor = F.xxhash64(F.expr(f"substring(snippet, offset + 1, {GRAM})")).alias("anchor")
@@ -400,12 +399,16 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
     sent = F.broadcast(hot) if hot.limit(SENT + 1).count() <= SENT else hot
     cold = folded.join(sent, ["bucket", "anchor"], "left_anti") if some else folded
     judged = cold.groupBy("bucket").applyInArrow(sort, "bucket int, key long, least long, bits long")
+    spread = []
     if some:
-        judged = judged.unionByName(repeated_of_hot(materialize(folded.join(sent, ["bucket", "anchor"]).select("bucket", "key", "least", "snippet")), n))
+        spread = [materialize(folded.join(sent, ["bucket", "anchor"]).select("bucket", "key", "least", "snippet"))]
+        judged = judged.unionByName(repeated_of_hot(spread[0], n))
     seen = found.select("doc_id", "text_key", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
     covers = seen.join(judged, ["bucket", "key"]).select("doc_id", "text_key", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
     covers = materialize(covers.groupBy("doc_id", "text_key").agg(F.collect_list("cover").alias("covers")))
+    for step in (shared, found, folded, hot, *spread):
+        discard(step)
 
     def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         """Rows of about CHUNK bytes of text together, and their texts."""
@@ -445,28 +448,23 @@ def repeated(docs: DataFrame, n: int = N) -> DataFrame:
                 left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             text = pa.array([r.decode("utf-8", "surrogatepass") for r in raws], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(left, pa.binary()), pa.array(spans, kind), batch.column(2)], ["doc_id", "text", "kept", "spans", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, kept(left), pa.array(spans, kind), batch.column(2)], ["doc_id", "text", "kept", "spans", "rest"])
+
+    def kept(left: list[bytes]) -> pa.Array:
+        return pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()) if readable else pa.array(left, pa.binary())
 
     done = texts.join(covers, ["doc_id", "text_key"], "left").select("doc_id", "packed", "rest", "dups", "covers")
-    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", rest_type)
+    shape = T.StructType().add("doc_id", "long").add("text", "string").add("kept", "string" if readable else "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("stop", "long"))).add("rest", rest_type)
     done = done.mapInArrow(cut, shape)
-    short = docs.filter("not ok").select("doc_id", "text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "rest")
+    short = docs.filter("not ok").select("doc_id", "text", F.coalesce(F.col("text").cast("string" if readable else "binary"), F.lit("" if readable else b"")).alias("kept"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"), "rest")
     return done.unionByName(short).select("doc_id", "text", "kept", "spans", *[F.col(f"rest.`{c}`").alias(c) for c in others])
 
 
 def without_repeats(docs: DataFrame, n: int = N) -> DataFrame:
     """docs with what is left of each text; characters of which bytes are gone go as a whole."""
-
-    def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("kept")
-            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(at)], pa.string())
-            yield batch.set_column(at, "kept", texts)
-
-    cut = repeated(docs, n).withColumn("was_null", F.col("text").isNull()).drop("text", "spans")
-    shape = T.StructType([T.StructField("kept", T.StringType()) if f.name == "kept" else f for f in cut.schema.fields])
-    left = cut.mapInArrow(readable, shape).withColumn("text", F.when(~F.col("was_null"), F.col("kept")))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = {c: f"{c}_of_docs" for c in ("kept", "spans") if c in docs.columns}
+    cut = repeated(docs.withColumnsRenamed(own), n, readable=True).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    return cut.drop("kept", "spans").withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
