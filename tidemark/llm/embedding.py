@@ -36,6 +36,7 @@ MAX_PIVOTS, PER_PIVOT = 8192, 64  #: pivots at most; vectors for each pivot befo
 PIVOT_BYTES = 16 << 20  #: of the vectors that pivots are chosen from, on the driver
 BLOCK_BYTES = 2 << 20  #: a block's vectors in single precision
 PAIRS = 1 << 20  #: pairs compared at once
+SENT_LISTS = 200_000  #: lengths of lists that are broadcast at most; of one dimension there are MAX_PIVOTS at most
 
 
 def usable(embedding):
@@ -151,8 +152,9 @@ def compare_lists(described: DataFrame, threshold: float, kind, shared: int = SH
     """(vec_id, links, root): links found in one task; root: a vec_id that the vector is connected with there. described: vec_id,
     copies, dim, packed, perm."""
     lists = listed(described)
-    sizes = lists.groupBy("dim", "pivot").agg(F.ceil(F.count("*") * F.col("dim") * 4 / BLOCK_BYTES).cast("int").alias("blocks"))
-    lists = lists.join(sizes, ["dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("packed"), F.col("blocks")).cast("int"))
+    sizes = materialize(lists.groupBy("dim", "pivot").agg(F.ceil(F.count("*") * F.col("dim") * 4 / BLOCK_BYTES).cast("int").alias("blocks")))
+    few = sizes.limit(SENT_LISTS + 1).count() <= SENT_LISTS
+    lists = lists.join(F.broadcast(sizes) if few else sizes, ["dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("packed"), F.col("blocks")).cast("int"))
     dealt = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("dim", "pivot", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "copies", "packed", "perm")
 
