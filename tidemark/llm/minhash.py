@@ -8,8 +8,8 @@ the member whose bands are the most crowded. Members of a bucket that are still
 prefixes of rare shingles, an exact filter. So no link between different components is lost, and neither the pairs within a
 component nor those that merely share a common passage are enumerated.
 
-Null texts, and texts without words, have empty sets and link with nothing. Rows that share a doc_id are one document for
-linking. Rows with a null doc_id link with nothing, have a null component and are kept. Repeated rows are each returned.
+Null texts, and texts without words, have empty sets and link with nothing. Rows that share a doc_id are one document: what is
+linked with one of its texts is linked with all. Rows with a null doc_id link with nothing, have a null component and are kept. Repeated rows are each returned.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialize, table
+from tidemark.llm.common import components, join_with_hot_keys, materialize, table
 
 #: a pair at similarity 0.8 shares no band with probability (1 - 0.8**7)**48 = 1e-5; one at 0.25 shares one with 0.003
 BANDS, ROWS = 48, 7
 BLOCK, COLUMNS = 1000, 4096  #: sets that a task compares with another such block; shingles it counts at a time
-MAX_WORDS = 500_000  #: word hashes that a worker remembers
+MAX_WORDS = 200_000  #: word hashes that a worker remembers
+HOT_ROWS, HOT_KEYS = 200, 100_000  #: rows of a shingle that is joined apart, at least; number of such shingles, at most
 SENT_IDS = 200_000  #: most ids that are broadcast, to read the texts of candidates only
 
 
@@ -122,7 +123,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long").distinct()
 
 
 def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,18 +138,20 @@ def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 members = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
                 size = np.array([len(m) for m in members])
                 each = lambda c: np.repeat(c, size)
-                yield pa.RecordBatch.from_arrays([pa.array(each(part.column(0).to_numpy())), pa.array(each(part.column(1).to_numpy())), pa.array(each(size)), pa.array(np.concatenate(members))], ["node", "component", "n", "e"])
-
-    held = placed.join(sets, "node").select("node", "component", "members").mapInArrow(run, "node long, component long, n long, e long")
-    often = held.groupBy("e").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
-    rows = held.join(often, "e")
-    mine = Window.partitionBy("node")
+                yield pa.RecordBatch.from_arrays([pa.array(each(part.column(0).to_numpy())), pa.array(each(part.column(1).to_numpy())), pa.array(each(part.column(3).to_numpy())), pa.array(each(size)), pa.array(np.concatenate(members))], ["node", "component", "set_id", "n", "e"])
+
+    held = placed.join(sets, "node").select("node", "component", "members", "set_id").mapInArrow(run, "node long, component long, set_id long, n long, e long")
+    often = materialize(held.groupBy("e").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1"))
+    total = often.agg(F.sum("df")).first()[0] or 0
+    hot = often.filter(F.col("df") > max(HOT_ROWS, total // HOT_KEYS)).select("e")  # fewer than HOT_KEYS, whatever the input
+    rows = join_with_hot_keys(held, often, "e", hot)
+    mine = Window.partitionBy("node", "set_id")
     place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "e"))  # elements of no other set come first
     prefix = rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     prefix = materialize(prefix.filter("lo < hi").select("e", "node", "component", "n"))
     # texts that share such an element, directly or through others, form a group; its blocks meet two by two
     first = prefix.groupBy("e").agg(F.min("node").alias("b"))
-    groups = components(prefix.join(first, "e").select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
+    groups = components(join_with_hot_keys(prefix.select("e", "node"), first, "e", hot).select(F.col("node").alias("a"), "b")).withColumnRenamed("component", "group")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(groups, "node").join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "node")
@@ -178,10 +181,10 @@ def across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _read_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full sets of the documents in ids (node); one text for each id."""
+    """(node, set_id, members): the full sets of the documents in ids (node), each once."""
     few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
     chosen = docs.filter("doc_id is not null").join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["node"], "left_semi")
-    return _sets(chosen, k)
+    return _sets(chosen, k).groupBy("node", F.xxhash64("members").alias("set_id")).agg(F.min("members").alias("members"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -199,8 +202,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pivots = materialize(scored.groupBy("band").agg(F.max(F.struct("score", -F.col("node"))).alias("p")).select("band", (-F.col("p.col2")).alias("pivot")))
     pairs = materialize(scored.join(pivots, "band").filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_read_sets(docs, ids, k).groupBy("node").agg(F.min("members").alias("members")))
-    links = materialize(confirm(pairs, sets, percent))
+    sets = materialize(_read_sets(docs, ids, k))
+    # sets of one doc_id belong together
+    doubled = materialize(filled.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id"))
+    same = filled.join(doubled, "doc_id").select("doc_id", "set_key").join(nodes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirm(pairs, sets, percent)
+    links = materialize(links if doubled.isEmpty() else links.unionByName(same))
     labels = components(links)
     # what is still apart within a bucket: pairs between components, not within them
     placed = materialize(scored.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
