@@ -69,7 +69,7 @@ def join_with_hot_keys(rows: DataFrame, per_key: DataFrame, key: str, hot: DataF
     made = [c for c in per_key.columns if c != key]
     few = per_key.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key), F.struct(*made).alias("_few"))
     marked = rows.join(F.broadcast(few), key, "left").withColumn("_hot", F.col("_few").isNotNull())
-    marked = marked.withColumn("_key", F.when(F.col("_hot"), F.xxhash64(*rows.columns)).otherwise(F.col(key)))
+    marked = marked.withColumn("_key", F.when(F.col("_hot"), F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     rest = per_key.select(F.col(key).alias("_key"), F.lit(False).alias("_hot"), F.struct(*made).alias("_rest"))
     both = marked.join(rest, ["_key", "_hot"], "left").withColumn("_all", F.coalesce("_few", "_rest")).filter("_all is not null")
     return both.select(*rows.columns, *[F.col(f"_all.{c}").alias(c) for c in made])

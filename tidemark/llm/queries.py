@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, embedding, minhash, oracles, quality, sharding, suffix, toxicity, urlfilter
+from tidemark.llm import bpe, chat, decontaminate, divergence, embedding, minhash, mixing, oracles, quality, sharding, suffix, toxicity, trie, urlfilter
 from tidemark.llm.common import table
 
 
@@ -41,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_neardup": embedding.op8_embedding_neardup,
     "op9_bpe": op9_bpe,
     "op10_quality": quality.op10_quality,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_trie": trie.op12_trie,
+    "op13_mixing": mixing.op13_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_url_filter": urlfilter.ORACLE, "op5_minhash": oracles.MINHASH, "op6_suffix_dedup": oracles.SUFFIX}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE, "op2_chat_formatting": chat.ORACLE, "op3_url_filter": urlfilter.ORACLE, "op5_minhash": oracles.MINHASH, "op6_suffix_dedup": oracles.SUFFIX, "op11_divergence": divergence.ORACLE, "op12_trie": trie.ORACLE, "op13_mixing": mixing.ORACLE}
