@@ -112,6 +112,12 @@ def load_sessions(s: Silver, paths: lake.LakePaths, process_date: date) -> None:
         lake.write(df.withColumns(stamp), paths.at("silver", name), ["session_year", "session_month", "session_day"])
 
 
+def load_profiles(s: Silver, paths: lake.LakePaths, as_of: date) -> None:
+    """Writes the customers' profiles with the time of their making, by which the quality suite judges how fresh they are."""
+    profiles = sessions.enriched_profiles(s.customers, s.orders, s.items, as_of).withColumn("profile_updated_at", F.current_timestamp())
+    lake.write(profiles, paths.at("silver", "customer_profiles"), ["profile_lifecycle_stage"])
+
+
 def load_warehouse(spark: SparkSession, s: Silver, subject: str, as_of: date, fmt: str = "parquet", **options: str) -> list[str]:
     """Loads one subject's facts and dimensions into the warehouse; the names of the tables loaded."""
     build, dimensions = SUBJECTS[subject]
@@ -125,9 +131,20 @@ def load_warehouse(spark: SparkSession, s: Silver, subject: str, as_of: date, fm
 PARTITIONS = {"marketing_attribution": ["attribution_model"], "channel_performance": ["attribution_model"], "product_metrics": ["time_period"], "category_analysis": ["time_period"], "product_rankings": ["time_period"], "new_customers": ["time_period"], "channel_metrics": ["time_period"], "campaign_roi": ["time_period"]}
 
 
+#: tables that reports read from top to bottom
+ORDERS = {
+    "daily_sales": ["order_date"], "daily_category_sales": ["order_date", "category"], "monthly_sales": ["month_idx"], "monthly_category_sales": ["month_idx", "category"],
+    "cohorts": ["cohort", "months_since"], "first_purchase_cohorts": ["cohort"], "ltv": ["acquisition_source", "tenure_order"], "forecast": ["month_idx"], "category_forecast": ["category", "month_idx"],
+}
+
+
 def write_tables(tables: dict[str, DataFrame], paths: lake.LakePaths, zone: str = "gold") -> None:
+    """Writes each table, those of ORDERS in their order."""
     for name, df in tables.items():
-        lake.write(df, paths.at(zone, name), PARTITIONS.get(name))
+        if name in ORDERS:
+            lake.write_sorted(df, paths.at(zone, name), ORDERS[name], PARTITIONS.get(name))
+        else:
+            lake.write(df, paths.at(zone, name), PARTITIONS.get(name))
 
 
 def warehouse_tables(spark: SparkSession, s: Silver, gold: dict[str, DataFrame], as_of: date) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -29,8 +29,10 @@ def path_list(paths: str | list[str]) -> list[str]:
     return json.loads(text) if text.startswith("[") else [p.strip() for p in text.split(",") if p.strip()]
 
 
-def read_json(spark: SparkSession, paths: str | list[str], schema: str = schemas.WEB_LOG) -> DataFrame:
-    return spark.read.schema(schema).json(path_list(paths))
+def read_json(spark: SparkSession, paths: str | list[str], schema: str = schemas.WEB_LOG, corrupt: str | None = None) -> DataFrame:
+    """corrupt: a column for the lines that aren't JSON; without it they are rows of nulls."""
+    reader = spark.read.schema(f"{schema}, {corrupt} string").option("columnNameOfCorruptRecord", corrupt) if corrupt else spark.read.schema(schema)
+    return reader.json(path_list(paths))
 
 
 def read_csv(spark: SparkSession, dataset: str, folder: str | list[str]) -> DataFrame:
@@ -53,6 +55,33 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode:
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str], partition_by: list[str] | None = None, mode: str = "overwrite", files: int | None = None) -> None:
+    """Parquet in global order: files, read by name, hold the rows as orderBy(order) has them (within each partition of the table, if it
+    has any), and no task sorts more than its range. files: how many ranges at most, as many as shuffles have partitions by default."""
+    keys = [*(partition_by or []), *order]
+    ranges = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write(df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys), path, partition_by, mode)
+
+
+class BadLoad(ValueError):
+    """Too many rows of a load are malformed."""
+
+
+def quarantined(df: DataFrame, dataset: str, load_id: str, path: str, most: float = 0.05, corrupt: str = "_corrupt") -> DataFrame:
+    """The well-formed rows of df, which read_csv or read_json made. The others go to a table under path, by dataset and load_id, each as
+    it stands in its file, with the file's name and what of it could be read; a rerun of the load replaces them. If they are more than
+    `most` of all rows, BadLoad is raised, with the rows still in quarantine. Counts and quarantine come from one scan."""
+    seen = Observation()
+    parsed = [c for c in df.columns if c != corrupt]
+    rows = df.select("*", F.col("_metadata.file_name").alias("_file")).observe(seen, F.count("*").alias("rows"), F.count(corrupt).alias("bad"))
+    bad = rows.filter(F.col(corrupt).isNotNull()).select(F.lit(dataset).alias("dataset"), F.lit(load_id).alias("load_id"), F.col("_file").alias("source_file"), F.col(corrupt).alias("record"), F.to_json(F.struct(*parsed)).alias("parsed"))
+    write(bad, path, ["dataset", "load_id"])
+    found = seen.get
+    if found["bad"] > most * found["rows"]:
+        raise BadLoad(f"{dataset}, load {load_id}: {found['bad']} of {found['rows']} rows are malformed")
+    return df.filter(F.col(corrupt).isNull()).drop(corrupt)
+
+
 def read_first(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The first path that exists, without counting its rows."""
     for p in paths:
