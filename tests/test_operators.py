@@ -1,5 +1,6 @@
 """Edge rows: what the given tables don't hold."""
 
+import glob
 import json
 from datetime import date, datetime
 
@@ -77,22 +78,41 @@ def test_preference_tie_and_profiles_without_orders(spark):
     assert r[6].order_count == 0 and r[6].profile_lifecycle_stage == "Lead"
 
 
-def test_ntile_matches_window(spark):
+def steps_left(spark):
+    return len(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/step-*"))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 23, 240])
+def test_ntiles_match_window(spark, rows):
+    """Three columns at once, with ties over the edges, nulls and a column of one value; nothing is left in the shared folder."""
     from pyspark.sql import Window
 
-    df = spark.createDataFrame([(i, (i * 7) % 10) for i in range(23)], "customer_id long, x long")
-    got = ranks.ntile_of_all(df, 5, [("x", "desc"), "customer_id"], "t").withColumn("w", F.ntile(5).over(Window.orderBy(F.desc("x"), "customer_id")))
-    assert got.filter("t <> w").count() == 0 and got.count() == 23
+    data = [(f"c{i * 37 % 240:03}", (i * 7) % 10 if i % 9 else None, float(i // 3) if i % 4 else None, 5) for i in range(rows)]
+    df = spark.createDataFrame(data, "customer_id string, x long, y double, z int")
+    before = steps_left(spark)
+    got = ranks.ntiles_of_all(df, 5, {"tx": ("x", True), "ty": ("y", False), "tz": ("z", True)}, "customer_id")
+    assert steps_left(spark) == before and got.count() == rows
+    over = {"tx": F.desc("x"), "ty": F.asc("y"), "tz": F.desc("z")}
+    want = got.withColumns({f"w{t}": F.ntile(5).over(Window.orderBy(o, "customer_id")) for t, o in over.items()})
+    assert want.filter("tx <> wtx or ty <> wty or tz <> wtz").count() == 0
 
 
-def test_dense_rank_of_all_matches_window(spark):
+@pytest.mark.parametrize("local", [True, False])
+def test_dense_ranks_match_window(spark, local, monkeypatch):
     from pyspark.sql import Window
 
+    if not local:
+        monkeypatch.setattr(ranks, "LOCAL", 0)
+        monkeypatch.setattr(ranks, "SENT", 0)
     rows = [(i, "ab"[i % 2] if i % 7 else None, float(i * 7 % 10) if i % 5 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "i long, g string, x double")
-    got = ranks.dense_rank_of_all(df, ["g"], "x", "r").withColumn("w", F.dense_rank().over(Window.partitionBy("g").orderBy(F.desc_nulls_last("x"))))
-    assert got.filter("r <> w").count() == 0 and got.count() == 60
-    assert ranks.dense_rank_of_all(df.limit(0), [], "x", "r").count() == 0
+    before = steps_left(spark)
+    got = ranks.dense_ranks_of_all(df, [(["g"], "x", "r"), ([], "x", "s"), (["g"], "i", "t")])
+    assert (steps_left(spark) == before) == local
+    over = {"r": Window.partitionBy("g").orderBy(F.desc_nulls_last("x")), "s": Window.orderBy(F.desc_nulls_last("x")), "t": Window.partitionBy("g").orderBy(F.desc("i"))}
+    got = got.withColumns({f"w{k}": F.dense_rank().over(w) for k, w in over.items()})
+    assert got.filter("r <=> wr and s <=> ws and t <=> wt").count() == 60
+    assert ranks.dense_ranks_of_all(df.limit(0), [([], "x", "r")]).count() == 0
 
 
 def test_pairs_same_product_twice(spark):

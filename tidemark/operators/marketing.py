@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bands, change_percent, ladder, ratio, trend_label
 from tidemark.functions.periods import adjacent, by_period, periods
-from tidemark.functions.ranks import dense_rank_of_all
+from tidemark.functions.ranks import dense_ranks_of_all
 
 CHANNEL = ["attribution_model", "utm_source", "utm_medium", "utm_campaign"]
 
@@ -182,7 +182,7 @@ def budget_allocation(table: DataFrame) -> DataFrame:
     out = out.withColumns({"current_budget_share": ratio("period_cost", "all_cost", 0.0, 100), "revenue_contribution": ratio("period_revenue", "all_revenue", 0.0, 100)})
     out = out.withColumn("suggested_budget_share", F.coalesce(ratio("adjusted_budget", "all_adjusted", None, 100), "current_budget_share"))
     out = out.withColumn("suggested_budget_change", F.col("suggested_budget_share") - F.col("current_budget_share")).drop("all_cost", "all_revenue", "all_adjusted")
-    out = dense_rank_of_all(out.withColumn("_roi", F.round("period_roi", 6)), [], "_roi", "roi_rank").drop("_roi")
+    out = dense_ranks_of_all(out.withColumn("_roi", F.round("period_roi", 6)), [([], "_roi", "roi_rank")]).drop("_roi")
     x = F.round("suggested_budget_change", 6)
     # fixed values: recommendations of the reports
     return out.withColumn("allocation_recommendation", ladder([(x > 5, "Significantly Increase Budget"), (x > 2, "Increase Budget"), (x < -5, "Significantly Decrease Budget"), (x < -2, "Decrease Budget")], "Maintain Current Budget"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAYS, MONTHS, change_percent, ladder, mapped, ratio, trend_label
 from tidemark.functions.periods import by_period
-from tidemark.functions.ranks import dense_rank_of_all
+from tidemark.functions.ranks import dense_ranks_of_all
 
 
 def product_metrics(items: DataFrame, orders: DataFrame, as_of: date, names: list[str]) -> DataFrame:
@@ -27,9 +27,8 @@ def category_analysis(metrics: DataFrame) -> DataFrame:
 def product_rankings(metrics: DataFrame) -> DataFrame:
     """Dense ranks of products within their category and over all; a period or category may hold any number of them."""
     out = metrics.withColumn("total_revenue", F.round("total_revenue", 2))
-    for scope, by in (("category", ["time_period", "category"]), ("overall", ["time_period"])):
-        for c in ("revenue", "quantity"):
-            out = dense_rank_of_all(out, by, f"total_{c}", f"{scope}_{c}_rank")
+    scopes = (("category", ["time_period", "category"]), ("overall", ["time_period"]))
+    out = dense_ranks_of_all(out, [(by, f"total_{c}", f"{scope}_{c}_rank") for scope, by in scopes for c in ("revenue", "quantity")])
     return out.withColumns({"is_top_revenue": F.col("category_revenue_rank") <= 3, "is_top_quantity": F.col("category_quantity_rank") <= 3, "is_overall_top": F.col("overall_revenue_rank") <= 10})
 
 

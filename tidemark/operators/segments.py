@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ladder, mapped
-from tidemark.functions.ranks import ntile_of_all
+from tidemark.functions.ranks import ntiles_of_all
 
 # fixed values: segments of the reports
 AFFINITY = {"soin_visage": "Facial Care Enthusiast", "soin_corps": "Body Care Focused", "soin_cheveux": "Hair Care Passionate", "maquillage": "Makeup Aficionado", "parfum": "Fragrance Collector"}
@@ -29,9 +29,7 @@ def rfm_label(r, f, m):
 def rfm(orders: DataFrame, as_of: date) -> DataFrame:
     """Quintiles with 1 best; ties by customer_id. Sums are compared at cents, so equal sums tie."""
     totals = customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))
-    out = ntile_of_all(totals, 5, ["recency_days", "customer_id"], "recency_score")
-    out = ntile_of_all(out, 5, [("frequency", "desc"), "customer_id"], "frequency_score")
-    out = ntile_of_all(out, 5, [("monetary", "desc"), "customer_id"], "monetary_score")
+    out = ntiles_of_all(totals, 5, {"recency_score": ("recency_days", False), "frequency_score": ("frequency", True), "monetary_score": ("monetary", True)}, "customer_id")
     r, f, m = (F.col(f"{x}_score") for x in ("recency", "frequency", "monetary"))
     return out.withColumns({"rfm_score": r + f + m, "rfm_segment": rfm_label(r, f, m)})
 
@@ -50,7 +48,8 @@ def _stages(totals: DataFrame) -> DataFrame:
 
 def lifecycle(orders: DataFrame, as_of: date) -> DataFrame:
     """Value by quartile of spend."""
-    out = ntile_of_all(_stages(customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))), 4, [("monetary", "desc"), "customer_id"], "value_quartile")
+    totals = customer_totals(orders, as_of).withColumn("monetary", F.round("monetary", 2))
+    out = ntiles_of_all(_stages(totals), 4, {"value_quartile": ("monetary", True)}, "customer_id")
     return out.withColumn("customer_value_segment", mapped(F.col("value_quartile"), {1: "Premium Value", 2: "High Value", 3: "Medium Value", 4: "Low Value"}))
 
 

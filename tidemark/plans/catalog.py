@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs
-from tidemark.functions.ranks import written
+from tidemark.functions.steps import materialize
 from tidemark.operators import acquisition, attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions, warehouse
 from tidemark.plans import gold
 from tidemark.plans.gold import Silver
@@ -472,7 +472,7 @@ RC_DOUBLES = f"{CP_DOUBLES} {CT_DOUBLES}"
 
 def roi_table(s: Silver) -> DataFrame:
     """Computed once, since the tables below read it more than once."""
-    held = written(attributed(s))
+    held = materialize(attributed(s))
     return marketing.campaign_roi(marketing.campaign_performance(held, s.ads), marketing.campaign_periods(held, s.ads, EVENTS_AS_OF, [*EP.split(), "ytd"]))
 
 
