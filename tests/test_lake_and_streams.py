@@ -138,3 +138,15 @@ def test_profiles_are_fresh(spark, sf, tmp_path):
     today = spark.sql("select current_date()").first()[0]
     metrics = data_quality.suite_metrics({"customer_profiles": held}, today, {"customer_profiles": data_quality.SUITE["customer_profiles"]})
     assert [(r.item, r.value) for r in metrics.filter("kind = 'age_days'").collect()] == [("profile_updated_at", 0.0)]
+
+
+def test_suite_scans_each_dataset_twice(spark, sf, tmp_path, monkeypatch):
+    """One aggregation and one count of values, however many rules there are."""
+    s, plans = gold.Silver.of_tables(spark, sf), []
+    orders, customers = (lake.write(df, str(tmp_path / n)) or spark.read.parquet(str(tmp_path / n)) for n, df in (("orders", s.orders), ("customers", s.customers)))
+    keep = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df
+    monkeypatch.setattr(data_quality, "materialize", keep)
+    monkeypatch.setattr(data_quality, "_facts", lambda *a, make=data_quality._facts: keep(make(*a)))
+    suite = {n: data_quality.SUITE[n] for n in ("orders", "customers")}
+    data_quality.suite_metrics({"orders": orders, "customers": customers}, date(2001, 7, 15), suite)
+    assert len(plans) == 3 and [p.count("Relation [") for p in plans] == [1, 1, 2] and "Join" not in plans[2]

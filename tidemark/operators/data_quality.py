@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import ladder, mapped
+from tidemark.functions.steps import materialize
 from tidemark.sources import lake
 
 
@@ -146,35 +147,87 @@ SUITE = {
 }
 
 
-def suite_metrics(datasets: dict[str, DataFrame | None], as_of: date, suite: dict[str, Checks] | None = None) -> DataFrame:
+def _facts(name: str, df: DataFrame, checks: Checks) -> DataFrame:
+    """One row: everything about a dataset that a single aggregation gives."""
+    rules = [F.expr(r) for r in checks.rules.values() if set(df.columns) & set(re.findall(r"\w+", r))]
+    updated = next((c for c in checks.dates if c in df.columns), None)
+    bad = lambda f: F.col(f"`{f.name}`").isNull() | (F.isnan(f"`{f.name}`") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.lit(False))
+    total = lambda xs: reduce(Column.__add__, xs, F.lit(0).cast("long"))
+    x = [F.col(c).cast("double") for c in checks.outliers]
+    return df.agg(
+        F.count("*").alias("rows"), total([F.count_if(bad(f)) for f in df.schema.fields]).alias("missing"), total([F.count_if(F.coalesce(r, F.lit(False))) for r in rules]).alias("valid"),
+        (F.to_date(F.max(updated)) if updated else F.lit(None).cast("date")).alias("latest"), F.array(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev(c).alias("sd")) for c in x]).cast("array<struct<n:bigint,mean:double,sd:double>>").alias("moments"),
+    ).select(F.lit(name).alias("dataset"), "*", F.lit(len(df.columns)).alias("columns"), F.lit(len(rules)).alias("rules"), F.lit(updated).cast("string").alias("updated"))
+
+
+def _values(name: str, df: DataFrame, checks: Checks, moments: list, keys: list[str]) -> DataFrame:
+    """(dataset, what, item, value) for each row and each check that counts values: of what is repeated ('repeated'), of what refers to
+    another dataset ('own'), of what others refer to ('key'), of distributions ('value'), and values that stand out ('odd')."""
+    text = lambda c: F.col(c).cast("string")
+    pairs = [("own", f"{parent}.{key}", text(c)) for c, (parent, key) in checks.parents.items()] + [("key", c, text(c)) for c in keys]
+    pairs += [("repeated", ",".join(checks.keys), text(checks.keys[0]) if len(checks.keys) == 1 else F.to_json(F.struct(*checks.keys)))] if checks.keys else []
+    pairs += [("value", c, text(c)) for c in checks.values if c in df.columns]
+    shown = [F.struct(F.lit(w).alias("what"), F.lit(i).alias("item"), v.alias("value")) for w, i, v in pairs if w in ("repeated", "value")]
+    shown += [F.when(v.isNotNull(), F.struct(F.lit(w).alias("what"), F.lit(i).alias("item"), v.alias("value"))) for w, i, v in pairs if w in ("own", "key")]
+    for c, m in zip(checks.outliers, moments, strict=True):
+        if m.sd:
+            odd = (F.col(c).cast("double") - F.lit(m.mean)) / F.lit(m.sd) > 3.0
+            shown.append(F.when(odd, F.struct(F.lit("odd").alias("what"), F.lit(c).alias("item"), F.lit("yes").alias("value"))))
+    each = F.filter(F.array(*shown), lambda x: x.isNotNull()) if shown else F.array().cast("array<struct<what:string,item:string,value:string>>")
+    return df.select(F.explode(each).alias("x")).select(F.lit(name).alias("dataset"), "x.*")
+
+
+def suite_metrics(datasets: dict[str, DataFrame | None], as_of: date, suite: dict[str, Checks] | None = None, most_values: int = 100) -> DataFrame:
     """(dataset, kind, item, value, allowed) of all checks. item: the column, parent or value that a row is about. Kinds:
-    completeness and validity of the dataset, duplicate_percent, integrity, age_days, outlier_percent, value_percent, missing."""
-    spark = next(d for d in datasets.values() if d is not None).sparkSession
-    schema, out = "dataset string, kind string, item string, value double, allowed double", []
-
-    def add(name: str, kind: str, df: DataFrame, value: Column, item: Column | None = None, allowed: float | None = None):
-        out.append(df.select(F.lit(name).alias("dataset"), F.lit(kind).alias("kind"), (F.lit(None) if item is None else item).cast("string").alias("item"), value.cast("double").alias("value"), F.lit(allowed).cast("double").alias("allowed")))
-
-    for name, checks in (SUITE if suite is None else suite).items():
-        if (df := datasets.get(name)) is None:
-            out.append(spark.createDataFrame([(name, "missing", None, None, None)], schema))
-            continue
-        add(name, "completeness", completeness(df, name).agg(F.sum("missing").alias("m"), F.sum("total").alias("t")), F.when(F.col("t") > 0, 1 - F.col("m") / F.col("t")).otherwise(1.0))
-        rules = {k: F.expr(r) for k, r in checks.rules.items() if set(df.columns) & set(re.findall(r"\w+", r))}
-        if rules:
-            add(name, "validity", validity(df, name, rules).agg(F.sum("valid").alias("v"), F.sum("total").alias("t")), F.when(F.col("t") > 0, F.col("v") / F.col("t")).otherwise(1.0))
-        if checks.keys:
-            add(name, "duplicate_percent", duplicates(df, list(checks.keys), name), F.col("percent"), F.lit(",".join(checks.keys)))
-        for column, (parent, key) in checks.parents.items():
-            if datasets.get(parent) is not None:
-                add(name, "integrity", referential_integrity(df, datasets[parent], column, key, f"{name}-{parent}"), F.col("score"), F.lit(parent))
-        if updated := next((c for c in checks.dates if c in df.columns), None):
-            add(name, "age_days", freshness(df, updated, name, as_of, checks.days), F.col("age_days"), F.lit(updated), checks.days)
-        for column in checks.outliers:
-            add(name, "outlier_percent", outliers(df, column, name), F.col("percent"), F.lit(column))
-        for column in checks.values:
-            if column in df.columns:
-                add(name, "value_percent", distribution(df, column, name), F.col("percent"), F.concat_ws("=", F.lit(column), F.coalesce("value", F.lit("null"))))
+    completeness and validity of the dataset, duplicate_percent, integrity, age_days, outlier_percent, value_percent, missing.
+
+    The rules are compiled to two scans of each dataset, whatever their number: one aggregation, of which the driver gets a row a
+    dataset, and one count of the values that any check needs (outliers as flags, by the first one's moments). The counts of all
+    datasets are one table, written once to the shared folder; what follows reads that table alone. Datasets should be tables:
+    one that is derived is derived for either scan.
+    """
+    suite = SUITE if suite is None else suite
+    held = {name: df for name, df in datasets.items() if df is not None and (name in suite or any(p == name for c in suite.values() for p, _ in c.parents.values()))}
+    checked = {name: checks for name, checks in suite.items() if name in held}
+    spark = next(iter(held.values())).sparkSession
+    facts = {r.dataset: r for r in reduce(DataFrame.unionByName, [_facts(name, held[name], c) for name, c in checked.items()]).collect()}  # a row a dataset
+
+    share = lambda part, whole, scale=1.0: part / whole * scale if whole else None
+    rows = [(name, "missing", None, None, None) for name in suite if name not in held]
+    for name, f in facts.items():
+        full = share(f.missing, f.rows * f.columns)
+        rows.append((name, "completeness", None, 1.0 - full if full is not None else 1.0, None))
+        if f.rules:
+            valid = share(f.valid, f.rows * f.rules)
+            rows.append((name, "validity", None, valid if valid is not None else 1.0, None))
+        if f.updated:
+            rows.append((name, "age_days", f.updated, float((as_of - f.latest).days) if f.latest else None, float(checked[name].days)))
+    schema = "dataset string, kind string, item string, value double, allowed double"
+    out = [spark.createDataFrame(rows, schema)]
+
+    parents = {(p, k) for c in checked.values() for p, k in c.parents.values() if p in held}
+    kept = {n: Checks({}, c.keys, {own: x for own, x in c.parents.items() if x in parents}, (), 1, c.outliers, c.values) for n, c in checked.items()}
+    scans = [_values(n, df, kept.get(n, Checks({})), facts[n].moments if n in facts else [], sorted(k for p, k in parents if p == n)) for n, df in held.items()]
+    counts = materialize(reduce(DataFrame.unionByName, scans).groupBy("dataset", "what", "item", "value").agg(F.count("*").alias("n")))
+    of = lambda what: counts.filter(F.col("what") == what)
+    metric = lambda df, kind, item, value: df.select("dataset", F.lit(kind).alias("kind"), item.cast("string").alias("item"), value.cast("double").alias("value"), F.lit(None).cast("double").alias("allowed"))
+
+    repeated = of("repeated").groupBy("dataset", "item").agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("again"))
+    unseen = spark.createDataFrame([(n, ",".join(c.keys), 0, 0) for n, c in kept.items() if c.keys and not facts[n].rows], "dataset string, item string, total long, again long")
+    out.append(metric(repeated.unionByName(unseen), "duplicate_percent", F.col("item"), F.when(F.col("total") > 0, F.col("again") / F.col("total") * 100).otherwise(0.0)))
+
+    relations = spark.createDataFrame([(n, p, f"{p}.{k}") for n, c in kept.items() for p, k in c.parents.values()], "dataset string, parent string, item string")
+    known = of("key").select(F.concat_ws(".", "dataset", "item").alias("item"), "value", F.lit(1).alias("hit"))
+    found = of("own").select("dataset", "item", "value").join(known, ["item", "value"], "left").groupBy("dataset", "item").agg(F.count("*").alias("keys"), F.count("hit").alias("hits"))
+    joined = F.broadcast(relations).join(found, ["dataset", "item"], "left")
+    out.append(metric(joined, "integrity", F.col("parent"), F.when(F.col("keys") > 0, 1 - (F.col("keys") - F.col("hits")) / F.col("keys")).otherwise(1.0)))
+
+    moments = [(n, c, m.n) for n, k in kept.items() for c, m in zip(k.outliers, facts[n].moments, strict=True)]
+    odd = F.broadcast(spark.createDataFrame(moments, "dataset string, item string, total long")).join(of("odd").select("dataset", "item", "n"), ["dataset", "item"], "left")
+    out.append(metric(odd, "outlier_percent", F.col("item"), F.when(F.col("total") > 0, F.coalesce("n", F.lit(0)) / F.col("total") * 100).otherwise(0.0)))
+
+    whole = of("value").groupBy("dataset", "item").agg(F.sum("n").alias("rows"), F.count("*").alias("values")).filter(F.col("values") <= most_values)
+    out.append(metric(of("value").join(F.broadcast(whole), ["dataset", "item"]), "value_percent", F.concat_ws("=", "item", F.coalesce("value", F.lit("null"))), F.col("n") / F.col("rows") * 100))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs
-from tidemark.functions.steps import materialize
+from tidemark.functions.steps import materialize, settled
 from tidemark.operators import acquisition, attribution, cleaning, data_quality, forecast, marketing, products, segments, sessions, warehouse
 from tidemark.plans import gold
 from tidemark.plans.gold import Silver
@@ -836,7 +836,12 @@ stages AS ({STAGES_SQL}), ch AS MATERIALIZED ({CHANNEL_PERFORMANCE})"""
 
 
 def suite(s: Silver) -> DataFrame:
-    return data_quality.suite_metrics(gold.silver_datasets(s, ORDERS_AS_OF), EVENTS_AS_OF)
+    """Metrics of the suite; the datasets, which are views here, are written for its two scans and go when it is done."""
+
+    def metrics() -> DataFrame:
+        return data_quality.suite_metrics(gold.silver_datasets(gold.stored(s), ORDERS_AS_OF, materialize), EVENTS_AS_OF)
+
+    return settled(metrics)
 
 
 @query("dq10_silver_metrics", "logs cust ord items ads sess att", f"WITH {SUITE_TABLES}, m AS MATERIALIZED ({SUITE_SQL})\nMAIN SELECT * FROM m", "value", 3)

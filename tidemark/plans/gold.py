@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.steps import materialize
 from tidemark.operators import acquisition, attribution, forecast, marketing, products, segments, sessions, warehouse
 from tidemark.sources import adapters, lake
 
@@ -30,12 +31,22 @@ class Silver:
         return cls(**{k: spark.read.parquet(paths.at("silver", v)) for k, v in names.items()})
 
 
-def silver_datasets(s: Silver, as_of: date) -> dict[str, DataFrame]:
-    """The datasets that the quality suite checks. as_of: the day of the customers' profiles."""
-    attributed = marketing_attribution(s)
-    return {
+def stored(s: Silver) -> Silver:
+    """s with its datasets written to the shared folder, for work that reads them many times. A lake's are tables as it is."""
+    return Silver(**{k: materialize(df) for k, df in vars(s).items()})
+
+
+def silver_datasets(s: Silver, as_of: date, keep=lambda df: df) -> dict[str, DataFrame]:
+    """The datasets that the quality suite checks. as_of: the day of the customers' profiles. keep: what to do with a derived dataset,
+    say materialize() it."""
+    attributed = keep(attribution.attribution_models(attribution.journeys(s.web, s.web_orders)))
+    derived = {
+        "customer_sessions": sessions.customer_sessions(s.web, s.customers), "customer_profiles": sessions.enriched_profiles(s.customers, s.orders, s.items, as_of),
+        "channel_performance": attribution.channel_performance(attributed, s.ads),
+    }
+    return {k: keep(df) for k, df in derived.items()} | {"marketing_attribution": attributed} | {
         "web_logs": s.logs, "customers": s.customers, "orders": s.orders, "order_items": s.items, "google_ads": s.ads.filter("platform = 'Google'"), "social_ads": s.ads.filter("platform in ('Facebook', 'Instagram', 'TikTok')"),
-        "web_sessions": s.web, "customer_sessions": sessions.customer_sessions(s.web, s.customers), "customer_profiles": sessions.enriched_profiles(s.customers, s.orders, s.items, as_of), "web_orders": s.web_orders, **attributed,
+        "web_sessions": s.web, "web_orders": s.web_orders,
     }
 
 
