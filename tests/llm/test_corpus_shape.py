@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, mixing, trie
+from tidemark.llm import bpe, divergence, embedding, mixing, queries, suffix, trie
 
 DOCS = "doc_id long, text string, lang string, source string, value string, p long"
 
@@ -194,3 +194,34 @@ def test_mixing_is_native(spark, docs):
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert docs.select(F.max("doc_id")).first()[0] == 301
+
+
+def test_links_of_embeddings_that_share_a_vec_id(spark):
+    """Each row has the links and the component of its own embedding; components are named by their smallest vec_id."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (0, [0.02, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (9, None)]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (1, 2, 0, False), (2, 1, 1, False), (3, 2, 0, False), (0, 2, 0, True), (9, 0, 9, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_repeats_of_a_row_cost_no_more_than_rows(spark):
+    """What is collected for a text doesn't grow with how often its row is repeated."""
+    passage = " ".join(f"shared{i}" for i in range(400))
+    rows = [(1, passage + " first"), *[(2, "head " + passage + " tail")] * 60, (3, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = suffix.repeated(df).collect()
+    assert len(got) == 62 and {(r.doc_id, bytes(r.kept)) for r in got if r.doc_id == 2} == {(2, b"head tail")}
+    texts = df.withColumn("dups", F.lit(None).cast("array<binary>"))
+    for wide, entries in ((True, suffix.all_chunks(50)), (False, suffix.own_anchors(50))):
+        lists = suffix.meet_by_hash(texts.select("doc_id", "text", F.lit(0), "dups"), entries, wide, not wide, 4).collect()
+        size = {r.doc_id: sum(len(x) for x in r.hashes) for r in lists}
+        assert size[2] <= len(passage) * 8
+
+
+def test_tokens_in_one_step(spark, docs):
+    spec = queries.vocabulary()
+    both = bpe.encode_and_check(docs.drop("p"), spec).collect()
+    apart = bpe.decode(bpe.encode(docs, spec), spec).collect()
+    assert both[0].__fields__ == ["doc_id", "lang", "source", "value", "ids", "decoded_sha256"]
+    assert sorted((r.doc_id, list(r.ids), r.decoded_sha256) for r in both if r.doc_id is not None) == sorted((r.doc_id, list(r.ids), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in apart if r.doc_id is not None)
+    assert len(both) == len(apart) == docs.count()

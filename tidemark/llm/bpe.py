@@ -15,6 +15,7 @@ null or repeated keys and further columns pass through unchanged.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 LATIN = 0x250  #: end of the Latin blocks
+ROWS = 64  #: encoded or decoded at once
 END = "\0"  #: stands for the word end; no byte is written so in byte-level tokens
 
 
@@ -41,7 +43,7 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Merges of one vocabulary file (its JSON text); max_words bounds the words and pairs that are remembered."""
 
-    def __init__(self, spec: str, max_words: int = 200_000):
+    def __init__(self, spec: str, max_words: int = 100_000):
         spec = json.loads(spec)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         inner = lambda s: s[: -len(suffix)] + END if s.endswith(suffix) else s
@@ -145,25 +147,54 @@ class Encoder:
 _encoder: dict[int, Encoder] = {}
 
 
+def _encoder_of(spec: str) -> Encoder:
+    """The worker's encoder: made once for each vocabulary."""
+    key = hash(spec)
+    if key not in _encoder:
+        _encoder.clear()
+        _encoder[key] = Encoder(spec)
+    return _encoder[key]
+
+
+def _pieces(spec: str) -> tuple[bytes, np.ndarray]:
+    """All tokens, a space after each, as one string, and where each begins."""
+    data = json.loads(spec)
+    tokens = {i: s for s, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
+    pieces = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
+    return b"".join(pieces), np.cumsum([0, *map(len, pieces)])
+
+
+def _text(ids: np.ndarray, blob: np.ndarray, offset: np.ndarray) -> str:
+    first, size = offset[ids], offset[ids + 1] - offset[ids]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return ""
+    place = np.arange(total, dtype=np.int64 if len(blob) + total >= 1 << 31 else np.int32)
+    place += np.repeat((first - (ends - size)).astype(place.dtype), size)
+    return blob[place[:-1]].tobytes().decode()
+
+
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for batch in batches:
+        for k in range(0, max(batch.num_rows, 1), ROWS):
+            part = batch.slice(k, ROWS)
+            yield part, part.column(part.schema.get_field_index(column))
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+
+
 def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ids_col: the token ids of text_col. spec is the vocabulary file's JSON text, sent to each executor once."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary file: bounded, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
-        if key not in _encoder:
-            _encoder.clear()
-            _encoder[key] = Encoder(shared.value)
-        one = _encoder[key].encode
-        for batch in batches:
-            for k in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(k, 256)
-                ids, ends = [], [0]
-                for x in part.column(part.schema.get_field_index(text_col)):
-                    ids.append(np.array(one(x.as_py() or ""), np.int32))
-                    ends.append(ends[-1] + len(ids[-1]))
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids_col])
+        one = _encoder_of(shared.value).encode
+        for part, texts in _parts(batches, text_col):
+            ids = [np.array(one(x.as_py() or ""), np.int32) for x in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], [*part.schema.names, ids_col])
 
     kept = docs.drop(ids_col) if ids_col in docs.columns else docs
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -171,26 +202,33 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "i
 
 def decode(encoded: DataFrame, spec: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds text_col: the tokens of ids_col joined by spaces, as a vocabulary file without a decoder has it. Null ids: empty."""
-    data = json.loads(spec)
-    tokens = {i: s for s, i in data["model"]["vocab"].items()} | {t["id"]: t["content"] for t in data["added_tokens"]}
-    pieces = [(tokens.get(i, "") + " ").encode() for i in range(max(tokens) + 1)]
-    shared = encoded.sparkSession.sparkContext.broadcast((b"".join(pieces), np.cumsum([0, *map(len, pieces)])))
+    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, offset = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
-        for batch in batches:
-            for k in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(k, 256)
-                column = part.column(part.schema.get_field_index(ids_col))
-                texts = []
-                for x in column:
-                    ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32)
-                    first, size = offset[ids], offset[ids + 1] - offset[ids]
-                    ends = np.cumsum(size)
-                    total = int(ends[-1]) if len(ends) else 0
-                    place = np.repeat(first - (ends - size), size) + np.arange(total)
-                    texts.append(blob[place[:-1]].tobytes().decode() if total else "")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+        for part, lists in _parts(batches, ids_col):
+            texts = [_text(x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int32), blob, offset) for x in lists]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
 
     kept = encoded.drop(text_col) if text_col in encoded.columns else encoded
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+
+
+def encode_and_check(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """encode() without text_col, and decoded_sha256: the digest of what decode() makes of the ids. One Python step does both, so a task
+    has one worker, which holds one vocabulary, and decoded texts stay in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder_of(shared.value)
+        blob, offset = _pieces(shared.value)
+        blob = np.frombuffer(blob, np.uint8)
+        for part, texts in _parts(batches, text_col):
+            ids = [np.array(encoder.encode(x.as_py() or ""), np.int32) for x in texts]
+            sha = pa.array([hashlib.sha256(_text(x, blob, offset).encode()).hexdigest() for x in ids], pa.string())
+            others = [k for k, c in enumerate(part.schema.names) if c != text_col]
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in others], _lists(ids), sha], [*[part.schema.names[k] for k in others], ids_col, "decoded_sha256"])
+
+    kept = docs.drop(*[c for c in (ids_col, "decoded_sha256") if c in docs.columns])
+    fields = [f for f in kept.schema.fields if f.name != text_col]
+    return kept.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]))

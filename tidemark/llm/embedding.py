@@ -14,8 +14,8 @@ and meet vectors of their own dimension alone.
 Equal vectors are folded into the smallest vec_id and weigh as many as they are. Vectors are scaled by their largest component
 before their norm is taken, so very small and very large ones are compared like others. Vectors that are null, zero, empty or
 hold a null or non-finite component link with nothing, as do vectors of different dimensions. A null vec_id links with nothing
-and has a null component. Repeated vec_ids are one vector if their embeddings are equal; else each row is listed with the links
-of its embedding. An empty table gives no rows.
+and has a null component. Repeated vec_ids are one vector if their embeddings are equal; else each row is listed with the links and the
+component of its own embedding. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import components, materialize, table
+from tidemark.llm.common import components, join_with_hot_keys, materialize, table
 
 NEAREST, SHARED = 8, 1  #: pivots of a description; pivots that candidates share at least
 APART = 0.7  #: cosine of any two pivots at most
@@ -218,19 +218,25 @@ def compare_lists(described: DataFrame, threshold: float, kind, shared: int = SH
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, nearest: int = NEAREST, shared: int = SHARED, most_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of embeddings (vec_id long, embedding array)."""
+    if most_pivots > 32_767:
+        raise ValueError("pivots are numbered in 16 bits")
     kind = np.float32 if embeddings.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     marked = rows.withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    distinct = marked.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies"))
-    distinct = materialize(distinct)
-    vectors = packed(distinct, kind)
+    distinct = marked.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"))
+    # a number for each embedding, since a vec_id may have several; what is written keeps its numbers
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))
+    vectors = packed(distinct.withColumn("vec_id", F.col("node")), kind)
     described = materialize(describe(vectors, pivots_of(vectors, distinct.count(), kind, most_pivots), kind, nearest))
     found = materialize(compare_lists(described, threshold, kind, shared))
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    counted = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "group")
+    named = materialize(labels.join(distinct.select("node", "least"), "node"))
+    groups = named.groupBy("group").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    hot = groups.filter(F.col("members") > max(1, named.count() // 100)).select("group")  # a hundred at most
+    counted = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("links"))
+    linked = join_with_hot_keys(named.select("node", "group"), groups.select("group", "component"), "group", hot).join(counted, "node")
     # equal vectors link with each other only if their own cosine is at the threshold, which 1 always is
-    per = distinct.join(counted, "vec_id", "left").join(labels, distinct["vec_id"] == labels["node"], "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    per = distinct.join(linked, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     keyed = marked.select("vec_id", F.when(F.col("ok"), F.col("embedding")).alias("embedding"))
     out = keyed.join(per, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

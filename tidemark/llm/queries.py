@@ -23,11 +23,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_report(docs: DataFrame, spec: str) -> DataFrame:
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), spec).select("doc_id", "ids"), spec)
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    done = bpe.encode_and_check(docs.select("doc_id", "text"), spec)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "decoded_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

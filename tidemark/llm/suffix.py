@@ -192,8 +192,11 @@ def meet_by_hash(texts: DataFrame, entries, wide: bool, shared: bool, buckets: i
             low = np.repeat(doc[first], size)
             keep = np.repeat(doc[first] != doc[first + size - 1], size) if shared else doc != low
             h, doc = h[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")
+        order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
+        once = np.ones(len(h), bool)  # rows that are repeated say the same
+        once[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        h, doc = h[once], doc[once]
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, int)
         stop = np.concatenate([first[1:], [len(doc)]]) if len(doc) else first
         return pa.table({"doc_id": doc[first], "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, stop, strict=True)], pa.binary())})
@@ -406,7 +409,7 @@ def repeated(docs: DataFrame, n: int = N, readable: bool = False) -> DataFrame:
     seen = found.select("doc_id", "text_key", "bucket", key, "first", (F.octet_length("snippet") - n + 1).alias("strings"))
     bits = F.when(F.col("doc_id") > F.col("least"), F.expr("shiftleft(1L, strings) - 1")).otherwise(F.col("bits"))
     covers = seen.join(judged, ["bucket", "key"]).select("doc_id", "text_key", F.struct("first", bits.alias("bits")).alias("cover")).filter("cover.bits <> 0")
-    covers = materialize(covers.groupBy("doc_id", "text_key").agg(F.collect_list("cover").alias("covers")))
+    covers = materialize(covers.groupBy("doc_id", "text_key").agg(F.collect_set("cover").alias("covers")))  # a text's own, however often it is repeated
     for step in (shared, found, folded, hot, *spread):
         discard(step)
 
