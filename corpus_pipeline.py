@@ -49,7 +49,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that a smaller doc_id has too are cut out."""
+    """Passages of 50 bytes or more that a smaller doc_id has too are cut out. Rows without a doc_id keep their text; rows of one doc_id
+    don't shorten each other."""
     return suffix.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
@@ -61,10 +62,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and a digest of what they decode to."""
-    spec = vocabulary()
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), spec).drop("text"), spec)
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of each row's text, and a digest of what they decode to; rows with a null or repeated doc_id are rows like others."""
+    done = bpe.encode_and_check(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
