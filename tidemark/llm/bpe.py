@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from tidemark.llm.common import bounded_batches
+
 LATIN = 0x250  #: end of the Latin blocks
 ROWS = 64  #: encoded or decoded at once
 END = "\0"  #: stands for the word end; no byte is written so in byte-level tokens
@@ -188,6 +190,7 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ids_col: the token ids of text_col. spec is the vocabulary file's JSON text, sent to each executor once."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary file: bounded, about 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +205,7 @@ def encode(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "i
 
 def decode(encoded: DataFrame, spec: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds text_col: the tokens of ids_col joined by spaces, as a vocabulary file without a decoder has it. Null ids: empty."""
+    bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(_pieces(spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +221,7 @@ def decode(encoded: DataFrame, spec: str, ids_col: str = "ids", text_col: str =
 def encode_and_check(docs: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """encode() without text_col, and decoded_sha256: the digest of what decode() makes of the ids. One Python step does both, so a task
     has one worker, which holds one vocabulary, and decoded texts stay in it."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

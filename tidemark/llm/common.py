@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.functions.steps import discard, materialize, settled, shared_dir  # noqa: F401
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Texts differ in length, so batches for Python are bounded by bytes: 4 MB where the session has Spark's own 64 MB. A batch is held
+    twice by the JVM and two or three times by the worker of each task."""
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, join_with_hot_keys, materialize, table
+from tidemark.llm.common import bounded_batches, components, join_with_hot_keys, materialize, table
 
 #: a pair at similarity 0.8 shares no band with probability (1 - 0.8**7)**48 = 1e-5; one at 0.25 shares one with 0.003
 BANDS, ROWS = 48, 7
@@ -189,6 +189,7 @@ def _read_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id long, text string)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     made = materialize(sketch(docs, k))
     filled = made.filter("n_shingles > 0 and doc_id is not null")

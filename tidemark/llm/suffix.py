@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, materialize, table
+from tidemark.llm.common import bounded_batches, discard, materialize, table
 
 N, GRAM = 50, 32  #: GRAM long enough that few are shared by chance, however large the table
 CHUNK, BLOCK = 1 << 20, 1 << 15  #: bytes that a task works on at once; places that are hashed at once
@@ -365,6 +365,7 @@ def repeated(docs: DataFrame, n: int = N, readable: bool = False) -> DataFrame:
     of which bytes are gone) and spans array<struct<start, stop>> of what is removed."""
     if not GRAM + 8 <= n <= GRAM + 50:
         raise ValueError(f"n must be from {GRAM + 8} to {GRAM + 50}")
+    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "kept", "spans")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("nothing"))  # further columns travel as one
     docs = docs.select("doc_id", "text", rest.alias("rest"), (F.col("doc_id").isNotNull() & (F.coalesce(F.octet_length("text"), F.lit(0)) >= n)).alias("ok"))
