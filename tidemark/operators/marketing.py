@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import bands, change_percent, ladder, ratio, trend_label
 from tidemark.functions.periods import adjacent, by_period, periods
+from tidemark.functions import partials
 from tidemark.functions.ranks import dense_ranks_of_all
 
 CHANNEL = ["attribution_model", "utm_source", "utm_medium", "utm_campaign"]
@@ -82,17 +83,39 @@ def campaign_performance(attributed: DataFrame, ads: DataFrame) -> DataFrame:
     return out.withColumns({"cpa": ratio("cost", done), "conversion_percent": ratio(done, "clicks", None, 100)})
 
 
+def campaign_days(attributed: DataFrame, ads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Daily partials of orders by campaign and model, with sketches of orders and customers, and of spend by campaign."""
+    named = attributed.filter("utm_campaign is not null").withColumnRenamed("utm_campaign", "campaign_name")
+    orders = partials.daily(named, "order_date", ["campaign_name", "attribution_model"], ["attributed_revenue"], ["order_id", "user_id"])
+    return orders, partials.daily(ads.filter("campaign_name is not null"), "ad_date", ["campaign_name"], ["cost", "impressions", "clicks", "conversions"], [])
+
+
+def campaign_periods_of_days(orders: DataFrame, spend: DataFrame, as_of: date, names: list[str]) -> DataFrame:
+    """campaign_periods() of campaign_days(), with distinct counts by sketches: a row a day is read, not the orders."""
+    per = partials.over_periods(orders, as_of, names, ["campaign_name", "attribution_model"])
+    per = per.select("time_period", "campaign_name", "attribution_model", F.col("count_order_id").alias("period_orders"), F.col("count_user_id").alias("period_customers"), F.col("attributed_revenue").alias("period_revenue"), (F.col("attributed_revenue") / F.col("n")).alias("period_aov"))
+    sums = partials.over_periods(spend, as_of, names, ["campaign_name"]).drop("n")
+    return _with_spend(per, sums.withColumnsRenamed(PERIOD_SPEND), as_of, names)
+
+
 def campaign_periods(attributed: DataFrame, ads: DataFrame, as_of: date, names: list[str], approximate: bool = False) -> DataFrame:
     """Period x campaign x model, full outer with the period's spend: all periods in one scan. Distinct counts are exact unless
-    asked otherwise. Spend of a campaign without orders in the period has a null model."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
+    asked otherwise: then they come from daily sketches. Spend of a campaign without orders in the period has a null model."""
+    if approximate:
+        return campaign_periods_of_days(*campaign_days(attributed, ads), as_of, names)
     held = by_period(attributed.filter("utm_campaign is not null"), "order_date", as_of, names)
     per = held.groupBy("time_period", F.col("utm_campaign").alias("campaign_name"), "attribution_model").agg(
-        count("order_id").alias("period_orders"), count("user_id").alias("period_customers"), F.sum("attributed_revenue").alias("period_revenue"), F.avg("attributed_revenue").alias("period_aov"))
-    spend = by_period(ads.filter("campaign_name is not null"), "ad_date", as_of, names).groupBy("time_period", "campaign_name").agg(
-        F.sum("cost").alias("period_cost"), F.sum("impressions").alias("period_impressions"), F.sum("clicks").alias("period_clicks"), F.sum("conversions").alias("period_tracked_conversions"))
+        F.count_distinct("order_id").alias("period_orders"), F.count_distinct("user_id").alias("period_customers"), F.sum("attributed_revenue").alias("period_revenue"), F.avg("attributed_revenue").alias("period_aov"))
+    spend = by_period(ads.filter("campaign_name is not null"), "ad_date", as_of, names).groupBy("time_period", "campaign_name").agg(*[F.sum(c).alias(k) for c, k in PERIOD_SPEND.items()])
+    return _with_spend(per, spend, as_of, names)
+
+
+PERIOD_SPEND = {"cost": "period_cost", "impressions": "period_impressions", "clicks": "period_clicks", "conversions": "period_tracked_conversions"}
+
+
+def _with_spend(per: DataFrame, spend: DataFrame, as_of: date, names: list[str]) -> DataFrame:
     both = per.join(spend, ["time_period", "campaign_name"], "full_outer").withColumns({"period_roas": ratio("period_revenue", "period_cost"), "period_roi": roi("period_revenue", "period_cost")})
-    return both.join(F.broadcast(periods(ads.sparkSession, as_of, names)), "time_period")  # a handful of rows
+    return both.join(F.broadcast(periods(per.sparkSession, as_of, names)), "time_period")  # a handful of rows
 
 
 def roi_class(x):

@@ -123,6 +123,19 @@ def load_sessions(s: Silver, paths: lake.LakePaths, process_date: date) -> None:
         lake.write(df.withColumns(stamp), paths.at("silver", name), ["session_year", "session_month", "session_day"])
 
 
+def load_campaign_days(s: Silver, paths: lake.LakePaths, process_date: date, days_back: int = 30) -> None:
+    """Writes the daily partials of the days_back days up to process_date, each day a partition; a rerun replaces those days."""
+    attributed = marketing_attribution(s, process_date=process_date, days_back=days_back)["marketing_attribution"]
+    ads = lake.read_range(s.ads, "ad_date", process_date - timedelta(days=days_back), process_date)
+    for name, df in zip(("campaign_order_days", "campaign_spend_days"), marketing.campaign_days(attributed, ads), strict=True):
+        lake.write(df, paths.at("gold", name), ["day"])
+
+
+def campaign_periods_of_lake(spark: SparkSession, paths: lake.LakePaths, as_of: date, names: list[str] = PERIODS) -> DataFrame:
+    """Campaigns by period, put together from the stored days."""
+    return marketing.campaign_periods_of_days(*[spark.read.parquet(paths.at("gold", n)) for n in ("campaign_order_days", "campaign_spend_days")], as_of, names)
+
+
 def load_profiles(s: Silver, paths: lake.LakePaths, as_of: date) -> None:
     """Writes the customers' profiles with the time of their making, by which the quality suite judges how fresh they are."""
     profiles = sessions.enriched_profiles(s.customers, s.orders, s.items, as_of).withColumn("profile_updated_at", F.current_timestamp())
