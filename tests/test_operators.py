@@ -302,3 +302,13 @@ def test_campaign_days_in_the_lake(spark, sf, tmp_path):
         g = got[k]
         assert (g.period_impressions, g.period_clicks) == (w.period_impressions, w.period_clicks) and g.period_revenue == (w.period_revenue and pytest.approx(w.period_revenue)) and g.period_aov == (w.period_aov and pytest.approx(w.period_aov))
         assert abs((g.period_orders or 0) - (w.period_orders or 0)) <= 0.05 * (w.period_orders or 0)
+
+
+def test_clusters_do_not_depend_on_partitions(spark, sf):
+    totals = segments.customer_totals(gold.Silver.of_tables(spark, sf).orders, date(2001, 7, 15))
+    before = steps_left(spark)
+    got = [sorted(map(tuple, segments.kmeans_clusters(totals.repartition(n)).select("customer_id", "cluster", "cluster_size", "cluster_label").collect())) for n in (1, 4, 13)]
+    assert got[0] == got[1] == got[2] and len({r[1] for r in got[0]}) == 5 and steps_left(spark) == before
+    few = segments.kmeans_clusters(totals.limit(2))
+    assert sorted(r.cluster for r in few.collect()) == [0, 1]
+    assert segments.kmeans_clusters(totals.limit(0)).count() == 0

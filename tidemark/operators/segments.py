@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ladder, mapped
 from tidemark.functions.ranks import ntiles_of_all
+from tidemark.functions.steps import discard, materialize
 
 # fixed values: segments of the reports
 AFFINITY = {"soin_visage": "Facial Care Enthusiast", "soin_corps": "Body Care Focused", "soin_cheveux": "Hair Care Passionate", "maquillage": "Makeup Aficionado", "parfum": "Fragrance Collector"}
@@ -60,20 +63,52 @@ def lifecycle_by_threshold(orders: DataFrame, as_of: date) -> DataFrame:
     return _stages(customer_totals(orders, as_of)).withColumn("customer_value_segment", value)
 
 
-def kmeans_clusters(totals: DataFrame, features: list[str] | None = None, k: int = 5, seed: int = 1) -> DataFrame:
-    """Clusters of standardised features (missing ones are dropped, nulls are 0) with a label from the cluster's means."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    used = [f for f in features or ["recency_days", "frequency", "monetary", "avg_order_value", "days_since_first"] if f in totals.columns]
-    filled = totals.na.fill(0, used)
-    steps = [VectorAssembler(inputCols=used, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True), KMeans(featuresCol="_features", predictionCol="cluster", k=k, seed=seed)]
-    done = Pipeline(stages=steps).fit(filled).transform(filled).drop("_raw", "_features")
-    means = done.groupBy("cluster").agg(F.count("*").alias("cluster_size"), *[F.avg(f).alias(f"mean_{f}") for f in used])
+UNITS, GRID = 100, 1000  #: steps of a feature that are told apart, and of a standard deviation
+FEATURES = ("recency_days", "frequency", "monetary", "avg_order_value", "days_since_first")
+
+
+def kmeans_clusters(totals: DataFrame, features: list[str] | None = None, k: int = 5, rounds: int = 10, by_id: str = "customer_id") -> DataFrame:
+    """Clusters of standardised features (missing ones are dropped, nulls are 0) with a label from the cluster's means.
+
+    Everything is summed in whole numbers: features in hundredths, standardised ones in thousandths, so clusters don't depend on how
+    rows are partitioned. The first centre is the row whose id has the smallest hash, each further one the row farthest from all
+    before (of equal ones, by hash); then each round moves the centres to the means of their rows, `rounds` times or until they stay.
+    A centre without rows stays where it is. Each step is one aggregation, of which the driver gets k rows at most.
+    """
+    used = [f for f in features or FEATURES if f in totals.columns]
+    whole = totals.select(by_id, *[F.round(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * UNITS).cast("long").alias(f) for f in used])
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    moments = whole.agg(F.count("*").alias("n"), *[F.sum(big(f)).alias(f"s_{f}") for f in used], *[F.sum(big(f) * F.col(f)).alias(f"q_{f}") for f in used]).first()
+    n, scaled = moments["n"], {}
+    for f in used:
+        total, squares = int(moments[f"s_{f}"] or 0), int(moments[f"q_{f}"] or 0)
+        deviation = ((n * squares - total * total) / (n * n)) ** 0.5 if n else 0.0
+        scaled[f] = F.floor((F.col(f) * n - F.lit(total)).cast("double") / F.lit(n * deviation) * GRID + 0.5).cast("long") if deviation else F.lit(0).cast("long")
+    rows = materialize(whole.select(by_id, F.md5(F.col(by_id).cast("string").cast("binary")).alias("hash"), *[scaled[f].alias(f) for f in used]))
+    apart = lambda centre: reduce(add, [(F.col(f) - c) * (F.col(f) - c) for f, c in zip(used, centre, strict=True)])
+    nearest = lambda centres: F.array_min(F.array(*[F.struct(apart(c).alias("d"), F.lit(j).alias("cluster")) for j, c in enumerate(centres)]))
+
+    point, centres = F.struct(*used), []
+    for j in range(min(k, n)):
+        order = F.struct((-nearest(centres)["d"] if j else F.lit(0).cast("long")).alias("d"), F.col("hash"), F.col(by_id))
+        centres.append(tuple(rows.agg(F.min_by(point, order)).first()[0]))
+    for _ in range(rounds if centres else 0):
+        sums = rows.groupBy(nearest(centres)["cluster"].alias("cluster")).agg(*[F.floor(F.sum(f).cast("decimal(38,0)") / F.count("*")).cast("long") for f in used]).collect()  # k rows
+        moved = [next((tuple(r)[1:] for r in sums if r[0] == j), c) for j, c in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    assigned = (rows.select(by_id, nearest(centres)["cluster"].alias("cluster")) if centres else rows.select(by_id, F.lit(0).alias("cluster"))).join(whole, by_id)
+    mean = lambda f: (F.sum(f).cast("double") / F.count("*") / UNITS).alias(f"mean_{f}")
+    means = assigned.groupBy("cluster").agg(F.count("*").alias("cluster_size"), *[mean(f) for f in used])
     r, f, m = F.col("mean_recency_days"), F.col("mean_frequency"), F.col("mean_monetary")
     label = ladder([((r < 30) & (f > 5) & (m > 100_000), "High Value Active"), ((r < 30) & (f > 3), "Active Regular"), ((r > 90) & (f > 3), "Lapsed High Potential"), (f <= 2, "New or Occasional")], "Medium Value")
-    return done.join(F.broadcast(means.withColumn("cluster_label", label)), "cluster")  # k rows
+    found = means.withColumn("cluster_label", label).collect()  # k rows
+    discard(rows)
+    schema = "cluster int, cluster_size long, " + ", ".join(f"mean_{f} double" for f in used) + ", cluster_label string"
+    at = nearest(centres)["cluster"] if centres else F.lit(0)
+    placed = totals.join(whole.withColumns(scaled).select(by_id, at.alias("cluster")), by_id)
+    return placed.join(F.broadcast(totals.sparkSession.createDataFrame([tuple(x) for x in found], schema)), "cluster")
 
 
 def combine(rfm_segments: DataFrame | None, affinity: DataFrame | None, stages: DataFrame | None, customers: DataFrame) -> DataFrame:

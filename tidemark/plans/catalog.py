@@ -312,9 +312,32 @@ def _(s):
     return segments.lifecycle_by_threshold(s.orders, ORDERS_AS_OF).select("customer_id", "lifecycle_stage", "customer_value_segment")
 
 
-@query("gc5_kmeans")
-def _(s):
-    return segments.kmeans_clusters(segments.customer_totals(s.orders, ORDERS_AS_OF)).select("customer_id", "cluster", "cluster_size", "cluster_label")
+def kmeans_sql(k: int = 5, rounds: int = 10) -> str:
+    """CTEs up to `clustered` (customer_id, cluster): whole numbers all the way, a step a CTE."""
+    fs = ["a", "b", "c", "d"]
+    total = ", ".join(f"sum({f}::HUGEINT) AS s{f}, sqrt((count(*)::HUGEINT * sum({f}::HUGEINT * {f}) - sum({f}::HUGEINT) * sum({f}::HUGEINT))::DOUBLE / (count(*)::HUGEINT * count(*))::DOUBLE) AS d{f}" for f in fs)
+    z = ", ".join(f"floor(({f}::HUGEINT * n - s{f})::DOUBLE / (n * d{f}) * 1000 + 0.5)::BIGINT AS {f}" for f in fs)
+    gap = " + ".join(f"(z.{f} - x.{f}) * (z.{f} - x.{f})" for f in fs)
+    out = [TOT, "w AS (SELECT customer_id, recency_days * 100 AS a, frequency * 100 AS b, round(monetary * 100)::BIGINT AS c, first_days * 100 AS d FROM t)", f"mo AS (SELECT count(*) AS n, {total} FROM w)",
+           f"z AS MATERIALIZED (SELECT customer_id, md5(customer_id::VARCHAR) AS h, {z} FROM w, mo)", f"p0 AS MATERIALIZED (SELECT 0 AS j, {', '.join(fs)} FROM z ORDER BY h, customer_id LIMIT 1)"]
+    for j in range(1, k):
+        out.append(f"p{j} AS MATERIALIZED (SELECT * FROM p{j - 1} UNION ALL SELECT * FROM (SELECT {j}, {', '.join('z.' + f for f in fs)} FROM z, p{j - 1} x GROUP BY z.customer_id, z.h, {', '.join('z.' + f for f in fs)} ORDER BY min({gap}) DESC, z.h, z.customer_id LIMIT 1))")
+    near = lambda centres: f"SELECT z.customer_id, {', '.join(f'any_value(z.{f}) AS {f}' for f in fs)}, arg_min(x.j, ({gap}) * {k} + x.j) AS j FROM z, {centres} x GROUP BY z.customer_id"
+    out.append(f"c0 AS MATERIALIZED (SELECT * FROM p{k - 1})")
+    for i in range(1, rounds + 1):
+        # floor of the mean, also of negative sums
+        mean = ", ".join(f"coalesce(m.{f}, c.{f}) AS {f}" for f in fs)
+        floors = ", ".join(f"((sum({f}) - ((sum({f}) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS {f}" for f in fs)
+        out.append(f"c{i} AS MATERIALIZED (SELECT c.j, {mean} FROM c{i - 1} c LEFT JOIN (SELECT j, {floors} FROM ({near(f'c{i - 1}')}) GROUP BY j) m USING (j))")
+    return ", ".join([*out, f"clustered AS MATERIALIZED ({near(f'c{rounds}')})"])
+
+
+@query("gc5_kmeans", "ord", f"""WITH {kmeans_sql()}, stats AS (SELECT j, count(*) AS n, avg(recency_days) AS r, avg(frequency) AS f, avg(monetary) AS m, avg(first_days) AS fd FROM clustered JOIN t USING (customer_id) GROUP BY j)
+MAIN SELECT customer_id, recency_days, frequency, monetary, first_days AS days_since_first, j AS cluster, n AS cluster_size, r AS mean_recency_days, f AS mean_frequency, m AS mean_monetary, fd AS mean_days_since_first,
+  CASE WHEN r < 30 AND f > 5 AND m > 100000 THEN 'High Value Active' WHEN r < 30 AND f > 3 THEN 'Active Regular' WHEN r > 90 AND f > 3 THEN 'Lapsed High Potential' WHEN f <= 2 THEN 'New or Occasional' ELSE 'Medium Value' END AS cluster_label
+FROM clustered JOIN t USING (customer_id) JOIN stats USING (j)""", "monetary mean_recency_days mean_frequency mean_monetary mean_days_since_first", 2)
+def _(s):
+    return segments.kmeans_clusters(segments.customer_totals(s.orders, ORDERS_AS_OF))
 
 
 AFFINITY = "CASE WHEN primary_category IS NULL THEN NULL ELSE coalesce(map {'soin_visage': 'Facial Care Enthusiast', 'soin_corps': 'Body Care Focused', 'soin_cheveux': 'Hair Care Passionate', 'maquillage': 'Makeup Aficionado', 'parfum': 'Fragrance Collector'}[primary_category], 'Mixed Category Shopper') END"
