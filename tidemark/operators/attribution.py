@@ -30,32 +30,6 @@ def journeys(sessions: DataFrame, orders: DataFrame, lookback_days: int = 30) ->
     )
 
 
-def _credited(rows: DataFrame, model: str, weight) -> DataFrame:
-    return rows.select(
-        "order_id", "user_id", "order_date", "order_value", "touchpoint_count", *[F.col(f"t.{c}").alias(c) for c in ("session_id", *TOUCH, "days_before_purchase")],
-        F.lit(model).alias("attribution_model"), weight.alias("touchpoint_weight"), (F.col("order_value") * weight).alias("attributed_revenue"),
-    )
-
-
-def first_touch(j: DataFrame) -> DataFrame:
-    return _credited(j.withColumn("t", F.get("touchpoints", 0)), "first_touch", F.lit(1.0))
-
-
-def last_touch(j: DataFrame) -> DataFrame:
-    return _credited(j.withColumn("t", F.element_at("touchpoints", -1)), "last_touch", F.lit(1.0))
-
-
-def linear(j: DataFrame) -> DataFrame:
-    return _credited(j.withColumn("t", F.explode("touchpoints")), "linear", 1 / F.col("touchpoint_count"))
-
-
-def time_decay(j: DataFrame) -> DataFrame:
-    """Weights within an order sum to 1; the sum is taken inside the row, without a shuffle."""
-    total = F.aggregate("touchpoints", F.lit(0.0), lambda acc, t: acc + F.pow(F.lit(DECAY), t["days_before_purchase"]))
-    rows = j.withColumn("total", total).withColumn("t", F.explode("touchpoints"))
-    return _credited(rows, "time_decay", F.pow(F.lit(DECAY), F.col("t.days_before_purchase")) / F.col("total"))
-
-
 def attribution_models(j: DataFrame) -> DataFrame:
     """All four models in one pass over the journeys: each touchpoint gets the credits that are not null."""
     total = F.aggregate("touchpoints", F.lit(0.0), lambda acc, t: acc + F.pow(F.lit(DECAY), t["days_before_purchase"]))
