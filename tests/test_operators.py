@@ -83,11 +83,13 @@ def steps_left(spark):
     return len(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/step-*"))
 
 
-@pytest.mark.parametrize("rows", [0, 1, 3, 23, 240])
-def test_ntiles_match_window(spark, rows):
+@pytest.mark.parametrize(("rows", "local"), [(0, True), (1, True), (3, True), (23, True), (240, True), (0, False), (23, False), (240, False)])
+def test_ntiles_match_window(spark, rows, local, monkeypatch):
     """Three columns at once, with ties over the edges, nulls and a column of one value; nothing is left in the shared folder."""
     from pyspark.sql import Window
 
+    if not local:
+        monkeypatch.setattr(ranks, "LOCAL", 0)
     data = [(f"c{i * 37 % 240:03}", (i * 7) % 10 if i % 9 else None, float(i // 3) if i % 4 else None, 5) for i in range(rows)]
     df = spark.createDataFrame(data, "customer_id string, x long, y double, z int")
     before = steps_left(spark)

@@ -1,23 +1,27 @@
 """Ranks and tiles over whole tables, without sorting a table in one task or writing it anew.
 
 Rows are counted by value first. These histograms are dealt to ranges of their order and written to the shared folder, so that every
-later step sees the same ranges; a value's place is its place within the range plus what the ranges before it add up to. Tiles need
+later step sees the same ranges; a value's place is its place within the range plus what the ranges before it add up to. Histograms of at
+most LOCAL values need no ranges. Tiles need
 no more than the values at their edges, which become part of the plan; where an edge falls among equal values, a second histogram, of
 the ids of those rows alone, says at which id. Dense ranks are joined back by value.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import reduce
+from itertools import accumulate, groupby
 from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.steps import discard, materialize
 
-LOCAL = 20_000  #: most ranks that become part of the plan; more stay in the shared folder
+LOCAL = 20_000  #: most values whose places are found on the driver, and most ranks that become part of the plan
 SENT = 500_000  #: most ranks that are broadcast
 
 
@@ -37,11 +41,33 @@ def _ranges(histogram: DataFrame, keys: list[Column]) -> DataFrame:
     return materialize(histogram.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
 
 
+def _if_few(df: DataFrame, keys: list[Column]) -> list | None:
+    """The rows of df in order, if they are at most LOCAL."""
+    first = df.orderBy(*keys).limit(LOCAL + 1).collect()  # bounded by LOCAL
+    return first if len(first) <= LOCAL else None
+
+
+def _at_few(histogram: list, wanted) -> Iterable[dict]:
+    """_at() of a histogram that is here, in order."""
+    for which, rows in groupby(histogram, lambda r: r["which"]):
+        rows = list(rows)
+        ends = list(accumulate(r["n"] for r in rows))
+        for place in wanted(which, ends[-1]):
+            k = bisect_left(ends, place)
+            yield rows[k].asDict() | {"place": place, "upto": ends[k]}
+
+
 def _at(rows: DataFrame, keys: list[Column], wanted) -> list:
     """Of rows with a column `which`, those at certain places of the order of each `which`: Rows with place, upto (rows to the last equal
     one) and n (equal ones). wanted(which, rows in all): the places, counted from 1."""
     columns = [c for c in rows.columns if c != "which"]
-    held = _ranges(rows.groupBy("which", *columns).agg(F.count("*").alias("n")), [F.col("which"), *keys])
+    histogram = materialize(rows.groupBy("which", *columns).agg(F.count("*").alias("n")))
+    few = _if_few(histogram, [F.col("which"), *keys])
+    if few is not None:
+        discard(histogram)
+        return list(_at_few(few, wanted))
+    held = _ranges(histogram, [F.col("which"), *keys])
+    discard(histogram)
     sums = held.groupBy("which", "_range").agg(F.sum("n").alias("_n"))  # a row for each range
     before = sums.select("which", "_range", (F.sum("_n").over(Window.partitionBy("which").orderBy("_range")) - F.col("_n")).alias("_before"))
     totals = {r[0]: r[1] for r in sums.groupBy("which").agg(F.sum("_n")).collect()}
@@ -101,20 +127,29 @@ def dense_ranks_of_all(df: DataFrame, ranks: Iterable[tuple[list[str], str, str]
     by_all = [f"_by_{c}" for c in dict.fromkeys(c for by, _ in columns for c in by)]
     values = [f"_value_{k}" for k in range(len(ranks))]
     keys = [F.col("which"), *map(F.col, by_all), *[F.desc_nulls_last(v) for v in values]]
-    held = _ranges(_exploded(df, columns).distinct(), keys)
-    group = ["which", *by_all]
+    distinct, group = materialize(_exploded(df, columns).distinct()), ["which", *by_all]
+    few = _if_few(distinct, keys)
+    if few is not None:
+        ranked = [(*r, k) for _, rows in groupby(few, lambda r: [r[c] for c in group]) for k, r in enumerate(rows, 1)]
+        placed = df.sparkSession.createDataFrame(ranked, T.StructType([*distinct.schema.fields, T.StructField("_rank", T.IntegerType())]))
+        discard(distinct)
+        return _ranked(df, ranks, placed, True)
+    held = _ranges(distinct, keys)
+    discard(distinct)
     sums = held.groupBy("_range", *group).agg(F.count("*").alias("_n"))  # a row for each range and group in it
     before = sums.select("_range", *group, (F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_range", *group).orderBy(*[F.desc_nulls_last(v) for v in values]))
-    same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
-    placed = held.withColumn("_number", number).alias("h").join(before.alias("b"), same("h", "b", ["_range", *group])).select("h.*", (F.col("_number") + F.col("_before")).cast("int").alias("_rank")).drop("_range", "_number")
-    n = held.count()
-    if n <= LOCAL:
-        placed, whole = df.sparkSession.createDataFrame(placed.collect(), placed.schema), held  # bounded by LOCAL
-        discard(whole)
-    out = df
+    placed = held.withColumn("_number", number).alias("h").join(before.alias("b"), _same("h", "b", ["_range", *group])).select("h.*", (F.col("_number") + F.col("_before")).cast("int").alias("_rank")).drop("_range", "_number")
+    return _ranked(df, ranks, placed, held.count() <= SENT)
+
+
+def _same(a: str, b: str, names: list[str]) -> Column:
+    return reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+
+
+def _ranked(df: DataFrame, ranks: list[tuple[list[str], str, str]], placed: DataFrame, send: bool) -> DataFrame:
+    """df joined with the ranks of its values."""
     for k, (by, value, alias) in enumerate(ranks):
         mine = placed.filter(F.col("which") == k).select(*[F.col(f"_by_{c}").alias(c) for c in by], F.col(f"_value_{k}").alias(value), F.col("_rank").alias(alias))
-        mine = F.broadcast(mine) if n <= SENT else mine
-        out = out.alias("o").join(mine.alias("r"), same("o", "r", [*by, value]), "left").select("o.*", f"r.{alias}")
-    return out
+        df = df.alias("o").join((F.broadcast(mine) if send else mine).alias("r"), _same("o", "r", [*by, value]), "left").select("o.*", f"r.{alias}")
+    return df
