@@ -225,3 +225,22 @@ def test_tokens_in_one_step(spark, docs):
     assert both[0].__fields__ == ["doc_id", "lang", "source", "value", "ids", "decoded_sha256"]
     assert sorted((r.doc_id, list(r.ids), r.decoded_sha256) for r in both if r.doc_id is not None) == sorted((r.doc_id, list(r.ids), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in apart if r.doc_id is not None)
     assert len(both) == len(apart) == docs.count()
+
+
+def test_embeddings_with_few_pivots(spark):
+    """A cap on pivots that bites: lists grow longer, and links are still found."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(4000, 48))
+    x[3000:] = x[0] + 0.3 * x[3000:]  # a dense group
+    z = x[:500] / np.linalg.norm(x[:500], axis=1, keepdims=True)
+    y = rng.normal(size=z.shape)
+    y -= (y * z).sum(1, keepdims=True) * z
+    x[500:1000] = 0.902 * z + np.sqrt(1 - 0.902**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in embedding.near_duplicates(df, most_pivots=24).collect()}
+    assert all(found[i] <= n for i, n in enumerate(links))
+    assert sum(found[i] for i in range(1000)) >= 0.99 * links[:1000].sum() and sum(found.values()) >= 0.99 * links.sum()
+    with pytest.raises(ValueError, match="16 bits"):
+        embedding.near_duplicates(df, most_pivots=40_000)
