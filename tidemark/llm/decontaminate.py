@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lower_ascii, materialize, table
 
-SENT, SENT_HASHES = 200_000, 5_000_000  #: most windows in the plan, and most whose hashes are broadcast (40 MB)
+SENT, SENT_HASHES = 200_000, 1_000_000  #: most windows in the plan, and most whose hashes are broadcast (64 MB, measured; 96 MB with the size as a second key)
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PIECES = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -59,9 +59,9 @@ def marks(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, max_set:
         found = F.expr(places(lambda size, at, hashes: f"transform(filter({at}, i -> size(w) >= {size} and xxhash64(slice(w, i, {size})) in ({', '.join(map(str, hashes))})), i -> struct(i - 1 as at, {size} as size, {window.format(size)}))"))
     else:
         each = F.expr(places(lambda size, at, _: f"transform(filter({at}, i -> size(w) >= {size}), i -> struct(i as at, {size} as size, xxhash64(slice(w, i, {size})) as hash))"))
-        known = windows.select("hash", "size").distinct()
+        known = windows.select("hash").distinct()  # one long key, which Spark packs; a hit of another size falls at the check of its words
         known = F.broadcast(known) if known.limit(max_hashes + 1).count() <= max_hashes else known
-        hit = base.select("row_no", F.explode(each).alias("x")).select("row_no", "x.*").join(known, ["hash", "size"], "left_semi")
+        hit = base.select("row_no", F.explode(each).alias("x")).select("row_no", "x.*").join(known, "hash", "left_semi")
         hit = hit.groupBy("row_no").agg(F.collect_list(F.struct("at", "size")).alias("ats"))  # at most n windows for each word of a row
         base = base.join(hit, "row_no", "left")
         found = F.expr("transform(ats, x -> struct(x.at - 1 as at, x.size as size, array_join(slice(w, x.at, x.size), ' ') as window))")
