@@ -70,6 +70,28 @@ def test_journeys_bounds_and_weights(spark):
     assert abs(got["time_decay", "near"] + got["time_decay", "limit"] - 100) < 1e-9 and got["time_decay", "near"] > 99
 
 
+def test_journeys_of_a_bot_and_of_random_visitors(spark):
+    # a bot: 6 sessions an hour over 60 days and 300 orders; pairs would be over a million rows
+    at = lambda minutes: F.timestamp_seconds(F.lit(1735689600) + minutes * 60)
+    bot = spark.range(8640).select(F.concat(F.lit("b"), "id").alias("session_id"), F.lit(1).cast("long").alias("user_id"), at(F.col("id") * 10).alias("session_start"))
+    idle = spark.range(5000).select(F.concat(F.lit("i"), "id").alias("session_id"), F.lit(2).cast("long").alias("user_id"), at(F.col("id")).alias("session_start"))  # a bot that orders nothing
+    other = spark.range(3000).select(F.concat(F.lit("o"), "id").alias("session_id"), (F.pmod(F.xxhash64("id"), F.lit(200)) + 10).alias("user_id"), at(F.pmod(F.xxhash64(F.col("id") + 7), F.lit(200_000))).alias("session_start"))
+    s = bot.unionByName(idle).unionByName(other).select("*", F.lit("google").alias("utm_source"), *[F.lit(None).cast("string").alias(c) for c in ("utm_medium", "utm_campaign", "campaign_id")])
+    o = spark.range(1000).select(F.col("id").alias("order_id"), F.when(F.col("id") < 300, 1).otherwise(F.pmod(F.xxhash64(F.col("id") + 9), F.lit(210)) + 5).alias("customer_id"), at(F.pmod(F.xxhash64(F.col("id") + 3), F.lit(200_000))).alias("order_date"), F.lit(1.0).alias("final_total"))
+    by_user: dict = {}
+    for x in s.collect():
+        by_user.setdefault(x.user_id, []).append((x.session_start, x.session_id))
+    want = {}
+    for x in o.collect():
+        near = sorted(t for t in by_user.get(x.customer_id, []) if t[0] <= x.order_date and 0 <= (x.order_date.date() - t[0].date()).days <= 30)
+        if near:
+            days = [(x.order_date.date() - t[0].date()).days for t in near]
+            want[x.order_id] = (len(near), near[0][0], near[-1][0], min(days), max(days), hash(tuple(t[1] for t in near)))
+    j = attribution.journeys(s, o, 30).select("order_id", "touchpoint_count", "first_touch", "last_touch", "min_days", "max_days", F.col("touchpoints.session_id").alias("ids"))
+    got = {x.order_id: (*x[1:6], hash(tuple(x.ids))) for x in j.collect()}
+    assert got == want and sum(x[0] for x in want.values()) > 500_000
+
+
 def test_preference_tie_and_profiles_without_orders(spark):
     o = spark.createDataFrame([(1, 5, date(2025, 1, 1), 10.0, "card", True, None)], "order_id long, customer_id long, order_date date, final_total double, payment_method string, has_promotion boolean, utm_source string")
     i = spark.createDataFrame([(1, "b", 4.0), (1, "a", 4.0)], "order_id long, category string, item_total double")

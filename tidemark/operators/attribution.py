@@ -13,20 +13,28 @@ DECAY = 0.7
 
 def journeys(sessions: DataFrame, orders: DataFrame, lookback_days: int = 30) -> DataFrame:
     """One row for each order with touchpoints: the visitor's marketed sessions from `lookback_days` before the order until it, by
-    time. A session counts once, whatever its sources."""
+    time. A session counts once, whatever its sources; `orders` has a row for each order.
+
+    Sessions and orders never meet pair by pair as rows: a visitor's sessions of a stretch are gathered once, in order, and each
+    order keeps those of its own list that it looks back to. A list spans twice the look-back at most and is made only where an order
+    needs it, so a visitor with years of sessions, or a bot that orders nothing, is never one row."""
     marketed = F.coalesce(*TOUCH[:3]).isNotNull()
     s = latest(sessions.filter(marketed & F.col("user_id").isNotNull()), ["session_id"], F.asc("session_start")).select("session_id", "user_id", "session_start", *TOUCH)
     o = orders.select("order_id", F.col("customer_id").alias("user_id"), "order_date", F.col("final_total").alias("order_value"))
-    # visitors meet their orders by stretches of lookback_days + 1 days: an order looks into its own and the one before it
+    # a session is needed by orders of its own stretch of lookback_days + 1 days and of the next
     stretch = lambda day: F.floor(F.unix_date(F.to_date(day)) / (lookback_days + 1))
-    s = s.withColumn("stretch", stretch("session_start"))
-    o = o.withColumn("stretch", F.explode(F.array(stretch("order_date"), stretch("order_date") - 1)))
-    within = F.date_diff("order_date", "session_start").between(0, lookback_days) & (F.col("session_start") <= F.col("order_date"))
-    pairs = o.join(s, ["user_id", "stretch"]).filter(within).withColumn("days_before_purchase", F.date_diff("order_date", "session_start"))
-    point = F.struct("session_start", "session_id", "days_before_purchase", *TOUCH)
-    return pairs.groupBy("order_id", "user_id", "order_date", "order_value").agg(
-        F.count("*").alias("touchpoint_count"), F.min("session_start").alias("first_touch"), F.max("session_start").alias("last_touch"),
-        F.min("days_before_purchase").alias("min_days"), F.max("days_before_purchase").alias("max_days"), F.array_sort(F.collect_list(point)).alias("touchpoints"),
+    s = s.withColumn("stretch", F.explode(F.array(stretch("session_start"), stretch("session_start") + 1)))
+    o = o.withColumn("stretch", stretch("order_date"))
+    needed = s.join(o.select("user_id", "stretch").distinct(), ["user_id", "stretch"], "left_semi")
+    lists = needed.groupBy("user_id", "stretch").agg(F.sort_array(F.collect_list(F.struct("session_start", "session_id", *TOUCH))).alias("near"))
+    days = lambda p: F.date_diff(F.col("order_date"), p["session_start"])
+    within = F.filter("near", lambda p: days(p).between(0, lookback_days) & (p["session_start"] <= F.col("order_date")))
+    point = lambda p: F.struct(p["session_start"].alias("session_start"), p["session_id"].alias("session_id"), days(p).alias("days_before_purchase"), *[p[c].alias(c) for c in TOUCH])
+    met = o.join(lists, ["user_id", "stretch"]).withColumn("touchpoints", F.transform(within, point)).filter(F.size("touchpoints") > 0)
+    first, last = F.element_at("touchpoints", 1), F.element_at("touchpoints", -1)  # by time, so also the most and fewest days before
+    return met.select(
+        "order_id", "user_id", "order_date", "order_value", F.size("touchpoints").cast("long").alias("touchpoint_count"), first["session_start"].alias("first_touch"), last["session_start"].alias("last_touch"),
+        last["days_before_purchase"].alias("min_days"), first["days_before_purchase"].alias("max_days"), "touchpoints",
     )
 
 
