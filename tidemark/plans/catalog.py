@@ -47,9 +47,9 @@ STAGE = "CASE WHEN total_orders = 0 THEN 'Prospect' WHEN total_orders = 1 THEN '
 VALUE = "CASE WHEN lifetime_value > 150000 THEN 'Premium' WHEN lifetime_value >= 50000 THEN 'High' WHEN lifetime_value >= 10000 THEN 'Medium' WHEN lifetime_value > 0 THEN 'Low' ELSE 'No purchase' END"
 
 
-@query("sv1_clean_customers", "cust", f"SELECT customer_id, email, coalesce(date_diff('day', registration_date, DATE '{O}'), 0) AS customer_tenure_days, {STAGE} AS lifecycle_stage, {VALUE} AS value_segment, lifetime_value FROM cust", "lifetime_value", 2)
+@query("sv1_clean_customers", "cust", f"SELECT *, year(registration_date)::INT AS year, month(registration_date)::INT AS month, day(registration_date)::INT AS day, coalesce(date_diff('day', registration_date, DATE '{O}'), 0) AS customer_tenure_days, {STAGE} AS lifecycle_stage, {VALUE} AS value_segment FROM cust", "lifetime_value", 2)
 def _(s):
-    return cleaning.clean_customers(s.customers, ORDERS_AS_OF).select("customer_id", "email", "customer_tenure_days", "lifecycle_stage", "value_segment", "lifetime_value")
+    return cleaning.clean_customers(s.customers, ORDERS_AS_OF)
 
 
 def raw_query(name: str, tables: str, sql: str, doubles: str = "", digits: int = 3):
@@ -109,10 +109,10 @@ def _(s):
     return s.logs.groupBy(cleaning.event_category(F.col("event_type")).alias("event_category"), "date").agg(F.count("*").alias("events"))
 
 
-@query("sv7_clean_all_platforms", "ads", """SELECT ad_date, platform, campaign_id, CASE WHEN cost > 0 THEN conversion_value / cost ELSE 0 END AS roas, CASE WHEN conversions > 0 THEN cost / conversions END AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, round((clicks / impressions)::DECIMAL(28, 9), 4)::DECIMAL(10, 4) AS ctr,
-  CASE WHEN platform IN ('Facebook', 'Instagram', 'TikTok', 'WhatsApp') THEN 'Social Media' WHEN platform = 'Google' THEN 'Search' WHEN platform LIKE 'Influencer%' THEN 'Influencer' ELSE 'Other' END AS platform_category FROM ads""", "roas cpa cpc", 2)
+@query("sv7_clean_all_platforms", "ads", """SELECT *, year(ad_date)::INT AS ad_year, month(ad_date)::INT AS ad_month, CASE WHEN cost > 0 THEN conversion_value / cost ELSE 0 END AS roas, CASE WHEN conversions > 0 THEN cost / conversions END AS cpa, CASE WHEN clicks > 0 THEN cost / clicks END AS cpc, round((clicks / impressions)::DECIMAL(28, 9), 4)::DECIMAL(10, 4) AS ctr,
+  CASE WHEN platform IN ('Facebook', 'Instagram', 'TikTok', 'WhatsApp') THEN 'Social Media' WHEN platform = 'Google' THEN 'Search' WHEN platform LIKE 'Influencer%' THEN 'Influencer' ELSE 'Other' END AS platform_category FROM ads""", "cost conversion_value roas cpa cpc", 2)
 def _(s):
-    return cleaning.clean_all_platforms(s.ads).select("ad_date", "platform", "campaign_id", "roas", "cpa", "cpc", F.col("ctr").cast("string").alias("ctr"), "platform_category").withColumn("ctr", F.col("ctr").cast("decimal(10,4)"))
+    return cleaning.clean_all_platforms(s.ads).withColumn("ctr", F.col("ctr").cast("string").cast("decimal(10,4)"))
 
 
 @query("sv8_cross_platform", "ads", """SELECT platform, sum(impressions)::BIGINT AS total_impressions, sum(clicks)::BIGINT AS total_clicks, sum(cost) AS total_cost, sum(conversions)::BIGINT AS total_conversions, sum(conversion_value) AS total_conversion_value,
@@ -128,14 +128,18 @@ def _(s):
     return s.web.select("session_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "user_id", "utm_source", "utm_medium", "utm_campaign", "campaign_id", "event_count", "page_view_count", "product_view_count", "add_to_cart_count", "checkout_count", "purchase_count", F.array_join("event_types", ",").alias("event_types"), "session_duration_seconds", "is_bounce", "conversion_session", "session_source")
 
 
-@query("sv10_customer_sessions", "sess cust", "SELECT session_id, s.user_id, lower(trim(user_email)) AS normalized_email, customer_id, lifetime_value, customer_id IS NOT NULL AS customer_match FROM sess s LEFT JOIN cust ON lower(trim(email)) = lower(trim(user_email)) WHERE is_authenticated AND s.user_id IS NOT NULL", "lifetime_value", 2)
+@query("sv10_customer_sessions", "sess cust", "SELECT s.*, lower(trim(user_email)) AS normalized_email, customer_id, first_name AS crm_first_name, email AS crm_email, total_orders, lifetime_value, customer_id IS NOT NULL AS customer_match, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS session_source, event_count = 1 AS is_bounce, purchase_count > 0 AS conversion_session FROM sess s LEFT JOIN cust ON lower(trim(email)) = lower(trim(user_email)) WHERE is_authenticated AND s.user_id IS NOT NULL", "lifetime_value", 2)
 def _(s):
-    return sessions.customer_sessions(s.web, s.customers).select("session_id", "user_id", "normalized_email", "customer_id", "lifetime_value", "customer_match")
+    joined = sessions.customer_sessions(s.web, s.customers).withColumns({"session_start": F.col("session_start").cast("timestamp_ntz"), "session_end": F.col("session_end").cast("timestamp_ntz"), "event_types": F.array_join("event_types", ",")})
+    return joined.drop("pages_viewed", "date", "session_duration_seconds", "session_year", "session_month", "session_day")  # sv9 has the duration
 
 
-@query("sv12_order_metrics", "ord", f"""SELECT customer_id, count(*) AS order_count, sum(final_total) AS total_spent, avg(final_total) AS avg_order_value, min(order_date) AS first_order_date, max(order_date) AS last_order_date, count(*) FILTER (has_promotion) AS promo_orders,
+ORDER_METRICS = f"""SELECT customer_id, count(*) AS order_count, sum(final_total) AS total_spent, avg(final_total) AS avg_order_value, min(order_date) AS first_order_date, max(order_date) AS last_order_date, count(*) FILTER (has_promotion) AS promo_orders,
   count(utm_source) AS attributed_orders, string_agg(DISTINCT payment_method, ',' ORDER BY payment_method) AS payment_methods, date_diff('day', min(order_date), DATE '{O}') AS days_since_first_order, date_diff('day', max(order_date), DATE '{O}') AS days_since_last_order,
-  count(*) FILTER (has_promotion) / count(*) AS promo_sensitivity, CASE WHEN count(*) > 1 THEN date_diff('day', min(order_date), DATE '{O}') / (count(*) - 1) END AS avg_order_frequency_days FROM ord GROUP BY customer_id""", "total_spent avg_order_value promo_sensitivity avg_order_frequency_days", 2)
+  count(*) FILTER (has_promotion) / count(*) AS promo_sensitivity, CASE WHEN count(*) > 1 THEN date_diff('day', min(order_date), DATE '{O}') / (count(*) - 1) END AS avg_order_frequency_days FROM ord GROUP BY customer_id"""
+
+
+@query("sv12_order_metrics", "ord", ORDER_METRICS, "total_spent avg_order_value promo_sensitivity avg_order_frequency_days", 2)
 def _(s):
     return sessions.order_metrics(s.orders, ORDERS_AS_OF).withColumn("payment_methods", F.array_join("payment_methods", ","))
 
@@ -161,24 +165,24 @@ STAGES_SQL = f"""WITH {PROFILES} SELECT CASE WHEN order_count = 0 THEN 'Lead' WH
 x AS (SELECT c.customer_id, primary_category, secondary_category, coalesce(n, 0) AS order_count, days,
   CASE WHEN days <= 30 THEN 'Active (< 30 days)' WHEN days <= 90 THEN 'Recent (30-90 days)' WHEN days <= 180 THEN 'Engaged (90-180 days)' WHEN days <= 365 THEN 'At Risk (180-365 days)' ELSE 'Inactive (> 365 days)' END AS recency_segment,
   CASE WHEN coalesce(n, 0) >= 10 THEN 'Very Frequent (10+ orders)' WHEN n >= 5 THEN 'Frequent (5-9 orders)' WHEN n >= 2 THEN 'Repeat (2-4 orders)' WHEN n = 1 THEN 'One-time' ELSE 'No Purchase' END AS frequency_segment,
-  CASE WHEN spent >= 150000 THEN 'High Value (150K+ CFA)' WHEN spent >= 50000 THEN 'Mid Value (50K-150K CFA)' WHEN spent > 0 THEN 'Low Value (< 50K CFA)' ELSE 'No Spend' END AS monetary_segment FROM cust c LEFT JOIN m USING (customer_id) LEFT JOIN pref USING (customer_id))
-MAIN SELECT * EXCLUDE (days), CASE WHEN recency_segment LIKE 'Active%' AND order_count >= 5 AND (monetary_segment LIKE 'High%' OR monetary_segment LIKE 'Mid%') THEN 'Champions' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count >= 5 THEN 'Loyal Customers'
+  CASE WHEN spent >= 150000 THEN 'High Value (150K+ CFA)' WHEN spent >= 50000 THEN 'Mid Value (50K-150K CFA)' WHEN spent > 0 THEN 'Low Value (< 50K CFA)' ELSE 'No Spend' END AS monetary_segment FROM cust c LEFT JOIN m USING (customer_id) LEFT JOIN pref USING (customer_id)),
+y AS (SELECT * EXCLUDE (days), CASE WHEN recency_segment LIKE 'Active%' AND order_count >= 5 AND (monetary_segment LIKE 'High%' OR monetary_segment LIKE 'Mid%') THEN 'Champions' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count >= 5 THEN 'Loyal Customers'
   WHEN recency_segment LIKE 'Active%' AND frequency_segment = 'One-time' THEN 'New Customers' WHEN recency_segment LIKE 'At Risk%' AND order_count >= 5 THEN 'At Risk' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customers' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND frequency_segment LIKE 'Repeat%' THEN 'Potential Loyalists' ELSE 'Customers Needing Attention' END AS customer_segment,
-  CASE WHEN order_count = 0 THEN 'Lead' WHEN order_count = 1 AND days <= 30 THEN 'New Customer' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count > 1 THEN 'Active Customer' WHEN recency_segment LIKE 'Engaged%' THEN 'At-Risk Customer' WHEN recency_segment LIKE 'At Risk%' THEN 'Lapsed Customer' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customer' ELSE 'Unknown' END AS profile_lifecycle_stage FROM x""")
+  CASE WHEN order_count = 0 THEN 'Lead' WHEN order_count = 1 AND days <= 30 THEN 'New Customer' WHEN (recency_segment LIKE 'Active%' OR recency_segment LIKE 'Recent%') AND order_count > 1 THEN 'Active Customer' WHEN recency_segment LIKE 'Engaged%' THEN 'At-Risk Customer' WHEN recency_segment LIKE 'At Risk%' THEN 'Lapsed Customer' WHEN recency_segment LIKE 'Inactive%' THEN 'Lost Customer' ELSE 'Unknown' END AS profile_lifecycle_stage FROM x)
+MAIN SELECT y.*, c.* EXCLUDE (customer_id), o.* EXCLUDE (customer_id, order_count), primary_percent, secondary_percent FROM y JOIN cust c USING (customer_id) LEFT JOIN ({ORDER_METRICS}) o USING (customer_id) LEFT JOIN pref USING (customer_id)""", "lifetime_value total_spent avg_order_value promo_sensitivity avg_order_frequency_days primary_percent secondary_percent", 2)
 def _(s):
-    p = sessions.enriched_profiles(s.customers, s.orders, s.items, ORDERS_AS_OF)
-    return p.select("customer_id", "primary_category", "secondary_category", "order_count", "recency_segment", "frequency_segment", "monetary_segment", "customer_segment", "profile_lifecycle_stage")
+    return sessions.enriched_profiles(s.customers, s.orders, s.items, ORDERS_AS_OF).withColumn("payment_methods", F.array_join("payment_methods", ","))
 
 
-@query("sv17_journeys", "pairs", "SELECT order_id, user_id, order_value, count(*) AS touchpoint_count, min(d)::INT AS min_days, max(d)::INT AS max_days, string_agg(session_id, ',' ORDER BY session_start, session_id) AS touchpoints FROM pairs GROUP BY 1, 2, 3", "order_value", 2)
+@query("sv17_journeys", "pairs", "SELECT order_id, user_id, order_date, order_value, min(session_start) AS first_touch, max(session_start) AS last_touch, count(*) AS touchpoint_count, min(d)::INT AS min_days, max(d)::INT AS max_days, string_agg(session_id, ',' ORDER BY session_start, session_id) AS touchpoints FROM pairs GROUP BY 1, 2, 3, 4", "order_value", 2)
 def _(s):
     j = attribution.journeys(s.web, s.web_orders)
-    return j.select("order_id", "user_id", "order_value", "touchpoint_count", "min_days", "max_days", F.array_join(F.transform("touchpoints", lambda t: t["session_id"]), ",").alias("touchpoints"))
+    return j.select("order_id", "user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("order_date", "first_touch", "last_touch")], "order_value", "touchpoint_count", "min_days", "max_days", F.array_join(F.transform("touchpoints", lambda t: t["session_id"]), ",").alias("touchpoints"))
 
 
-@query("sv22_attribution_models", "att", "SELECT * EXCLUDE (order_date) FROM att", "order_value touchpoint_weight attributed_revenue", 3)
+@query("sv22_attribution_models", "att", "SELECT * FROM att", "order_value touchpoint_weight attributed_revenue", 3)
 def _(s):
-    return attributed(s).drop("order_date")
+    return attributed(s).withColumn("order_date", F.col("order_date").cast("timestamp_ntz"))
 
 
 CHANNEL_PERFORMANCE = """WITH per AS (SELECT attribution_model, utm_source, utm_medium, utm_campaign, campaign_id, count(*) AS conversions, sum(attributed_revenue) AS attributed_revenue, avg(touchpoint_weight) AS avg_touchpoint_weight, count(DISTINCT order_id) AS unique_orders, count(DISTINCT user_id) AS unique_users FROM att GROUP BY ALL),
@@ -292,24 +296,24 @@ LIFE = f"""{TOT}, life AS (SELECT customer_id, CASE WHEN frequency = 1 AND first
  CASE WHEN frequency = 1 THEN 'One-Time Buyer' WHEN frequency <= 3 THEN 'Occasional Buyer' WHEN frequency <= 6 THEN 'Regular Buyer' ELSE 'Frequent Buyer' END AS purchase_frequency_segment, ntile(4) OVER (ORDER BY monetary DESC, customer_id)::INT AS value_quartile, monetary FROM t)"""
 
 
-@query("gc1_rfm", "ord", f"WITH {RFM}\nMAIN SELECT customer_id, recency_score::INT AS recency_score, frequency_score::INT AS frequency_score, monetary_score::INT AS monetary_score, rfm_score::INT AS rfm_score, rfm_segment FROM rfm")
+@query("gc1_rfm", "ord", f"WITH {RFM}\nMAIN SELECT customer_id, rfm.recency_days, rfm.frequency, rfm.monetary, first_days AS days_since_first, recency_score::INT AS recency_score, frequency_score::INT AS frequency_score, monetary_score::INT AS monetary_score, rfm_score::INT AS rfm_score, rfm_segment FROM rfm JOIN t USING (customer_id)", "monetary", 2)
 def _(s):
-    return segments.rfm(s.orders, ORDERS_AS_OF).select("customer_id", "recency_score", "frequency_score", "monetary_score", "rfm_score", "rfm_segment")
+    return segments.rfm(s.orders, ORDERS_AS_OF)
 
 
-@query("gc2_product_affinity", "items ord", f"WITH {PREF}\nMAIN SELECT customer_id, primary_category, CASE primary_category WHEN 'soin_visage' THEN 'Facial Care Enthusiast' WHEN 'soin_corps' THEN 'Body Care Focused' WHEN 'soin_cheveux' THEN 'Hair Care Passionate' WHEN 'maquillage' THEN 'Makeup Aficionado' WHEN 'parfum' THEN 'Fragrance Collector' ELSE 'Mixed Category Shopper' END AS product_affinity_segment FROM pref")
+@query("gc2_product_affinity", "items ord", f"WITH {PREF}\nMAIN SELECT *, CASE primary_category WHEN 'soin_visage' THEN 'Facial Care Enthusiast' WHEN 'soin_corps' THEN 'Body Care Focused' WHEN 'soin_cheveux' THEN 'Hair Care Passionate' WHEN 'maquillage' THEN 'Makeup Aficionado' WHEN 'parfum' THEN 'Fragrance Collector' ELSE 'Mixed Category Shopper' END AS product_affinity_segment FROM pref", "primary_percent secondary_percent")
 def _(s):
-    return segments.product_affinity(sessions.category_preference(s.items, s.orders)).select("customer_id", "primary_category", "product_affinity_segment")
+    return segments.product_affinity(sessions.category_preference(s.items, s.orders))
 
 
-@query("gc3_lifecycle", "ord", f"WITH {LIFE}\nMAIN SELECT customer_id, lifecycle_stage, purchase_frequency_segment, value_quartile, (['Premium Value', 'High Value', 'Medium Value', 'Low Value'])[value_quartile] AS customer_value_segment FROM life")
+@query("gc3_lifecycle", "ord", f"WITH {LIFE}\nMAIN SELECT life.*, recency_days, frequency, first_days AS days_since_first, (['Premium Value', 'High Value', 'Medium Value', 'Low Value'])[value_quartile] AS customer_value_segment FROM life JOIN t USING (customer_id)", "monetary", 2)
 def _(s):
-    return segments.lifecycle(s.orders, ORDERS_AS_OF).select("customer_id", "lifecycle_stage", "purchase_frequency_segment", "value_quartile", "customer_value_segment")
+    return segments.lifecycle(s.orders, ORDERS_AS_OF)
 
 
-@query("gc4_lifecycle_threshold", "ord", f"WITH {LIFE}\nMAIN SELECT customer_id, lifecycle_stage, CASE WHEN monetary <= 10000 THEN 'Low Value' WHEN monetary <= 50000 THEN 'Medium Value' WHEN monetary <= 150000 THEN 'High Value' ELSE 'Premium Value' END AS customer_value_segment FROM life")
+@query("gc4_lifecycle_threshold", "ord", f"WITH {LIFE}\nMAIN SELECT life.* EXCLUDE (value_quartile), recency_days, frequency, first_days AS days_since_first, CASE WHEN life.monetary <= 10000 THEN 'Low Value' WHEN life.monetary <= 50000 THEN 'Medium Value' WHEN life.monetary <= 150000 THEN 'High Value' ELSE 'Premium Value' END AS customer_value_segment FROM life JOIN t USING (customer_id)", "monetary", 2)
 def _(s):
-    return segments.lifecycle_by_threshold(s.orders, ORDERS_AS_OF).select("customer_id", "lifecycle_stage", "customer_value_segment")
+    return segments.lifecycle_by_threshold(s.orders, ORDERS_AS_OF)
 
 
 def kmeans_sql(k: int = 5, rounds: int = 10) -> str:
