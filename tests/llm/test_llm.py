@@ -355,6 +355,30 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(df.limit(0), ([], [], [0.0] * 8)).count() == 0
 
 
+def test_toxicity_stems(spark):
+    """Rows marked by a stem with ever other endings are found; chance words of toxic rows are no terms."""
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    rows, labels = [], []
+    for i in range(800):
+        text = [word(6) for _ in range(30)]
+        if i % 8 == 0:
+            text[3], text[9], text[20] = ("vrilnok" + word(3) for _ in range(3))
+        elif i % 8 == 1:
+            text[5] = "vrilm" + word(3)
+        rows.append((i, " ".join(text), "s", "en"))
+        labels.append((i, int(i % 8 == 0), 1))
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    terms, plain, weights = toxicity.model(df, lab, ~toxicity.held_out())
+    assert "vrilnok*" in terms and all(t.startswith("vriln") for t in terms) and len(weights) == toxicity.FEATURES + 1
+    m = toxicity.Matcher(terms)
+    assert (m.kind("vrilnokx"), m.kind("vrilnok"), m.kind("vrilm"), m.kind("avrilnok")) == (3, 3, 0, 0)
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score(df, (terms, plain, weights)).collect()}
+    assert all(got[i] == (i % 8 == 0) for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2)
+    only = toxicity.model(df.filter("doc_id % 8 = 0"), lab, ~toxicity.held_out())  # no other rows
+    assert toxicity.score(df, only).count() == 800
+
+
 def test_quality(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     known = spark.read.parquet(f"{sf}/documents.parquet")
