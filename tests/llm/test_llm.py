@@ -232,6 +232,26 @@ def test_sharding(spark, docs):
     assert all(x == y or y == 40 for x, y in zip(a, grown, strict=True)) and {s: n for s, _, n in stats.collect()} == load
 
 
+def test_shard_map_is_kept(spark, docs, tmp_path):
+    """A later run reads the versions that are there and adds what is lacking; complete ones are never written again."""
+    path = f"file://{tmp_path}/map"
+    of = lambda df, v: [r.shard for r in df.filter(F.col("version") == v).orderBy("virtual_slot").collect()]
+    files = lambda v: sorted(f.name for f in (tmp_path / "map" / f"version={v}").glob("part-*"))
+    first = sharding.stored_map(spark, path, [4, 5], slots=64)
+    assert of(first, 4) == sharding.initial_map(4, 64) and of(first, 5) == sharding.initial_map(5, 64)
+    before = files(4), files(5)
+    stats = spark.createDataFrame([(s, 1000 if s == 63 else 10) for s in range(64)], "virtual_slot int, bytes long")
+    second = sharding.stored_map(spark, path, [5, 7], stats, slots=64)
+    assert (files(4), files(5)) == before and {r.version for r in second.select("version").distinct().collect()} == {4, 5, 6, 7}
+    for v in (6, 7):
+        assert of(second, v) == sharding.rebalance(stats, of(second, v - 1))
+        assert all(x == y or y == v - 1 for x, y in zip(of(second, v - 1), of(second, v), strict=True))
+    assert of(second, 6) != sharding.initial_map(6, 64)
+    spark.createDataFrame([(0, 0)], "virtual_slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version=7")  # a writer that died
+    assert of(sharding.stored_map(spark, path, [7], stats, slots=64), 7) == sharding.rebalance(stats, of(second, 6))
+    assert of(sharding.stored_map(spark, path, [3], slots=64), 3) == sharding.initial_map(3, 64)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 32))
@@ -389,6 +409,19 @@ def test_quality(spark, sf, docs):
     assert quality.of_documents(empty(spark), labels).count() == 0
 
 
+def test_quality_held_out(spark, sf):
+    """Labels that weren't fitted: nearly all good documents stay and nearly all bad ones go, in each of five folds together."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    kept = {0: [], 1: []}
+    for k in range(5):
+        judged = quality.of_documents(docs, labels.filter(fold != k)).join(labels.filter(fold == k).select("doc_id", "quality"), "doc_id")
+        for r in judged.select("quality", "keep").collect():
+            kept[r.quality].append(r.keep)
+    print("held out: good kept", np.mean(kept[1]), "bad kept", np.mean(kept[0]), len(kept[0]), len(kept[1]))
+    assert np.mean(kept[1]) >= 0.95 and np.mean(kept[0]) <= 0.1
+
+
 def test_quality_posteriors(spark, sf):
     """Every posterior again in Python, from the evidence of the rows."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots.
 
 A record's key hashes into one of SLOTS virtual slots for good; a small versioned map says which shard owns each slot.
-Rebalancing edits the map only, so records move with their slots. The map holds SLOTS rows at most, whatever the data.
+Rebalancing edits the map only, so records move with their slots. A version of the map holds SLOTS rows, whatever the data. The map is
+kept at a path (`stored_map`): later runs read the versions that are there and add those that they lack.
 
 Null keys hash as the constant they are and share one slot. Null texts weigh the fixed overhead alone. Repeated rows share a
 slot and get places of their own. Empty tables give no rows. Further columns pass through.
@@ -14,7 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import shared_dir
 
 SLOTS = 4096
 OVERHEAD = 16  #: bytes of a record besides its text
@@ -57,6 +58,33 @@ def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
     return spark.createDataFrame([(v, s, o) for v, owners in versions.items() for s, o in enumerate(owners)], "version int, virtual_slot int, shard int")
 
 
+def stored_map(spark: SparkSession, path: str, versions: list[int], stats: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
+    """The map kept at path, map_table() with a partition for each version; version v has v shards. A version that is lacking is grown
+    from the last one below it, version by version, each stored; without one below, it is initial_map(v). stats: slot_stats(), by
+    whose bytes new versions are balanced; without it slots weigh the same.
+
+    Complete versions are never written again, so what was assigned by one stays. One without all its slots (a writer that died) is
+    replaced. Two writers that lack the same version write the same rows if they balance alike; let one at a time balance by bytes.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    owners: dict[int, list[int]] = {}
+
+    def read() -> DataFrame:
+        return spark.read.schema("virtual_slot int, shard int, version int").parquet(path).select("version", "virtual_slot", "shard")
+
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        kept = defaultdict(dict)
+        for v, s, o in read().collect():  # slots x versions small rows
+            kept[v][s] = o
+        owners = {v: [of[s] for s in range(slots)] for v, of in kept.items() if sorted(of) == list(range(slots))}
+    for v in sorted(versions):
+        below = max((u for u in owners if u < v), default=None)
+        for u in [] if v in owners else range(below + 1, v + 1) if below else [v]:
+            owners[u] = initial_map(u, slots) if not below else rebalance(stats, owners[u - 1]) if stats is not None else grow(owners[u - 1])
+            map_table(spark, {u: owners[u]}).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={u}")
+    return read().filter(F.col("version").isin(list(owners)))
+
+
 def slot_stats(records: DataFrame, size: str, keys: list[str]) -> DataFrame:
     """Rows and bytes of each virtual slot (or part of one), pre-aggregated before the shuffle."""
     return records.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
@@ -100,8 +128,7 @@ def assign(docs: DataFrame, maps: DataFrame, version: int, grown: int, key: str
 def op4_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     """Contract digest of assign(): law `key`, 40 shards, and 41 for grown_shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    owners = initial_map(shards)
-    maps = materialize(map_table(spark, {shards: owners, shards + 1: grow(owners)}))
+    maps = stored_map(spark, f"{shared_dir(spark)}/shard-map-key-{SLOTS}", [shards, shards + 1])
     # only sizes and checksums go through the shuffle: text is dropped as soon as they are made
     out = assign(docs, maps, shards, shards + 1)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes")
