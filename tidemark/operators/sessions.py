@@ -14,16 +14,20 @@ FIRST = ["user_id", "is_authenticated", "user_email", "user_segment", "device_ty
 
 
 def web_sessions(logs: DataFrame) -> DataFrame:
-    """One row for each session_id; attributes are the first event's, by time and then event_id."""
+    """One row for each session_id; attributes are the first event's, by time and then event_id. A session's events are listed in its
+    row, so they meet in one task."""
     at = F.struct("event_timestamp", "event_id")
     count = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("event_timestamp", "event_id", c))), lambda x: x[c])
+    events = F.array_sort(F.collect_list(F.struct("event_timestamp", "event_id", "event_type", "page_url")))
     per = logs.filter(F.col("session_id").isNotNull()).groupBy("session_id").agg(
         F.min("event_timestamp").alias("session_start"), F.max("event_timestamp").alias("session_end"),
         *[F.min_by(c, at).alias(c) for c in FIRST if c in logs.columns],
-        ordered("event_type").alias("event_types"), F.filter(ordered("page_url"), lambda x: x.isNotNull()).alias("pages_viewed"), F.count("*").alias("event_count"),
+        events.alias("events"), F.count("*").alias("event_count"),
         count("page_view").alias("page_view_count"), count("product_view").alias("product_view_count"), count("add_to_cart").alias("add_to_cart_count"), count("begin_checkout").alias("checkout_count"), count("purchase").alias("purchase_count"),
     )
+    listed = ["event_count", "page_view_count", "product_view_count", "add_to_cart_count", "checkout_count", "purchase_count"]
+    lists = [F.col("events.event_type").alias("event_types"), F.filter("events.page_url", lambda x: x.isNotNull()).alias("pages_viewed")]
+    per = per.select(*[c for c in per.columns if c not in ("events", *listed)], *lists, *listed)
     return per.withColumns({
         "date": F.to_date("session_start"), "session_duration_seconds": F.unix_timestamp("session_end") - F.unix_timestamp("session_start"), "is_bounce": F.col("event_count") == 1,
         "conversion_session": F.col("purchase_count") > 0, "session_source": F.coalesce("utm_source", "utm_medium", "utm_campaign", F.lit("direct")),

@@ -122,16 +122,16 @@ def _(s):
     return cleaning.cross_platform_metrics(cleaning.clean_all_platforms(s.ads))
 
 
-@query("sv9_web_sessions", "sess", """SELECT session_id, session_start, session_end, user_id, utm_source, utm_medium, utm_campaign, campaign_id, event_count, page_view_count, product_view_count, add_to_cart_count, checkout_count, purchase_count, event_types,
+@query("sv9_web_sessions", "sess", """SELECT *, session_start::DATE AS date, year(session_start)::INT AS session_year, month(session_start)::INT AS session_month, day(session_start)::INT AS session_day,
   epoch(date_trunc('second', session_end))::BIGINT - epoch(date_trunc('second', session_start))::BIGINT AS session_duration_seconds, event_count = 1 AS is_bounce, purchase_count > 0 AS conversion_session, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS session_source FROM sess""")
 def _(s):
-    return s.web.select("session_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "user_id", "utm_source", "utm_medium", "utm_campaign", "campaign_id", "event_count", "page_view_count", "product_view_count", "add_to_cart_count", "checkout_count", "purchase_count", F.array_join("event_types", ",").alias("event_types"), "session_duration_seconds", "is_bounce", "conversion_session", "session_source")
+    return s.web.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")} | {c: F.array_join(c, ",") for c in ("event_types", "pages_viewed")})
 
 
 @query("sv10_customer_sessions", "sess cust", "SELECT s.*, lower(trim(user_email)) AS normalized_email, customer_id, first_name AS crm_first_name, email AS crm_email, total_orders, lifetime_value, customer_id IS NOT NULL AS customer_match, coalesce(utm_source, utm_medium, utm_campaign, 'direct') AS session_source, event_count = 1 AS is_bounce, purchase_count > 0 AS conversion_session FROM sess s LEFT JOIN cust ON lower(trim(email)) = lower(trim(user_email)) WHERE is_authenticated AND s.user_id IS NOT NULL", "lifetime_value", 2)
 def _(s):
-    joined = sessions.customer_sessions(s.web, s.customers).withColumns({"session_start": F.col("session_start").cast("timestamp_ntz"), "session_end": F.col("session_end").cast("timestamp_ntz"), "event_types": F.array_join("event_types", ",")})
-    return joined.drop("pages_viewed", "date", "session_duration_seconds", "session_year", "session_month", "session_day")  # sv9 has the duration
+    joined = sessions.customer_sessions(s.web, s.customers).withColumns({"session_start": F.col("session_start").cast("timestamp_ntz"), "session_end": F.col("session_end").cast("timestamp_ntz"), "event_types": F.array_join("event_types", ","), "pages_viewed": F.array_join("pages_viewed", ",")})
+    return joined.drop("date", "session_duration_seconds", "session_year", "session_month", "session_day")  # sv9 has them
 
 
 ORDER_METRICS = f"""SELECT customer_id, count(*) AS order_count, sum(final_total) AS total_spent, avg(final_total) AS avg_order_value, min(order_date) AS first_order_date, max(order_date) AS last_order_date, count(*) FILTER (has_promotion) AS promo_orders,
@@ -856,8 +856,8 @@ SUITE_SQL = " UNION ALL ".join([
     dataset_sql("channel_performance", "ch", [*known("attribution_model", "utm_source"), "attributed_revenue >= 0"]),
 ])
 SUITE_TABLES = f"""wl AS MATERIALIZED (SELECT logs.*, value FROM logs JOIN events USING (event_id)), oi AS (SELECT *, item_total / quantity AS price FROM items), ga AS (SELECT * FROM ads WHERE platform = 'Google'), sa AS (SELECT * FROM ads WHERE platform IN ('Facebook', 'Instagram', 'TikTok')),
-ws AS MATERIALIZED (SELECT *, epoch(date_trunc('second', session_end))::BIGINT - epoch(date_trunc('second', session_start))::BIGINT AS session_duration_seconds FROM sess),
-cu AS MATERIALIZED (SELECT sess.*, c.email IS NOT NULL AS matched FROM sess LEFT JOIN cust c ON lower(trim(c.email)) = lower(trim(user_email)) WHERE is_authenticated AND user_id IS NOT NULL),
+ws AS MATERIALIZED (SELECT * EXCLUDE (pages_viewed), epoch(date_trunc('second', session_end))::BIGINT - epoch(date_trunc('second', session_start))::BIGINT AS session_duration_seconds FROM sess),
+cu AS MATERIALIZED (SELECT sess.* EXCLUDE (pages_viewed), c.email IS NOT NULL AS matched FROM sess LEFT JOIN cust c ON lower(trim(c.email)) = lower(trim(user_email)) WHERE is_authenticated AND user_id IS NOT NULL),
 {PREF}, cp0 AS MATERIALIZED (SELECT c.*, n, pref.* EXCLUDE (customer_id) FROM cust c LEFT JOIN (SELECT customer_id, count(*) AS n FROM ord GROUP BY 1) USING (customer_id) LEFT JOIN pref USING (customer_id)),
 stages AS ({STAGES_SQL}), ch AS MATERIALIZED ({CHANNEL_PERFORMANCE})"""
 

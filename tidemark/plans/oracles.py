@@ -24,7 +24,8 @@ CTES = {
         count(*) FILTER (event_type = 'page_view') AS page_view_count, count(*) FILTER (event_type = 'product_view') AS product_view_count, count(*) FILTER (event_type = 'add_to_cart') AS add_to_cart_count,
         count(*) FILTER (event_type = 'begin_checkout') AS checkout_count, count(*) FILTER (event_type = 'purchase') AS purchase_count,
         arg_min(is_authenticated, (event_timestamp, event_id)) AS is_authenticated, first(user_email ORDER BY event_timestamp, event_id) AS user_email, first(utm_source ORDER BY event_timestamp, event_id) AS utm_source, first(utm_medium ORDER BY event_timestamp, event_id) AS utm_medium,
-        first(utm_campaign ORDER BY event_timestamp, event_id) AS utm_campaign, first(campaign_id ORDER BY event_timestamp, event_id) AS campaign_id, string_agg(event_type, ',' ORDER BY event_timestamp, event_id) AS event_types FROM logs GROUP BY session_id"""),
+        first(utm_campaign ORDER BY event_timestamp, event_id) AS utm_campaign, first(campaign_id ORDER BY event_timestamp, event_id) AS campaign_id, string_agg(event_type, ',' ORDER BY event_timestamp, event_id) AS event_types,
+        string_agg(page_url, ',' ORDER BY event_timestamp, event_id) AS pages_viewed FROM logs GROUP BY session_id"""),
     "pairs": (["sess", "pur"], """SELECT order_id, s.user_id, order_date, final_total AS order_value, session_id, session_start, utm_source, utm_medium, utm_campaign, campaign_id, date_diff('day', session_start::DATE, order_date::DATE) AS d
         FROM pur JOIN sess s ON customer_id = s.user_id WHERE coalesce(utm_source, utm_medium, utm_campaign) IS NOT NULL AND session_start <= order_date AND date_diff('day', session_start::DATE, order_date::DATE) BETWEEN 0 AND 30"""),
     "att": (["pairs"], """SELECT order_id, user_id, order_date, order_value, n AS touchpoint_count, session_id, utm_source, utm_medium, utm_campaign, campaign_id, d AS days_before_purchase, m AS attribution_model, w AS touchpoint_weight, order_value * w AS attributed_revenue
